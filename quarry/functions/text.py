@@ -42,9 +42,15 @@ def content_hash(c, algorithm: str = "sha256") -> Column:
     raise ValueError(f"unsupported hash algorithm: {algorithm}")
 
 
+# The whitespace set of Python's str.split(), as a regex class valid in both
+# Java regex and RE2.
+WS_CLASS = (r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
+            r"\x{202f}\x{205f}\x{3000}]")
+
+
 def word_array(c) -> Column:
-    """Words of a text split on whitespace runs, blanks removed."""
-    return F.filter(F.split(_c(c), r"\s+"), lambda w: w != F.lit(""))
+    """Words of a text split on whitespace runs (Python ``str.split()``), blanks removed."""
+    return F.filter(F.split(_c(c), WS_CLASS + "+"), lambda w: w != F.lit(""))
 
 
 def word_count(c) -> Column:
