@@ -38,7 +38,7 @@ def clip_sql(x: str, lo, hi) -> str:
     return f"CASE WHEN {x} IS NULL THEN NULL ELSE greatest({lo}, least({hi}, {x})) END"
 
 
-BINDING_MODULES = ["bind_hr", "bind_sources", "bind_finance", "bind_columns", "bind_documents", "bind_routing", "bind_quality", "bind_metrics", "bind_streams"]
+BINDING_MODULES = ["bind_hr", "bind_sources", "bind_finance", "bind_columns", "bind_documents", "bind_routing", "bind_quality", "bind_metrics", "bind_streams", "bind_jobs"]
 
 
 def load_all() -> None:
