@@ -48,9 +48,16 @@ WS_CLASS = (r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028
             r"\x{202f}\x{205f}\x{3000}]")
 
 
+# the members of WS_CLASS outside Java's \s, mapped to a blank before a plain \s+ split
+# (a per-char translate is ~3x cheaper than splitting on the full Unicode class)
+_EXTRA_WS = ("\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200b))
+             + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def word_array(c) -> Column:
     """Words of a text split on whitespace runs (Python ``str.split()``), blanks removed."""
-    return F.filter(F.split(_c(c), WS_CLASS + "+"), lambda w: w != F.lit(""))
+    unified = F.translate(_c(c), _EXTRA_WS, " " * len(_EXTRA_WS))
+    return F.filter(F.split(unified, r"\s+"), lambda w: w != F.lit(""))
 
 
 def word_count(c) -> Column:

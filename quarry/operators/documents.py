@@ -44,13 +44,18 @@ def chunk_starts(n: Column, size: int, overlap: int) -> Column:
 def chunk_text(df: DataFrame, text_col: str, keep: list[str], size: int = CHUNK_SIZE,
                overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """One row per chunk: ``chunk_index``, ``chunk_text`` (words joined by one blank) and
-    ``total_chunks``. Words are whitespace-separated tokens of the whole text."""
+    ``total_chunks``. Words are whitespace-separated tokens of the whole text.
+
+    The word array is bound once as a lambda variable (wrapped in a one-element array), so
+    the optimizer cannot inline the split into every chunk's slice: each text is split once.
+    """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be in [0, size)")
-    words = df.select(*keep, word_array(text_col).alias("__w"))
-    starts = chunk_starts(F.size("__w"), size, overlap)
-    chunks = words.select(*keep, F.transform(starts, lambda s: F.array_join(
-        F.slice("__w", s + 1, size), " ")).alias("__chunks"))
+
+    def chunks_of(w):
+        return F.transform(chunk_starts(F.size(w), size, overlap),
+                           lambda s: F.array_join(F.slice(w, s + 1, size), " "))
+    chunks = df.select(*keep, F.transform(F.array(word_array(text_col)), chunks_of)[0].alias("__chunks"))
     return chunks.select(*keep, F.size("__chunks").alias("total_chunks"),
                          F.posexplode("__chunks").alias("chunk_index", "chunk_text"))
 

@@ -46,6 +46,13 @@ def error_ratio(requests: DataFrame) -> DataFrame:
             .withColumn("error_ratio", r6(F.col("errors") / F.col("requests"))))
 
 
+def active_users(requests: DataFrame, user_col: str = "user_id") -> DataFrame:
+    """Distinct users per 5-minute sliding window (exact; Spark plans the distinct count as
+    an expand + two-level aggregate, so no window's user set is gathered in one place)."""
+    return (sliding(requests).groupBy("window_start", "window_end")
+            .agg(F.count_distinct(user_col).alias("active_users")))
+
+
 def mean_latency(requests: DataFrame, value_col: str = "duration_s") -> DataFrame:
     return (sliding(requests).groupBy("window_start", "window_end")
             .agg(r6(F.avg(value_col)).alias("mean_latency_s")))

@@ -9,6 +9,7 @@ from quarry.functions.text import content_hash, normalize_text
 from quarry.operators import calendar as cal
 from quarry.operators import cleaning as cl
 from quarry.operators import ordering, structure
+from quarry.operators.partitioning import ensure_parallelism
 from quarry.plans import fixtures as fx
 from quarry.plans.bind_hr import CLEAN_SQL, clean_employees_df
 from quarry.plans.catalog import query
@@ -76,7 +77,7 @@ NORM_SQL = ("trim(regexp_replace(regexp_replace(lower(text), '[^\\w\\s]', '', 'g
 FROM (SELECT doc_id, {NORM_SQL} AS norm, sha256({NORM_SQL}) AS fingerprint FROM documents)
 GROUP BY fingerprint""")
 def q_text_fingerprint(spark, sf):
-    docs = fx.table(spark, sf, "documents").select(
+    docs = ensure_parallelism(fx.table(spark, sf, "documents")).select(
         "doc_id", normalize_text("text").alias("norm"))
     return (docs.withColumn("fingerprint", content_hash("norm", "sha256"))
             .groupBy("fingerprint")
@@ -86,7 +87,7 @@ def q_text_fingerprint(spark, sf):
 
 @query("html_sanitise")
 def q_html_sanitise(spark, sf):
-    pages = fx.table(spark, sf, "pages")
+    pages = ensure_parallelism(fx.table(spark, sf, "pages"))
     return pages.select("page_id", fc.sanitize_html("html").alias("clean_text"))
 
 

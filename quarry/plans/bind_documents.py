@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import WS_CLASS, word_count
 from quarry.operators import documents as dm
+from quarry.operators.partitioning import ensure_parallelism
 from quarry.operators import retrieval as rv
 from quarry.operators import summaries as sm
 from quarry.plans import fixtures as fx
@@ -36,7 +37,7 @@ chunk_rows AS (SELECT doc_id, len(c) AS total_chunks, unnest(range(len(c))) AS c
 
 
 def docs(spark, sf):
-    return fx.table(spark, sf, "documents")
+    return ensure_parallelism(fx.table(spark, sf, "documents"))
 
 
 @query("chunk_documents", "WITH " + CHUNKS_SQL + """

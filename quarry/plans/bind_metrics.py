@@ -39,6 +39,12 @@ def q_latency_quantiles(spark, sf):
     return mt.latency_quantiles(requests(spark, sf))
 
 
+@query("active_users_5m", WIN_SQL + """SELECT window_start, window_end,
+  count(DISTINCT user_id) AS active_users FROM win GROUP BY ALL""")
+def q_active_users(spark, sf):
+    return mt.active_users(requests(spark, sf))
+
+
 @query("mean_latency", WIN_SQL + """SELECT window_start, window_end,
   round(avg(duration_s), 6) AS mean_latency_s FROM win GROUP BY ALL""")
 def q_mean_latency(spark, sf):

@@ -132,6 +132,9 @@ _REGISTERED: dict[int, str] = {}
 
 def register(spark: SparkSession, sf_dir: str) -> None:
     """Register the base parquet tables of ``sf_dir`` and every fixture view as temp views."""
+    # results depend on the session clock zone (windows, date casts): pin it to UTC
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     key = id(spark)
     if _REGISTERED.get(key) == sf_dir and spark.catalog.tableExists("employees_raw"):
         return
@@ -147,6 +150,7 @@ def register(spark: SparkSession, sf_dir: str) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table read straight from parquet (scan with pruning and pushdown)."""
     if name in BASE_TABLES:
+        register(spark, sf_dir)
         return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     register(spark, sf_dir)
     return spark.table(name)
