@@ -157,9 +157,10 @@ DEFAULT_ROLE = "user"
 WINDOW_SECONDS = 60
 
 
-def role_limit(role_col: str = "role"):
-    m = F.create_map(*[x for k, v in ROLE_LIMITS.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.element_at(m, F.col(role_col)), F.lit(ROLE_LIMITS[DEFAULT_ROLE]))
+def role_limit(role_col: str = "role", limits: dict | None = None):
+    limits = limits or ROLE_LIMITS
+    m = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(F.element_at(m, F.col(role_col)), F.lit(limits[DEFAULT_ROLE]))
 
 
 def _admit_batches(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,7 +183,8 @@ def _admit_batches(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Ite
         yield pd.DataFrame({"request_id": pdf["request_id"], "admitted": out})
 
 
-def rate_limit_admission(requests: DataFrame, partitions: int | None = None) -> DataFrame:
+def rate_limit_admission(requests: DataFrame, partitions: int | None = None,
+                         limits: dict | None = None) -> DataFrame:
     """Exact sliding-window admission (rejected requests do not count).
 
     Rows are hash-partitioned by user and sorted by (user, ts, request_id) within
@@ -193,7 +195,7 @@ def rate_limit_admission(requests: DataFrame, partitions: int | None = None) ->
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     prepared = (requests.select("request_id", "user_id",
                                 (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"),
-                                role_limit().alias("lim"))
+                                role_limit("role", limits).alias("lim"))
                 .repartition(n, "user_id").sortWithinPartitions("user_id", "t", "request_id"))
     decided = prepared.groupBy("user_id").applyInPandas(_admit_batches, "request_id long, admitted boolean")
     return requests.select("request_id", "user_id", "ts", "role").join(decided, "request_id")

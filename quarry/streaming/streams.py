@@ -107,11 +107,11 @@ def _admit_state(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFr
     yield pd.DataFrame({"request_id": pdf["request_id"].to_numpy(), "user_id": key[0], "admitted": out})
 
 
-def stream_rate_limit(requests_stream: DataFrame) -> DataFrame:
+def stream_rate_limit(requests_stream: DataFrame, limits: dict | None = None) -> DataFrame:
     """Rate-limit admission as a stateful stream; input must arrive in event-time order
     across micro-batches (e.g. time-ordered files, one per trigger)."""
     prepared = requests_stream.select(
         "request_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"),
-        role_limit().alias("lim"))
+        role_limit("role", limits).alias("lim"))
     return prepared.groupBy("user_id").applyInPandasWithState(
         _admit_state, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
