@@ -79,12 +79,18 @@ def employee_overview(emp: DataFrame) -> DataFrame:
 
 def performance_trend(reviews: DataFrame, employees: DataFrame) -> DataFrame:
     """Mean review rating per department and review quarter, change on the previous quarter
-    of the same department, and the department's overall rank (1 = highest rated)."""
-    j = reviews.join(employees.select("employee_id", "department"), "employee_id")
-    per_q = j.groupBy("department", F.year("review_date").alias("year"),
-                      F.quarter("review_date").alias("quarter")).agg(F.avg("rating").alias("avg_rating"),
-                                                                      F.count(F.lit(1)).alias("reviews"))
-    overall = j.groupBy("department").agg(F.avg("rating").alias("dept_avg"))
+    of the same department, and the department's overall rank (1 = highest rated).
+
+    Reviews are reduced to (employee, quarter) sums and counts before the join with the
+    employee table; means are formed from the sums afterwards.
+    """
+    per_emp = reviews.groupBy(
+        "employee_id", F.year("review_date").alias("year"), F.quarter("review_date").alias("quarter")).agg(
+        F.sum("rating").alias("s"), F.count("rating").alias("n"), F.count(F.lit(1)).alias("rows"))
+    j = per_emp.join(employees.select("employee_id", "department"), "employee_id")
+    per_q = j.groupBy("department", "year", "quarter").agg(
+        (F.sum("s") / F.sum("n")).alias("avg_rating"), F.sum("rows").alias("reviews"))
+    overall = j.groupBy("department").agg((F.sum("s") / F.sum("n")).alias("dept_avg"))
     ranked = overall.withColumn("dept_rank", F.dense_rank().over(Window.orderBy(F.col("dept_avg").desc())))
     w = Window.partitionBy("department").orderBy("year", "quarter")
     return per_q.join(ranked, "department").select(

@@ -27,15 +27,22 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 
 def expense_by_department(expenses: DataFrame, departments: DataFrame,
                           employees: DataFrame) -> DataFrame:
-    """Expenses with their department (FK) and employee (FK, kept when missing)."""
+    """Expenses with their department (FK) and employee (FK, kept when missing).
+
+    Expenses are first reduced to one row per (department, employee) with a partial
+    aggregate, so the join with the employee table moves one row per pair instead of every
+    expense, and a hot employee costs one row per map task.
+    """
+    pairs = expenses.groupBy("department_id", "employee_id").agg(
+        F.sum("amount").alias("amount"), F.count("expense_id").alias("n"))
     depts = broadcast_if_small(departments.select("department_id", "department_name"))
-    emps = employees.select("employee_id", F.lit(True).alias("known_employee"))
-    joined = (expenses.join(depts, "department_id", "inner")
-              .join(emps, "employee_id", "left"))
+    emps = employees.select("employee_id", F.lit(True).alias("known_employee")).dropDuplicates(["employee_id"])
+    joined = pairs.join(depts, "department_id", "inner").join(emps, "employee_id", "left")
     return (joined.groupBy("department_name")
             .agg(r6(F.sum("amount")).alias("total_amount"),
-                 F.count("expense_id").alias("expense_count"),
-                 F.count_if(F.col("known_employee").isNull()).alias("unknown_employee_rows")))
+                 F.sum("n").alias("expense_count"),
+                 F.coalesce(F.sum(F.when(F.col("known_employee").isNull(), F.col("n"))), F.lit(0))
+                 .alias("unknown_employee_rows")))
 
 
 def budget_allocation(budgets: DataFrame, allocations: DataFrame,
@@ -76,9 +83,10 @@ def department_managers(departments: DataFrame, employees: DataFrame) -> DataFra
 
 
 def orphan_keys(child: DataFrame, fk: str, parent: DataFrame, pk: str, name: str) -> DataFrame:
-    """Rows of ``child`` whose foreign key has no parent row: count and distinct keys."""
-    orphans = child.join(parent.select(F.col(pk).alias(fk)), fk, "left_anti").filter(
-        F.col(fk).isNotNull())
-    return orphans.agg(F.count(F.lit(1)).alias("orphan_rows"),
-                       F.count_distinct(fk).alias("orphan_keys")).select(
+    """Rows of ``child`` whose foreign key has no parent row: count and distinct keys.
+    The child is reduced to (key, rows) before the anti join, so only distinct keys move."""
+    per_key = child.filter(F.col(fk).isNotNull()).groupBy(fk).agg(F.count(F.lit(1)).alias("n"))
+    orphans = per_key.join(parent.select(F.col(pk).alias(fk)), fk, "left_anti")
+    return orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphan_rows"),
+                       F.count(F.lit(1)).alias("orphan_keys")).select(
         F.lit(name).alias("constraint_name"), "orphan_rows", "orphan_keys")
