@@ -82,12 +82,24 @@ def chunk_records(docs: DataFrame, id_col: str, text_col: str, filename: Column,
                   caller_meta: dict[str, Column], size: int = CHUNK_SIZE,
                   overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Chunks with metadata = base (filename, counts, type) ⊕ caller metadata (caller wins)
-    ⊕ chunk_index/total_chunks, id '<filename>_<i>', and the collection of the type."""
-    base = docs.select(id_col, text_col, filename.alias("filename"),
-                       *[c.alias(f"__m_{k}") for k, c in caller_meta.items()])
-    meta = doc_metadata(base, text_col, [id_col, "filename"] + [f"__m_{k}" for k in caller_meta])
-    chunks = chunk_text(base, text_col, [id_col], size, overlap)
-    joined = chunks.join(meta, id_col)
+    ⊕ chunk_index/total_chunks, id '<filename>_<i>', and the collection of the type.
+
+    Metadata and chunks come from the same row in one projection (no join back of chunk
+    texts to per-document metadata), so the only data movement is the scan itself.
+    """
+    t = F.col(text_col)
+
+    def chunks_of(w):
+        return F.transform(chunk_starts(F.size(w), size, overlap),
+                           lambda s: F.array_join(F.slice(w, s + 1, size), " "))
+    per_doc = docs.select(
+        id_col, filename.alias("filename"), *[c.alias(f"__m_{k}") for k, c in caller_meta.items()],
+        F.transform(F.array(word_array(t)), lambda w: F.struct(
+            F.size(w).alias("wc"), chunks_of(w).alias("chunks")))[0].alias("__x"),
+        F.length(t).alias("char_count"), doc_type(t).alias("document_type"))
+    exploded = per_doc.select(
+        "*", F.size("__x.chunks").alias("total_chunks"),
+        F.posexplode("__x.chunks").alias("chunk_index", "chunk_text")).withColumn("word_count", F.col("__x.wc"))
     base_map = F.create_map(
         F.lit("filename"), F.col("filename"),
         F.lit("word_count"), F.col("word_count").cast("string"),
@@ -96,13 +108,23 @@ def chunk_records(docs: DataFrame, id_col: str, text_col: str, filename: Column,
     caller_map = F.create_map(*[x for k in caller_meta for x in (F.lit(k), F.col(f"__m_{k}").cast("string"))])
     chunk_map = F.create_map(F.lit("chunk_index"), F.col("chunk_index").cast("string"),
                              F.lit("total_chunks"), F.col("total_chunks").cast("string"))
-    return joined.select(
+    return exploded.select(
         F.concat_ws("_", "filename", F.col("chunk_index").cast("string")).alias("chunk_id"),
         id_col, "chunk_index", "total_chunks", "chunk_text", "document_type",
         collection_for(F.col("document_type")).alias("collection"),
         F.map_concat(base_map, caller_map, chunk_map).alias("metadata"))
 
 
+def chunk_counts(docs: DataFrame, id_col: str, text_col: str, size: int = CHUNK_SIZE,
+                 overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """(id, document_type, collection, total_chunks) without building any chunk text."""
+    t = F.col(text_col)
+    typ = doc_type(t)
+    return docs.select(id_col, typ.alias("document_type"),
+                       F.size(chunk_starts(F.size(word_array(t)), size, overlap)).alias("total_chunks")
+                       ).withColumn("collection", collection_for(F.col("document_type")))
+
+
 def encode_once(docs: DataFrame, id_col: str, text_col: str, cache: DataFrame, encoder) -> DataFrame:
     """Encode each distinct text once: texts whose hash is in ``cache`` (text_hash, embedding)
     are reused, the remaining distinct texts go through ``encoder`` (a DataFrame → DataFrame

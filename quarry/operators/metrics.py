@@ -1,10 +1,8 @@
 """Request metrics over time windows, threshold alerts, "held for" alert firing, liveness gaps,
 sliding per-user request counts and the sequential rate-limit admission.
 
-Exact quantiles are computed without gathering a window's values into one task: the rows
-are globally sorted by (group, value) with the distributed numbering of ``ordering``, each
-group's first position and size come from a partial aggregate, and the interpolation
-endpoints are fetched back by an equi-join on the global position.
+Decomposable metrics are computed from per-minute pre-aggregates; exact quantiles use the
+distributed selection of ``quantiles.exact_quantiles``.
 """
 
 from collections import deque
@@ -16,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.joins import broadcast_if_small
-from quarry.operators.ordering import global_index
+from quarry.operators.quantiles import exact_quantiles
 from quarry.operators.summaries import r6
 
 
@@ -77,26 +75,6 @@ def mean_latency(requests: DataFrame, value_col: str = "duration_s") -> DataFram
             .select("window_start", "window_end", r6(F.col("s") / F.col("c")).alias("mean_latency_s")))
 
 
-def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, tie_col: str,
-                    probs: dict[str, float]) -> DataFrame:
-    """Interpolated quantiles (``quantile_cont``) per group, exact and distributed."""
-    base = df.filter(F.col(value_col).isNotNull()).select(*group_cols, value_col, tie_col)
-    ordered = global_index(base, group_cols + [value_col, tie_col], "pos")
-    stats = ordered.groupBy(*group_cols).agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n"))
-    targets = stats.select(*group_cols, F.explode(F.array(*[
-        F.struct(F.lit(name).alias("q"), (F.col("first") + F.floor(F.lit(p) * (F.col("n") - 1))).alias("lo"),
-                 (F.col("first") + F.ceil(F.lit(p) * (F.col("n") - 1))).alias("hi"),
-                 (F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1))).alias("frac"))
-        for name, p in probs.items()])).alias("t")).select(*group_cols, "t.*")
-    vals = ordered.select("pos", value_col)
-    lo = vals.select(F.col("pos").alias("lo"), F.col(value_col).alias("v_lo"))
-    hi = vals.select(F.col("pos").alias("hi"), F.col(value_col).alias("v_hi"))
-    joined = targets.join(lo, "lo").join(hi, "hi")
-    q = joined.select(*group_cols, "q", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("v"))
-    return q.groupBy(*group_cols).agg(*[r6(F.max(F.when(F.col("q") == name, F.col("v")))).alias(name)
-                                        for name in probs])
-
-
 def latency_quantiles(requests: DataFrame, value_col: str = "duration_s") -> DataFrame:
     return exact_quantiles(sliding(requests), ["window_start", "window_end"], value_col, "request_id",
                            {"p50_latency_s": 0.5, "p95_latency_s": 0.95})

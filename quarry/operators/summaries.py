@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.quantiles import exact_quantiles
+
 
 def r6(c):
     """Round a double aggregate to 6 places (sums of doubles depend on addition order)."""
@@ -23,17 +25,25 @@ def department_salary(df: DataFrame) -> DataFrame:
 
 def department_profile(df: DataFrame) -> DataFrame:
     """Per department: count, mean, exact (interpolated) median, min, max salary, mean rating,
-    first and last hire; sorted by mean salary descending with nulls first."""
-    return (df.groupBy("department")
-              .agg(F.count("employee_id").alias("headcount"),
-                   r6(F.avg("salary")).alias("avg_salary"),
-                   r6(F.median("salary")).alias("median_salary"),
-                   F.min("salary").alias("min_salary"),
-                   F.max("salary").alias("max_salary"),
-                   r6(F.avg("performance_rating")).alias("avg_performance"),
-                   F.min("hire_date").alias("earliest_hire"),
-                   F.max("hire_date").alias("latest_hire"))
-              .orderBy(F.col("avg_salary").desc_nulls_first()))
+    first and last hire; sorted by mean salary descending with nulls first.
+
+    The median is selected by distributed ranking (``quantiles``) rather than ``median()``,
+    which would buffer every salary of a department in the task that finishes the group.
+    """
+    agg = (df.groupBy("department")
+             .agg(F.count("employee_id").alias("headcount"),
+                  r6(F.avg("salary")).alias("avg_salary"),
+                  F.min("salary").alias("min_salary"),
+                  F.max("salary").alias("max_salary"),
+                  r6(F.avg("performance_rating")).alias("avg_performance"),
+                  F.min("hire_date").alias("earliest_hire"),
+                  F.max("hire_date").alias("latest_hire")))
+    med = exact_quantiles(df, ["department"], "salary", "employee_id", {"median_salary": 0.5})
+    med = med.withColumnRenamed("department", "__d")
+    out = agg.join(med, agg["department"].eqNullSafe(med["__d"]), "left").drop("__d")
+    return (out.select("department", "headcount", "avg_salary", "median_salary", "min_salary",
+                       "max_salary", "avg_performance", "earliest_hire", "latest_hire")
+               .orderBy(F.col("avg_salary").desc_nulls_first()))
 
 
 def department_summary(df: DataFrame) -> DataFrame:

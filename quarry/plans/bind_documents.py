@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import WS_CLASS, word_count
 from quarry.operators import documents as dm
+from quarry.operators.joins import broadcast_if_small
 from quarry.operators.partitioning import ensure_parallelism
 from quarry.operators import retrieval as rv
 from quarry.operators import summaries as sm
@@ -101,8 +102,8 @@ SELECT n.name, coalesce(cnt, 0) AS document_count, 'active' AS status
 FROM names n LEFT JOIN (SELECT collection, count(*) AS cnt FROM recs GROUP BY collection) r
   ON n.name = r.collection""")
 def q_collection_stats(spark, sf):
-    recs = chunk_records_df(spark, sf)
-    counts = recs.groupBy("collection").agg(F.count(F.lit(1)).alias("cnt"))
+    per_doc = dm.chunk_counts(docs(spark, sf), "doc_id", "text")
+    counts = per_doc.groupBy("collection").agg(F.sum("total_chunks").alias("cnt"))
     names = spark.createDataFrame([(c,) for c in dm.COLLECTIONS], "name string")
     return (names.join(counts, names["name"] == counts["collection"], "left")
             .select("name", F.coalesce("cnt", F.lit(0)).alias("document_count"),
@@ -211,9 +212,11 @@ def q_retrieve_context(spark, sf):
 
 
 def budgeted_contexts(spark, sf):
-    ctx = retrieve_context_df(spark, sf)
+    # the retrieved set is bounded by (queries × k): broadcast it (size-checked) so the
+    # document table streams past it instead of being shuffled
+    ctx = broadcast_if_small(retrieve_context_df(spark, sf).checkpoint(), 5_000_000)
     words = docs(spark, sf).select(F.col("doc_id").alias("vec_id"), "text", word_count("text").alias("words"))
-    return rv.context_budget(ctx.join(words, "vec_id"), "query_id", "rank", "words", 2048)
+    return rv.context_budget(words.join(ctx, "vec_id"), "query_id", "rank", "words", 2048)
 
 
 BUDGET_CTX_SQL = RETRIEVE_SQL + f""",
