@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.joins import broadcast_if_small
+from quarry.session import reliable_checkpoint
 
 LOOKAHEAD_DAYS = 31
 MAX_CALENDAR_DAYS = 200_000  # ~550 years; far beyond any business date span
@@ -46,7 +47,7 @@ def date_bounds(df: DataFrame, *date_cols: str) -> DataFrame:
 def business_days_between(df: DataFrame, start_col: str, end_col: str, holidays: DataFrame,
                           out_col: str = "business_days") -> DataFrame:
     """Weekdays that are not holidays between two dates, both ends counted, order-free."""
-    cal = build_calendar(date_bounds(df, start_col, end_col), holidays).checkpoint()
+    cal = reliable_checkpoint(build_calendar(date_bounds(df, start_col, end_col), holidays))
     cal = broadcast_if_small(cal, MAX_CALENDAR_DAYS)
     lo = F.least(start_col, end_col)
     hi = F.greatest(start_col, end_col)
@@ -61,7 +62,7 @@ def business_days_between(df: DataFrame, start_col: str, end_col: str, holidays:
 
 def next_business_day(df: DataFrame, date_col: str, holidays: DataFrame) -> DataFrame:
     """Adds ``is_business_day`` and ``next_business_day`` (first business day after the date)."""
-    cal = build_calendar(date_bounds(df, date_col), holidays).checkpoint()
+    cal = reliable_checkpoint(build_calendar(date_bounds(df, date_col), holidays))
     cal = broadcast_if_small(cal, MAX_CALENDAR_DAYS)
     look = cal.select(F.col("d").alias(date_col), F.col("is_bd").alias("is_business_day"),
                       F.col("next_bd").alias("next_business_day"))

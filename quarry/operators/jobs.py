@@ -11,6 +11,7 @@ from quarry.operators import quality as dq
 from quarry.operators import summaries as sm
 from quarry.operators.summaries import r6
 from quarry.sources import sinks as sk
+from quarry.session import reliable_checkpoint
 
 
 def pending_versions(available: DataFrame, applied: DataFrame, key: str = "version") -> DataFrame:
@@ -35,7 +36,7 @@ def hr_job(raw: DataFrame, as_of: str, target_path: str | None, source: str, tar
     The cleaned table is checkpointed once, so validation and load read the same rows and
     a lost executor recomputes nothing upstream. Returns the one-row completion event.
     """
-    cleaned = cl.tenure_years(cl.clean_employees(raw), as_of).checkpoint(eager=True)
+    cleaned = reliable_checkpoint(cl.tenure_years(cl.clean_employees(raw), as_of))
     results = dq.run_suite(cleaned, dq.HR_SUITE, "employees")
     verdict = results.agg(F.bool_and("success").alias("ok"), F.count_if(~F.col("success")).alias("failed"))
     row = verdict.first()  # one row of two numbers

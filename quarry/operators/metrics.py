@@ -169,7 +169,7 @@ def _admit_batches(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Ite
     admitted_times: deque = deque()
     for pdf in batches:
         out = []
-        t = pdf["t"].to_numpy()
+        t = pdf["us"].to_numpy() / 1e6
         lim = pdf["lim"].to_numpy()
         for i in range(len(pdf)):
             now = t[i]
@@ -180,7 +180,8 @@ def _admit_batches(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Ite
             if ok:
                 admitted_times.append(now)
             out.append(ok)
-        yield pd.DataFrame({"request_id": pdf["request_id"], "admitted": out})
+        yield pd.DataFrame({"request_id": pdf["request_id"], "user_id": pdf["user_id"], "role": pdf["role"],
+                            "us": pdf["us"], "admitted": out})
 
 
 def rate_limit_admission(requests: DataFrame, partitions: int | None = None,
@@ -189,13 +190,16 @@ def rate_limit_admission(requests: DataFrame, partitions: int | None = None,
 
     Rows are hash-partitioned by user and sorted by (user, ts, request_id) within
     partitions; the grouped map consumes that order as a stream of Arrow batches, so a
-    user's history is never materialised — only the ≤ limit admitted times are kept.
+    user's history is never materialised — only the ≤ limit admitted times are kept. The
+    request columns travel through the function, so no join back is needed. The decision is
+    inherently sequential per user: a user's requests are decided by one task, in order.
     """
-    spark = requests.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    prepared = (requests.select("request_id", "user_id",
-                                (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"),
-                                role_limit("role", limits).alias("lim"))
-                .repartition(n, "user_id").sortWithinPartitions("user_id", "t", "request_id"))
-    decided = prepared.groupBy("user_id").applyInPandas(_admit_batches, "request_id long, admitted boolean")
-    return requests.select("request_id", "user_id", "ts", "role").join(decided, "request_id")
+    cols = requests.select("request_id", "user_id", "role",
+                           F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+                           role_limit("role", limits).alias("lim"))
+    by_user = cols.repartition(partitions, "user_id") if partitions else cols.repartition("user_id")
+    prepared = by_user.sortWithinPartitions("user_id", "us", "request_id")
+    decided = prepared.groupBy("user_id").applyInPandas(
+        _admit_batches, "request_id long, user_id long, role string, us long, admitted boolean")
+    return decided.select("request_id", "user_id",
+                          F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "role", "admitted")

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import reliable_checkpoint
+
 
 def global_index(df: DataFrame, order_cols: list[str], out_col: str = "row_index") -> DataFrame:
     """0-based position of each row in the total order ``order_cols`` (ties must not occur:
@@ -19,7 +21,7 @@ def global_index(df: DataFrame, order_cols: list[str], out_col: str = "row_index
     ordered = (df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
                .withColumn("__pid", F.spark_partition_id())
                .withColumn("__mid", F.monotonically_increasing_id()))
-    ordered = ordered.checkpoint(eager=True)
+    ordered = reliable_checkpoint(ordered)
     counts = ordered.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))

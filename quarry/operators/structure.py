@@ -74,16 +74,20 @@ def json_get(col: str, path: str, type_name: str, default=None) -> Column:
 
 def json_paths(df: DataFrame, key: str, col: str, max_depth: int = 4) -> DataFrame:
     """(key, path, value) rows for every leaf of a JSON object column; nested objects are
-    expanded level by level up to ``max_depth``; deeper objects stay as JSON text values."""
+    expanded level by level up to ``max_depth``; deeper objects stay as JSON text values.
+
+    Each level is one generator over the previous level's rows (an object entry becomes its
+    children, a leaf stays itself), so the plan grows linearly with the depth.
+    """
     level = df.select(key, F.explode(F.from_json(col, "map<string,string>")).alias("path", "value"))
     for _ in range(max_depth - 1):
-        is_obj = F.col("value").startswith("{")
-        leaf = level.filter(~is_obj | F.col("value").isNull())
-        nested = level.filter(is_obj).select(
-            key, F.col("path").alias("__p"),
-            F.explode(F.from_json("value", "map<string,string>")).alias("__k", "value")
-        ).select(key, F.concat_ws(".", "__p", "__k").alias("path"), "value")
-        level = leaf.unionByName(nested)
+        children = F.transform(F.map_entries(F.from_json("value", "map<string,string>")),
+                               lambda e: F.struct(F.concat_ws(".", F.col("path"), e["key"]).alias("path"),
+                                                  e["value"].alias("value")))
+        itself = F.array(F.struct(F.col("path").alias("path"), F.col("value").alias("value")))
+        is_obj = F.coalesce(F.col("value").startswith("{"), F.lit(False))
+        level = level.select(key, F.explode(F.when(is_obj, children).otherwise(itself)).alias("x")).select(
+            key, "x.path", "x.value")
     return level
 
 

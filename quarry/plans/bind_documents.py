@@ -13,6 +13,7 @@ from quarry.operators import summaries as sm
 from quarry.plans import fixtures as fx
 from quarry.plans.bind_hr import CLEAN_SQL, clean_employees_df
 from quarry.plans.catalog import query
+from quarry.session import reliable_checkpoint
 
 WORDS_SQL = f"list_filter(regexp_split_to_array(text, '{WS_CLASS}+'), lambda w: w <> '')"
 
@@ -214,7 +215,7 @@ def q_retrieve_context(spark, sf):
 def budgeted_contexts(spark, sf):
     # the retrieved set is bounded by (queries × k): broadcast it (size-checked) so the
     # document table streams past it instead of being shuffled
-    ctx = broadcast_if_small(retrieve_context_df(spark, sf).checkpoint(), 5_000_000)
+    ctx = broadcast_if_small(reliable_checkpoint(retrieve_context_df(spark, sf)), 5_000_000)
     words = docs(spark, sf).select(F.col("doc_id").alias("vec_id"), "text", word_count("text").alias("words"))
     return rv.context_budget(words.join(ctx, "vec_id"), "query_id", "rank", "words", 2048)
 

@@ -12,6 +12,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.session import ensure_checkpoint_dir
+
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -132,6 +134,7 @@ _REGISTERED: dict[int, str] = {}
 
 def register(spark: SparkSession, sf_dir: str) -> None:
     """Register the base parquet tables of ``sf_dir`` and every fixture view as temp views."""
+    ensure_checkpoint_dir(spark)
     # results depend on the session clock zone (windows, date casts): pin it to UTC
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -54,6 +54,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def reliable_checkpoint(df):
+    """Materialise ``df`` into the shared checkpoint folder and cut its lineage (a lost
+    executor re-reads the files instead of recomputing upstream stages)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)

@@ -33,16 +33,20 @@ def read_csv_nulls(spark: SparkSession, path: str, tokens=None, date_format: str
     text = raw.select([_null_tokens(c, tokens).alias(c) for c in cols])
     if schema is not None:
         return text.select([text[f.name].try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    # cheap necessary-condition patterns run first, so the parsers (which signal failure by
+    # exceptions) only see values that can plausibly parse
+    maybe_number = r"^\s*[+-]?(\d|\.\d|[Ii][Nn][Ff]|[Nn][Aa][Nn])"
+    date_shape = r"^\d{4}-\d{1,2}-\d{1,2}$"
     checks = []
     for c in cols:
         v = F.col(c)
         nn = v.isNotNull()
+        num = nn & v.rlike(maybe_number)
         checks += [
             F.count_if(nn).alias(f"{c}__n"),
-            F.count_if(nn & v.try_cast("bigint").isNotNull()).alias(f"{c}__long"),
-            F.count_if(nn & v.try_cast("double").isNotNull()).alias(f"{c}__double"),
-            F.count_if(nn & F.try_to_date(v, date_format).isNotNull()
-                       & v.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$")).alias(f"{c}__date"),
+            F.count_if(num & v.try_cast("bigint").isNotNull()).alias(f"{c}__long"),
+            F.count_if(num & v.try_cast("double").isNotNull()).alias(f"{c}__double"),
+            F.count_if(nn & v.rlike(date_shape) & F.try_to_date(v, date_format).isNotNull()).alias(f"{c}__date"),
         ]
     stats = text.agg(*checks).first().asDict()  # one row of counts: bounded by column count
     out = []
