@@ -41,7 +41,7 @@ def email_valid(c, pattern: str = EMAIL_STRICT) -> Column:
 
 
 def phone_digits(c) -> Column:
-    return F.length(F.regexp_replace(_c(c), r"\D", ""))
+    return F.length(F.regexp_replace(_c(c), r"\D", "")).cast("long")
 
 
 def phone_valid(phone, country) -> Column:

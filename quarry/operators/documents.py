@@ -56,8 +56,9 @@ def chunk_text(df: DataFrame, text_col: str, keep: list[str], size: int = CHUNK_
         return F.transform(chunk_starts(F.size(w), size, overlap),
                            lambda s: F.array_join(F.slice(w, s + 1, size), " "))
     chunks = df.select(*keep, F.transform(F.array(word_array(text_col)), chunks_of)[0].alias("__chunks"))
-    return chunks.select(*keep, F.size("__chunks").alias("total_chunks"),
-                         F.posexplode("__chunks").alias("chunk_index", "chunk_text"))
+    return chunks.select(*keep, F.size("__chunks").cast("long").alias("total_chunks"),
+                         F.posexplode("__chunks").alias("__i", "chunk_text")).select(
+        *keep, "total_chunks", F.col("__i").cast("long").alias("chunk_index"), "chunk_text")
 
 
 def doc_type(text: Column) -> Column:
@@ -66,8 +67,8 @@ def doc_type(text: Column) -> Column:
 
 def doc_metadata(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     t = F.col(text_col)
-    return df.select(*keep, F.size(word_array(t)).alias("word_count"),
-                     F.length(t).alias("char_count"), doc_type(t).alias("document_type"))
+    return df.select(*keep, F.size(word_array(t)).cast("long").alias("word_count"),
+                     F.length(t).cast("long").alias("char_count"), doc_type(t).alias("document_type"))
 
 
 def collection_for(type_col: Column) -> Column:
@@ -98,8 +99,9 @@ def chunk_records(docs: DataFrame, id_col: str, text_col: str, filename: Column,
             F.size(w).alias("wc"), chunks_of(w).alias("chunks")))[0].alias("__x"),
         F.length(t).alias("char_count"), doc_type(t).alias("document_type"))
     exploded = per_doc.select(
-        "*", F.size("__x.chunks").alias("total_chunks"),
-        F.posexplode("__x.chunks").alias("chunk_index", "chunk_text")).withColumn("word_count", F.col("__x.wc"))
+        "*", F.size("__x.chunks").cast("long").alias("total_chunks"),
+        F.posexplode("__x.chunks").alias("__i", "chunk_text")).withColumns(
+        {"word_count": F.col("__x.wc").cast("long"), "chunk_index": F.col("__i").cast("long")})
     base_map = F.create_map(
         F.lit("filename"), F.col("filename"),
         F.lit("word_count"), F.col("word_count").cast("string"),
@@ -161,8 +163,9 @@ def hashing_encoder(dim: int = 64, key: str = "text_hash", text_col: str = "text
 def token_stream(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, token, index, total) per whitespace token of the whole text."""
     w = df.select(id_col, word_array(text_col).alias("__w"))
-    return w.select(id_col, F.size("__w").alias("total"),
-                    F.posexplode("__w").alias("index", "token"))
+    return w.select(id_col, F.size("__w").cast("long").alias("total"),
+                    F.posexplode("__w").alias("__i", "token")).select(
+        id_col, "total", F.col("__i").cast("long").alias("index"), "token")
 
 
 def keyword_search(docs: DataFrame, id_col: str, text_col: str, keywords: list[str],

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.summaries import r6
+from quarry.operators.summaries import r2, r6
 
 
 def quarter_index(year_col, quarter_col):
@@ -33,7 +33,7 @@ def budget_variance(budgets: DataFrame) -> DataFrame:
 def cost_per_employee(expenses: DataFrame) -> DataFrame:
     """Per fiscal quarter: total expense, distinct spending employees, cost per employee."""
     return (expenses.groupBy("fiscal_year", "fiscal_quarter")
-            .agg(r6(F.sum("amount")).alias("total_expense"),
+            .agg(r2(F.sum("amount")).alias("total_expense"),
                  F.count_distinct("employee_id").alias("employees"))
             .withColumn("cost_per_employee",
                         r6(F.try_divide(F.col("total_expense"), F.col("employees")))))
@@ -53,8 +53,8 @@ def financial_report(revenue: DataFrame, expenses: DataFrame) -> DataFrame:
     joined = rev.join(exp, ["fiscal_year", "fiscal_quarter"], "full_outer")
     return joined.select(
         "fiscal_year", "fiscal_quarter",
-        r6(F.col("revenue")).alias("revenue"), r6(F.col("expenses")).alias("expenses"),
-        r6(F.coalesce("revenue", F.lit(0.0)) - F.coalesce("expenses", F.lit(0.0))).alias("net_income"))
+        r2(F.col("revenue")).alias("revenue"), r2(F.col("expenses")).alias("expenses"),
+        r2(F.coalesce("revenue", F.lit(0.0)) - F.coalesce("expenses", F.lit(0.0))).alias("net_income"))
 
 
 def expense_share(expenses: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def expense_share(expenses: DataFrame) -> DataFrame:
     per_cat = expenses.groupBy("category").agg(F.sum("amount").alias("total"))
     w_all = Window.partitionBy()
     return per_cat.select(
-        "category", r6(F.col("total")).alias("total_amount"),
+        "category", r2(F.col("total")).alias("total_amount"),
         r6(F.col("total") / F.sum("total").over(w_all) * 100).alias("share_percent"),
         F.dense_rank().over(Window.orderBy(F.col("total").desc())).alias("rank"))
 
@@ -74,8 +74,8 @@ def expense_qoq(expenses: DataFrame) -> DataFrame:
     w = Window.orderBy(quarter_index("fiscal_year", "fiscal_quarter"))
     prev = F.lag("total").over(w)
     return per_q.select(
-        "fiscal_year", "fiscal_quarter", r6(F.col("total")).alias("total_amount"),
-        r6(F.col("total") - prev).alias("change"),
+        "fiscal_year", "fiscal_quarter", r2(F.col("total")).alias("total_amount"),
+        r2(F.col("total") - prev).alias("change"),
         r6(F.try_divide(F.col("total") - prev, prev) * 100).alias("change_percent"))
 
 
@@ -101,7 +101,7 @@ def revenue_yoy(revenue: DataFrame, stream_col: str = "stream") -> DataFrame:
         stream_col,
         F.floor(F.col("qi") / 4).cast("int").alias("fiscal_year"),
         (F.col("qi") % 4 + 1).cast("int").alias("fiscal_quarter"),
-        r6(F.col("amount")).alias("revenue"),
+        r2(F.col("amount")).alias("revenue"),
         r6(F.try_divide(F.col("amount") - last_year, last_year) * 100).alias("yoy_percent"),
         r6(F.try_divide(F.col("amount"), F.sum("amount").over(w_q)) * 100).alias("share_percent"))
 
@@ -118,9 +118,9 @@ def revenue_projection(revenue: DataFrame) -> DataFrame:
         F.avg("growth").alias("mean_growth")).select(
         F.floor(F.col("last_qi") / 4).cast("int").alias("last_year"),
         (F.col("last_qi") % 4 + 1).cast("int").alias("last_quarter"),
-        r6(F.col("last_revenue")).alias("last_revenue"),
+        r2(F.col("last_revenue")).alias("last_revenue"),
         r6(F.col("mean_growth")).alias("mean_growth"),
-        r6(F.col("last_revenue") * (1 + F.col("mean_growth"))).alias("projected_revenue"))
+        r2(F.col("last_revenue") * (1 + F.col("mean_growth"))).alias("projected_revenue"))
 
 
 def latest_month(expenses: DataFrame, date_col: str = "expense_date") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarry.operators import cleaning as cl
 from quarry.operators import quality as dq
 from quarry.operators import summaries as sm
-from quarry.operators.summaries import r6
+from quarry.operators.summaries import r2, r6
 from quarry.sources import sinks as sk
 from quarry.session import reliable_checkpoint
 
@@ -50,7 +50,7 @@ def hr_job(raw: DataFrame, as_of: str, target_path: str | None, source: str, tar
         [(source, target, int(n), bool(row["ok"]), int(row["failed"]), loaded, as_of)],
         "source string, target string, records_processed bigint, validation_success boolean, "
         "failed_expectations int, loaded boolean, timestamp string",
-    ).withColumn("timestamp", F.to_timestamp("timestamp"))
+    ).withColumn("timestamp", F.to_timestamp_ntz("timestamp"))
 
 
 def daily_job(employees: DataFrame, expenses: DataFrame, as_of: str) -> DataFrame:
@@ -61,7 +61,7 @@ def daily_job(employees: DataFrame, expenses: DataFrame, as_of: str) -> DataFram
                                         F.count(F.lit(1)).alias("departments"))
     fin = sm.expense_summary(exp).agg(F.sum("transaction_count").alias("expenses"),
                                       F.count(F.lit(1)).alias("categories"),
-                                      r6(F.sum("total_amount")).alias("total_amount"))
+                                      r2(F.sum("total_amount")).alias("total_amount"))
     # two one-row aggregates combined by scalar subqueries (no join needed)
     out = hr.select("employees", "departments", fin.select("expenses").scalar().alias("expenses"),
                     fin.select("categories").scalar().alias("categories"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.summaries import r6
+from quarry.operators.summaries import r2, r6
 
 DEFAULT_BROADCAST_ROWS = 1_000_000
 
@@ -39,7 +39,7 @@ def expense_by_department(expenses: DataFrame, departments: DataFrame,
     emps = employees.select("employee_id", F.lit(True).alias("known_employee")).dropDuplicates(["employee_id"])
     joined = pairs.join(depts, "department_id", "inner").join(emps, "employee_id", "left")
     return (joined.groupBy("department_name")
-            .agg(r6(F.sum("amount")).alias("total_amount"),
+            .agg(r2(F.sum("amount")).alias("total_amount"),
                  F.sum("n").alias("expense_count"),
                  F.coalesce(F.sum(F.when(F.col("known_employee").isNull(), F.col("n"))), F.lit(0))
                  .alias("unknown_employee_rows")))

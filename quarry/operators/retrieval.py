@@ -85,7 +85,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, *, qid: str =
     keys = ["__part", "__qc", "__blk"]
     cand = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(_score_block(k, dim), schema)
     w = Window.partitionBy("__part", "qid").orderBy("distance", "cid")
-    ranked = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = cand.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
     return ranked.select(F.col("qid").alias(qid), F.col("__part").alias("part"),
                          F.col("cid").alias(cid), "rank", "distance",
                          (F.lit(1.0) - F.col("distance")).alias("relevance"))
@@ -133,6 +133,6 @@ def build_prompts(queries: DataFrame, contexts: DataFrame, qid: str, query_col:
     with_ctx = F.concat(F.lit(pre), ctx_text, F.lit(mid), F.col(query_col), F.lit(tail))
     npre, ntail = PROMPT_NO_CONTEXT.split("{query}")
     no_ctx = F.concat(F.lit(npre), F.col(query_col), F.lit(ntail))
-    n = F.coalesce(F.size("__c"), F.lit(0))
+    n = F.coalesce(F.size("__c"), F.lit(0)).cast("long")
     return joined.select(qid, n.alias("n_context"),
                          F.when(n > 0, with_ctx).otherwise(no_ctx).alias("prompt"))

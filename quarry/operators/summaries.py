@@ -14,6 +14,12 @@ def r6(c):
     return F.round(c, 6)
 
 
+def r2(c):
+    """Round a money total to cents: large sums keep ~16 significant digits, so their 6th
+    decimal depends on the addition order; the cent does not."""
+    return F.round(c, 2)
+
+
 def department_salary(df: DataFrame) -> DataFrame:
     """Active employees per department: mean salary, headcount (non-null ids), mean rating."""
     return (df.filter(F.col("status") == "active")
@@ -51,12 +57,12 @@ def department_summary(df: DataFrame) -> DataFrame:
               .agg(F.count("employee_id").alias("headcount"),
                    r6(F.avg("salary")).alias("avg_salary"),
                    r6(F.avg("tenure_years")).alias("avg_tenure"),
-                   r6(F.sum("salary")).alias("total_payroll")))
+                   r2(F.sum("salary")).alias("total_payroll")))
 
 
 def expense_summary(df: DataFrame) -> DataFrame:
     return (df.groupBy("category")
-              .agg(r6(F.sum("amount")).alias("total_amount"),
+              .agg(r2(F.sum("amount")).alias("total_amount"),
                    r6(F.avg("amount")).alias("avg_amount"),
                    F.count("expense_id").alias("transaction_count"))
               .orderBy(F.col("total_amount").desc_nulls_first()))

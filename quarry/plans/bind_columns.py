@@ -82,7 +82,7 @@ def q_text_fingerprint(spark, sf):
     return (docs.withColumn("fingerprint", content_hash("norm", "sha256"))
             .groupBy("fingerprint")
             .agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc_id"),
-                 F.max(F.length("norm")).alias("norm_chars")))
+                 F.max(F.length("norm")).cast("long").alias("norm_chars")))
 
 
 @query("html_sanitise")
@@ -169,10 +169,10 @@ def q_next_business_day(spark, sf):
 
 
 @query("age_years", fx.cte("employees_raw") + f"""SELECT employee_id, birth_date,
-  year(DATE '{fx.AS_OF}') - year(birth_date)
+  CAST(year(DATE '{fx.AS_OF}') - year(birth_date)
    - CASE WHEN month(DATE '{fx.AS_OF}') < month(birth_date)
             OR (month(DATE '{fx.AS_OF}') = month(birth_date) AND day(DATE '{fx.AS_OF}') < day(birth_date))
-          THEN 1 ELSE 0 END AS age
+          THEN 1 ELSE 0 END AS INTEGER) AS age
 FROM employees_raw""")
 def q_age(spark, sf):
     return fx.table(spark, sf, "employees_raw").select(

@@ -222,8 +222,8 @@ def budgeted_contexts(spark, sf):
 
 BUDGET_CTX_SQL = RETRIEVE_SQL + f""",
 wc AS (SELECT *, sum(len({WORDS_SQL.replace('text', 'ctx.text')})) OVER (PARTITION BY query_id ORDER BY rank
-       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_words FROM ctx),
-kept AS (SELECT * FROM wc WHERE cum_words <= 2048)
+       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_words_h FROM ctx),
+kept AS (SELECT *, CAST(cum_words_h AS BIGINT) AS cum_words FROM wc WHERE cum_words_h <= 2048)
 """
 
 

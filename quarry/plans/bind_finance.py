@@ -49,7 +49,7 @@ def q_budget_util(spark, sf):
     return budgets_clean(spark, sf)
 
 
-@query("expense_summary", EXP_CLEAN_SQL + """SELECT category, round(sum(amount), 6) AS total_amount,
+@query("expense_summary", EXP_CLEAN_SQL + """SELECT category, round(sum(amount), 2) AS total_amount,
   round(avg(amount), 6) AS avg_amount, count(expense_id) AS transaction_count
 FROM exp_clean GROUP BY category""")
 def q_expense_summary(spark, sf):
@@ -70,8 +70,8 @@ def q_budget_variance(spark, sf):
 
 
 @query("cost_per_employee", EXP_CLEAN_SQL + """SELECT fiscal_year, fiscal_quarter,
-  round(sum(amount), 6) AS total_expense, count(DISTINCT employee_id) AS employees,
-  round(round(sum(amount), 6) / count(DISTINCT employee_id), 6) AS cost_per_employee
+  round(sum(amount), 2) AS total_expense, count(DISTINCT employee_id) AS employees,
+  round(round(sum(amount), 2) / count(DISTINCT employee_id), 6) AS cost_per_employee
 FROM exp_clean GROUP BY fiscal_year, fiscal_quarter""")
 def q_cost_per_employee(spark, sf):
     return fn.cost_per_employee(expenses_clean(spark, sf))
@@ -84,14 +84,14 @@ rev AS (SELECT CAST(year(revenue_date) AS INTEGER) AS fiscal_year,
 ex AS (SELECT fiscal_year, fiscal_quarter, sum(amount) AS expenses FROM exp_clean GROUP BY ALL)
 SELECT coalesce(rev.fiscal_year, ex.fiscal_year) AS fiscal_year,
   coalesce(rev.fiscal_quarter, ex.fiscal_quarter) AS fiscal_quarter,
-  round(revenue, 6) AS revenue, round(expenses, 6) AS expenses,
-  round(coalesce(revenue, 0) - coalesce(expenses, 0), 6) AS net_income
+  round(revenue, 2) AS revenue, round(expenses, 2) AS expenses,
+  round(coalesce(revenue, 0) - coalesce(expenses, 0), 2) AS net_income
 FROM rev FULL OUTER JOIN ex ON rev.fiscal_year = ex.fiscal_year AND rev.fiscal_quarter = ex.fiscal_quarter""")
 def q_financial_report(spark, sf):
     return fn.financial_report(fx.table(spark, sf, "revenue"), expenses_clean(spark, sf))
 
 
-@query("expense_share", EXP_CLEAN_SQL + """SELECT category, round(total, 6) AS total_amount,
+@query("expense_share", EXP_CLEAN_SQL + """SELECT category, round(total, 2) AS total_amount,
   round(total / sum(total) OVER () * 100, 6) AS share_percent,
   CAST(dense_rank() OVER (ORDER BY total DESC) AS INTEGER) AS rank
 FROM (SELECT category, sum(amount) AS total FROM exp_clean GROUP BY category)""")
@@ -100,8 +100,8 @@ def q_expense_share(spark, sf):
 
 
 @query("expense_qoq", EXP_CLEAN_SQL + """SELECT fiscal_year, fiscal_quarter,
-  round(total, 6) AS total_amount,
-  round(total - lag(total) OVER w, 6) AS change,
+  round(total, 2) AS total_amount,
+  round(total - lag(total) OVER w, 2) AS change,
   round((total - lag(total) OVER w) / NULLIF(lag(total) OVER w, 0) * 100, 6) AS change_percent
 FROM (SELECT fiscal_year, fiscal_quarter, sum(amount) AS total FROM exp_clean GROUP BY ALL)
 WINDOW w AS (ORDER BY fiscal_year * 4 + fiscal_quarter - 1)""")
@@ -116,7 +116,7 @@ axis AS (SELECT stream, unnest(range(min(qi), max(qi) + 1)) AS qi FROM per GROUP
 dense AS (SELECT a.stream, a.qi, coalesce(p.amount, 0.0) AS amount
           FROM axis a LEFT JOIN per p ON a.stream = p.stream AND a.qi = p.qi)
 SELECT stream, CAST(floor(qi / 4) AS INTEGER) AS fiscal_year, CAST(qi % 4 + 1 AS INTEGER) AS fiscal_quarter,
-  round(amount, 6) AS revenue,
+  round(amount, 2) AS revenue,
   round((amount - lag(amount, 4) OVER w) / NULLIF(lag(amount, 4) OVER w, 0) * 100, 6) AS yoy_percent,
   round(amount / NULLIF(sum(amount) OVER (PARTITION BY qi), 0) * 100, 6) AS share_percent
 FROM dense WINDOW w AS (PARTITION BY stream ORDER BY qi)""")
@@ -129,13 +129,13 @@ per AS (SELECT year(revenue_date) * 4 + quarter(revenue_date) - 1 AS qi, sum(amo
         FROM revenue GROUP BY ALL),
 g AS (SELECT qi, revenue, revenue / NULLIF(lag(revenue) OVER (ORDER BY qi), 0) - 1 AS growth FROM per)
 SELECT CAST(floor(max(qi) / 4) AS INTEGER) AS last_year, CAST(max(qi) % 4 + 1 AS INTEGER) AS last_quarter,
-  round(arg_max(revenue, qi), 6) AS last_revenue, round(avg(growth), 6) AS mean_growth,
-  round(arg_max(revenue, qi) * (1 + avg(growth)), 6) AS projected_revenue FROM g""")
+  round(arg_max(revenue, qi), 2) AS last_revenue, round(avg(growth), 6) AS mean_growth,
+  round(arg_max(revenue, qi) * (1 + avg(growth)), 2) AS projected_revenue FROM g""")
 def q_revenue_projection(spark, sf):
     return fn.revenue_projection(fx.table(spark, sf, "revenue"))
 
 
-@query("expense_month", EXP_CLEAN_SQL + """SELECT category, round(sum(amount), 6) AS total_amount,
+@query("expense_month", EXP_CLEAN_SQL + """SELECT category, round(sum(amount), 2) AS total_amount,
   round(avg(amount), 6) AS avg_amount, count(expense_id) AS transaction_count
 FROM exp_clean WHERE date_trunc('month', expense_date) =
   (SELECT max(date_trunc('month', expense_date)) FROM exp_clean) GROUP BY category""")
@@ -150,8 +150,8 @@ def q_approved(spark, sf):
 
 @query("expense_by_department", EXP_CLEAN_SQL[:-1] + ",\n" + CLEAN_SQL[5:-1] + ",\n"
        + fx.cte("departments")[5:] + """SELECT d.department_name,
-  round(sum(e.amount), 6) AS total_amount, count(e.expense_id) AS expense_count,
-  count_if(c.employee_id IS NULL) AS unknown_employee_rows
+  round(sum(e.amount), 2) AS total_amount, count(e.expense_id) AS expense_count,
+  CAST(count_if(c.employee_id IS NULL) AS BIGINT) AS unknown_employee_rows
 FROM exp_clean e JOIN departments d ON e.department_id = d.department_id
 LEFT JOIN clean c ON e.employee_id = c.employee_id GROUP BY d.department_name""")
 def q_expense_by_dept(spark, sf):

@@ -135,7 +135,7 @@ def q_dept_profile(spark, sf):
 
 @query("dept_summary", CLEAN_SQL + """SELECT department, count(employee_id) AS headcount,
   round(avg(salary), 6) AS avg_salary, round(avg(tenure_years), 6) AS avg_tenure,
-  round(sum(salary), 6) AS total_payroll
+  round(sum(salary), 2) AS total_payroll
 FROM tenure GROUP BY department""")
 def q_dept_summary(spark, sf):
     return sm.department_summary(employees_with_tenure(spark, sf))
@@ -150,10 +150,10 @@ def q_dept_point(spark, sf):
 
 
 @query("table_counts", CLEAN_SQL + """SELECT count(*) AS row_count,
-  count_if(NOT coalesce(contains(email, '@'), false)) AS bad_email,
-  count_if(salary IS NULL) AS null_salary,
-  count_if(hire_date IS NULL) AS null_hire_date,
-  count_if(status = 'active') AS active
+  CAST(count_if(NOT coalesce(contains(email, '@'), false)) AS BIGINT) AS bad_email,
+  CAST(count_if(salary IS NULL) AS BIGINT) AS null_salary,
+  CAST(count_if(hire_date IS NULL) AS BIGINT) AS null_hire_date,
+  CAST(count_if(status = 'active') AS BIGINT) AS active
 FROM emp_std""")
 def q_table_counts(spark, sf):
     df = employees_raw(spark, sf).withColumns(cl.employee_columns())

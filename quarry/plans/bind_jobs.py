@@ -32,8 +32,8 @@ def q_pending(spark, sf):
 
 @query("version_status", """WITH s AS (SELECT CAST(n_nationkey AS BIGINT) AS version, n_name AS name,
   CASE WHEN n_nationkey < 18 THEN 'applied' ELSE 'pending' END AS status FROM nation)
-SELECT *, count_if(status = 'applied') OVER () AS total_applied,
-  count_if(status = 'pending') OVER () AS total_pending FROM s""")
+SELECT *, CAST(count_if(status = 'applied') OVER () AS BIGINT) AS total_applied,
+  CAST(count_if(status = 'pending') OVER () AS BIGINT) AS total_pending FROM s""")
 def q_version_status(spark, sf):
     return jobs.version_status(*versions(spark, sf))
 
@@ -54,8 +54,8 @@ def q_hr_job(spark, sf):
          e.employees, e.departments, f.expenses, f.categories) AS summary
 FROM (SELECT CAST(sum(headcount) AS BIGINT) AS employees, count(*) AS departments
       FROM (SELECT department, count(employee_id) AS headcount FROM tenure GROUP BY department)) e,
-     (SELECT CAST(sum(n) AS BIGINT) AS expenses, count(*) AS categories, round(sum(t), 6) AS total_amount
-      FROM (SELECT category, count(expense_id) AS n, round(sum(amount), 6) AS t FROM exp_clean GROUP BY category)) f""")
+     (SELECT CAST(sum(n) AS BIGINT) AS expenses, count(*) AS categories, round(sum(t), 2) AS total_amount
+      FROM (SELECT category, count(expense_id) AS n, round(sum(amount), 2) AS t FROM exp_clean GROUP BY category)) f""")
 def q_daily_job(spark, sf):
     return jobs.daily_job(fx.table(spark, sf, "employees_raw"), fx.table(spark, sf, "expenses_raw"), fx.AS_OF)
 

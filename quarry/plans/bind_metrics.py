@@ -26,7 +26,7 @@ def q_request_rate(spark, sf):
 
 
 @query("error_ratio", WIN_SQL + """SELECT window_start, window_end,
-  count_if(status BETWEEN 500 AND 599) AS errors, count(*) AS requests,
+  CAST(count_if(status BETWEEN 500 AND 599) AS BIGINT) AS errors, count(*) AS requests,
   round(count_if(status BETWEEN 500 AND 599) / count(*), 6) AS error_ratio FROM win GROUP BY ALL""")
 def q_error_ratio(spark, sf):
     return mt.error_ratio(requests(spark, sf))

@@ -62,7 +62,8 @@ def q_dq_suite(spark, sf):
 
 
 @query("dq_unique", """SELECT 'documents' AS table_name, 'text' AS column_name,
-  CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS duplicate_rows, count_if(n > 1) AS duplicated_values
+  CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS duplicate_rows,
+  CAST(count_if(n > 1) AS BIGINT) AS duplicated_values
 FROM (SELECT count(*) AS n FROM documents GROUP BY text)""")
 def q_dq_unique(spark, sf):
     return dq.duplicate_report(fx.table(spark, sf, "documents"), "text", "documents")
@@ -76,9 +77,9 @@ def q_schema_check(spark, sf):
 @query("business_rules", CLEAN_SQL + f"""SELECT * FROM (
   SELECT 'non_positive_salary' AS rule, 'error' AS level, CAST(count_if(salary <= 0) AS BIGINT) AS violations FROM clean
   UNION ALL SELECT 'invalid_rating', 'error',
-    count_if(performance_rating < 1.0 OR performance_rating > 5.0) FROM clean
-  UNION ALL SELECT 'invalid_email', 'error', count_if(NOT regexp_matches(email, '{STRICT}')) FROM clean
-  UNION ALL SELECT 'future_hire', 'warning', count_if(hire_date > DATE '{fx.AS_OF}') FROM clean)""")
+    CAST(count_if(performance_rating < 1.0 OR performance_rating > 5.0) AS BIGINT) FROM clean
+  UNION ALL SELECT 'invalid_email', 'error', CAST(count_if(NOT regexp_matches(email, '{STRICT}')) AS BIGINT) FROM clean
+  UNION ALL SELECT 'future_hire', 'warning', CAST(count_if(hire_date > DATE '{fx.AS_OF}') AS BIGINT) FROM clean)""")
 def q_business_rules(spark, sf):
     return dq.business_rules(clean_employees_df(spark, sf), fx.AS_OF)
 
@@ -127,7 +128,8 @@ CONSTRAINTS = [
 ]
 
 
-@query("constraint_check", CLEAN_SQL[:-1] + ",\n" + EXP_CLEAN_SQL[5:] + """SELECT *, violations = 0 AS satisfied FROM (
+@query("constraint_check", CLEAN_SQL[:-1] + ",\n" + EXP_CLEAN_SQL[5:] + """SELECT constraint_name, kind, table_name, column_name, CAST(violations AS BIGINT) AS violations,
+  violations = 0 AS satisfied FROM (
 SELECT 'employees_pk' AS constraint_name, 'pk' AS kind, 'employees' AS table_name, 'employee_id' AS column_name,
   CAST((SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM emp_std WHERE employee_id IS NOT NULL
         GROUP BY employee_id) WHERE n > 1) + (SELECT count_if(employee_id IS NULL) FROM emp_std) AS BIGINT) AS violations

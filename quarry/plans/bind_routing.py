@@ -51,10 +51,10 @@ def q_intent(spark, sf):
     return rt.intent(q, "query").select("query_id", "route", "intent")
 
 
-@query("answer_confidence", f"""SELECT conv_id, turn, round(greatest(0.0, least(1.0,
+@query("answer_confidence", f"""SELECT conv_id, turn, round(CAST(greatest(0.0, least(1.0,
   0.5 + CASE WHEN length(text) > 100 THEN 0.2 ELSE 0.0 END
       + CASE WHEN {_contains_any_sql('lower(text)', rt.REPORT_WORDS)} THEN 0.15 ELSE 0.0 END
-      + CASE WHEN {_contains_any_sql('lower(text)', rt.ERROR_WORDS)} THEN -0.3 ELSE 0.0 END)), 6) AS confidence
+      + CASE WHEN {_contains_any_sql('lower(text)', rt.ERROR_WORDS)} THEN -0.3 ELSE 0.0 END)) AS DOUBLE), 6) AS confidence
 FROM conversations WHERE role = 'assistant'""")
 def q_confidence(spark, sf):
     conv = fx.table(spark, sf, "conversations").filter(F.col("role") == "assistant")

@@ -84,8 +84,8 @@ def q_multi_extract(spark, sf):
 
 
 @query("read_any_dispatch", fx.cte("employees_raw") + """
-SELECT 'csv' AS fmt, count(*) AS row_count, sum(employee_id) AS id_sum FROM employees_raw
-UNION ALL SELECT 'parquet', count(*), sum(employee_id) FROM employees_raw""")
+SELECT 'csv' AS fmt, count(*) AS row_count, CAST(sum(employee_id) AS BIGINT) AS id_sum FROM employees_raw
+UNION ALL SELECT 'parquet', count(*), CAST(sum(employee_id) AS BIGINT) FROM employees_raw""")
 def q_read_any(spark, sf):
     csv_path = _write_employees_csv(spark, sf)
     pq_path = scratch_path(spark, "employees_any") + ".parquet"
@@ -137,7 +137,7 @@ def q_upsert(spark, sf):
     coalesce(CAST(CAST(total_payroll AS DECIMAL(18,2)) AS VARCHAR), '')) AS line
 FROM (SELECT department, count(employee_id) AS headcount,
   round(avg(salary), 6) AS avg_salary, round(avg(tenure_years), 6) AS avg_tenure,
-  round(sum(salary), 6) AS total_payroll FROM tenure GROUP BY department)""")
+  round(sum(salary), 2) AS total_payroll FROM tenure GROUP BY department)""")
 def q_summary_docs(spark, sf):
     return sk.summary_to_docs(sm.department_summary(employees_with_tenure(spark, sf)),
                               order_by=["department"])

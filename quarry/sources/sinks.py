@@ -65,4 +65,4 @@ def run_summary(df: DataFrame, source: str, target: str, as_of: str) -> DataFram
     return spark.createDataFrame(
         [(source, target, int(n), as_of)],
         "source string, target string, records_processed bigint, timestamp string",
-    ).withColumn("timestamp", F.to_timestamp("timestamp"))
+    ).withColumn("timestamp", F.to_timestamp_ntz("timestamp"))
