@@ -10,21 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.partitioning import DEFAULT_BROADCAST_ROWS, broadcast_if_small  # noqa: F401
 from quarry.operators.summaries import r2, r6
 
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when it provably has at most ``max_rows`` rows.
-
-    The bound is checked with a limited count (reads at most ``max_rows + 1`` rows), so the
-    check itself stays cheap on a large table.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def expense_by_department(expenses: DataFrame, departments: DataFrame,
                           employees: DataFrame) -> DataFrame:
     """Expenses with their department (FK) and employee (FK, kept when missing).

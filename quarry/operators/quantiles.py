@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.ordering import global_index
+from quarry.operators.partitioning import broadcast_if_small
 
 
 def r6(c):
@@ -30,11 +31,18 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, tie_co
                  (F.col("first") + F.ceil(F.lit(p) * (F.col("n") - 1))).alias("hi"),
                  (F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1))).alias("frac"))
         for name, p in probs.items()])).alias("t")).select(*group_cols, "t.*")
-    vals = ordered.select("pos", value_col)
-    lo = vals.select(F.col("pos").alias("lo"), F.col(value_col).alias("v_lo"))
-    hi = vals.select(F.col("pos").alias("hi"), F.col(value_col).alias("v_hi"))
-    joined = targets.join(lo, "lo").join(hi, "hi")
-    q = joined.select(*group_cols, "q", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("v"))
+    # the wanted positions (2 per group and quantile) are few: broadcast them (size-checked)
+    # and let the sorted rows stream past, instead of shuffling the rows to the targets
+    wanted = targets.select(*group_cols, "q", "frac", F.explode(F.array(
+        F.struct(F.col("lo").alias("pos"), F.lit(0).alias("side")),
+        F.struct(F.col("hi").alias("pos"), F.lit(1).alias("side")))).alias("w")).select(
+        *group_cols, "q", "frac", "w.pos", "w.side")
+    hits = ordered.select("pos", F.col(value_col).alias("__v")).join(
+        broadcast_if_small(wanted, 5_000_000), "pos")
+    ends = hits.groupBy(*group_cols, "q", "frac").agg(
+        F.max(F.when(F.col("side") == 0, F.col("__v"))).alias("v_lo"),
+        F.max(F.when(F.col("side") == 1, F.col("__v"))).alias("v_hi"))
+    q = ends.select(*group_cols, "q", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("v"))
     # one row per (group, quantile): pivot back to one row per group
     return q.groupBy(*group_cols).agg(*[r6(F.max(F.when(F.col("q") == name, F.col("v")))).alias(name)
                                         for name in probs])
