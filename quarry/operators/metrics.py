@@ -197,7 +197,10 @@ def rate_limit_admission(requests: DataFrame, partitions: int | None = None,
     cols = requests.select("request_id", "user_id", "role",
                            F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
                            role_limit("role", limits).alias("lim"))
-    by_user = cols.repartition(partitions, "user_id") if partitions else cols.repartition("user_id")
+    # an explicit partition count: AQE would otherwise coalesce this shuffle into a few
+    # tasks, and the per-user Python pass is the CPU-heavy part of the job
+    n = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_user = cols.repartition(n, "user_id")
     prepared = by_user.sortWithinPartitions("user_id", "us", "request_id")
     decided = prepared.groupBy("user_id").applyInPandas(
         _admit_batches, "request_id long, user_id long, role string, us long, admitted boolean")
