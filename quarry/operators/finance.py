@@ -24,7 +24,7 @@ def budget_variance(budgets: DataFrame) -> DataFrame:
             .agg(r6(F.sum("budget_amount")).alias("total_budget"),
                  r6(F.sum("allocated_amount")).alias("total_allocated"),
                  r6(F.sum("spent_amount")).alias("total_spent"),
-                 F.grouping("department").alias("is_total"))
+                 F.grouping("department").cast("int").alias("is_total"))
             .withColumn("utilization_percent",
                         F.round(F.try_divide(F.col("total_allocated"), F.col("total_budget")) * 100, 2))
             .withColumn("variance", r6(F.col("total_budget") - F.col("total_spent"))))

@@ -63,10 +63,7 @@ def q_expense_summary(spark, sf):
   round(sum(budget_amount) - sum(spent_amount), 6) AS variance
 FROM budgets GROUP BY ROLLUP (department)""")
 def q_budget_variance(spark, sf):
-    out = fn.budget_variance(budgets_clean(spark, sf))
-    return out.withColumn("is_total", F.col("is_total").cast("int")).withColumn(
-        "utilization_percent",
-        F.round(F.try_divide(F.col("total_allocated"), F.col("total_budget")) * 100, 2))
+    return fn.budget_variance(budgets_clean(spark, sf))
 
 
 @query("cost_per_employee", EXP_CLEAN_SQL + """SELECT fiscal_year, fiscal_quarter,

@@ -42,12 +42,12 @@ def q_csv_nulls(spark, sf):
 
 
 @query("csv_scan_plain", fx.cte("employees_raw") + """SELECT CAST(employee_id AS INTEGER) AS employee_id,
-  first_name, last_name, email, department, salary, performance_rating, hire_date, status, birth_date
+  first_name, last_name, email, department, NULLIF(salary, '') AS salary, performance_rating, hire_date,
+  status, birth_date
 FROM employees_raw""")
 def q_csv_plain(spark, sf):
-    # Spark's inference keeps surrounding blanks and reads "" as null
-    df = rd.read_csv_plain(spark, _write_employees_csv(spark, sf))
-    return df.withColumn("salary", F.when(F.col("salary").isNull(), F.lit("")).otherwise(F.col("salary")))
+    # plain read: Spark's own inference; an empty field is null, blanks around values are kept
+    return rd.read_csv_plain(spark, _write_employees_csv(spark, sf))
 
 
 @query("parquet_scan", fx.cte("employees_raw") + """SELECT employee_id, email, salary
@@ -87,15 +87,14 @@ def q_multi_extract(spark, sf):
 SELECT 'csv' AS fmt, count(*) AS row_count, CAST(sum(employee_id) AS BIGINT) AS id_sum FROM employees_raw
 UNION ALL SELECT 'parquet', count(*), CAST(sum(employee_id) AS BIGINT) FROM employees_raw""")
 def q_read_any(spark, sf):
-    csv_path = _write_employees_csv(spark, sf)
-    pq_path = scratch_path(spark, "employees_any") + ".parquet"
+    base = scratch_path(spark, "employees_any")
+    csv_path, pq_path = os.path.join(base, "employees.csv"), os.path.join(base, "employees.parquet")
+    sk.write_csv(fx.table(spark, sf, "employees_raw"), csv_path)
     sk.write_landing(fx.table(spark, sf, "employees_raw"), pq_path)
     parts = []
-    for fmt, p in [("csv", csv_path + "/part-*.csv"), ("parquet", pq_path)]:
-        src = csv_path if fmt == "csv" else p
-        df = rd.read_csv_nulls(spark, src) if fmt == "csv" else rd.read_any(spark, p)
-        parts.append(df.agg(F.count(F.lit(1)).alias("row_count"),
-                            F.sum("employee_id").alias("id_sum"))
+    for fmt, path in [("csv", csv_path), ("parquet", pq_path)]:
+        df = rd.read_any(spark, path)  # reader chosen by the extension
+        parts.append(df.agg(F.count(F.lit(1)).alias("row_count"), F.sum("employee_id").alias("id_sum"))
                      .select(F.lit(fmt).alias("fmt"), "row_count", "id_sum"))
     return parts[0].unionByName(parts[1])
 
