@@ -145,10 +145,25 @@ def liveness_gaps(events: DataFrame, source_col: str, ts_col: str = "ts",
 
 
 def sliding_requests(requests: DataFrame, seconds: int = 60) -> DataFrame:
-    """Requests by the same user in the preceding ``seconds`` (inclusive of the row)."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("user_id").orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)
-    return requests.select("request_id", "user_id", "ts", F.count(F.lit(1)).over(w).alias("requests_60s"))
+    """Requests by the same user in the preceding ``seconds`` (inclusive of the row).
+
+    A window partitioned by user alone would put a hot user's whole history into one task.
+    The frame only reaches back ``seconds``, so the timeline is cut into buckets of that
+    length: each row is a target in its own bucket and a context copy in the next one, and
+    the range frame runs per (user, bucket) — every partition holds at most two buckets of
+    one user's rows, and the counts are exact.
+    """
+    span = seconds * 1_000_000
+    base = requests.select("request_id", "user_id", "ts",
+                           F.unix_micros(F.col("ts").cast("timestamp")).alias("__us"))
+    bucket = F.floor(F.col("__us") / F.lit(span)).cast("long")
+    tagged = base.select("*", F.explode(F.array(
+        F.struct(bucket.alias("b"), F.lit(True).alias("target")),
+        F.struct((bucket + 1).alias("b"), F.lit(False).alias("target")))).alias("__t")).select(
+        "request_id", "user_id", "ts", "__us", "__t.b", "__t.target")
+    w = Window.partitionBy("user_id", "b").orderBy("__us").rangeBetween(-span, 0)
+    counted = tagged.withColumn("requests_60s", F.count(F.lit(1)).over(w))
+    return counted.filter("target").select("request_id", "user_id", "ts", "requests_60s")
 
 
 # Requests per 60 s by role; unknown roles get the "user" limit.

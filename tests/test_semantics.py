@@ -146,3 +146,18 @@ def test_tumbling_stream_equals_batch_on_closed_windows(spark, sf_dir):
              .filter(F.col("w.end") <= F.lit(max_ts) - F.expr("INTERVAL 10 MINUTES")))
     expect = {(r["w"]["start"], r["event_type"]): r["count"] for r in batch.collect()}
     assert got == expect and len(got) > 0
+
+
+def test_sliding_requests_bucketed_matches_python(spark):
+    from quarry.operators import metrics
+    random.seed(11)
+    rows = []
+    for i in range(1500):
+        user = 0 if i % 2 else random.randint(1, 20)  # user 0 is hot
+        t = random.choice([0, 59.999999, 60.0, 120.0]) if i % 7 == 0 else random.uniform(0, 600)
+        rows.append((i, user, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=round(t, 6))))
+    df = spark.createDataFrame(rows, "request_id long, user_id long, ts timestamp_ntz")
+    got = {r["request_id"]: r["requests_60s"] for r in metrics.sliding_requests(df).collect()}
+    for rid, u, ts in rows:
+        n = sum(1 for _, u2, ts2 in rows if u2 == u and ts - dt.timedelta(seconds=60) <= ts2 <= ts)
+        assert got[rid] == n
