@@ -149,18 +149,17 @@ def q_run_summary(spark, sf):
                           f"{fx.AS_OF} 00:00:00")
 
 
-DOCS_OLD = "SELECT * FROM documents WHERE doc_id % 5 <> 0"
-DOCS_NEW = "SELECT * FROM documents WHERE doc_id % 5 <= 1"
-
-
-@query("doc_insert_absent", f"""WITH old AS ({DOCS_OLD}), new AS ({DOCS_NEW})
+@query("doc_insert_absent", """WITH old AS (SELECT d.* FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM labels)),
+new AS (SELECT d.* FROM documents d WHERE d.doc_id IN (SELECT vec_id FROM embeddings))
 SELECT doc_id, text, lang, source, n_chars FROM old
 UNION ALL SELECT doc_id, text, lang, source, n_chars FROM new
 WHERE doc_id NOT IN (SELECT doc_id FROM old)""")
 def q_insert_absent(spark, sf):
+    """The store holds the labelled documents; a batch of embedded documents is added,
+    existing ids keep their stored row."""
     docs = fx.table(spark, sf, "documents")
-    old = docs.filter(F.col("doc_id") % 5 != 0)
-    new = docs.filter(F.col("doc_id") % 5 <= 1)
+    old = docs.join(fx.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    new = docs.join(fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
     return keyed.insert_if_absent(old, new, ["doc_id"])
 
 
