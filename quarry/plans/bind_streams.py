@@ -1,7 +1,7 @@
 """Streaming bindings: A13-A15, I5, I10. The event table is landed as parquet files (one
 folder per day) in the shared folder, then replayed as a file stream until no data is left.
-The replays take all landed files in one micro-batch, so event-time order across batches
-does not matter for the watermark and the rate-limit state."""
+Watermarks bound how far out of order rows may arrive; what is still above the final
+watermark (the last open window, the last 10 minutes of requests) stays buffered in state."""
 
 from __future__ import annotations
 

@@ -85,33 +85,57 @@ def tumbling_counts(events: DataFrame, ts_col: str = "ts", key_col: str = "event
                     key_col, "events", "value_sum"))
 
 
-STATE_SCHEMA = "times array<double>"
+STATE_SCHEMA = ("times array<double>, "
+                "pending array<struct<request_id:bigint,t:double,lim:int>>")
 OUT_SCHEMA = "request_id long, user_id long, admitted boolean"
 
 
 def _admit_state(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    times = list(state.get[0]) if state.exists else []
-    frames = [p for p in pdfs]
-    if not frames:
-        return
-    pdf = pd.concat(frames).sort_values(["t", "request_id"], kind="stable")  # one micro-batch of one user
-    out = []
-    for t, lim in zip(pdf["t"].to_numpy(), pdf["lim"].to_numpy()):
-        start = t - WINDOW_SECONDS
-        times = [x for x in times if x >= start]
+    """Per user: buffer requests until the watermark has passed them, then decide them in
+    (time, id) order. Rows behind the watermark are dropped by Spark as late, so every
+    request that can still arrive is newer than everything already decided. State: the
+    admitted times of the last window (≤ limit) and the requests still above the watermark."""
+    if state.exists:
+        times = [float(x) for x in (state.get[0] or [])]
+        pending = [(int(r[0]), float(r[1]), int(r[2])) for r in (state.get[1] or [])]
+    else:
+        times, pending = [], []
+    if not state.hasTimedOut:
+        for pdf in pdfs:
+            pending.extend(zip(pdf["request_id"].astype("int64").tolist(), pdf["t"].astype(float).tolist(),
+                               pdf["lim"].astype("int64").tolist()))
+    wm = state.getCurrentWatermarkMs() / 1000.0
+    pending.sort(key=lambda r: (r[1], r[0]))
+    ready = [r for r in pending if r[1] <= wm]
+    pending = [r for r in pending if r[1] > wm]
+    out_ids, out_ok = [], []
+    for rid, t, lim in ready:
+        times = [x for x in times if x >= t - WINDOW_SECONDS]
         ok = len(times) < lim
         if ok:
-            times.append(float(t))
-        out.append(ok)
-    state.update((times,))
-    yield pd.DataFrame({"request_id": pdf["request_id"].to_numpy(), "user_id": key[0], "admitted": out})
-
-
-def stream_rate_limit(requests_stream: DataFrame, limits: dict | None = None) -> DataFrame:
-    """Rate-limit admission as a stateful stream; input must arrive in event-time order
-    across micro-batches (e.g. time-ordered files, one per trigger)."""
-    prepared = requests_stream.select(
-        "request_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"),
-        role_limit("role", limits).alias("lim"))
+            times.append(t)
+        out_ids.append(rid)
+        out_ok.append(ok)
+    times = [x for x in times if x >= wm - WINDOW_SECONDS]
+    if pending or times:
+        state.update((times, pending))
+        wake = pending[0][1] if pending else wm + WINDOW_SECONDS
+        state.setTimeoutTimestamp(int(wake * 1000) + 1)
+    elif state.exists:
+        state.remove()
+    if out_ids:
+        yield pd.DataFrame({"request_id": out_ids, "user_id": [key[0]] * len(out_ids), "admitted": out_ok})
+
+
+def stream_rate_limit(requests_stream: DataFrame, limits: dict | None = None,
+                      delay: str = "10 minutes") -> DataFrame:
+    """Rate-limit admission as a stateful stream with event-time ordering: requests may arrive
+    out of order by up to ``delay``; each is decided once the watermark has passed it, in
+    time order, against the admitted times of its user's last window. Requests newer than
+    the final watermark stay buffered until later data moves the watermark on."""
+    ev = requests_stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    prepared = ev.select(
+        "ts", "request_id", "user_id", (F.unix_micros("ts") / 1e6).alias("t"),
+        role_limit("role", limits).cast("int").alias("lim"))
     return prepared.groupBy("user_id").applyInPandasWithState(
-        _admit_state, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        _admit_state, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
