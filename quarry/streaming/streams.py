@@ -9,6 +9,7 @@ restarted job (or a lost executor) resumes from committed offsets and state.
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -109,14 +110,16 @@ def _admit_state(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFr
     ready = [r for r in pending if r[1] <= wm]
     pending = [r for r in pending if r[1] > wm]
     out_ids, out_ok = [], []
+    window = deque(times)
     for rid, t, lim in ready:
-        times = [x for x in times if x >= t - WINDOW_SECONDS]
-        ok = len(times) < lim
+        while window and window[0] < t - WINDOW_SECONDS:
+            window.popleft()
+        ok = len(window) < lim
         if ok:
-            times.append(t)
+            window.append(t)
         out_ids.append(rid)
         out_ok.append(ok)
-    times = [x for x in times if x >= wm - WINDOW_SECONDS]
+    times = [x for x in window if x >= wm - WINDOW_SECONDS]
     if pending or times:
         state.update((times, pending))
         wake = pending[0][1] if pending else wm + WINDOW_SECONDS
