@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from quarry.operators import metrics as mt
 from quarry.plans import fixtures as fx
