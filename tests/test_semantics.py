@@ -161,3 +161,44 @@ def test_sliding_requests_bucketed_matches_python(spark):
     for rid, u, ts in rows:
         n = sum(1 for _, u2, ts2 in rows if u2 == u and ts - dt.timedelta(seconds=60) <= ts2 <= ts)
         assert got[rid] == n
+
+
+def test_shrink_types_keeps_values(spark):
+    df = spark.createDataFrame([(1, 300, 70000, 2 ** 40, "x")], "a long, b long, c long, d long, s string")
+    out = structure.shrink_types(df, persist=False)
+    assert [f.dataType.simpleString() for f in out.schema.fields] == ["tinyint", "smallint", "int", "bigint", "string"]
+    assert tuple(out.first()) == (1, 300, 70000, 2 ** 40, "x")
+
+
+def test_flatten_nested_json(spark):
+    df = spark.createDataFrame([(1, '{"a": 1, "m": {"x": "u", "y": {"z": 2.5}}}'), (2, '{"a": 3}')],
+                               "id long, j string")
+    out = structure.flatten_json(df, "j", keep=["id"])
+    assert out.columns == ["id", "a", "m.x", "m.y.z"]
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1, "u", 2.5), (2, 3, None, None)]
+
+
+def test_hashing_encoder_unit_norm(spark):
+    from quarry.operators import documents as dm
+    df = spark.createDataFrame([("h1", "a b c a"), ("h2", "zz")], "text_hash string, text string")
+    vecs = {r["text_hash"]: r["embedding"] for r in dm.hashing_encoder(16)(df).collect()}
+    for v in vecs.values():
+        assert len(v) == 16 and abs(sum(x * x for x in v) - 1.0) < 1e-5
+
+
+def test_gate_enforce_raises_on_failure(spark):
+    import pytest
+    bad = spark.createDataFrame([("t1", 0, "PASSED"), ("t2", 2, "FAILED")],
+                                "table_name string, failed_checks int, status string")
+    with pytest.raises(ValueError, match="t2"):
+        dq.enforce(bad)
+    dq.enforce(bad.filter("status = 'PASSED'"))
+
+
+def test_foreach_batch_sink(spark):
+    path = os.path.join(scratch_path(spark, "feb-test"), "in")
+    spark.range(0, 50).write.parquet(path)
+    seen = []
+    src = streams.file_stream(spark, path, spark.read.parquet(path).schema)
+    streams.run_foreach_batch(src, "feb-test-run", lambda df, epoch: seen.append(df.count()))
+    assert sum(seen) == 50
