@@ -9,6 +9,7 @@ from collections import deque
 from collections.abc import Iterator
 from typing import Any, Tuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -178,23 +179,40 @@ def role_limit(role_col: str = "role", limits: dict | None = None):
     return F.coalesce(F.element_at(m, F.col(role_col)), F.lit(limits[DEFAULT_ROLE]))
 
 
+def decide_admissions(window: deque, t: np.ndarray, lim: np.ndarray) -> np.ndarray:
+    """Admit requests at times ``t`` (ascending) one after another against ``window``, the
+    admitted times of the last ``WINDOW_SECONDS`` (updated in place); rejected requests do
+    not count. Fast path: when even counting every request (admitted or not) no row's window
+    reaches its limit, all are admitted — two binary searches instead of the per-row loop."""
+    n = len(t)
+    if n == 0:
+        return np.zeros(0, dtype=bool)
+    prev = np.fromiter(window, dtype=np.float64, count=len(window))
+    lo = t - WINDOW_SECONDS
+    in_prev = len(prev) - np.searchsorted(prev, lo, side="left")
+    in_batch = np.arange(n) - np.searchsorted(t, lo, side="left") + 1
+    if np.all(in_prev + in_batch <= lim):
+        window.extend(t.tolist())
+        while window and window[0] < t[-1] - WINDOW_SECONDS:
+            window.popleft()
+        return np.ones(n, dtype=bool)
+    out = np.zeros(n, dtype=bool)
+    for i in range(n):
+        now = t[i]
+        while window and window[0] < now - WINDOW_SECONDS:
+            window.popleft()
+        if len(window) < lim[i]:
+            window.append(now)
+            out[i] = True
+    return out
+
+
 def _admit_batches(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sequential admission for one user; rows arrive ordered by (ts, request_id) in Arrow
     batches, state is the deque of admitted times in the last window (≤ limit entries)."""
-    admitted_times: deque = deque()
+    window: deque = deque()
     for pdf in batches:
-        out = []
-        t = pdf["us"].to_numpy() / 1e6
-        lim = pdf["lim"].to_numpy()
-        for i in range(len(pdf)):
-            now = t[i]
-            start = now - WINDOW_SECONDS
-            while admitted_times and admitted_times[0] < start:
-                admitted_times.popleft()
-            ok = len(admitted_times) < lim[i]
-            if ok:
-                admitted_times.append(now)
-            out.append(ok)
+        out = decide_admissions(window, pdf["us"].to_numpy() / 1e6, pdf["lim"].to_numpy())
         yield pd.DataFrame({"request_id": pdf["request_id"], "user_id": pdf["user_id"], "role": pdf["role"],
                             "us": pdf["us"], "admitted": out})
 

@@ -12,13 +12,14 @@ import os
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from quarry.operators.metrics import WINDOW_SECONDS, role_limit
+from quarry.operators.metrics import WINDOW_SECONDS, decide_admissions, role_limit
 from quarry.session import scratch_path
 
 
@@ -86,8 +87,7 @@ def tumbling_counts(events: DataFrame, ts_col: str = "ts", key_col: str = "event
                     key_col, "events", "value_sum"))
 
 
-STATE_SCHEMA = ("times array<double>, "
-                "pending array<struct<request_id:bigint,t:double,lim:int>>")
+STATE_SCHEMA = "times array<double>, p_id array<bigint>, p_t array<double>, p_lim array<int>"
 OUT_SCHEMA = "request_id long, user_id long, admitted boolean"
 
 
@@ -95,39 +95,40 @@ def _admit_state(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFr
     """Per user: buffer requests until the watermark has passed them, then decide them in
     (time, id) order. Rows behind the watermark are dropped by Spark as late, so every
     request that can still arrive is newer than everything already decided. State: the
-    admitted times of the last window (≤ limit) and the requests still above the watermark."""
+    admitted times of the last window (≤ limit) and the requests still above the watermark,
+    kept as parallel arrays."""
     if state.exists:
-        times = [float(x) for x in (state.get[0] or [])]
-        pending = [(int(r[0]), float(r[1]), int(r[2])) for r in (state.get[1] or [])]
+        times, p_id, p_t, p_lim = state.get
+        window = deque(float(x) for x in (times or []))
+        ids = [np.asarray(p_id or [], dtype=np.int64)]
+        ts = [np.asarray(p_t or [], dtype=np.float64)]
+        lims = [np.asarray(p_lim or [], dtype=np.int64)]
     else:
-        times, pending = [], []
+        window, ids, ts, lims = deque(), [], [], []
     if not state.hasTimedOut:
         for pdf in pdfs:
-            pending.extend(zip(pdf["request_id"].astype("int64").tolist(), pdf["t"].astype(float).tolist(),
-                               pdf["lim"].astype("int64").tolist()))
+            ids.append(pdf["request_id"].to_numpy(dtype=np.int64))
+            ts.append(pdf["t"].to_numpy(dtype=np.float64))
+            lims.append(pdf["lim"].to_numpy(dtype=np.int64))
+    ids = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64)
+    ts = np.concatenate(ts) if ts else np.zeros(0)
+    lims = np.concatenate(lims) if lims else np.zeros(0, dtype=np.int64)
+    order = np.lexsort((ids, ts))
+    ids, ts, lims = ids[order], ts[order], lims[order]
     wm = state.getCurrentWatermarkMs() / 1000.0
-    pending.sort(key=lambda r: (r[1], r[0]))
-    ready = [r for r in pending if r[1] <= wm]
-    pending = [r for r in pending if r[1] > wm]
-    out_ids, out_ok = [], []
-    window = deque(times)
-    for rid, t, lim in ready:
-        while window and window[0] < t - WINDOW_SECONDS:
-            window.popleft()
-        ok = len(window) < lim
-        if ok:
-            window.append(t)
-        out_ids.append(rid)
-        out_ok.append(ok)
-    times = [x for x in window if x >= wm - WINDOW_SECONDS]
-    if pending or times:
-        state.update((times, pending))
-        wake = pending[0][1] if pending else wm + WINDOW_SECONDS
+    ready = ts <= wm
+    decided = decide_admissions(window, ts[ready], lims[ready])
+    keep = ~ready
+    times = [float(x) for x in window if x >= wm - WINDOW_SECONDS]
+    if keep.any() or times:
+        state.update((times, ids[keep].tolist(), ts[keep].tolist(), lims[keep].astype(int).tolist()))
+        wake = float(ts[keep][0]) if keep.any() else wm + WINDOW_SECONDS
         state.setTimeoutTimestamp(int(wake * 1000) + 1)
     elif state.exists:
         state.remove()
-    if out_ids:
-        yield pd.DataFrame({"request_id": out_ids, "user_id": [key[0]] * len(out_ids), "admitted": out_ok})
+    if ready.any():
+        yield pd.DataFrame({"request_id": ids[ready], "user_id": np.full(int(ready.sum()), key[0]),
+                            "admitted": decided})
 
 
 def stream_rate_limit(requests_stream: DataFrame, limits: dict | None = None,
