@@ -71,7 +71,10 @@ def q_multi_extract(spark, sf):
         view = {"employees": "employees_raw", "expenses": "expenses_raw"}.get(name, name)
         path = os.path.join(base, f"{name}.{kind}")
         df = fx.table(spark, sf, view)
-        sk.write_csv(df, path) if kind == "csv" else sk.write_landing(df, path)
+        if kind == "csv":
+            sk.write_csv(df, path)
+        else:
+            sk.write_landing(df, path)
         sources[name] = path
     sources["revenue"] = os.path.join(base, "revenue.csv")  # declared but absent: skipped
     tables = rd.extract_tables(spark, sources)
