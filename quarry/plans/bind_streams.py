@@ -1,5 +1,6 @@
-"""Streaming bindings: A13-A15, I5, I10. The event table is landed as parquet files (one
-folder per day) in the shared folder, then replayed as a file stream until no data is left.
+"""Streaming bindings: A13-A15, I5, I10. The event table is landed as parquet files in the
+shared folder, then replayed as a file stream until no data is left; the stateful replays
+read consecutive time slices one per micro-batch.
 Watermarks bound how far out of order rows may arrive; what is still above the final
 watermark (the last open window, the last 10 minutes of requests) stays buffered in state."""
 
@@ -18,13 +19,28 @@ from quarry.streaming import streams as st
 
 
 def land_events(spark, sf, view="events"):
-    """Write the table partitioned by day so a file stream sees days in order."""
+    """Land the table as parquet partitioned by day (one write job)."""
     path = os.path.join(scratch_path(spark, "landing"), view)
     df = fx.table(spark, sf, view).withColumn("day", F.to_date(F.col("ts").cast("timestamp")))
     df.repartition("day").write.mode("overwrite").partitionBy("day").parquet(path)
     return path, fx.table(spark, sf, view).schema
 
 
+def land_in_time_order(spark, sf, view="events", pieces=4):
+    """Land the table as ``pieces`` consecutive time slices appended one after another, so a
+    file stream reading one file per trigger sees event time advance batch by batch: the
+    watermark moves on and state only holds the rows of the open slice plus the delay."""
+    path = os.path.join(scratch_path(spark, "landing-ordered"), view)
+    df = fx.table(spark, sf, view)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = df.agg(F.min(us), F.max(us)).first()  # two numbers
+    width = (hi - lo) // pieces + 1
+    for i in range(pieces):
+        part = df.filter((us >= lo + i * width) & (us < lo + (i + 1) * width))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path, df.schema
+
+
 @query("stream_ingest", "SELECT * FROM events")
 def q_stream_ingest(spark, sf):
     path, schema = land_events(spark, sf)
@@ -53,8 +69,8 @@ def q_event_encode(spark, sf):
 SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type, events, round(value_sum, 6) AS value_sum
 FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
 def q_stream_tumbling(spark, sf):
-    path, schema = land_events(spark, sf)
-    stream = st.file_stream(spark, path, schema)
+    path, schema = land_in_time_order(spark, sf)
+    stream = st.file_stream(spark, path, schema, max_files_per_trigger=1)
     out = st.run_to_sink(st.tumbling_counts(stream), "tumbling")
     res = spark.read.parquet(out)
     return res.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
@@ -64,7 +80,7 @@ def q_stream_tumbling(spark, sf):
 
 @query("stream_rate_limit")
 def q_stream_rate_limit(spark, sf):
-    path, schema = land_events(spark, sf, "requests")
-    stream = st.file_stream(spark, path, schema)
+    path, schema = land_in_time_order(spark, sf, "requests")
+    stream = st.file_stream(spark, path, schema, max_files_per_trigger=1)
     out = st.run_to_sink(st.stream_rate_limit(stream), "ratelimit")
     return spark.read.parquet(out)
