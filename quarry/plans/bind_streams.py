@@ -26,14 +26,19 @@ def land_events(spark, sf, view="events"):
     return path, fx.table(spark, sf, view).schema
 
 
-def land_in_time_order(spark, sf, view="events", pieces=4):
-    """Land the table as ``pieces`` consecutive time slices appended one after another, so a
-    file stream reading one file per trigger sees event time advance batch by batch: the
-    watermark moves on and state only holds the rows of the open slice plus the delay."""
+ROWS_PER_TRIGGER = 25_000
+
+
+def land_in_time_order(spark, sf, view="events", rows_per_trigger=ROWS_PER_TRIGGER):
+    """Land the table as consecutive time slices (about ``rows_per_trigger`` rows each, at
+    least two) appended one after another, so a file stream reading one file per trigger sees
+    event time advance batch by batch: the watermark moves on and state only holds the rows
+    of the open slice plus the delay."""
     path = os.path.join(scratch_path(spark, "landing-ordered"), view)
     df = fx.table(spark, sf, view)
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    lo, hi = df.agg(F.min(us), F.max(us)).first()  # two numbers
+    lo, hi, n = df.agg(F.min(us), F.max(us), F.count(F.lit(1))).first()  # three numbers
+    pieces = max(2, -(-n // rows_per_trigger))
     width = (hi - lo) // pieces + 1
     for i in range(pieces):
         part = df.filter((us >= lo + i * width) & (us < lo + (i + 1) * width))
