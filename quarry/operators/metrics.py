@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.joins import broadcast_if_small
 from quarry.operators.quantiles import exact_quantiles
 from quarry.operators.summaries import r6
 
@@ -112,7 +111,8 @@ def metric_table(requests: DataFrame, gauge_col: str = "duration_s") -> DataFram
 
 def alert_breaches(metrics: DataFrame) -> DataFrame:
     spark = metrics.sparkSession
-    rules = broadcast_if_small(spark.createDataFrame(ALERT_RULES, "metric string, op string, limit double"), 1000)
+    # the rule table is the fixed list above: its size is known without counting
+    rules = F.broadcast(spark.createDataFrame(ALERT_RULES, "metric string, op string, limit double"))
     j = metrics.join(rules, "metric")
     breach = F.when(F.col("op") == ">", F.col("value") > F.col("limit")).otherwise(F.col("value") < F.col("limit"))
     return j.filter(breach).select("window_start", "metric", "value", "limit")
