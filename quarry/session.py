@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -67,3 +69,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per Spark application. Where the
+    workers inherit a ``PYTHONPATH`` that holds it there is nothing to do; else it is added to
+    the application's files, as ``spark-submit --py-files`` would."""
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    inherited = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in inherited or getattr(sc, "_quarry_shipped", False):
+        return
+    name = os.path.join(tempfile.mkdtemp(prefix="quarry-ship-"), "quarry.zip")
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(os.path.join(root, "quarry")):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, root))
+    before = list(sys.path)
+    sc.addPyFile(name)
+    sys.path[:] = before  # the driver goes on with the modules it has
+    sc._quarry_shipped = True
