@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, packing, secret_scan, simhash, toxicity
+from quarry.llm import decontaminate, packing, secret_scan, shard_table, simhash, token_count, toxicity, url_filter
 from quarry.session import ship_package
 
 QUERIES: dict = {}
@@ -98,3 +98,64 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (toxicity.fold("doc_id") == 0).alias("held_out"), "score",
                          F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def _fits(host: str, path: str) -> str:
+    return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}'))"
+
+
+def _op1_sql() -> str:
+    by_length = sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
+    rule = "CASE " + " ".join(f"WHEN {_fits(h, p)} THEN '{h + p}'" for h, p, _ in by_length) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {_fits(h, p)} THEN '{v}'" for h, p, v in by_length) + " END"
+    lo, hi = url_filter.STRENGTH
+
+    def strength(level: str) -> str:
+        return (f"(SELECT CASE WHEN g = 0 OR fr = 0 THEN {lo} WHEN sp <= g THEN {hi} "
+                f"ELSE least({hi}, greatest({lo}, (1 - (sp - g) / fr) / ((sp - g) / fr))) END FROM (SELECT count(*) AS g, "
+                f"coalesce(sum(n - 1), 0) AS fr, sum(n * power(k / n - mu, 2) / greatest(mu * (1 - mu), 1e-6)) AS sp FROM {level} WHERE n > 0))")
+    second = ", ".join(f"'{x}'" for x in url_filter.SECOND_LEVEL)
+    return f"""
+WITH u AS (SELECT page_id,
+  translate(coalesce(regexp_extract(url, '(?s)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '(?s)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT *, {rule} AS rule, {verdict} AS ruled FROM u),
+h0 AS (SELECT host, string_split(host, '.') AS l, count(ruled) AS n, count(*) FILTER (ruled = 'block') AS k FROM r GROUP BY host),
+h1 AS (SELECT host, n, k, array_to_string(l[greatest(1, len(l) - CASE WHEN len(l) >= 3 AND length(l[len(l)]) = 2
+  AND l[len(l) - 1] IN ({second}) THEN 2 ELSE 1 END):], '.') AS domain FROM h0),
+h2 AS (SELECT *, CASE WHEN strpos(domain, '.') > 0 THEN substr(domain, strpos(domain, '.') + 1) ELSE domain END AS suffix FROM h1),
+tot AS (SELECT (coalesce(sum(k), 0) + 0.5::double) / (coalesce(sum(n), 0) + 1) AS mu FROM h2),
+s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(mu) AS mu FROM h2, tot GROUP BY suffix),
+s1 AS (SELECT suffix, (k + st * mu) / (n + st) AS mean FROM s0, (SELECT {strength('s0')} AS st)),
+d0 AS (SELECT domain, sum(n) AS n, sum(k) AS k, any_value(mean) AS mu FROM h2 JOIN s1 USING (suffix) GROUP BY domain, suffix),
+d1 AS (SELECT domain, (k + st * mu) / (n + st) AS mean FROM d0, (SELECT {strength('d0')} AS st)),
+e0 AS (SELECT host, n, k, mean AS mu FROM h2 JOIN d1 USING (domain)),
+e1 AS (SELECT host, n, k + st * mu AS a, n - k + st * (1 - mu) AS b FROM e0, (SELECT {strength('e0')} AS st)),
+e2 AS (SELECT host, n AS n_outcomes, round(a / (a + b), 6) AS bad_mean,
+  round(a / (a + b) - {url_filter.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 6) AS bad_bound FROM e1)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN bad_bound > {url_filter.BLOCK_ABOVE} THEN 'block' ELSE 'allow' END) AS verdict,
+  CAST(n_outcomes AS bigint) AS n_outcomes, bad_mean, bad_bound FROM r JOIN e2 USING (host)
+"""
+
+
+@query("op1_url_filter", _op1_sql())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
+SHARDS = [f"shard-{i:04d}" for i in range(256)]
+
+
+@query("op6_shard_table")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_table.place(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARDS)
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_count.count_tokens(docs, tokenizer_path("piece_bpe_32k.model")).drop("text")
