@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, packing, secret_scan, shard_table, simhash, token_count, toxicity, url_filter
+from quarry.llm import decontaminate, multi_index, packing, secret_scan, shard_table, simhash, token_count, toxicity, url_filter
 from quarry.session import ship_package
 
 QUERIES: dict = {}
@@ -159,3 +159,22 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_count.count_tokens(docs, tokenizer_path("piece_bpe_32k.model")).drop("text")
+
+
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS double[]) AS e FROM embeddings),
+ok AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+       AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS u, b.vec_id AS w FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+         WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+walk(u, w) AS (SELECT vec_id, vec_id FROM v UNION SELECT walk.u, link.w FROM walk JOIN link ON link.u = walk.w),
+comp AS (SELECT u AS vec_id, min(w) AS component_id FROM walk GROUP BY u),
+deg AS (SELECT u AS vec_id, count(*) AS n FROM link GROUP BY u)
+SELECT v.vec_id, CAST(coalesce(deg.n, 0) AS bigint) AS n_links, comp.component_id, v.vec_id = comp.component_id AS kept
+FROM v JOIN comp USING (vec_id) LEFT JOIN deg USING (vec_id)
+"""
+
+
+@query("op4_embedding_near_dedup", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
