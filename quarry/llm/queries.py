@@ -8,7 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, multi_index, packing, secret_scan, shard_table, simhash, token_count, toxicity, url_filter
+from quarry.llm import (decontaminate, html_wrappers, multi_index, packing, secret_scan, shard_table, simhash, token_count,
+                        toxicity, url_filter)
 from quarry.session import ship_package
 
 QUERIES: dict = {}
@@ -178,3 +179,9 @@ FROM v JOIN comp USING (vec_id) LEFT JOIN deg USING (vec_id)
 @query("op4_embedding_near_dedup", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query("op8_html_extraction")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_wrappers.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
