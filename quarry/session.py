@@ -66,6 +66,7 @@ def reliable_checkpoint(df):
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
+    ship_package(spark)
     import uuid
 
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
