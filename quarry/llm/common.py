@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quarry.session import scratch_path
+from quarry.session import scratch_path, ship_package
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -32,23 +32,25 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def empty_like(spark, ddl: str) -> DataFrame:
-    return spark.createDataFrame([], ddl)
+def shielded(df: DataFrame) -> DataFrame:
+    """``df`` with plain column names, by position: names with dots do not pass through Python."""
+    return df.toDF(*[f"__own_{i}" for i in range(len(df.columns))])
 
 
 def add_columns(df: DataFrame, fields: list[T.StructField], rows: Callable, needs: list[str]) -> DataFrame:
     """Append ``fields`` to every row of ``df``. ``rows(*columns)`` runs inside the tasks on the
     Python lists of the needed columns of one Arrow batch and gives one list per field; the other
     columns pass through untouched. Columns of the same names are replaced."""
+    ship_package(df.sparkSession)
     base = without(df, [f.name for f in fields])
-    schema = T.StructType(list(base.schema.fields) + fields)
+    own, at = shielded(base), [base.columns.index(n) for n in needs]
+    schema = T.StructType(list(own.schema.fields) + fields)
     added = to_arrow_schema(T.StructType(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = rows(*[b.column(b.schema.get_field_index(n)).to_pylist() for n in needs])
+            cols = rows(*[b.column(i).to_pylist() for i in at])
             arrays = list(b.columns) + [pa.array(c, type=f.type) for c, f in zip(cols, added)]
-            names = list(b.schema.names) + [f.name for f in added]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return own.mapInArrow(run, schema).toDF(*base.columns, *[f.name for f in fields])

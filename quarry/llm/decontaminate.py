@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quarry.llm.common import materialise, quoted, without
+from quarry.llm.common import materialise, quoted, shielded, without
+from quarry.session import ship_package
 
 WINDOW = 13
 BLOCK_CHARS = 1_000_000
@@ -131,19 +132,19 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, doc_text: str = "text", ite
     are each reported; with an empty test set nothing is hit. Columns of ``docs`` that carry one
     of the five names are replaced, all others are kept.
     """
+    ship_package(docs.sparkSession)
     base = without(docs, [f.name for f in FIELDS])
-    own = T.StructType(FIELDS)
-    schema = T.StructType(list(base.schema.fields) + FIELDS)
-    arrow = to_arrow_schema(own)
+    own, at = shielded(base), base.columns.index(doc_text)
+    schema = T.StructType(list(own.schema.fields) + FIELDS)
+    arrow = to_arrow_schema(T.StructType(FIELDS))
     n_base = len(base.columns)
     found = None
     for block in item_blocks(benchmark, item_id, item_text, block_chars):
         def scan(batches, block=block, first=found is None):
             machine = _automaton(block, window)
             for b in batches:
-                texts = b.column(b.schema.get_field_index(doc_text)).to_pylist()
                 rows = []
-                for k, t in enumerate(texts):
+                for k, t in enumerate(b.column(at).to_pylist()):
                     w = words(t)
                     ranges, items = machine.scan(w)
                     if not first:
@@ -154,8 +155,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, doc_text: str = "text", ite
                 arrays = list(b.columns[:n_base]) + [pa.array(list(c), type=f.type) for c, f in zip(cols, arrow)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-        found = (base if found is None else materialise(found, "decontaminate")).mapInArrow(scan, schema)
-    return found
+        found = (own if found is None else materialise(found, "decontaminate")).mapInArrow(scan, schema)
+    return found.toDF(*base.columns, *[f.name for f in FIELDS])
 
 
 def contaminated(share: int = 20):

@@ -171,8 +171,8 @@ def redact(docs: DataFrame, text_col: str = "text", owner_cols: tuple = ("source
     one's kind), all in one pass over the text; ``n_chars``, where there is such a column, follows. Texts
     without spans are untouched."""
     kinds = F.array(*[F.lit(f"[{k}]") for k in KINDS])
-    found = find_secrets(docs, text_col, owner_cols, repo_cols)
-    text = quoted(text_col)
+    found = find_secrets(docs, text_col, owner_cols, repo_cols).withColumn("__text", quoted(text_col))
+    text = F.col("__text")  # a name that no output column has
     # (text so far, where it ends) is carried over the spans in order
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
     step = lambda acc, s: F.struct(
@@ -181,8 +181,14 @@ def redact(docs: DataFrame, text_col: str = "text", owner_cols: tuple = ("source
         F.greatest(acc["at"], s["end"]).alias("at"))
     folded = F.aggregate("secret_spans", start, step, lambda acc: F.concat(
         acc["done"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    new = F.when(F.size("secret_spans") == 0, text).otherwise(folded)
-    cols = [new.alias(c) if c == text_col else F.when(F.size("secret_spans") == 0, quoted(c)).otherwise(
-        F.length(new).cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else quoted(c)
-        for c in docs.columns if c.lower() != "secret_spans"]
-    return found.select(*cols)
+    untouched = F.size("secret_spans") == 0
+    masked = found.withColumn("__masked", F.when(untouched, text).otherwise(folded))
+    cols = []
+    for c in docs.columns:
+        if c == text_col:
+            cols.append(F.col("__masked").alias(c))
+        elif c == "n_chars":
+            cols.append(F.when(untouched, quoted(c)).otherwise(F.length("__masked").cast(docs.schema[c].dataType)).alias(c))
+        elif c.lower() != "secret_spans":
+            cols.append(quoted(c))
+    return masked.select(*cols)

@@ -102,8 +102,8 @@ def _flips(mask: int, upto: int) -> list[int]:
 
 
 def close_links(classes: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """Links ``(u, v)`` between distinct fingerprints (column ``fp``) at most ``radius`` bits
-    apart; they join exactly the fingerprints that all close pairs would join."""
+    """Rows ``(u, v)`` that join, directly or over others, exactly the distinct fingerprints
+    (column ``fp``) that all pairs at most ``radius`` bits apart would join."""
     masks = covering_masks(radius)
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(_signed(m)).alias("m")) for t, m in enumerate(masks)])
     rows = (classes.select("fp", F.explode(tables).alias("x"))
