@@ -4,7 +4,7 @@ Vectors are scaled to unit length and cut in halves. Each half has its own codeb
 centroids, fitted on a bounded sample; the product of the two is a grid of ``K * K`` cells. Every
 vector is stored in its nearest cell. As a query it visits cells by a multi-sequence traversal,
 in order of the sum of its distances to the two halves' centroids, until it has gone as far past
-its nearest cell as a partner at the least similarity lies with probability ``recall``; that
+its nearest cell as a pair at the least similarity needs to meet with probability ``recall``; that
 depth is calibrated on sampled vectors and partners drawn at exactly that similarity, the hardest
 pairs there are. Pairs that meet in a cell are verified by cosine in double precision.
 
@@ -40,9 +40,14 @@ CHUNK_ROWS = 4_096
 
 # --- vectors ------------------------------------------------------------------------------------
 
-def prepared(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``(id, unit)``: the vector at unit length as bytes of doubles; null where it is null, empty,
-    zero, or holds a null or a non-finite component."""
+def _kind(df: DataFrame, vec_col: str) -> str:
+    """What a component is kept as: four bytes where the table has no more."""
+    return "<f4" if df.select(quoted(vec_col).alias("v")).schema["v"].dataType.simpleString() == "array<float>" else "<f8"
+
+
+def prepared(df: DataFrame, id_col: str, vec_col: str, kind: str) -> DataFrame:
+    """``(id, raw)``: the vector's components as bytes; null where it is null, empty, zero, or
+    holds a null or a non-finite component."""
     src = df.select(quoted(id_col).cast("long").alias("id"), quoted(vec_col).cast("array<double>").alias("v"))
 
     def run(batches):
@@ -51,14 +56,18 @@ def prepared(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             for v in b.column(1).to_pylist():
                 x = np.array([math.nan if c is None else c for c in v or []], dtype=np.float64)
                 top = np.abs(x).max() if len(x) else 0.0
-                if not (np.isfinite(top) and top > 0):
-                    out.append(None)
-                    continue
-                x = x / top  # no overflow in the norm
-                out.append((x / np.linalg.norm(x) + 0.0).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "unit"])
+                # adding zero makes -0.0 equal to 0.0
+                out.append((x + 0.0).astype(kind).tobytes() if np.isfinite(top) and top > 0 else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "raw"])
+
+    return src.mapInArrow(run, "id long, raw binary")
+
 
-    return src.mapInArrow(run, "id long, unit binary")
+def units(raws: list[bytes], kind: str) -> np.ndarray:
+    """Vectors at unit length, in double precision; scaled first, so that no norm overflows."""
+    x = np.frombuffer(b"".join(raws), dtype=kind).reshape(len(raws), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _numbered(batches):
@@ -106,11 +115,14 @@ class Index:
         noise -= (noise * x).sum(axis=1, keepdims=True) * x
         norm = np.linalg.norm(noise, axis=1, keepdims=True)
         partner = similarity * x + math.sqrt(max(0.0, 1 - similarity ** 2)) * noise / np.where(norm > 0, norm, 1)
-        own, other = self.spread(x), self.spread(partner)
-        i, j = other[0].argmin(axis=1), other[1].argmin(axis=1)
+        a, b = self.spread(x), self.spread(partner)
         row = np.arange(len(x))
-        past = own[0][row, i] + own[1][row, j] - own[0].min(axis=1) - own[1].min(axis=1)
-        return float(np.quantile(past, recall, method="higher")) + 1e-9
+
+        def past(own, other):  # how far past its nearest cell the one goes to the other's
+            return (own[0][row, other[0].argmin(axis=1)] + own[1][row, other[1].argmin(axis=1)]
+                    - own[0].min(axis=1) - own[1].min(axis=1))
+        # a pair is found when either of the two visits the other's cell
+        return float(np.quantile(np.minimum(past(a, b), past(b, a)), recall, method="higher")) + 1e-9
 
     def visits(self, d1: np.ndarray, d2: np.ndarray) -> list[int]:
         """Cells in order of ``d1 + d2``, from the nearest on, as far as the depth goes. Of the two
@@ -136,22 +148,20 @@ class Index:
         return d1[row, cells // self.k] + d2[row, cells % self.k] <= d1.min(axis=1) + d2.min(axis=1) + self.depth
 
 
-def fit_index(classes: DataFrame, rows: int, similarity: float, recall: float) -> Index:
+def fit_index(classes: DataFrame, rows: int, similarity: float, recall: float, kind: str) -> Index:
     share = min(1.0, SAMPLE_ROWS / rows)
-    some = classes.select("unit") if share == 1 else classes.select("unit").filter(
-        F.pmod(F.xxhash64("unit"), F.lit(1_000_000)) < int(1_000_000 * share))
-    units = sorted(some.toArrow().column(0).to_pylist())  # at most SAMPLE_ROWS or so, in a fixed order
-    sample = np.array([np.frombuffer(u) for u in units])
+    some = classes.select("raw") if share == 1 else classes.select("raw").filter(
+        F.pmod(F.xxhash64("raw"), F.lit(1_000_000)) < max(1, int(1_000_000 * share)))
+    raws = sorted(some.toArrow().column(0).to_pylist())  # at most SAMPLE_ROWS or so, in a fixed order
+    if not raws:
+        raws = classes.select("raw").limit(1).toArrow().column(0).to_pylist()
+    sample = units(raws, kind)
     return Index(sample[np.random.default_rng(0).permutation(len(sample))], rows, similarity, recall)
 
 
 # --- search -------------------------------------------------------------------------------------
 
-def _matrix(units) -> np.ndarray:
-    return np.frombuffer(b"".join(units)).reshape(len(units), -1)
-
-
-def _verify(index, similarity: float):
+def _verify(index, similarity: float, kind: str):
     """Groups: the rows of one block of a cell, and one chunk of the vectors that visit the cell
     → link counts ``(u, null, n)`` and a forest ``(u, v, 0)`` of the links found."""
     def run(rows: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
@@ -159,8 +169,8 @@ def _verify(index, similarity: float):
         if not len(rows) or not len(visitors):
             return empty
         ix = index.value
-        x, xc, xn = _matrix(rows["unit"].tolist()), rows["cls"].to_numpy(), rows["copies"].to_numpy()
-        q, qc, qn = _matrix(visitors["q_unit"].tolist()), visitors["q_cls"].to_numpy(), visitors["q_copies"].to_numpy()
+        x, xc, xn = units(rows["raw"].tolist(), kind), rows["cls"].to_numpy(), rows["copies"].to_numpy()
+        q, qc, qn = units(visitors["q_raw"].tolist(), kind), visitors["q_cls"].to_numpy(), visitors["q_copies"].to_numpy()
         home = visitors["q_home"].to_numpy()
         u, v, counted = [], [], []
         step = max(1, 2_000_000 // len(x))
@@ -190,15 +200,15 @@ def _verify(index, similarity: float):
     return run
 
 
-def _search(classes: DataFrame, rows: int, similarity: float, recall: float) -> DataFrame:
-    """Link counts and forests, as above, among classes ``(cls, unit, copies)`` of one length."""
+def _search(classes: DataFrame, rows: int, similarity: float, recall: float, kind: str) -> DataFrame:
+    """Link counts and forests, as above, among classes ``(cls, raw, copies)`` of one length."""
     spark = classes.sparkSession
-    index = spark.sparkContext.broadcast(fit_index(classes, rows, similarity, recall))
+    index = spark.sparkContext.broadcast(fit_index(classes, rows, similarity, recall, kind))
 
     def assign(batches):
         ix = index.value
         for b in batches:
-            x = _matrix(b.column(1).to_pylist()) if b.num_rows else np.empty((0, 2 * ix.half))
+            x = units(b.column(1).to_pylist(), kind) if b.num_rows else np.empty((0, 2))
             homes, visits = [], []
             for s in range(0, len(x), 1_024):
                 for d1, d2 in zip(*ix.spread(x[s:s + 1_024])):
@@ -208,8 +218,8 @@ def _search(classes: DataFrame, rows: int, similarity: float, recall: float) ->
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(homes, pa.int32()), pa.array(visits, pa.list_(pa.int32()))],
                                              names=[*b.schema.names, "home", "visits"])
 
-    placed = materialise(classes.select("cls", "unit", "copies").mapInArrow(
-        assign, "cls long, unit binary, copies long, home int, visits array<int>"), "vectors-index")
+    placed = materialise(classes.select("cls", "raw", "copies").mapInArrow(
+        assign, "cls long, raw binary, copies long, home int, visits array<int>"), "vectors-index")
     stored = placed.groupBy(F.col("home").alias("cell")).agg(F.count(F.lit(1)).alias("n_rows"))
     visiting = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n_visits"))
     # at most K * K rows
@@ -219,14 +229,14 @@ def _search(classes: DataFrame, rows: int, similarity: float, recall: float) ->
     number = lambda n, salt: F.pmod(F.xxhash64("cls", F.lit(salt)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     rows_side = placed.join(sizes, placed["home"] == sizes["cell"]).select(
-        "cell", number(F.col("blocks"), 1).alias("block"), every(F.col("chunks")).alias("chunk"), "cls", "unit", "copies")
-    visit_side = (placed.select("cls", "unit", "copies", "home", F.explode("visits").alias("at")).join(sizes, F.col("at") == F.col("cell"))
-                  .select("cell", every(F.col("blocks")).alias("block"), number(F.col("chunks"), 2).alias("chunk"), "cls", "unit", "copies", "home"))
+        "cell", number(F.col("blocks"), 1).alias("block"), every(F.col("chunks")).alias("chunk"), "cls", "raw", "copies")
+    visit_side = (placed.select("cls", "raw", "copies", "home", F.explode("visits").alias("at")).join(sizes, F.col("at") == F.col("cell"))
+                  .select("cell", every(F.col("blocks")).alias("block"), number(F.col("chunks"), 2).alias("chunk"), "cls", "raw", "copies", "home"))
     keys = ["cell", "block", "chunk"]
     # both sides come from one table, so the second gets names of its own
     visit_side = visit_side.select(*[F.col(c).alias(f"q_{c}") for c in visit_side.columns])
     return (rows_side.groupBy(*keys).cogroup(visit_side.groupBy(*[f"q_{k}" for k in keys]))
-            .applyInPandas(_verify(index, similarity), "u long, v long, n long"))
+            .applyInPandas(_verify(index, similarity, kind), "u long, v long, n long"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -240,12 +250,13 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     other; rows without id take part, and a component of such rows only has a null
     ``component_id``; an empty table gives an empty table; further columns are not read.
     """
-    rows = materialise(prepared(df, id_col, vec_col), "vectors-rows")
-    distinct = rows.filter("unit is not null").groupBy("unit").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    classes = materialise(distinct.mapInArrow(_numbered, "unit binary, first_id long, copies long, cls long"), "vectors-classes")
+    kind = _kind(df, vec_col)
+    rows = materialise(prepared(df, id_col, vec_col, kind), "vectors-rows")
+    distinct = rows.filter("raw is not null").groupBy("raw").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    classes = materialise(distinct.mapInArrow(_numbered, "raw binary, first_id long, copies long, cls long"), "vectors-classes")
     found = None
-    for r in classes.groupBy(F.length("unit").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect():  # one row per length
-        part = _search(classes.filter(F.length("unit") == r["size"]), r["n"], similarity, recall)
+    for r in classes.groupBy(F.length("raw").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect():  # one row per length
+        part = _search(classes.filter(F.length("raw") == r["size"]), r["n"], similarity, recall, kind)
         found = part if found is None else found.union(part)
     if found is None:
         found = df.sparkSession.createDataFrame([], "u long, v long, n long")
@@ -253,10 +264,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     links = found.filter("v is null").groupBy(F.col("u").alias("linked")).agg(F.sum("n").alias("n"))
     roots = components(found.filter("v is not null"), "u", "v")
     placed = materialise(classes.join(roots, classes["cls"] == roots["node"], "left").join(links, F.col("cls") == F.col("linked"), "left").select(
-        "unit", "cls", "first_id", F.coalesce("root", "cls").alias("root"),
+        "raw", "cls", "first_id", F.coalesce("root", "cls").alias("root"),
         (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "vectors-placed")
     lowest = materialise(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "vectors-lowest")
-    of = materialise(placed.join(lowest, "root").select(F.col("unit").alias("of"), "n_links", "component_id"), "vectors-of")
-    linked = rows.filter("unit is not null").join(of, rows["unit"] == of["of"]).select("id", "n_links", "component_id")
-    alone = rows.filter("unit is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    of = materialise(placed.join(lowest, "root").select(F.col("raw").alias("of"), "n_links", "component_id"), "vectors-of")
+    linked = rows.filter("raw is not null").join(of, rows["raw"] == of["of"]).select("id", "n_links", "component_id")
+    alone = rows.filter("raw is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
