@@ -152,9 +152,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are null come last; of rows with that id, the one with the smallest text hash; of identical
     rows, one). All columns are kept as they are."""
     found = near_duplicates(docs, id_col, text_col, shingle, radius)
-    rank = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("text_hash").alias("text_hash"))
-    keep = materialise(found.groupBy("root").agg(F.min(rank).alias("r"))
-                       .select(F.col("r.id").alias("__keep_id"), F.col("r.text_hash").alias("__keep_hash")).distinct(), "simhash-keep")
+    # rows of one id and text count as one candidate, with their number
+    candidates = found.groupBy("root", "id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("text_hash").alias("text_hash"), F.col("n").alias("n"))
+    keep = materialise(candidates.groupBy("root").agg(F.min(rank).alias("r"))
+                       .select(F.col("r.id").alias("__keep_id"), F.col("r.text_hash").alias("__keep_hash"), F.col("r.n").alias("__keep_n")), "simhash-keep")
     d = docs.withColumn("__row_id", quoted(id_col).cast("long")).withColumn("__row_hash", F.xxhash64(quoted(text_col)))
     kept = d.join(keep, F.col("__row_id").eqNullSafe(F.col("__keep_id")) & (F.col("__row_hash") == F.col("__keep_hash")))
-    return kept.dropDuplicates(["__row_id", "__row_hash"]).select(*[quoted(c) for c in docs.columns])
+    columns = [quoted(c) for c in docs.columns]
+    if keep.filter("__keep_n > 1").isEmpty():  # no repeated rows: the join's result is it
+        return kept.select(*columns)
+    once = kept.filter("__keep_n > 1").dropDuplicates(["__row_id", "__row_hash"])
+    return kept.filter("__keep_n = 1").select(*columns).unionByName(once.select(*columns))
