@@ -70,11 +70,15 @@ def department_managers(departments: DataFrame, employees: DataFrame) -> DataFra
         "department_id", "department_name", "manager_id", "manager_name")
 
 
-def orphan_keys(child: DataFrame, fk: str, parent: DataFrame, pk: str, name: str) -> DataFrame:
-    """Rows of ``child`` whose foreign key has no parent row: count and distinct keys.
-    The child is reduced to (key, rows) before the anti join, so only distinct keys move."""
-    per_key = child.filter(F.col(fk).isNotNull()).groupBy(fk).agg(F.count(F.lit(1)).alias("n"))
-    orphans = per_key.join(parent.select(F.col(pk).alias(fk)), fk, "left_anti")
-    return orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphan_rows"),
-                       F.count(F.lit(1)).alias("orphan_keys")).select(
-        F.lit(name).alias("constraint_name"), "orphan_rows", "orphan_keys")
+def orphan_report(references: list[tuple]) -> DataFrame:
+    """Per reference ``(child, fk, parent, key, name)``: rows of the child whose foreign key has no
+    parent row, and how many keys they hold. Children are reduced to one row per key before the
+    anti join, parents to their keys."""
+    out = None
+    for child, fk, parent, key, name in references:
+        per_key = child.filter(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        lost = per_key.join(parent.select(F.col(key).alias("k")).distinct(), "k", "left_anti")
+        row = lost.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphan_rows"), F.count(F.lit(1)).alias("orphan_keys")).select(
+            F.lit(name).alias("constraint_name"), "orphan_rows", "orphan_keys")
+        out = row if out is None else out.unionByName(row)
+    return out

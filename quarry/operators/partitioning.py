@@ -19,14 +19,17 @@ def ensure_parallelism(df: DataFrame, factor: int = 2) -> DataFrame:
     return df
 
 
-DEFAULT_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when it provably has at most ``max_rows`` rows.
+def planned_bytes(df: DataFrame) -> int:
+    """The optimizer's size of ``df``: file sizes and literal rows carried through the plan. It is
+    read from the plan, without a job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-    The bound is checked with a limited count (reads at most ``max_rows + 1`` rows), so the
-    check itself stays cheap on a large table.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast when its planned size is at most ``max_bytes``; beyond that the
+    join is left to the planner, which shuffles and may still convert at runtime from the sizes
+    it has measured."""
+    return F.broadcast(df) if planned_bytes(df) <= max_bytes else df

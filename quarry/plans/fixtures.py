@@ -12,7 +12,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.session import ensure_checkpoint_dir
+from quarry.session import ensure_checkpoint_dir, ship_package
+from quarry.sources.readers import path_exists
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -135,6 +136,7 @@ _REGISTERED: dict[int, str] = {}
 def register(spark: SparkSession, sf_dir: str) -> None:
     """Register the base parquet tables of ``sf_dir`` and every fixture view as temp views."""
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     # results depend on the session clock zone (windows, date casts): pin it to UTC
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -144,7 +146,7 @@ def register(spark: SparkSession, sf_dir: str) -> None:
     _REGISTERED[key] = sf_dir
     for t in BASE_TABLES:
         path = os.path.join(sf_dir, f"{t}.parquet")
-        if os.path.exists(path):
+        if path_exists(spark, path):
             spark.read.parquet(path).createOrReplaceTempView(t)
     for name, body in SPARK_VIEWS.items():
         spark.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS {body}")

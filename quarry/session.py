@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import sys
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -43,14 +46,17 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is configured by the operator (a shared filesystem path);
-    only when nothing is configured, as in local tests, a scratch folder is created.
+    On a cluster the folder is configured by the operator (a shared filesystem path) and must
+    be: a folder of the driver's own would not be seen by executors. Only a single-process
+    ``local`` master, as in tests, gets a temporary folder when nothing is configured.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
     return configured
@@ -63,13 +69,34 @@ def reliable_checkpoint(df):
     return df.checkpoint(eager=True)
 
 
+_scratch: dict[int, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory for written intermediate tables."""
+    """A fresh folder under the shared checkpoint directory for written intermediate tables. It
+    is removed by ``clear_scratch``, at the latest when the driver's Python ends."""
     base = ensure_checkpoint_dir(spark)
     ship_package(spark)
-    import uuid
+    path = os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    if not _scratch:
+        atexit.register(_clear_at_exit)
+    _scratch.setdefault(id(spark.sparkContext), []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the intermediate tables written so far. Results that still read them must have
+    been consumed."""
+    sc = spark.sparkContext
+    for path in _scratch.pop(id(sc), []):
+        jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(jpath, True)
+
 
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+def _clear_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        clear_scratch(spark)
 
 
 def ship_package(spark: SparkSession) -> None:
