@@ -6,12 +6,13 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.operators import cleaning as cl
 from quarry.operators import keyed
 from quarry.operators import summaries as sm
 from quarry.plans import fixtures as fx
-from quarry.plans.bind_hr import CLEAN_SQL, employees_with_tenure
+from quarry.plans.bind_hr import CLEAN_SQL, clean_employees_df, employees_with_tenure
 from quarry.plans.catalog import query
 from quarry.session import scratch_path
 from quarry.sources import readers as rd
@@ -24,27 +25,58 @@ def _nulled(c):
     return NULLED.format(c=c)
 
 
+# Columns that ordinary CSV files have and plain splitting breaks: quotes, commas, line breaks, a
+# dotted name, blanks around values, and numbers and dates with a few bad values among them.
+CSV_EXTRA = {
+    "notes": "CASE employee_id % 5 WHEN 0 THEN 'say \"hi\", ok' WHEN 1 THEN concat('two', chr(10), 'lines, \"x\"') WHEN 2 THEN '\"' WHEN 3 THEN NULL ELSE ' plain ' END",
+    "home.city": "concat('City, ', CAST(employee_id % 9 AS string))",
+    "grade": "CASE WHEN employee_id % 97 = 5 THEN '7?' ELSE CAST(employee_id % 11 AS string) END",
+}
+
+
+def _extra_sql(quote: str) -> str:
+    return ", ".join(f"{body} AS {quote}{name}{quote}" for name, body in CSV_EXTRA.items())
+
+
 def _write_employees_csv(spark, sf):
     path = scratch_path(spark, "employees_csv")
-    sk.write_csv(fx.table(spark, sf, "employees_raw"), path)
+    raw = fx.table(spark, sf, "employees_raw")
+    sk.write_csv(raw.selectExpr("*", *[f"{body} AS `{name}`" for name, body in CSV_EXTRA.items()]), path)
     return path
 
 
-@query("csv_scan_nulls", fx.cte("employees_raw") + f"""SELECT employee_id,
+CSV_SQL = fx.cte("employees_raw")[:-1] + f""",
+file AS (SELECT *, {_extra_sql('"')} FROM employees_raw)
+"""
+
+
+def _csv_nulls_sql() -> str:
+    return CSV_SQL + f"""SELECT employee_id,
   {_nulled('first_name')} AS first_name, {_nulled('last_name')} AS last_name,
   {_nulled('email')} AS email, {_nulled('department')} AS department,
   TRY_CAST({_nulled('salary')} AS DOUBLE) AS salary,
-  performance_rating, {_nulled('hire_date')} AS hire_date, {_nulled('status')} AS status,
-  birth_date
-FROM employees_raw""")
+  performance_rating, TRY_CAST({_nulled('hire_date')} AS DATE) AS hire_date, {_nulled('status')} AS status,
+  birth_date, notes, "home.city", TRY_CAST(grade AS BIGINT) AS grade
+FROM file"""
+
+
+@query("csv_scan_nulls", _csv_nulls_sql())
 def q_csv_nulls(spark, sf):
     return rd.read_csv_nulls(spark, _write_employees_csv(spark, sf))
 
 
-@query("csv_scan_plain", fx.cte("employees_raw") + """SELECT CAST(employee_id AS INTEGER) AS employee_id,
+@query("csv_scan_schema", CSV_SQL + f"""SELECT CAST(employee_id AS INTEGER) AS employee_id, notes, TRY_CAST(grade AS DOUBLE) AS grade,
+  TRY_CAST({_nulled('hire_date')} AS DATE) AS hire_date, CAST(NULL AS BIGINT) AS status FROM file""")
+def q_csv_schema(spark, sf):
+    """A declared schema: values that do not parse as their column's type are null."""
+    return rd.read_csv_nulls(spark, _write_employees_csv(spark, sf), schema=T._parse_datatype_string(
+        "employee_id int, notes string, grade double, hire_date date, status bigint"))
+
+
+@query("csv_scan_plain", CSV_SQL + """SELECT CAST(employee_id AS INTEGER) AS employee_id,
   first_name, last_name, email, department, NULLIF(salary, '') AS salary, performance_rating, hire_date,
-  status, birth_date
-FROM employees_raw""")
+  status, birth_date, notes, "home.city", grade
+FROM file""")
 def q_csv_plain(spark, sf):
     # plain read: Spark's own inference; an empty field is null, blanks around values are kept
     return rd.read_csv_plain(spark, _write_employees_csv(spark, sf))
@@ -121,14 +153,38 @@ def q_curated(spark, sf):
     return rd.read_parquet(spark, path)
 
 
-@query("warehouse_upsert", fx.cte("departments") + """
-SELECT * FROM departments WHERE department_id < 20
-UNION ALL SELECT department_id, department_name, manager_id, budget * 2 AS budget
-FROM departments WHERE department_id >= 20""")
+UPSERT_KEYS = {"departments": "department_id", "clean": "employee_id", "exp_clean": "expense_id", "budgets_raw": "budget_id",
+               "budget_allocations": "allocation_id", "performance_reviews_raw": "review_id"}
+
+
+def _upsert_sql() -> str:
+    """The six warehouse tables: a tenth of the keys come in again, twice each, with a load number."""
+    from quarry.plans.bind_finance import EXP_CLEAN_SQL
+    views = CLEAN_SQL[:-1] + ",\n" + EXP_CLEAN_SQL[5:-1] + ",\n" + fx.cte(
+        "departments", "budgets_raw", "budget_allocations", "performance_reviews_raw")[5:]
+    return views + "\nUNION ALL ".join(
+        f"SELECT '{t}' AS table_name, CAST({k} AS BIGINT) AS key, CASE WHEN {k} % 10 = 0 THEN 2 ELSE 0 END AS load FROM {t}"
+        for t, k in UPSERT_KEYS.items())
+
+
+@query("warehouse_upsert", _upsert_sql())
 def q_upsert(spark, sf):
-    target = fx.table(spark, sf, "departments")
-    source = target.filter(F.col("department_id") >= 20).withColumn("budget", F.col("budget") * 2)
-    return keyed.upsert(target, source, ["department_id"])
+    out = None
+    for name, key in UPSERT_KEYS.items():
+        target = _warehouse_table(spark, sf, name).withColumn("load", F.lit(0))
+        again = target.filter(F.col(key) % 10 == 0).withColumn("load", F.explode(F.array(F.lit(1), F.lit(2), F.lit(2))))
+        rows = keyed.upsert(target, again, [key], order=["load"]).select(
+            F.lit(name).alias("table_name"), F.col(key).cast("long").alias("key"), "load")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _warehouse_table(spark, sf, name):
+    if name == "clean":
+        return clean_employees_df(spark, sf)
+    if name == "exp_clean":
+        return cl.clean_expenses(fx.table(spark, sf, "expenses_raw"))
+    return fx.table(spark, sf, name)
 
 
 @query("summary_to_docs", CLEAN_SQL + """SELECT department,
@@ -152,18 +208,21 @@ def q_run_summary(spark, sf):
                           f"{fx.AS_OF} 00:00:00")
 
 
-@query("doc_insert_absent", """WITH old AS (SELECT d.* FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM labels)),
-new AS (SELECT d.* FROM documents d WHERE d.doc_id IN (SELECT vec_id FROM embeddings))
-SELECT doc_id, text, lang, source, n_chars FROM old
-UNION ALL SELECT doc_id, text, lang, source, n_chars FROM new
-WHERE doc_id NOT IN (SELECT doc_id FROM old)""")
+@query("doc_insert_absent", """WITH old AS (SELECT lang AS collection, d.* FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM labels)),
+new AS (SELECT lang AS collection, d.* FROM documents d WHERE d.doc_id IN (SELECT vec_id FROM embeddings))
+SELECT collection, doc_id, text, lang, source, n_chars FROM old
+UNION ALL SELECT collection, doc_id, text, lang, source, n_chars FROM new
+WHERE doc_id NOT IN (SELECT doc_id FROM old)
+UNION ALL SELECT 'all' AS collection, doc_id, text, lang, source, n_chars FROM new""")
 def q_insert_absent(spark, sf):
-    """The store holds the labelled documents; a batch of embedded documents is added,
-    existing ids keep their stored row."""
-    docs = fx.table(spark, sf, "documents")
-    old = docs.join(fx.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
-    new = docs.join(fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    return keyed.insert_if_absent(old, new, ["doc_id"])
+    """The store holds the labelled documents; a batch of embedded documents is added twice over,
+    to their own collection and to one that holds none yet. The key is collection and id, so
+    existing ids keep their stored row in their own collection only."""
+    docs = fx.table(spark, sf, "documents").select(F.col("lang").alias("collection"), "*")
+    old = docs.join(fx.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    own = docs.join(fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select(docs.columns)
+    new = own.unionByName(own).unionByName(own.withColumn("collection", F.lit("all")))
+    return keyed.insert_if_absent(old, new, ["collection", "doc_id"])
 
 
 @query("doc_delete", """SELECT d.* FROM documents d

@@ -9,63 +9,86 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.sources.sinks import CSV_QUOTING
+
 # Text tokens read as null.
 NULL_TOKENS = ["", "NULL", "null", "N/A", "n/a"]
 
 
+BAD_SHARE = 0.05  # a column keeps its type up to this share of values that do not parse
+
+
+def _name(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
+
+
 def _null_tokens(c: str, tokens) -> F.Column:
-    return F.when(F.col(c).isin(tokens), F.lit(None).cast("string")).otherwise(F.col(c))
+    col = F.col(_name(c))
+    return F.when(col.isin(tokens), F.lit(None).cast("string")).otherwise(col)
+
+
+def _csv(spark: SparkSession, multi_line: bool):
+    """Quotes are doubled inside quoted fields. With ``multi_line`` a quoted field may hold line
+    breaks, which leaves one task per file; without, large files are split."""
+    return spark.read.option("header", True).options(**CSV_QUOTING).option("multiLine", multi_line)
 
 
 def read_csv_nulls(spark: SparkSession, path: str, tokens=None, date_format: str = "yyyy-MM-dd",
-                   schema: T.StructType | None = None) -> DataFrame:
+                   schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
     """CSV with several null tokens, bad values → null, and date/number sniffing.
 
     With a declared ``schema`` each column is ``try_cast`` to its type (no sniffing pass).
     Otherwise one aggregate pass over all columns decides, per column, the narrowest of
-    bigint / double / date / string that every non-null value parses as.
+    bigint / double / date / string that its non-null values parse as; up to ``BAD_SHARE`` of
+    them may not, and become null.
     """
     tokens = NULL_TOKENS if tokens is None else tokens
-    raw = (spark.read.option("header", True).option("inferSchema", False)
+    raw = (_csv(spark, multi_line).option("inferSchema", False)
            .option("nullValue", None).option("emptyValue", "")
            .option("mode", "PERMISSIVE").csv(path))
     cols = raw.columns
     text = raw.select([_null_tokens(c, tokens).alias(c) for c in cols])
     if schema is not None:
-        return text.select([text[f.name].try_cast(f.dataType).alias(f.name) for f in schema.fields])
+        return text.select([_parsed(F.col(_name(f.name)), f.dataType.simpleString(), date_format).alias(f.name)
+                            for f in schema.fields])
     # cheap necessary-condition patterns run first, so the parsers (which signal failure by
     # exceptions) only see values that can plausibly parse
-    maybe_number = r"^\s*[+-]?(\d|\.\d|[Ii][Nn][Ff]|[Nn][Aa][Nn])"
-    date_shape = r"^\d{4}-\d{1,2}-\d{1,2}$"
     checks = []
-    for c in cols:
-        v = F.col(c)
-        nn = v.isNotNull()
-        num = nn & v.rlike(maybe_number)
-        checks += [
-            F.count_if(nn).alias(f"{c}__n"),
-            F.count_if(num & v.try_cast("bigint").isNotNull()).alias(f"{c}__long"),
-            F.count_if(num & v.try_cast("double").isNotNull()).alias(f"{c}__double"),
-            F.count_if(nn & v.rlike(date_shape) & F.try_to_date(v, date_format).isNotNull()).alias(f"{c}__date"),
-        ]
+    for i, c in enumerate(cols):
+        v = F.col(_name(c))
+        checks += [F.count(v).alias(f"n{i}"),
+                   *[F.count(_parsed(v, t, date_format)).alias(f"{t}{i}") for t in SNIFFED]]
     stats = text.agg(*checks).first().asDict()  # one row of counts: bounded by column count
     out = []
-    for c in cols:
-        n = stats[f"{c}__n"]
-        if n and stats[f"{c}__long"] == n:
-            out.append(F.col(c).try_cast("bigint").alias(c))
-        elif n and stats[f"{c}__double"] == n:
-            out.append(F.col(c).try_cast("double").alias(c))
-        elif n and stats[f"{c}__date"] == n:
-            out.append(F.try_to_date(F.col(c), date_format).alias(c))
-        else:
-            out.append(F.col(c))
+    for i, c in enumerate(cols):
+        n = stats[f"n{i}"]
+        fit = [t for t in SNIFFED if n and stats[f"{t}{i}"] >= n * (1 - BAD_SHARE)]
+        # doubles cover integers: the narrower type must lose nothing that the wider one keeps
+        if "bigint" in fit and stats[f"double{i}"] > stats[f"bigint{i}"]:
+            fit.remove("bigint")
+        v = F.col(_name(c))
+        out.append((_parsed(v, fit[0], date_format) if fit else v).alias(c))
     return text.select(out)
 
 
-def read_csv_plain(spark: SparkSession, path: str) -> DataFrame:
+SNIFFED = ["bigint", "double", "date"]
+MAYBE_NUMBER = r"^\s*[+-]?(\d|\.\d|[Ii][Nn][Ff]|[Nn][Aa][Nn])"
+DATE_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}$"
+
+
+def _parsed(v: F.Column, kind: str, date_format: str) -> F.Column:
+    """``v`` as ``kind``, null where it does not parse."""
+    if kind in ("bigint", "double"):
+        return F.when(v.rlike(MAYBE_NUMBER), v.try_cast(kind))
+    if kind == "date":
+        shaped = v.rlike(DATE_SHAPE) if date_format == "yyyy-MM-dd" else v.isNotNull()
+        return F.when(shaped, F.try_to_date(v, date_format))
+    return v.try_cast(kind)
+
+
+def read_csv_plain(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Plain CSV with a header and Spark's own type inference (one extra pass)."""
-    return spark.read.csv(path, header=True, inferSchema=True)
+    return _csv(spark, multi_line).option("inferSchema", True).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
