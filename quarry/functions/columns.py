@@ -33,7 +33,7 @@ def matched_format(c, formats=None) -> Column:
 
 # E-mail patterns (strict and loose).
 EMAIL_STRICT = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
-EMAIL_LOOSE = r"^[\w\.-]+@[\w\.-]+\.\w+$"
+EMAIL_LOOSE = r"^[\p{L}\p{N}_.-]+@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+$"
 
 
 def email_valid(c, pattern: str = EMAIL_STRICT) -> Column:
@@ -116,6 +116,12 @@ def surrogate_id(key, prefix: str = "", length: int = 8) -> Column:
     return F.concat(F.lit(prefix + "_"), h) if prefix else h
 
 
+def stamped_id(prefix: str, at, key) -> Column:
+    """Time-stamped id: prefix, second of ``at``, and a number below 10,000 from the key's hash."""
+    number = F.pmod(F.conv(F.substring(F.md5(_c(key).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(10_000))
+    return F.concat_ws("_", F.lit(prefix), F.date_format(_c(at), "yyyyMMdd_HHmmss"), number.cast("string"))
+
+
 def random_id(prefix: str = "", length: int = 8) -> Column:
     h = F.substring(F.regexp_replace(F.uuid(), "-", ""), 1, length)
     return F.concat(F.lit(prefix + "_"), h) if prefix else h
@@ -128,11 +134,19 @@ ALLOWED_TAGS = ["b", "i", "u", "em", "strong"]
 def sanitize_html(c, allowed=None) -> Column:
     """Strip every tag except the allowed ones (text kept), then squeeze whitespace.
 
-    A regular expression is not an HTML parser: comments, CDATA and attributes containing
-    '>' are handled approximately.
+    Allowed tags are rebuilt without their attributes; comments and other tags go, also where
+    they are never closed; angle brackets that are left over are escaped.
     """
-    allowed = allowed or ALLOWED_TAGS
+    for pattern, by in sanitize_steps(allowed or ALLOWED_TAGS):
+        c = F.regexp_replace(_c(c), pattern, by)
+    return F.trim(c)
+
+
+def sanitize_steps(allowed: list[str], group: str = "$") -> list[tuple[str, str]]:
+    """The replacements of the clean-up in order, without look-ahead: allowed tags are set aside
+    between two control characters (which the text itself loses first) while the rest goes.
+    ``group`` is how the regex engine refers to a group."""
     keep = "|".join(allowed)
-    no_comments = F.regexp_replace(_c(c), r"(?s)<!--.*?-->", "")
-    stripped = F.regexp_replace(no_comments, rf"(?i)</?(?!(?:{keep})\b)[a-z!][^>]*>", "")
-    return F.trim(F.regexp_replace(stripped, r"\s+", " "))
+    return [("[\\x{01}\\x{02}]", ""), (r"(?s)<!--.*?(?:-->|$)", ""),
+            (rf"(?is)<(/?(?:{keep}))(?:[\s/][^>]*)?>", f"\x01{group}1\x02"),
+            (r"(?is)</?[a-z!?][^>]*(?:>|$)", ""), ("<", "&lt;"), (">", "&gt;"), ("\x01", "<"), ("\x02", ">"), (r"\s+", " ")]

@@ -24,13 +24,6 @@ def lower_strip(c) -> Column:
     return F.lower(strip_ws(c))
 
 
-def normalize_text(c) -> Column:
-    """Lower-case, drop every char that is neither word char nor whitespace, squeeze blanks."""
-    lowered = F.lower(_c(c))
-    no_punct = F.regexp_replace(lowered, r"[^\w\s]", "")
-    return F.trim(F.regexp_replace(no_punct, r"\s+", " "))
-
-
 def content_hash(c, algorithm: str = "sha256") -> Column:
     algorithm = algorithm.lower()
     if algorithm == "md5":
@@ -48,6 +41,18 @@ WS_CLASS = (r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028
             r"\x{202f}\x{205f}\x{3000}]")
 
 
+# What is neither a letter or digit of any script, nor an underscore, nor white space; valid in
+# Java regex and RE2.
+NO_WORD_CLASS = r"[^\p{L}\p{N}_" + WS_CLASS[1:]
+
+
+def normalize_text(c) -> Column:
+    """Lower-case, drop every char that is neither word char nor whitespace (both in the Unicode
+    sense), squeeze blanks."""
+    kept = F.regexp_replace(F.lower(_c(c)), NO_WORD_CLASS, "")
+    return F.trim(F.regexp_replace(kept, f"{WS_CLASS}+", " "))
+
+
 # the members of WS_CLASS outside Java's \s, mapped to a blank before a plain \s+ split
 # (a per-char translate is ~3x cheaper than splitting on the full Unicode class)
 _EXTRA_WS = ("\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200b))

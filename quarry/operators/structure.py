@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import reliable_checkpoint
+
 # Integer types from narrowest to widest with their ranges.
 INT_TYPES = [("tinyint", -(2 ** 7), 2 ** 7 - 1), ("smallint", -(2 ** 15), 2 ** 15 - 1),
              ("int", -(2 ** 31), 2 ** 31 - 1), ("bigint", -(2 ** 63), 2 ** 63 - 1)]
@@ -43,8 +45,15 @@ def shrink_types(df: DataFrame, persist: bool = True) -> DataFrame:
 
 
 def infer_json_schema(df: DataFrame, col: str) -> T.StructType:
-    """Schema of a JSON text column, inferred by the JSON reader over the whole column."""
-    return df.sparkSession.read.json(df.select(col).rdd.map(lambda r: r[0])).schema
+    """Schema of a JSON text column: one aggregate over the whole column, merged in the JVM."""
+    ddl = df.agg(F.schema_of_variant_agg(F.try_parse_json(col))).first()[0] or "OBJECT<>"
+    kind = T._parse_datatype_string(_as_ddl(ddl)) if ddl.startswith("OBJECT") and ddl != "OBJECT<>" else T.StructType()
+    return kind if isinstance(kind, T.StructType) else T.StructType()
+
+
+def _as_ddl(variant_schema: str) -> str:
+    """A variant's schema text as DDL: objects are structs, what has no type of its own is text."""
+    return variant_schema.replace("OBJECT<>", "STRING").replace("OBJECT<", "STRUCT<").replace("VOID", "STRING").replace("VARIANT", "STRING")
 
 
 def _leaves(schema: T.StructType, prefix: str = ""):
@@ -72,54 +81,71 @@ def json_get(col: str, path: str, type_name: str, default=None) -> Column:
     return F.coalesce(v, F.lit(default).cast(type_name)) if default is not None else v
 
 
-def json_paths(df: DataFrame, key: str, col: str, max_depth: int = 4) -> DataFrame:
-    """(key, path, value) rows for every leaf of a JSON object column; nested objects are
-    expanded level by level up to ``max_depth``; deeper objects stay as JSON text values.
+def path_text(parts: Column) -> Column:
+    """Path parts joined by dots; a dot or backslash inside a part is preceded by a backslash."""
+    return F.array_join(F.transform(parts, lambda p: F.regexp_replace(p, r"([.\\])", r"\\$1")), ".")
+
 
-    Each level is one generator over the previous level's rows (an object entry becomes its
-    children, a leaf stays itself), so the plan grows linearly with the depth.
+def json_entries(df: DataFrame, key: str, col: str) -> DataFrame:
+    """``(key, parts, value, is_object)`` of a JSON text column, to any depth: one row for every
+    value that is no object, and one with ``is_object`` for every empty object. A null or
+    unparsable document is an empty object with a null value.
+
+    The text is parsed once to a variant, and whether a value is an object is asked of the
+    variant, never of its text. Each round explodes the objects of the round before; the rounds
+    are as many as the deepest document has levels, and only what is still an object goes on.
     """
-    level = df.select(key, F.explode(F.from_json(col, "map<string,string>")).alias("path", "value"))
-    for _ in range(max_depth - 1):
-        children = F.transform(F.map_entries(F.from_json("value", "map<string,string>")),
-                               lambda e: F.struct(F.concat_ws(".", F.col("path"), e["key"]).alias("path"),
-                                                  e["value"].alias("value")))
-        itself = F.array(F.struct(F.col("path").alias("path"), F.col("value").alias("value")))
-        is_obj = F.coalesce(F.col("value").startswith("{"), F.lit(False))
-        level = level.select(key, F.explode(F.when(is_obj, children).otherwise(itself)).alias("x")).select(
-            key, "x.path", "x.value")
-    return level
+    v = F.try_parse_json(F.col(col))
+    level = df.select(F.col(key).alias("k"), F.array().cast("array<string>").alias("parts"), v.alias("v"))
+    done = None
+    while True:
+        kind = F.schema_of_variant("v")
+        tagged = reliable_checkpoint(level.select("k", "parts", "v", F.coalesce(kind.startswith("OBJECT<") & (kind != "OBJECT<>"), F.lit(False)).alias("nested"),
+                                                  (F.col("v").isNull() | (kind == "OBJECT<>")).alias("is_object")))
+        ends = tagged.filter(~F.col("nested")).select("k", "parts", F.when(F.col("is_object"), F.when(F.col("v").isNotNull(), "{}")).otherwise(
+            _variant_text(F.col("v"))).alias("value"), "is_object")
+        done = ends if done is None else done.union(ends)
+        deeper = tagged.filter("nested")
+        if deeper.isEmpty():
+            return done.withColumnRenamed("k", key)
+        members = deeper.select("k", "parts", F.explode(F.from_json(F.to_json("v"), "map<string,variant>")).alias("name", "member"))
+        level = members.select("k", F.concat("parts", F.array("name")).alias("parts"), F.col("member").alias("v"))
+
+
+def _variant_text(v: Column) -> Column:
+    """Strings as they are, other values as JSON."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
 
 
-def _ancestors(path: Column) -> Column:
-    parts = F.split(path, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
-                       lambda i: F.array_join(F.slice(parts, 1, i), "."))
+def _above(parts: Column) -> Column:
+    """All proper prefixes of a path."""
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.slice(parts, 1, i - 1))
 
 
 def deep_merge(base: DataFrame, override: DataFrame, key: str, col: str) -> DataFrame:
-    """Deep merge of two JSON records per key; the override wins leaf by leaf, and where one
-    side has an object and the other a scalar at the same place, the override's shape wins.
+    """Deep merge of two JSON records per key to any depth, as ``(key, path, value, origin)``: one
+    row per value that is no object, and per object that stays empty (value ``{}``).
 
-    Both sides are flattened to (key, path, value); the shape conflicts are removed with two
-    equi anti-joins on path ancestors, then a full outer join on (key, path) merges.
+    Objects merge member by member; anywhere else the override wins, whatever the two sides hold.
+    A null document merges as an empty object, and a record that is empty or null on both sides
+    has one row, with an empty path. ``path`` joins the members' names by dots, and a dot inside a
+    name is preceded by a backslash, so it never collides with a nested path.
     """
-    a = json_paths(base, key, col).withColumnRenamed("value", "base_value")
-    b = json_paths(override, key, col).withColumnRenamed("value", "override_value")
-    # base leaves under a path the override holds as a scalar leaf
-    a_anc = a.select(key, "path", F.explode(_ancestors(F.col("path"))).alias("anc")).filter(
-        F.col("anc") != F.col("path"))
-    shadowed = a_anc.join(b.select(key, F.col("path").alias("anc")), [key, "anc"], "left_semi")
-    # base scalar leaves the override turns into an object
-    b_anc = b.select(key, F.explode(_ancestors(F.col("path"))).alias("path"), F.col("path").alias("__leaf")
-                     ).filter(F.col("path") != F.col("__leaf")).select(key, "path")
-    a = (a.join(shadowed.select(key, "path"), [key, "path"], "left_anti")
-          .join(b_anc, [key, "path"], "left_anti"))
-    merged = a.join(b.withColumn("__in_b", F.lit(True)), [key, "path"], "full_outer")
-    in_b = F.coalesce(F.col("__in_b"), F.lit(False))
-    return merged.select(key, "path",
-                         F.when(in_b, F.col("override_value")).otherwise(F.col("base_value")).alias("value"),
-                         F.when(in_b, "override").otherwise("base").alias("origin"))
+    sides = [json_entries(d, key, col).select(F.col(key).alias("k"), "parts", "value", "is_object").withColumn("origin", F.lit(o))
+             for d, o in ((base, "base"), (override, "override"))]
+    a, b = (reliable_checkpoint(s) for s in sides)
+    above = lambda d: d.filter(F.size("parts") > 0).select("k", F.explode(_above(F.col("parts"))).alias("parts")).distinct()
+    inner_a, inner_b = above(a), above(b)
+    # base values below a place where the override holds no object
+    under = (a.filter(F.size("parts") > 0).select("k", "parts", F.explode(_above(F.col("parts"))).alias("at"))
+             .join(b.filter(~F.col("is_object")).select("k", F.col("parts").alias("at")), ["k", "at"], "left_semi").select("k", "parts"))
+    # base values where the override has an entry, or an object with members
+    kept = (a.join(b.select("k", "parts"), ["k", "parts"], "left_anti").join(inner_b, ["k", "parts"], "left_anti")
+            .join(under, ["k", "parts"], "left_anti"))
+    # an empty object of the override is nothing new where the base has an object with members
+    added = b.filter(~F.col("is_object")).union(b.filter("is_object").join(inner_a, ["k", "parts"], "left_anti").select(b.columns))
+    return kept.select("k", "parts", "value", "origin").union(added.select("k", "parts", "value", "origin")).select(
+        F.col("k").alias(key), path_text(F.col("parts")).alias("path"), "value", "origin")
 
 
 def chain(df: DataFrame, steps) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import columns as fc
-from quarry.functions.text import content_hash, normalize_text
+from quarry.functions.text import NO_WORD_CLASS, WS_CLASS, content_hash, normalize_text
 from quarry.operators import calendar as cal
 from quarry.operators import cleaning as cl
 from quarry.operators import ordering, structure
@@ -13,6 +13,7 @@ from quarry.operators.partitioning import ensure_parallelism
 from quarry.plans import fixtures as fx
 from quarry.plans.bind_hr import CLEAN_SQL, clean_employees_df
 from quarry.plans.catalog import query
+from quarry.session import reliable_checkpoint
 
 
 @query("batch_assign", fx.cte("employees_raw") + """SELECT employee_id,
@@ -36,6 +37,14 @@ def q_shrink_types(spark, sf):
     return structure.type_report(fx.table(spark, sf, "lineitem"))
 
 
+@query("shrink_cast", """SELECT l_orderkey, l_linenumber, l_partkey + l_suppkey AS key_sum FROM lineitem""")
+def q_shrink_cast(spark, sf):
+    """The table itself in its narrowest integer types, kept for reuse, with all values as before."""
+    small = structure.shrink_types(fx.table(spark, sf, "lineitem"))
+    return small.select(F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("int").alias("l_linenumber"),
+                        (F.col("l_partkey").cast("long") + F.col("l_suppkey").cast("long")).alias("key_sum"))
+
+
 DATE_FMTS_SQL = ["%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%Y-%m-%d %H:%M:%S", "%m/%d/%Y %H:%M:%S",
                  "%B %d, %Y", "%d %B %Y"]
 
@@ -69,7 +78,7 @@ def q_contact_check(spark, sf):
         fc.phone_valid("phone", "country").alias("phone_valid"))
 
 
-NORM_SQL = ("trim(regexp_replace(regexp_replace(lower(text), '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g'))")
+NORM_SQL = f"trim(regexp_replace(regexp_replace(lower(text), '{NO_WORD_CLASS}', '', 'g'), '{WS_CLASS}+', ' ', 'g'))"
 
 
 @query("text_fingerprint", f"""SELECT fingerprint, count(*) AS n_docs, min(doc_id) AS first_doc_id,
@@ -85,9 +94,21 @@ def q_text_fingerprint(spark, sf):
                  F.max(F.length("norm")).cast("long").alias("norm_chars")))
 
 
-@query("html_sanitise")
+def _sanitise_sql(col: str) -> str:
+    for pattern, by in fc.sanitize_steps(fc.ALLOWED_TAGS, "\\"):
+        by = by.replace("\x01", "' || chr(1) || '").replace("\x02", "' || chr(2) || '")
+        pattern = {"\x01": "chr(1)", "\x02": "chr(2)"}.get(pattern, f"'{pattern}'")
+        col = f"regexp_replace({col}, {pattern}, '{by}', 'g')"
+    return f"trim({col})"
+
+
+# markup that a clean-up must not let through, added to every page
+ODD_MARKUP = "html || CASE WHEN page_id % 3 = 0 THEN ' <b onclick=1>bold</b> <b-x>no</b-x> <STRONG class=a>s</STRONG> 1 < 2 > 0 <i>t</i><script src=' ELSE '<!-- open' END"
+
+
+@query("html_sanitise", f"SELECT page_id, {_sanitise_sql(ODD_MARKUP)} AS clean_text FROM pages")
 def q_html_sanitise(spark, sf):
-    pages = ensure_parallelism(fx.table(spark, sf, "pages"))
+    pages = ensure_parallelism(fx.table(spark, sf, "pages")).selectExpr("page_id", f"{ODD_MARKUP} AS html")
     return pages.select("page_id", fc.sanitize_html("html").alias("clean_text"))
 
 
@@ -151,7 +172,8 @@ def q_business_days(spark, sf):
     orders = fx.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("order_date"))
     df = li.join(orders, "l_orderkey")
-    out = cal.business_days_between(df, "order_date", "ship_date", fx.table(spark, sf, "holidays"))
+    span = cal.joint_bounds(cal.date_bounds(li, "ship_date"), cal.date_bounds(orders, "order_date"))
+    out = cal.business_days_between(df, "order_date", "ship_date", fx.table(spark, sf, "holidays"), bounds=span)
     return out.select("l_orderkey", "l_linenumber", "order_date", "ship_date", "business_days")
 
 
@@ -194,32 +216,48 @@ def q_json_get(spark, sf):
                      structure.json_get("props", "meta.source", "string", "unknown").alias("source"))
 
 
-MERGE_INPUT_SQL = """base AS (SELECT user_id, to_json({'k': CAST(json_extract(arg_min(props, event_id), '$.k') AS BIGINT),
-                                 'meta': {'first_type': arg_min(event_type, event_id), 'events': count(*)}}) AS doc
-         FROM events GROUP BY user_id),
-over AS (SELECT user_id, to_json({'k': CAST(json_extract(arg_max(props, event_id), '$.k') AS BIGINT),
-                                 'meta': {'last_type': arg_max(event_type, event_id)}}) AS doc
-         FROM events GROUP BY user_id)"""
+# The two records of a user hold nested objects of depth 6, an empty object, texts that begin like
+# objects, a dotted name beside a nested path, and, for some users, a null document.
+MERGE_BASE = """CASE WHEN user_id % 17 = 3 THEN NULL ELSE concat('{"k":', CAST(first_k AS string), ',"meta":{"first_type":"', first_type,
+  '","events":', CAST(events AS string), '},"l1":{"l2":{"l3":{"l4":{"l5":{"l6":1,"keep":', CAST(events AS string),
+  '}}}}},"none":{},"note":"{no object","json":"{', chr(92), '"x', chr(92), '":1}","a.b":"dotted","swap":{"x":1,"y":2},"flat":5}') END"""
+MERGE_OVER = """CASE WHEN user_id % 19 = 5 THEN NULL ELSE concat('{"k":', CAST(last_k AS string), ',"meta":{"last_type":"', last_type,
+  '"},"l1":{"l2":{"l3":{"l4":{"l5":{"l6":2}}}}},"a":{"b":"nested"},"swap":"text","flat":{"z":{}}}') END"""
+MERGE_INPUT_SQL = f"""per AS (SELECT user_id, CAST(json_extract(arg_min(props, event_id), '$.k') AS BIGINT) AS first_k,
+  CAST(json_extract(arg_max(props, event_id), '$.k') AS BIGINT) AS last_k, arg_min(event_type, event_id) AS first_type,
+  arg_max(event_type, event_id) AS last_type, count(*) AS events FROM events GROUP BY user_id),
+docs AS (SELECT user_id, {MERGE_BASE} AS base, {MERGE_OVER} AS over FROM per),
+inputs AS (SELECT per.*, base IS NOT NULL AS has_base, over IS NOT NULL AS has_over FROM per JOIN docs USING (user_id))"""
 
 
 def merge_inputs(spark, sf):
     ev = fx.table(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("bigint")
-    base = ev.groupBy("user_id").agg(F.to_json(F.struct(
-        F.min_by(k, "event_id").alias("k"),
-        F.struct(F.min_by("event_type", "event_id").alias("first_type"),
-                 F.count(F.lit(1)).alias("events")).alias("meta"))).alias("doc"))
-    over = ev.groupBy("user_id").agg(F.to_json(F.struct(
-        F.max_by(k, "event_id").alias("k"),
-        F.struct(F.max_by("event_type", "event_id").alias("last_type")).alias("meta"))).alias("doc"))
-    return base, over
-
-
-@query("record_merge", "WITH " + MERGE_INPUT_SQL + """
-SELECT user_id, 'k' AS path, CAST(json_extract(over.doc, '$.k') AS VARCHAR) AS value, 'override' AS origin FROM over
-UNION ALL SELECT user_id, 'meta.last_type', json_extract_string(over.doc, '$.meta.last_type'), 'override' FROM over
-UNION ALL SELECT user_id, 'meta.first_type', json_extract_string(base.doc, '$.meta.first_type'), 'base' FROM base
-UNION ALL SELECT user_id, 'meta.events', CAST(json_extract(base.doc, '$.meta.events') AS VARCHAR), 'base' FROM base""")
+    per = ev.groupBy("user_id").agg(
+        F.min_by(k, "event_id").alias("first_k"), F.max_by(k, "event_id").alias("last_k"),
+        F.min_by("event_type", "event_id").alias("first_type"), F.max_by("event_type", "event_id").alias("last_type"),
+        F.count(F.lit(1)).alias("events"))
+    both = reliable_checkpoint(per.select("user_id", F.expr(MERGE_BASE).alias("base"), F.expr(MERGE_OVER).alias("over")))
+    return both.select("user_id", F.col("base").alias("doc")), both.select("user_id", F.col("over").alias("doc"))
+
+
+def _merge_rows() -> str:
+    """What the merged records hold, place by place: (path, value, side, and where it stands)."""
+    base, over = "has_base", "has_over"
+    rows = [("k", "CAST(last_k AS VARCHAR)", "override", over), ("k", "CAST(first_k AS VARCHAR)", "base", f"{base} AND NOT has_over"),
+            ("meta.last_type", "last_type", "override", over), ("meta.first_type", "first_type", "base", base),
+            ("meta.events", "CAST(events AS VARCHAR)", "base", base),
+            ("l1.l2.l3.l4.l5.l6", "'2'", "override", over), ("l1.l2.l3.l4.l5.l6", "'1'", "base", f"{base} AND NOT has_over"),
+            ("l1.l2.l3.l4.l5.keep", "CAST(events AS VARCHAR)", "base", base), ("none", "'{}'", "base", base),
+            ("note", "'{no object'", "base", base), ("json", """'{"x":1}'""", "base", base), ("a\\.b", "'dotted'", "base", base),
+            ("a.b", "'nested'", "override", over), ("swap", "'text'", "override", over),
+            ("swap.x", "'1'", "base", f"{base} AND NOT has_over"), ("swap.y", "'2'", "base", f"{base} AND NOT has_over"),
+            ("flat.z", "'{}'", "override", over), ("flat", "'5'", "base", f"{base} AND NOT has_over"),
+            ("", "CAST(NULL AS VARCHAR)", "override", "NOT has_base AND NOT has_over")]
+    return "\nUNION ALL ".join(f"SELECT user_id, '{p}' AS path, {v} AS value, '{o}' AS origin FROM inputs WHERE {w}" for p, v, o, w in rows)
+
+
+@query("record_merge", "WITH " + MERGE_INPUT_SQL + "\n" + _merge_rows())
 def q_record_merge(spark, sf):
     base, over = merge_inputs(spark, sf)
     return structure.deep_merge(base, over, "user_id", "doc")
@@ -232,6 +270,12 @@ def q_surrogate(spark, sf):
         "employee_id", fc.surrogate_id("employee_id", "emp").alias("surrogate_id"))
 
 
+@query("stamped_ids", """SELECT event_id, 'query_' || strftime(ts, '%Y%m%d_%H%M%S') || '_'
+  || CAST(CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 10000 AS VARCHAR) AS query_id FROM events""")
+def q_stamped(spark, sf):
+    return fx.table(spark, sf, "events").select("event_id", fc.stamped_id("query", "ts", "event_id").alias("query_id"))
+
+
 @query("transform_chain", CLEAN_SQL + """SELECT employee_id, first_name, tenure_years,
   CASE WHEN tenure_years < 1 THEN 'New Hire' WHEN tenure_years < 3 THEN 'Junior'
        WHEN tenure_years < 7 THEN 'Mid-level' WHEN tenure_years < 15 THEN 'Senior'
