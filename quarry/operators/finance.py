@@ -30,13 +30,21 @@ def budget_variance(budgets: DataFrame) -> DataFrame:
             .withColumn("variance", r6(F.col("total_budget") - F.col("total_spent"))))
 
 
-def cost_per_employee(expenses: DataFrame) -> DataFrame:
-    """Per fiscal quarter: total expense, distinct spending employees, cost per employee."""
-    return (expenses.groupBy("fiscal_year", "fiscal_quarter")
-            .agg(r2(F.sum("amount")).alias("total_expense"),
-                 F.count_distinct("employee_id").alias("employees"))
-            .withColumn("cost_per_employee",
-                        r6(F.try_divide(F.col("total_expense"), F.col("employees")))))
+def cost_per_employee(expenses: DataFrame, employees: DataFrame) -> DataFrame:
+    """Per fiscal quarter: total expense, employees who spent, headcount (employees hired by the
+    quarter's end) and cost per head. Two aggregates, one row a quarter each, joined on it."""
+    spent = expenses.groupBy("fiscal_year", "fiscal_quarter").agg(
+        F.sum("amount").alias("total_expense"), F.count_distinct("employee_id").alias("spending_employees"))
+    index = quarter_index("fiscal_year", "fiscal_quarter")
+    hired = employees.filter("hire_date is not null").groupBy(
+        (F.year("hire_date") * 4 + F.quarter("hire_date") - 1).alias("q")).agg(F.count(F.lit(1)).alias("hired"))
+    # hires and quarters asked about on one axis of quarters, then a running sum over it
+    axis = hired.select("q", "hired").unionByName(spent.select(index.alias("q"), F.lit(0).cast("long").alias("hired")))
+    axis = axis.groupBy("q").agg(F.sum("hired").alias("hired"))
+    heads = axis.select("q", F.sum("hired").over(Window.orderBy("q").rowsBetween(Window.unboundedPreceding, 0)).alias("headcount"))
+    return spent.withColumn("q", index).join(heads, "q").select(
+        "fiscal_year", "fiscal_quarter", "total_expense", "spending_employees", "headcount",
+        F.try_divide(F.col("total_expense"), F.col("headcount")).alias("cost_per_employee"))
 
 
 def quarterly_revenue(revenue: DataFrame, date_col: str = "revenue_date") -> DataFrame:

@@ -98,7 +98,10 @@ def unique_check(df: DataFrame, column: str) -> DataFrame:
 
 
 def duplicate_report(df: DataFrame, column: str, table: str) -> DataFrame:
-    per_value = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    """Rows that share their value and values that are shared. Values are grouped by a 128-bit hash,
+    so that long texts do not travel as keys."""
+    key = F.struct(F.md5(F.col(column).cast("string")).alias("h"), F.xxhash64(column).alias("x"))
+    per_value = df.filter(F.col(column).isNotNull()).groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n"))
     return per_value.agg(
         F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).cast("bigint").alias("duplicate_rows"),
         F.count_if(F.col("n") > 1).alias("duplicated_values")).select(
@@ -133,16 +136,20 @@ GATE_SUITES = {
 }
 
 
-def suite_summary(results: DataFrame) -> DataFrame:
-    """Per table: success and the failed expectation types in suite order."""
+def suite_summary(results: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Per table: success, the failed expectation types in suite order, and when it was judged."""
+    at = F.to_timestamp_ntz(F.lit(as_of)) if as_of else F.localtimestamp()
     return results.groupBy("table_name").agg(
         F.bool_and("success").alias("success"),
         F.transform(F.array_sort(F.collect_list(F.when(~F.col("success"), F.struct("ord", "expectation")))),
-                    lambda s: s["expectation"]).alias("failed_expectations"))
+                    lambda s: s["expectation"]).alias("failed_expectations")).withColumn("timestamp", at)
 
 
-def gate(results: DataFrame) -> DataFrame:
-    """Per table PASSED / FAILED (a table without expectations passes)."""
+def gate(results: DataFrame, tables: list[str] | None = None) -> DataFrame:
+    """Per table PASSED / FAILED. Of ``tables``, those without any expectation pass."""
+    if tables:
+        names = results.sparkSession.createDataFrame([(t,) for t in tables], "table_name string")
+        results = results.select("table_name", "success").unionByName(names.withColumn("success", F.lit(True)))
     return results.groupBy("table_name").agg(
         F.count_if(~F.col("success")).alias("failed_checks")).select(
         "table_name", "failed_checks",
@@ -153,7 +160,7 @@ def enforce(gate_df: DataFrame) -> None:
     """Raise before loading anything when a table failed (reads only the small gate table)."""
     failed = [r["table_name"] for r in gate_df.filter(F.col("status") == "FAILED").select("table_name").collect()]
     if failed:
-        raise ValueError(f"Data validation failed for: {sorted(failed)}")
+        raise ValueError(f"nothing is loaded, checks failed on: {', '.join(sorted(failed))}")
 
 
 # Required employee columns and accepted types.
@@ -169,10 +176,10 @@ def schema_check(df: DataFrame) -> DataFrame:
     rows = []
     missing = [c for c in REQUIRED_EMPLOYEE_COLUMNS if c not in present]
     if missing:
-        rows.append(("error", f"Missing required columns: {sorted(missing)}"))
+        rows.append(("error", f"columns not found: {', '.join(sorted(missing))}"))
     for c, ok in EXPECTED_EMPLOYEE_TYPES.items():
         if c in present and present[c] not in ok:
-            rows.append(("warning", f"Column {c} has type {present[c]}, expected one of {ok}"))
+            rows.append(("warning", f"{c} is {present[c]}, not {' or '.join(ok)}"))
     schema = T.StructType([T.StructField("level", T.StringType()), T.StructField("message", T.StringType())])
     return df.sparkSession.createDataFrame(rows, schema)
 
@@ -194,31 +201,47 @@ def business_rules(df: DataFrame, as_of: str) -> DataFrame:
 
 def constraint_checks(checks: list[tuple], tables: dict[str, DataFrame]) -> DataFrame:
     """Warehouse constraints as checks. ``checks`` rows: (name, kind, table, column, arg) with
-    kind pk | unique | not_null | fk (arg = 'table.column') | max_length (arg = n)."""
+    kind pk | unique | not_null | fk (arg = 'table.column') | max_length (arg = n).
+
+    All row checks of a table are one aggregate over it. Key checks of a column share one count
+    per value; a foreign key joins those counts, one row per value, with the parent's keys.
+    """
+    counts: dict[tuple[str, str], DataFrame] = {}
+
+    def per_value(table, column):
+        if (table, column) not in counts:
+            counts[table, column] = tables[table].groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        return counts[table, column]
+
     parts = []
-    for name, kind, table, column, arg in checks:
-        df = tables[table]
-        if kind in ("pk", "unique"):
-            u = unique_check(df, column)
-            bad = u.select(F.col("unexpected").alias("violations"))
-            if kind == "pk":
-                nulls = df.agg(F.count_if(F.col(column).isNull()).cast("bigint").alias("n"))
-                bad = bad.select((F.col("violations") + nulls.scalar()).alias("violations"))
-        elif kind == "not_null":
-            bad = df.agg(F.count_if(F.col(column).isNull()).cast("bigint").alias("violations"))
-        elif kind == "fk":
-            ptable, pcol = arg.split(".")
-            parent = tables[ptable].select(F.col(pcol).alias(column))
-            bad = (df.filter(F.col(column).isNotNull()).join(parent, column, "left_anti")
-                   .agg(F.count(F.lit(1)).cast("bigint").alias("violations")))
-        elif kind == "max_length":
-            bad = df.agg(F.count_if(F.length(column) > int(arg)).cast("bigint").alias("violations"))
-        else:
-            raise ValueError(kind)
-        parts.append(bad.select(F.lit(name).alias("constraint_name"), F.lit(kind).alias("kind"),
-                                F.lit(table).alias("table_name"), F.lit(column).alias("column_name"),
-                                "violations"))
-    out = parts[0]
+    for table in dict.fromkeys(c[2] for c in checks):
+        own = [c for c in checks if c[2] == table]
+        rows = {n: _row_check(k, col, a) for n, k, _, col, a in own if k in ("not_null", "max_length")}
+        rows |= {f"{n} nulls": F.count_if(F.col(col).isNull()) for n, k, _, col, _ in own if k == "pk"}
+        if rows:
+            names = list(rows)
+            one = tables[table].agg(*[rows[n].cast("bigint").alias(f"c{i}") for i, n in enumerate(names)])
+            parts.append(one.select(F.explode(F.array(*[F.struct(F.lit(n.split(" ")[0]).alias("constraint_name"), F.col(f"c{i}").alias("violations"))
+                                                        for i, n in enumerate(names)])).alias("r")).select("r.*"))
+        for name, kind, _, column, arg in own:
+            if kind in ("pk", "unique"):
+                bad = per_value(table, column).filter("v is not null and n > 1")
+            elif kind == "fk":
+                parent_table, parent_col = arg.split(".")
+                keys = tables[parent_table].select(F.col(parent_col).alias("v")).distinct()
+                bad = per_value(table, column).filter("v is not null").join(keys, "v", "left_anti")
+            else:
+                continue
+            parts.append(bad.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("violations")).select(
+                F.lit(name).alias("constraint_name"), "violations"))
+    found = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("satisfied", F.col("violations") == 0)
+        found = found.unionByName(p)
+    names = found.sparkSession.createDataFrame([c[:4] for c in checks], "constraint_name string, kind string, table_name string, column_name string")
+    total = found.groupBy("constraint_name").agg(F.sum("violations").alias("violations"))
+    # one row per constraint
+    return names.join(F.broadcast(total), "constraint_name").withColumn("satisfied", F.col("violations") == 0)
+
+
+def _row_check(kind: str, column: str, arg):
+    return F.count_if(F.col(column).isNull()) if kind == "not_null" else F.count_if(F.length(F.col(column)) > int(arg))

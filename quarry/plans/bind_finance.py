@@ -66,12 +66,16 @@ def q_budget_variance(spark, sf):
     return fn.budget_variance(budgets_clean(spark, sf))
 
 
-@query("cost_per_employee", EXP_CLEAN_SQL + """SELECT fiscal_year, fiscal_quarter,
-  round(sum(amount), 2) AS total_expense, count(DISTINCT employee_id) AS employees,
-  round(round(sum(amount), 2) / count(DISTINCT employee_id), 6) AS cost_per_employee
-FROM exp_clean GROUP BY fiscal_year, fiscal_quarter""")
+@query("cost_per_employee", CLEAN_SQL[:-1] + ",\n" + EXP_CLEAN_SQL[5:-1] + """,
+q AS (SELECT fiscal_year, fiscal_quarter, sum(amount) AS total, count(DISTINCT employee_id) AS spenders FROM exp_clean GROUP BY ALL)
+SELECT fiscal_year, fiscal_quarter, round(total, 2) AS total_expense, spenders AS spending_employees,
+  (SELECT count(*) FROM clean c WHERE c.hire_date < make_date(fiscal_year, 3 * fiscal_quarter - 2, 1) + INTERVAL 3 MONTH) AS headcount,
+  round(total / nullif((SELECT count(*) FROM clean c
+    WHERE c.hire_date < make_date(fiscal_year, 3 * fiscal_quarter - 2, 1) + INTERVAL 3 MONTH), 0), 6) AS cost_per_employee
+FROM q""")
 def q_cost_per_employee(spark, sf):
-    return fn.cost_per_employee(expenses_clean(spark, sf))
+    out = fn.cost_per_employee(expenses_clean(spark, sf), clean_employees_df(spark, sf))
+    return out.withColumns({"total_expense": F.round("total_expense", 2), "cost_per_employee": F.round("cost_per_employee", 6)})
 
 
 @query("financial_report", EXP_CLEAN_SQL[:-1] + ",\n" + fx.cte("revenue")[5:] + """,
@@ -197,30 +201,22 @@ def q_dept_managers(spark, sf):
     return jn.department_managers(fx.table(spark, sf, "departments"), clean_employees_df(spark, sf))
 
 
-@query("orphan_keys", fx.cte("employees_raw", "expenses_raw", "departments",
-                             "performance_reviews_raw") + """
-SELECT 'expenses.employee_id' AS constraint_name, count(*) AS orphan_rows,
-  count(DISTINCT employee_id) AS orphan_keys FROM expenses_raw x
-  WHERE employee_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM employees_raw e WHERE e.employee_id = x.employee_id)
-UNION ALL
-SELECT 'expenses.department_id', count(*), count(DISTINCT department_id) FROM expenses_raw x
-  WHERE department_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM departments d WHERE d.department_id = x.department_id)
-UNION ALL
-SELECT 'departments.manager_id', count(*), count(DISTINCT manager_id) FROM departments x
-  WHERE manager_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM employees_raw e WHERE e.employee_id = x.manager_id)
-UNION ALL
-SELECT 'performance_reviews.reviewer_id', count(*), count(DISTINCT reviewer_id) FROM performance_reviews_raw x
-  WHERE reviewer_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM employees_raw e WHERE e.employee_id = x.reviewer_id)""")
+# (child view, foreign key, parent view, key, name)
+REFERENCES = [
+    ("expenses_raw", "employee_id", "employees_raw", "employee_id", "expenses.employee_id"),
+    ("expenses_raw", "department_id", "departments", "department_id", "expenses.department_id"),
+    ("departments", "manager_id", "employees_raw", "employee_id", "departments.manager_id"),
+    ("performance_reviews_raw", "employee_id", "employees_raw", "employee_id", "performance_reviews.employee_id"),
+    ("performance_reviews_raw", "reviewer_id", "employees_raw", "employee_id", "performance_reviews.reviewer_id"),
+    ("budgets_raw", "department_id", "departments", "department_id", "budgets.department_id"),
+    ("budget_allocations", "budget_id", "budgets_raw", "budget_id", "budget_allocations.budget_id"),
+]
+
+
+@query("orphan_keys", fx.cte(*dict.fromkeys(v for c, _, p, _, _ in REFERENCES for v in (c, p))) + "\nUNION ALL ".join(
+    f"SELECT '{name}' AS constraint_name, count(*) AS orphan_rows, count(DISTINCT {fk}) AS orphan_keys FROM {child} x "
+    f"WHERE {fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{key} = x.{fk})"
+    for child, fk, parent, key, name in REFERENCES))
 def q_orphans(spark, sf):
-    emps = fx.table(spark, sf, "employees_raw")
-    exps = fx.table(spark, sf, "expenses_raw")
-    depts = fx.table(spark, sf, "departments")
-    revs = fx.table(spark, sf, "performance_reviews_raw")
-    parts = [jn.orphan_keys(exps, "employee_id", emps, "employee_id", "expenses.employee_id"),
-             jn.orphan_keys(exps, "department_id", depts, "department_id", "expenses.department_id"),
-             jn.orphan_keys(depts, "manager_id", emps, "employee_id", "departments.manager_id"),
-             jn.orphan_keys(revs, "reviewer_id", emps, "employee_id", "performance_reviews.reviewer_id")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return jn.orphan_report([(fx.table(spark, sf, c), fk, fx.table(spark, sf, p), key, name)
+                             for c, fk, p, key, name in REFERENCES])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quarry.operators import cleaning as cl
 from quarry.operators import quality as dq
 from quarry.operators import summaries as sm
@@ -11,7 +13,7 @@ from quarry.plans.bind_hr import CLEAN_SQL, clean_employees_df, employees_with_t
 from quarry.plans.catalog import query
 
 STRICT = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
-LOOSE = r"^[\w\.-]+@[\w\.-]+\.\w+$"
+LOOSE = r"^[\p{L}\p{N}_.-]+@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+$"
 
 
 def _v(name, col, ordn, evaluated, unexpected, table="employees"):
@@ -69,9 +71,24 @@ def q_dq_unique(spark, sf):
     return dq.duplicate_report(fx.table(spark, sf, "documents"), "text", "documents")
 
 
-@query("schema_check")
+@query("schema_check", """SELECT * FROM (VALUES
+  ('error', 'columns not found: last_name'),
+  ('warning', 'salary is string, not double or bigint'),
+  ('warning', 'performance_rating is string, not double')) t(level, message)
+WHERE (SELECT count(*) FROM customer) >= 0""")
 def q_schema_check(spark, sf):
-    return dq.schema_check(fx.table(spark, sf, "employees_raw"))
+    """Raw employees without a required column and with a rating read as text."""
+    raw = fx.table(spark, sf, "employees_raw").drop("last_name").withColumn("performance_rating", F.col("performance_rating").cast("string"))
+    return dq.schema_check(raw)
+
+
+@query("dq_summary", _suite_sql().replace("SELECT *, unexpected = 0 AS success FROM (", ", suite AS (SELECT *, unexpected = 0 AS success FROM (", 1).replace(
+    "\n, suite", ", suite", 1) + f""")
+SELECT table_name, bool_and(success) AS success,
+  list(expectation ORDER BY ord) FILTER (NOT success) AS failed_expectations, TIMESTAMP '{fx.AS_OF} 00:00:00' AS timestamp
+FROM suite GROUP BY table_name""")
+def q_dq_summary(spark, sf):
+    return dq.suite_summary(dq.run_suite(clean_employees_df(spark, sf), dq.HR_SUITE, "employees"), f"{fx.AS_OF} 00:00:00")
 
 
 @query("business_rules", CLEAN_SQL + f"""SELECT * FROM (
@@ -110,40 +127,70 @@ def gate_results(spark, sf):
     + CAST((SELECT count_if(salary IS NOT NULL AND NOT salary BETWEEN 0 AND 1000000) FROM clean) > 0 AS INTEGER)
     AS failed_checks
   UNION ALL SELECT 'transformed_performance_reviews',
-    CAST((SELECT count_if(rating IS NOT NULL AND NOT rating BETWEEN 1.0 AND 5.0) FROM reviews) > 0 AS INTEGER))""")
+    CAST((SELECT count_if(rating IS NOT NULL AND NOT rating BETWEEN 1.0 AND 5.0) FROM reviews) > 0 AS INTEGER)
+  UNION ALL SELECT 'department_summary', 0)""")
 def q_dq_gate(spark, sf):
-    return dq.gate(gate_results(spark, sf)).selectExpr("table_name", "CAST(failed_checks AS INT) AS failed_checks",
+    return dq.gate(gate_results(spark, sf), list(dq.GATE_SUITES)).selectExpr("table_name", "CAST(failed_checks AS INT) AS failed_checks",
                                                        "status")
 
 
-CONSTRAINTS = [
-    ("employees_pk", "pk", "employees", "employee_id", None),
-    ("employees_email_unique", "unique", "employees", "email", None),
-    ("employees_first_name_not_null", "not_null", "employees", "first_name", None),
-    ("employees_last_name_not_null", "not_null", "employees", "last_name", None),
-    ("employees_email_not_null", "not_null", "employees", "email", None),
-    ("employees_first_name_length", "max_length", "employees", "first_name", 100),
-    ("employees_email_length", "max_length", "employees", "email", 255),
-    ("expenses_employee_fk", "fk", "expenses", "employee_id", "employees.employee_id"),
-]
-
-
-@query("constraint_check", CLEAN_SQL[:-1] + ",\n" + EXP_CLEAN_SQL[5:] + """SELECT constraint_name, kind, table_name, column_name, CAST(violations AS BIGINT) AS violations,
-  violations = 0 AS satisfied FROM (
-SELECT 'employees_pk' AS constraint_name, 'pk' AS kind, 'employees' AS table_name, 'employee_id' AS column_name,
-  CAST((SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM emp_std WHERE employee_id IS NOT NULL
-        GROUP BY employee_id) WHERE n > 1) + (SELECT count_if(employee_id IS NULL) FROM emp_std) AS BIGINT) AS violations
-UNION ALL SELECT 'employees_email_unique', 'unique', 'employees', 'email',
-  (SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM emp_std WHERE email IS NOT NULL GROUP BY email) WHERE n > 1)
-UNION ALL SELECT 'employees_first_name_not_null', 'not_null', 'employees', 'first_name', (SELECT count_if(first_name IS NULL) FROM emp_std)
-UNION ALL SELECT 'employees_last_name_not_null', 'not_null', 'employees', 'last_name', (SELECT count_if(last_name IS NULL) FROM emp_std)
-UNION ALL SELECT 'employees_email_not_null', 'not_null', 'employees', 'email', (SELECT count_if(email IS NULL) FROM emp_std)
-UNION ALL SELECT 'employees_first_name_length', 'max_length', 'employees', 'first_name', (SELECT count_if(length(first_name) > 100) FROM emp_std)
-UNION ALL SELECT 'employees_email_length', 'max_length', 'employees', 'email', (SELECT count_if(length(email) > 255) FROM emp_std)
-UNION ALL SELECT 'expenses_employee_fk', 'fk', 'expenses', 'employee_id',
-  (SELECT count(*) FROM exp_clean x WHERE employee_id IS NOT NULL
-     AND NOT EXISTS (SELECT 1 FROM emp_std e WHERE e.employee_id = x.employee_id)))""")
+# The constraints of the warehouse tables: keys, references, required values and lengths.
+WAREHOUSE = {
+    "employees": ("emp_std", "employee_id", ["first_name", "last_name", "email"],
+                  {"first_name": 100, "last_name": 100, "email": 255, "department": 100, "status": 20}, {}),
+    "departments": ("departments", "department_id", ["department_name"], {"department_name": 100}, {"manager_id": "employees.employee_id"}),
+    "expenses": ("exp_clean", "expense_id", [], {"category": 100, "status": 20},
+                 {"employee_id": "employees.employee_id", "department_id": "departments.department_id"}),
+    "documents": ("doc_files", "document_id", [], {"filename": 255, "document_type": 100}, {}),
+    "performance_reviews": ("reviews", "review_id", [], {"review_period": 20},
+                            {"employee_id": "employees.employee_id", "reviewer_id": "employees.employee_id"}),
+    "budgets": ("budgets_raw", "budget_id", [], {}, {"department_id": "departments.department_id"}),
+    "budget_allocations": ("budget_allocations", "allocation_id", [], {"category": 100}, {"budget_id": "budgets.budget_id"}),
+}
+DOC_FILES = ("SELECT doc_id AS document_id, concat('doc_', CAST(doc_id AS string), '.txt') AS filename, "
+             "CASE WHEN doc_id % 50 = 7 THEN repeat('t', 101) ELSE source END AS document_type FROM documents")
+REVIEW_PERIOD = "CASE WHEN review_id % 40 = 3 THEN 'a review period of many words' ELSE concat(CAST(year(review_date) AS string), '-Q') END"
+
+
+def _constraints() -> list[tuple]:
+    out = []
+    for table, (_, key, required, lengths, refs) in WAREHOUSE.items():
+        out.append((f"{table}_pk", "pk", table, key, None))
+        if table == "employees":
+            out.append(("employees_email_unique", "unique", table, "email", None))
+        out += [(f"{table}_{c}_not_null", "not_null", table, c, None) for c in required]
+        out += [(f"{table}_{c}_length", "max_length", table, c, n) for c, n in lengths.items()]
+        out += [(f"{table}_{c}_fk", "fk", table, c, ref) for c, ref in refs.items()]
+    return out
+
+
+def _constraint_sql() -> str:
+    views = CLEAN_SQL[:-1] + ",\n" + EXP_CLEAN_SQL[5:-1] + ",\n" + REVIEWS_SQL.replace("reviews AS (", "reviews_0 AS (") + ",\n" + fx.cte(
+        "departments", "budgets_raw", "budget_allocations")[5:-1]
+    views += f",\nreviews AS (SELECT *, {REVIEW_PERIOD} AS review_period FROM reviews_0),\ndoc_files AS ({DOC_FILES})\n"
+    rows = []
+    for name, kind, table, column, arg in _constraints():
+        src = WAREHOUSE[table][0]
+        dup = f"(SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM {src} WHERE {column} IS NOT NULL GROUP BY {column}) WHERE n > 1)"
+        bad = {"pk": f"{dup} + (SELECT count_if({column} IS NULL) FROM {src})", "unique": dup,
+               "not_null": f"(SELECT count_if({column} IS NULL) FROM {src})",
+               "max_length": f"(SELECT count_if(length({column}) > {arg}) FROM {src})"}.get(kind)
+        if kind == "fk":
+            parent, key = arg.split(".")
+            bad = (f"(SELECT count(*) FROM {src} x WHERE x.{column} IS NOT NULL AND NOT EXISTS "
+                   f"(SELECT 1 FROM {WAREHOUSE[parent][0]} p WHERE p.{key} = x.{column}))")
+        rows.append(f"SELECT '{name}' AS constraint_name, '{kind}' AS kind, '{table}' AS table_name, '{column}' AS column_name, "
+                    f"CAST({bad} AS BIGINT) AS violations")
+    return views + "SELECT *, violations = 0 AS satisfied FROM (" + "\nUNION ALL ".join(rows) + ")"
+
+
+@query("constraint_check", _constraint_sql())
 def q_constraints(spark, sf):
-    emps = fx.table(spark, sf, "employees_raw").withColumns(cl.employee_columns())
-    tables = {"employees": emps, "expenses": expenses_clean(spark, sf)}
-    return dq.constraint_checks(CONSTRAINTS, tables)
+    fx.register(spark, sf)
+    tables = {"employees": fx.table(spark, sf, "employees_raw").withColumns(cl.employee_columns()),
+              "departments": fx.table(spark, sf, "departments"), "expenses": expenses_clean(spark, sf),
+              "documents": spark.sql(DOC_FILES), "budgets": fx.table(spark, sf, "budgets_raw"),
+              "performance_reviews": cl.clean_reviews(fx.table(spark, sf, "performance_reviews_raw")).withColumn(
+                  "review_period", F.expr(REVIEW_PERIOD)),
+              "budget_allocations": fx.table(spark, sf, "budget_allocations")}
+    return dq.constraint_checks(_constraints(), tables)
