@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.quantiles import exact_quantiles
 from quarry.operators.summaries import r6
+from quarry.session import reliable_checkpoint
 
 
 def with_event_time(df: DataFrame, ts_col: str = "ts") -> DataFrame:
@@ -23,14 +24,16 @@ def with_event_time(df: DataFrame, ts_col: str = "ts") -> DataFrame:
     return df.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
 
 
-def sliding(df: DataFrame, ts_col: str = "ts", length: str = "5 minutes",
-            slide: str = "1 minute") -> DataFrame:
-    """Assign each row to its sliding windows (a row is in length/slide windows). Only used
-    where every row value is needed (exact quantiles); decomposable metrics use
-    ``minute_windows`` instead."""
-    return (with_event_time(df, ts_col).withColumn("w", F.window(ts_col, length, slide))
-            .withColumn("window_start", F.col("w.start").cast("timestamp_ntz"))
-            .withColumn("window_end", F.col("w.end").cast("timestamp_ntz")).drop("w"))
+def minute_of(ts_col: str = "ts"):
+    return F.date_trunc("minute", F.col(ts_col).cast("timestamp"))
+
+
+def fan_minutes(df: DataFrame, minutes: int = 5) -> DataFrame:
+    """Rows of a minute (column ``__m``) once for each sliding window that holds it."""
+    fan = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(minutes - 1))).alias("__k"))
+    start = F.col("__m") - F.make_interval(mins=F.col("__k"))
+    return fan.withColumn("window_start", start.cast("timestamp_ntz")).withColumn(
+        "window_end", (start + F.expr(f"INTERVAL {minutes} MINUTES")).cast("timestamp_ntz")).drop("__k")
 
 
 def minute_windows(df: DataFrame, per_minute: list, per_window: list, keys: list[str] | None = None,
@@ -39,13 +42,8 @@ def minute_windows(df: DataFrame, per_minute: list, per_window: list, keys: list
     pre-aggregate: the raw rows are reduced to one row per minute (map-side partial
     aggregation), and only those rows are fanned out to the windows that contain them."""
     keys = keys or []
-    minute = F.date_trunc("minute", F.col(ts_col).cast("timestamp")).alias("__m")
-    pm = df.groupBy(minute, *keys).agg(*per_minute)
-    fan = pm.select("*", F.explode(F.sequence(F.lit(0), F.lit(minutes - 1))).alias("__k"))
-    start = F.col("__m") - F.make_interval(mins=F.col("__k"))
-    fan = fan.withColumn("window_start", start.cast("timestamp_ntz")).withColumn(
-        "window_end", (start + F.expr(f"INTERVAL {minutes} MINUTES")).cast("timestamp_ntz"))
-    return fan.groupBy("window_start", "window_end", *keys).agg(*per_window)
+    pm = df.groupBy(minute_of(ts_col).alias("__m"), *keys).agg(*per_minute)
+    return fan_minutes(pm, minutes).groupBy("window_start", "window_end", *keys).agg(*per_window)
 
 
 def request_rate(requests: DataFrame, seconds: int = 300) -> DataFrame:
@@ -76,8 +74,11 @@ def mean_latency(requests: DataFrame, value_col: str = "duration_s") -> DataFram
 
 
 def latency_quantiles(requests: DataFrame, value_col: str = "duration_s") -> DataFrame:
-    return exact_quantiles(sliding(requests), ["window_start", "window_end"], value_col, "request_id",
-                           {"p50_latency_s": 0.5, "p95_latency_s": 0.95})
+    """p50 and p95 per sliding window, from counts per minute and value bucket."""
+    by_minute = requests.select(minute_of().alias("__m"), value_col)
+    q = exact_quantiles(by_minute, ["window_start", "window_end"], value_col, {"p50_latency_s": 0.5, "p95_latency_s": 0.95},
+                        keys=["__m"], fan=fan_minutes)
+    return q.withColumns({c: r6(F.col(c)) for c in ("p50_latency_s", "p95_latency_s")})
 
 
 # Alert rules (metric, comparison, limit).
@@ -90,22 +91,26 @@ ALERT_RULES = [
 ]
 
 
-def metric_table(requests: DataFrame, gauge_col: str = "duration_s") -> DataFrame:
-    """Tall (window_start, metric, value) table of the alerting metrics per sliding window.
-    The memory gauge is a stand-in: the latest ``gauge_col`` reading in the window."""
-    latest = F.struct(F.col("ts"), F.col("request_id"), F.col(gauge_col).alias("g"))
+def metric_table(requests: DataFrame, memory_bytes: str, free_bytes: str, size_bytes: str) -> DataFrame:
+    """Tall (window_start, metric, value) table of the alerting metrics per sliding window. Gauges
+    are the latest reading in the window: resident memory, in GB, and the free share of the disk;
+    the three arguments name their columns."""
+    latest = F.struct(F.col("ts"), F.col("request_id"), F.col(memory_bytes).alias("memory"),
+                      F.try_divide(F.col(free_bytes), F.col(size_bytes)).alias("free"))
     base = minute_windows(
         requests,
         [F.count_if(F.col("status").between(500, 599)).alias("e"), F.count(F.lit(1)).alias("n"),
          F.sum("duration_s").alias("s"), F.count("duration_s").alias("c"), F.max(latest).alias("last")],
         [(F.sum("e") / F.sum("n")).alias("error_ratio"), (F.sum("s") / F.sum("c")).alias("mean_latency_s"),
          F.max("last").alias("last")]).select(
-        "window_start", "error_ratio", "mean_latency_s", F.col("last.g").alias("memory_gb"))
-    q = exact_quantiles(sliding(requests), ["window_start"], "duration_s", "request_id", {"p95_latency_s": 0.95})
+        "window_start", "error_ratio", "mean_latency_s", (F.col("last.memory") / (1 << 30)).alias("memory_gb"),
+        F.col("last.free").alias("free_disk_ratio"))
+    q = exact_quantiles(requests.select(minute_of().alias("__m"), "duration_s"), ["window_start"], "duration_s",
+                        {"p95_latency_s": 0.95}, keys=["__m"], fan=fan_minutes)
     wide = base.join(q, "window_start")
     return wide.select("window_start", F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
-        for m in ["error_ratio", "mean_latency_s", "memory_gb", "p95_latency_s"]])).alias("m")
+        for m in ["error_ratio", "mean_latency_s", "memory_gb", "free_disk_ratio", "p95_latency_s"]])).alias("m")
     ).select("window_start", "m.metric", r6(F.col("m.value")).alias("value"))
 
 
@@ -133,16 +138,21 @@ def alert_firing(breaches: DataFrame, step_minutes: int = 1, hold_minutes: int =
     return runs.filter(held).select("metric", "window_start", "run_start")
 
 
-def liveness_gaps(events: DataFrame, source_col: str, ts_col: str = "ts",
-                  bucket_seconds: int = 3600) -> DataFrame:
-    """Buckets between a source's first and last event in which it sent nothing ("down")."""
+def liveness_gaps(events: DataFrame, source_col: str, ts_col: str = "ts", bucket_seconds: int = 60,
+                  hold: int = 1, end: str | None = None) -> DataFrame:
+    """Runs of time buckets in which a source sent nothing, from its first event on to the end of
+    all data (or to the time ``end``), so that a source that fell silent for good is reported:
+    ``(source, down_from, down_until, buckets, firing)``; ``firing`` tells runs that outlast
+    ``hold`` buckets. A source costs one row per bucket in which it is alive."""
     b = (F.unix_timestamp(F.col(ts_col).cast("timestamp")) / bucket_seconds).cast("long")
-    seen = events.select(source_col, b.alias("bucket")).distinct()
-    span = seen.groupBy(source_col).agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
-    axis = span.select(source_col, F.explode(F.sequence("lo", "hi")).alias("bucket"))
-    gaps = axis.join(seen, [source_col, "bucket"], "left_anti")
-    return gaps.select(source_col, F.timestamp_seconds(F.col("bucket") * bucket_seconds)
-                       .cast("timestamp_ntz").alias("bucket_start"))
+    seen = events.select(source_col, b.alias("bucket")).filter("bucket is not null").distinct()
+    last = F.floor(F.unix_timestamp(F.lit(end).cast("timestamp")) / bucket_seconds) if end else events.agg(F.max(b)).scalar()
+    nxt = F.coalesce(F.lead("bucket").over(Window.partitionBy(source_col).orderBy("bucket")), last + 1)
+    runs = seen.withColumn("until", nxt).filter(F.col("until") - F.col("bucket") > 1)
+    at = lambda c: F.timestamp_seconds(c * bucket_seconds).cast("timestamp_ntz")
+    n = F.col("until") - F.col("bucket") - 1
+    return runs.select(source_col, at(F.col("bucket") + 1).alias("down_from"), at(F.col("until")).alias("down_until"),
+                       n.alias("buckets"), (n > hold).alias("firing"))
 
 
 def sliding_requests(requests: DataFrame, seconds: int = 60) -> DataFrame:
@@ -207,8 +217,11 @@ def decide_admissions(window: deque, t: np.ndarray, lim: np.ndarray) -> np.ndarr
     return out
 
 
+ADMITTED = "request_id long, user_id long, role string, us long, admitted boolean"
+
+
 def _admit_batches(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sequential admission for one user; rows arrive ordered by (ts, request_id) in Arrow
+    """Sequential admission of one run of a user; rows arrive ordered by (ts, request_id) in Arrow
     batches, state is the deque of admitted times in the last window (≤ limit entries)."""
     window: deque = deque()
     for pdf in batches:
@@ -217,25 +230,38 @@ def _admit_batches(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Ite
                             "us": pdf["us"], "admitted": out})
 
 
-def rate_limit_admission(requests: DataFrame, partitions: int | None = None,
-                         limits: dict | None = None) -> DataFrame:
+def admission_runs(cols: DataFrame) -> DataFrame:
+    """``(user_id, b, run, binds)`` per non-empty 60-s bucket of a user. An empty bucket between two
+    requests lies over the whole window, so a run of neighbouring non-empty buckets depends on
+    nothing before it. ``binds`` is false for runs in which no two neighbouring buckets together
+    hold more requests than the run's least limit: there every request is admitted."""
+    per = cols.groupBy("user_id", "b").agg(F.count(F.lit(1)).alias("n"), F.min("lim").alias("lim"))
+    w = Window.partitionBy("user_id").orderBy("b")  # one row per bucket, bounded by the time span
+    per = per.withColumn("before", F.lag("b").over(w)).withColumn("n_before", F.lag("n").over(w))
+    near = F.col("before") == F.col("b") - 1
+    per = per.withColumn("run", F.sum(F.when(near, 0).otherwise(1)).over(w)).withColumn(
+        "most", F.col("n") + F.when(near, F.col("n_before")).otherwise(0))
+    whole = Window.partitionBy("user_id", "run")
+    return per.select("user_id", "b", "run", (F.max("most").over(whole) > F.min("lim").over(whole)).alias("binds"))
+
+
+def rate_limit_admission(requests: DataFrame, limits: dict | None = None) -> DataFrame:
     """Exact sliding-window admission (rejected requests do not count).
 
-    Rows are hash-partitioned by user and sorted by (user, ts, request_id) within
-    partitions; the grouped map consumes that order as a stream of Arrow batches, so a
-    user's history is never materialised — only the ≤ limit admitted times are kept. The
-    request columns travel through the function, so no join back is needed. The decision is
-    inherently sequential per user: a user's requests are decided by one task, in order.
+    The unit of work is a (user, run of non-empty 60-s buckets), see ``admission_runs``. Runs that
+    cannot reach a limit, normally almost all, are admitted in the JVM. The others are decided
+    one request after another by a grouped map that reads its run as a stream of Arrow batches
+    and keeps the ≤ limit admitted times only.
     """
+    span = WINDOW_SECONDS * 1_000_000
     cols = requests.select("request_id", "user_id", "role",
                            F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
-                           role_limit("role", limits).alias("lim"))
-    # an explicit partition count: AQE would otherwise coalesce this shuffle into a few
-    # tasks, and the per-user Python pass is the CPU-heavy part of the job
-    n = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_user = cols.repartition(n, "user_id")
-    prepared = by_user.sortWithinPartitions("user_id", "us", "request_id")
-    decided = prepared.groupBy("user_id").applyInPandas(
-        _admit_batches, "request_id long, user_id long, role string, us long, admitted boolean")
-    return decided.select("request_id", "user_id",
-                          F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "role", "admitted")
+                           role_limit("role", limits).alias("lim")).withColumn("b", F.floor(F.col("us") / F.lit(span)))
+    runs = reliable_checkpoint(admission_runs(cols))
+    tagged = cols.join(runs, ["user_id", "b"])
+    free = tagged.filter(~F.col("binds")).select("request_id", "user_id", "role", "us", F.lit(True).alias("admitted"))
+    bound = tagged.filter("binds").select("request_id", "user_id", "role", "us", "lim", "run").repartition(
+        "user_id", "run").sortWithinPartitions("user_id", "run", "us", "request_id")
+    decided = bound.groupBy("user_id", "run").applyInPandas(_admit_batches, ADMITTED)
+    return free.unionByName(decided).select("request_id", "user_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"),
+                                            "role", "admitted")

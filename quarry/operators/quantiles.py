@@ -1,50 +1,70 @@
-"""Exact interpolated quantiles per group without gathering a group into one task.
+"""Exact interpolated quantiles per group without gathering or globally sorting a group.
 
-The rows are globally sorted by (group, value, tie-breaker) with the distributed numbering
-of ``ordering.global_index``; each group's first position and size come from a partial
-aggregate; the two interpolation endpoints of every requested quantile are fetched back by
-an equi-join on the global position. A group holding a third of all rows is spread over
-many range partitions like any other key range.
+Values are cut into buckets by splits taken from an approximate percentile sketch; every split
+has a bucket of its own, so a value that a third of all rows share is alone in one. Rows are
+first reduced to counts per (group, bucket), which tell the bucket that holds each wanted rank.
+Where a bucket holds one value that is the answer; of the others only the rows of the buckets
+found are read again and numbered, a small share of a group each.
+
+With ``fan`` the rows carry a finer key than the groups (minutes of sliding windows): counts are
+made per fine key and fanned out to the groups, and so are the few rows that are read again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Callable
+
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.ordering import global_index
-from quarry.operators.partitioning import broadcast_if_small
-
-
-def r6(c):
-    return F.round(c, 6)
-
-
-def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, tie_col: str,
-                    probs: dict[str, float]) -> DataFrame:
-    """Interpolated quantiles (``quantile_cont``) per group, exact and distributed."""
-    base = df.filter(F.col(value_col).isNotNull()).select(*group_cols, value_col, tie_col)
-    ordered = global_index(base, group_cols + [value_col, tie_col], "pos")
-    stats = ordered.groupBy(*group_cols).agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n"))
-    targets = stats.select(*group_cols, F.explode(F.array(*[
-        F.struct(F.lit(name).alias("q"), (F.col("first") + F.floor(F.lit(p) * (F.col("n") - 1))).alias("lo"),
-                 (F.col("first") + F.ceil(F.lit(p) * (F.col("n") - 1))).alias("hi"),
-                 (F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1))).alias("frac"))
-        for name, p in probs.items()])).alias("t")).select(*group_cols, "t.*")
-    # the wanted positions (2 per group and quantile) are few: broadcast them (size-checked)
-    # and let the sorted rows stream past, instead of shuffling the rows to the targets
-    wanted = targets.select(*group_cols, "q", "frac", F.explode(F.array(
-        F.struct(F.col("lo").alias("pos"), F.lit(0).alias("side")),
-        F.struct(F.col("hi").alias("pos"), F.lit(1).alias("side")))).alias("w")).select(
-        *group_cols, "q", "frac", "w.pos", "w.side")
-    hits = ordered.select("pos", F.col(value_col).alias("__v")).join(
-        broadcast_if_small(wanted, 5_000_000), "pos")
-    ends = hits.groupBy(*group_cols, "q", "frac").agg(
-        F.max(F.when(F.col("side") == 0, F.col("__v"))).alias("v_lo"),
-        F.max(F.when(F.col("side") == 1, F.col("__v"))).alias("v_hi"))
-    q = ends.select(*group_cols, "q", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("v"))
-    # one row per (group, quantile): pivot back to one row per group
-    return q.groupBy(*group_cols).agg(*[r6(F.max(F.when(F.col("q") == name, F.col("v")))).alias(name)
-                                        for name in probs])
+from quarry.session import reliable_checkpoint
+
+SPLITS = 500
+
+
+def value_splits(df: DataFrame, value_col: str, n: int = SPLITS) -> list[float]:
+    """Increasing bucket bounds: each percentile point and the next double after it."""
+    points = df.agg(F.percentile_approx(value_col, [i / n for i in range(n + 1)], 20 * n).alias("p")).first()["p"] or []
+    bounds = {float(p) for p in points if p is not None and math.isfinite(p)}
+    return [-math.inf, *sorted(bounds | {math.nextafter(b, math.inf) for b in bounds}), math.inf]
 
 
+def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs: dict[str, float],
+                    keys: list[str] | None = None, fan: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One row per group (nulls in group columns are a group): interpolated quantiles
+    (``quantile_cont``) of the non-null values, named as in ``probs``. With ``fan``, ``keys`` are
+    the fine key columns, and ``fan`` adds the group columns to a table that has them."""
+    keys, fan = keys or group_cols, fan or (lambda d: d)
+    base = df.filter(F.col(value_col).isNotNull()).select(*keys, F.col(value_col).cast("double").alias("__v"))
+    cut = Bucketizer(splits=value_splits(base, "__v"), inputCol="__v", outputCol="__b", handleInvalid="keep")
+    rows = cut.transform(base).withColumn("__b", F.col("__b").cast("int"))
+    fine = reliable_checkpoint(rows.groupBy(*keys, "__b").agg(
+        F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi")))
+    group = F.struct(*group_cols).alias("__g")
+    per = fan(fine).groupBy(*group_cols, "__b").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).select(group, "__b", "n", "lo", "hi")
+    # per group at most a row for each bucket
+    w = Window.partitionBy("__g").orderBy("__b")
+    ranked = per.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy("__g")))
+    ends = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(side).alias("side"), f(F.lit(p) * (F.col("total") - 1)).alias("rank"))
+                     for q, p in probs.items() for side, f in ((0, F.floor), (1, F.ceil))])
+    wanted = reliable_checkpoint(ranked.select("__g", "__b", "n", "lo", "hi", "upto", "total", F.explode(ends).alias("e")).filter(
+        (F.col("e.rank") < F.col("upto")) & (F.col("e.rank") >= F.col("upto") - F.col("n"))).select(
+        "__g", "__b", "lo", "hi", "total", "e.q", "e.side", (F.col("e.rank") - F.col("upto") + F.col("n")).alias("at")))
+    plain = wanted.filter("lo = hi").select("__g", "total", "q", "side", F.col("lo").alias("v"))
+    open_ = wanted.filter("lo < hi")
+    # the fine keys whose rows fall into a bucket that is still open, with the groups they serve
+    spots = fan(fine.select(*keys, "__b")).select(group, "__b", F.struct(*keys).alias("__k")).join(
+        open_.select("__g", "__b").distinct(), ["__g", "__b"])
+    read = rows.select(F.struct(*keys).alias("__k"), "__b", "__v").join(spots, ["__k", "__b"])
+    numbered = read.withColumn("at", F.row_number().over(Window.partitionBy("__g", "__b").orderBy("__v")) - 1)
+    found = numbered.select("__g", "__b", "at", "__v").join(open_, ["__g", "__b", "at"]).select(
+        "__g", "total", "q", "side", F.col("__v").alias("v"))
+    both = plain.union(found)
+    out = []
+    for q, p in probs.items():
+        lo, hi = (F.max(F.when((F.col("q") == q) & (F.col("side") == s), F.col("v"))) for s in (0, 1))
+        part = F.lit(p) * (F.max("total") - 1)
+        out.append((lo + (part - F.floor(part)) * (hi - lo)).alias(q))
+    return both.groupBy("__g").agg(*out).select("__g.*", *probs)

@@ -44,8 +44,8 @@ def department_profile(df: DataFrame) -> DataFrame:
                   r6(F.avg("performance_rating")).alias("avg_performance"),
                   F.min("hire_date").alias("earliest_hire"),
                   F.max("hire_date").alias("latest_hire")))
-    med = exact_quantiles(df, ["department"], "salary", "employee_id", {"median_salary": 0.5})
-    med = med.withColumnRenamed("department", "__d")
+    med = exact_quantiles(df, ["department"], "salary", {"median_salary": 0.5})
+    med = med.select(F.col("department").alias("__d"), r6(F.col("median_salary")).alias("median_salary"))
     out = agg.join(med, agg["department"].eqNullSafe(med["__d"]), "left").drop("__d")
     return (out.select("department", "headcount", "avg_salary", "median_salary", "min_salary",
                        "max_salary", "avg_performance", "earliest_hire", "latest_hire")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from quarry.operators import metrics as mt
 from quarry.plans import fixtures as fx
@@ -50,14 +51,19 @@ def q_mean_latency(spark, sf):
     return mt.mean_latency(requests(spark, sf))
 
 
-METRICS_SQL = WIN_SQL[:-1] + """,
+# Gauges that the request log does not have stand in by expressions over it.
+GAUGES = {"memory_bytes": "duration_s * 8 * 1073741824", "disk_free": "CAST(request_id % 97 AS double) * 1000", "disk_size": "CAST(97000 AS double)"}
+
+METRICS_SQL = WIN_SQL.replace("SELECT r.*,", "SELECT r.*, " + ", ".join(f"{v} AS {k}" for k, v in GAUGES.items()) + ",")[:-1] + """,
 wide AS (SELECT window_start,
     count_if(status BETWEEN 500 AND 599) / count(*) AS error_ratio, avg(duration_s) AS mean_latency_s,
-    arg_max(duration_s, (ts, request_id)) AS memory_gb, quantile_cont(duration_s, 0.95) AS p95_latency_s
+    arg_max(memory_bytes, (ts, request_id)) / 1073741824 AS memory_gb,
+    arg_max(disk_free / disk_size, (ts, request_id)) AS free_disk_ratio, quantile_cont(duration_s, 0.95) AS p95_latency_s
   FROM win GROUP BY window_start),
 tall AS (SELECT window_start, 'error_ratio' AS metric, round(error_ratio, 6) AS value FROM wide
   UNION ALL SELECT window_start, 'mean_latency_s', round(mean_latency_s, 6) FROM wide
   UNION ALL SELECT window_start, 'memory_gb', round(memory_gb, 6) FROM wide
+  UNION ALL SELECT window_start, 'free_disk_ratio', round(free_disk_ratio, 6) FROM wide
   UNION ALL SELECT window_start, 'p95_latency_s', round(p95_latency_s, 6) FROM wide),
 rules AS (SELECT * FROM (VALUES ('error_ratio', '>', 0.05), ('p95_latency_s', '>', 2.0),
   ('mean_latency_s', '>', 5.0), ('memory_gb', '>', 8.0), ('free_disk_ratio', '<', 0.10)) t(metric, op, lim)),
@@ -68,7 +74,8 @@ breaches AS (SELECT t.window_start, t.metric, t.value, CAST(r.lim AS DOUBLE) AS
 
 
 def breaches_df(spark, sf):
-    return mt.alert_breaches(mt.metric_table(requests(spark, sf)))
+    log = requests(spark, sf).selectExpr("*", *[f"{v} AS {k}" for k, v in GAUGES.items()])
+    return mt.alert_breaches(mt.metric_table(log, "memory_bytes", "disk_free", "disk_size"))
 
 
 @query("alert_breaches", METRICS_SQL + "SELECT * FROM breaches")
@@ -86,14 +93,19 @@ def q_alert_firing(spark, sf):
     return mt.alert_firing(breaches_df(spark, sf))
 
 
-@query("liveness_gaps", """WITH seen AS (SELECT DISTINCT event_type,
-    CAST(floor(epoch(ts) / 3600) AS BIGINT) AS bucket FROM events),
-span AS (SELECT event_type, min(bucket) AS lo, max(bucket) AS hi FROM seen GROUP BY event_type),
-axis AS (SELECT event_type, unnest(range(lo, hi + 1)) AS bucket FROM span)
-SELECT a.event_type, CAST(to_timestamp(a.bucket * 3600) AS TIMESTAMP) AS bucket_start
-FROM axis a WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.event_type = a.event_type AND s.bucket = a.bucket)""")
+# purchases stop half-way through the data, for good
+QUIET = "event_type <> 'purchase' OR ts < TIMESTAMP '2024-01-15 00:00:00'"
+
+
+@query("liveness_gaps", f"""WITH alive AS (SELECT event_type, CAST(floor(epoch(ts) / 60) AS BIGINT) AS bucket FROM events WHERE {QUIET}),
+seen AS (SELECT DISTINCT * FROM alive),
+runs AS (SELECT event_type, bucket, coalesce(lead(bucket) OVER (PARTITION BY event_type ORDER BY bucket),
+  (SELECT max(bucket) + 1 FROM alive)) AS until FROM seen)
+SELECT event_type, CAST(to_timestamp((bucket + 1) * 60) AS TIMESTAMP) AS down_from,
+  CAST(to_timestamp(until * 60) AS TIMESTAMP) AS down_until, until - bucket - 1 AS buckets, until - bucket - 1 > 1 AS firing
+FROM runs WHERE until - bucket > 1""")
 def q_liveness(spark, sf):
-    return mt.liveness_gaps(fx.table(spark, sf, "events"), "event_type")
+    return mt.liveness_gaps(fx.table(spark, sf, "events").filter(QUIET), "event_type")
 
 
 @query("sliding_requests", fx.cte("requests") + """SELECT request_id, user_id, ts,
@@ -104,6 +116,32 @@ def q_sliding_requests(spark, sf):
     return mt.sliding_requests(requests(spark, sf))
 
 
-@query("rate_limit_admission")
+# The log's requests within two hours and under limits that bind.
+BUSY_LIMITS = {"anonymous": 1, "user": 1, "premium": 2, "admin": 3}
+BUSY_SQL = fx.cte("requests")[:-1] + """,
+busy AS (SELECT request_id, user_id, role, make_timestamp(1704067200000000 + epoch_us(ts) % 7200000000) AS ts,
+  CASE role WHEN 'anonymous' THEN 1 WHEN 'premium' THEN 2 WHEN 'admin' THEN 3 ELSE 1 END AS lim,
+  epoch_us(ts) % 7200000000 AS us FROM requests),
+turns AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, request_id) AS turn FROM busy),
+walk(user_id, turn, request_id, times, admitted) AS (
+  SELECT user_id, turn, request_id, CASE WHEN lim > 0 THEN [us] ELSE CAST([] AS BIGINT[]) END, lim > 0 FROM turns WHERE turn = 1
+  UNION ALL
+  SELECT t.user_id, t.turn, t.request_id,
+    CASE WHEN len(list_filter(w.times, lambda x: x >= t.us - 60000000)) < t.lim
+         THEN list_append(list_filter(w.times, lambda x: x >= t.us - 60000000), t.us)
+         ELSE list_filter(w.times, lambda x: x >= t.us - 60000000) END,
+    len(list_filter(w.times, lambda x: x >= t.us - 60000000)) < t.lim
+  FROM walk w JOIN turns t ON t.user_id = w.user_id AND t.turn = w.turn + 1)
+"""
+BUSY_SQL = BUSY_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def busy_requests(spark, sf):
+    us = F.lit(1_704_067_200_000_000) + F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(7_200_000_000))
+    return requests(spark, sf).withColumn("ts", F.timestamp_micros(us).cast("timestamp_ntz"))
+
+
+@query("rate_limit_admission", BUSY_SQL + """SELECT request_id, user_id, busy.ts, busy.role, walk.admitted
+FROM walk JOIN busy USING (request_id, user_id)""")
 def q_rate_limit(spark, sf):
-    return mt.rate_limit_admission(requests(spark, sf))
+    return mt.rate_limit_admission(busy_requests(spark, sf), limits=BUSY_LIMITS)
