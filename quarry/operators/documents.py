@@ -193,11 +193,16 @@ def keyword_search(docs: DataFrame, id_col: str, text_col: str, keywords: list[s
 
 
 def report_text(tall: DataFrame, group_cols: list[str], title: Column, order_col: str,
-                key_col: str, value_col: str) -> DataFrame:
-    """Key/value rows → one text per group: '**Title**' then '**Key Name:** value' lines
-    in ``order_col`` order (keys title-cased with '_' → ' ')."""
+                key_col: str, value_col: str, items_col: str | None = None) -> DataFrame:
+    """Key/value rows → one text per group: '**Title**' then, in ``order_col`` order, '**Key Name:**
+    value', or, for a row whose ``items_col`` (an array of texts, 'name: value' for members) is not
+    null, '**Key Name:**' above one bullet line per item. Keys are title-cased with '_' → ' '."""
     key_title = F.initcap(F.regexp_replace(F.col(key_col), "_", " "))
-    line = F.concat(F.lit("**"), key_title, F.lit(":** "), F.coalesce(F.col(value_col), F.lit("None")))
+    head = F.concat(F.lit("**"), key_title, F.lit(":**"))
+    line = F.concat(head, F.lit(" "), F.coalesce(F.col(value_col), F.lit("None")))
+    if items_col:
+        bullets = F.transform(F.col(items_col), lambda x: F.concat(F.lit("• "), F.coalesce(x, F.lit("None"))))
+        line = F.when(F.col(items_col).isNotNull(), F.array_join(F.concat(F.array(head), bullets), "\n")).otherwise(line)
     grouped = tall.groupBy(*group_cols).agg(
         F.first(title).alias("__title"),
         F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), line.alias("l")))).alias("__lines"))

@@ -3,15 +3,17 @@ job with its completion event, the two-domain daily job, and the overview analys
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import cleaning as cl
+from quarry.operators import keyed
 from quarry.operators import quality as dq
 from quarry.operators import summaries as sm
-from quarry.operators.summaries import r2, r6
+from quarry.operators.summaries import r6
+from quarry.session import reliable_checkpoint, scratch_path
+from quarry.sources import readers as rd
 from quarry.sources import sinks as sk
-from quarry.session import reliable_checkpoint
 
 
 def pending_versions(available: DataFrame, applied: DataFrame, key: str = "version") -> DataFrame:
@@ -30,45 +32,103 @@ def version_status(available: DataFrame, applied: DataFrame, key: str = "version
         "total_pending": F.count_if(F.col("status") == "pending").over(w)})
 
 
-def hr_job(raw: DataFrame, as_of: str, target_path: str | None, source: str, target: str) -> DataFrame:
-    """Extract → clean → tenure → validate → (load only when valid) → completion event.
-
-    The cleaned table is checkpointed once, so validation and load read the same rows and
-    a lost executor recomputes nothing upstream. Returns the one-row completion event.
+def load_table(source: DataFrame, path: str, keys: list[str], order: list[str] | None = None) -> int:
+    """Keyed replace of ``source`` into the table at ``path``: one row per key, new keys added, others
+    kept. The new state is written aside first, since the table itself is being read. Returns the
+    rows of the table afterwards, counted while they are written."""
+    spark = source.sparkSession
+    if rd.path_exists(spark, path):
+        state = keyed.upsert(rd.read_parquet(spark, path), source, keys, order)
+    else:
+        state = keyed.one_per_key(source, keys, order)
+    counted = Observation("load")
+    staged = scratch_path(spark, "load")
+    sk.write_landing(state.observe(counted, F.count(F.lit(1)).alias("n")), staged)
+    sk.write_landing(rd.read_parquet(spark, staged), path)
+    return int(counted.get["n"])
+
+
+def hr_job(raw: DataFrame | str, as_of: str, target_path: str | None, source: str, target: str,
+           spark: SparkSession | None = None) -> DataFrame:
+    """Extract (a table, or a path read by its extension) → clean → tenure → validate → (load by
+    key, only when valid) → completion event.
+
+    The cleaned table is checkpointed once and counted on the way, so validation and load read the
+    same rows and a lost executor recomputes nothing upstream. Returns the one-row event.
     """
-    cleaned = reliable_checkpoint(cl.tenure_years(cl.clean_employees(raw), as_of))
-    results = dq.run_suite(cleaned, dq.HR_SUITE, "employees")
-    verdict = results.agg(F.bool_and("success").alias("ok"), F.count_if(~F.col("success")).alias("failed"))
-    row = verdict.first()  # one row of two numbers
-    loaded = False
-    if row["ok"] and target_path:
-        sk.write_curated(cleaned, target_path)
-        loaded = True
-    n = cleaned.count()
-    spark = raw.sparkSession
-    return spark.createDataFrame(
-        [(source, target, int(n), bool(row["ok"]), int(row["failed"]), loaded, as_of)],
+    table = rd.read_any(spark, raw) if isinstance(raw, str) else raw
+    seen = Observation("hr")
+    cleaned = reliable_checkpoint(cl.tenure_years(cl.clean_employees(table), as_of).observe(seen, F.count(F.lit(1)).alias("n")))
+    row = dq.run_suite(cleaned, dq.HR_SUITE, "employees").agg(
+        F.bool_and("success").alias("ok"), F.count_if(~F.col("success")).alias("failed")).first()  # two numbers
+    loaded = bool(row["ok"] and target_path)
+    if loaded:
+        load_table(cleaned, target_path, ["employee_id"])
+    return table.sparkSession.createDataFrame(
+        [(source, target, int(seen.get["n"]), bool(row["ok"]), int(row["failed"]), loaded, as_of)],
         "source string, target string, records_processed bigint, validation_success boolean, "
         "failed_expectations int, loaded boolean, timestamp string",
     ).withColumn("timestamp", F.to_timestamp_ntz("timestamp"))
 
 
-def daily_job(employees: DataFrame, expenses: DataFrame, as_of: str) -> DataFrame:
-    """HR and finance branches with their summaries, and the run summary text (one row)."""
-    emp = cl.tenure_years(cl.clean_employees(employees), as_of)
-    exp = cl.clean_expenses(expenses)
-    hr = sm.department_summary(emp).agg(F.sum("headcount").alias("employees"),
-                                        F.count(F.lit(1)).alias("departments"))
-    fin = sm.expense_summary(exp).agg(F.sum("transaction_count").alias("expenses"),
-                                      F.count(F.lit(1)).alias("categories"),
-                                      r2(F.sum("total_amount")).alias("total_amount"))
-    # two one-row aggregates combined by scalar subqueries (no join needed)
-    out = hr.select("employees", "departments", fin.select("expenses").scalar().alias("expenses"),
-                    fin.select("categories").scalar().alias("categories"),
-                    fin.select("total_amount").scalar().alias("total_amount"))
-    summary = F.format_string("HR: %d employees in %d departments; Finance: %d expenses in %d categories",
-                              "employees", "departments", "expenses", "categories")
-    return out.withColumn("summary", summary)
+# The daily job's tables in load order, with their keys.
+DAILY_KEYS = {"employees": ["employee_id"], "performance_reviews": ["review_id"], "expenses": ["expense_id"],
+              "budgets": ["budget_id"], "department_summary": ["department"], "expense_summary": ["category"]}
+DAILY_REPORT = ("execution_date string, validation string, tables_passed int, tables_loaded int, rows_loaded bigint, "
+                "summaries_indexed int, lines_indexed bigint, summary string")
+
+
+def daily_transform(tables: dict[str, DataFrame], as_of: str) -> dict[str, DataFrame]:
+    """The curated tables from the extracted ones; what was not extracted has none."""
+    out = {}
+    if "employees" in tables:
+        out["employees"] = reliable_checkpoint(cl.tenure_years(cl.clean_employees(tables["employees"]), as_of))
+        out["department_summary"] = sm.department_summary(out["employees"])
+    if "performance_reviews" in tables:
+        out["performance_reviews"] = cl.clean_reviews(tables["performance_reviews"])
+    if "expenses" in tables:
+        out["expenses"] = reliable_checkpoint(cl.clean_expenses(tables["expenses"]))
+        out["expense_summary"] = sm.expense_summary(out["expenses"])
+    if "budgets" in tables:
+        out["budgets"] = cl.budget_utilization(tables["budgets"])
+    return out
+
+
+def daily_gate(curated: dict[str, DataFrame]) -> DataFrame:
+    """Gate status of every gated table that is there."""
+    results, names = None, []
+    for name, suite in dq.GATE_SUITES.items():
+        table = curated.get(name.replace("transformed_", ""))
+        if table is None:
+            continue
+        names.append(name)
+        part = dq.run_suite(table, suite, name) if suite else None
+        results = part if results is None else results.unionByName(part) if part is not None else results
+    return dq.gate(results, names)
+
+
+def daily_job(spark: SparkSession, sources: dict[str, str], warehouse: str, as_of: str) -> DataFrame:
+    """Extract → transform → gate → load by key → index the summaries → one-row report.
+
+    Nothing is written before the gate has passed: ``ValueError`` otherwise, and the warehouse is
+    as it was. Summaries are indexed as CSV lines under the warehouse's ``index`` folder.
+    """
+    curated = daily_transform(rd.extract_tables(spark, sources), as_of)
+    status = reliable_checkpoint(daily_gate(curated))
+    dq.enforce(status)
+    passed = status.filter("status = 'PASSED'").count()
+    rows = {name: load_table(curated[name], f"{warehouse}/{name}", keys) for name, keys in DAILY_KEYS.items() if name in curated}
+    indexed = 0
+    lines = 0
+    for name in ("department_summary", "expense_summary"):
+        if name in rows:
+            counted = Observation(name)
+            text = sk.summary_to_docs(rd.read_parquet(spark, f"{warehouse}/{name}")).observe(counted, F.count(F.lit(1)).alias("n"))
+            sk.write_landing(text, f"{warehouse}/index/{name}")
+            indexed += 1
+            lines += int(counted.get["n"])
+    report = f"{as_of}: {passed} tables passed, {len(rows)} loaded, {indexed} summaries indexed"
+    return spark.createDataFrame([(as_of, "PASSED", passed, len(rows), sum(rows.values()), indexed, lines, report)], DAILY_REPORT)
 
 
 def employee_overview(emp: DataFrame) -> DataFrame:
@@ -97,3 +157,10 @@ def performance_trend(reviews: DataFrame, employees: DataFrame) -> DataFrame:
     return per_q.join(ranked, "department").select(
         "department", "year", "quarter", "reviews", r6(F.col("avg_rating")).alias("avg_rating"),
         r6(F.col("avg_rating") - F.lag("avg_rating").over(w)).alias("change"), "dept_rank")
+
+
+def dispatch(routed: DataFrame, route_col: str, registry: dict[str, str], default: str = "general") -> DataFrame:
+    """The job that each routed row asks for: the registry's entry for its route, that of the
+    default route where there is none."""
+    table = F.create_map(*[F.lit(x) for kv in registry.items() for x in kv])
+    return routed.withColumn("job", F.coalesce(F.element_at(table, F.col(route_col)), F.lit(registry[default])))

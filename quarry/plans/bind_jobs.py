@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from quarry.plans.bind_hr import CLEAN_SQL, clean_employees_df, employees_with_t
 from quarry.plans.bind_quality import _suite_sql
 from quarry.plans.catalog import query
 from quarry.session import scratch_path
+from quarry.sources import readers as rd
+from quarry.sources import sinks as sk
 
 
 def versions(spark, sf):
@@ -48,16 +51,79 @@ def q_hr_job(spark, sf):
     return jobs.hr_job(fx.table(spark, sf, "employees_raw"), fx.AS_OF, target, "employees_raw", "hr_employees")
 
 
-@query("daily_batch_job", CLEAN_SQL[:-1] + ",\n" + EXP_CLEAN_SQL[5:] + """SELECT e.employees, e.departments,
-  f.expenses, f.categories, f.total_amount,
-  format('HR: {:d} employees in {:d} departments; Finance: {:d} expenses in {:d} categories',
-         e.employees, e.departments, f.expenses, f.categories) AS summary
-FROM (SELECT CAST(sum(headcount) AS BIGINT) AS employees, count(*) AS departments
-      FROM (SELECT department, count(employee_id) AS headcount FROM tenure GROUP BY department)) e,
-     (SELECT CAST(sum(n) AS BIGINT) AS expenses, count(*) AS categories, round(sum(t), 2) AS total_amount
-      FROM (SELECT category, count(expense_id) AS n, round(sum(amount), 2) AS t FROM exp_clean GROUP BY category)) f""")
+@query("hr_batch_load", CLEAN_SQL + """SELECT 'valid' AS run, count(*) AS records_processed, true AS loaded,
+  2 * count(*) AS rows_in_target FROM tenure WHERE salary >= 0 AND department <> 'legal'
+UNION ALL SELECT 'invalid', count(*), false, 2 * (SELECT count(*) FROM tenure WHERE salary >= 0 AND department <> 'legal') FROM tenure""")
+def q_hr_load(spark, sf):
+    """Two runs against one target that already holds the valid employees under other ids: a valid
+    run, from a file, adds its rows by key (twice over, with the same outcome); an invalid one
+    leaves the target as it is."""
+    base = scratch_path(spark, "hr-load")
+    target, path = os.path.join(base, "hr_employees"), os.path.join(base, "employees.csv")
+    raw = fx.table(spark, sf, "employees_raw")
+    valid = raw.filter("coalesce(salary, '') not like '-%' and trim(department) <> 'Legal'")
+    sk.write_csv(valid, path)
+    jobs.load_table(cl.tenure_years(cl.clean_employees(valid), fx.AS_OF).withColumn("employee_id", F.col("employee_id") + 10_000_000),
+                    target, ["employee_id"])
+    out = None
+    for name, source in (("valid", path), ("valid", path), ("invalid", raw)):
+        event = jobs.hr_job(source, fx.AS_OF, target, "file", "hr_employees", spark)
+        row = event.select(F.lit(name).alias("run"), "records_processed", "loaded",
+                           F.lit(rd.read_parquet(spark, target).count()).cast("long").alias("rows_in_target"))
+        out = row if out is None else out.unionByName(row)
+    return out.distinct()
+
+
+def daily_sources(spark, sf, employees):
+    """The extract's files: one CSV, the others parquet, and one that is declared but absent."""
+    base = scratch_path(spark, "daily")
+    paths = {name: os.path.join(base, f"{name}.{kind}") for name, kind in
+             (("employees", "csv"), ("performance_reviews", "parquet"), ("expenses", "parquet"), ("budgets", "parquet"), ("revenue", "csv"))}
+    sk.write_csv(employees, paths["employees"])
+    for name, view in (("performance_reviews", "performance_reviews_raw"), ("expenses", "expenses_raw"), ("budgets", "budgets_raw")):
+        sk.write_landing(fx.table(spark, sf, view), paths[name])
+    return paths, os.path.join(base, "warehouse")
+
+
+@query("daily_batch_job", CLEAN_SQL[:-1] + ",\n" + EXP_CLEAN_SQL[5:-1] + ",\n" + REVIEWS_SQL + ",\n" + fx.cte("budgets_raw")[5:-1] + f""",
+emp AS (SELECT * FROM tenure WHERE salary BETWEEN 0 AND 1000000),
+n AS (SELECT (SELECT count(*) FROM emp) AS e, (SELECT count(DISTINCT review_id) FROM reviews) AS r, (SELECT count(*) FROM exp_clean) AS x,
+  (SELECT count(*) FROM budgets_raw) AS b, (SELECT count(DISTINCT department) FROM emp) AS d, (SELECT count(DISTINCT category) FROM exp_clean) AS c)
+SELECT '{fx.AS_OF}' AS execution_date, 'PASSED' AS validation, CAST(3 AS INTEGER) AS tables_passed, CAST(6 AS INTEGER) AS tables_loaded,
+  CAST(e + r + x + b + d + c AS BIGINT) AS rows_loaded, CAST(2 AS INTEGER) AS summaries_indexed, CAST(d + c AS BIGINT) AS lines_indexed,
+  '{fx.AS_OF}: 3 tables passed, 6 loaded, 2 summaries indexed' AS summary FROM n""")
 def q_daily_job(spark, sf):
-    return jobs.daily_job(fx.table(spark, sf, "employees_raw"), fx.table(spark, sf, "expenses_raw"), fx.AS_OF)
+    valid = fx.table(spark, sf, "employees_raw").filter("coalesce(salary, '') not like '-%'")
+    sources, warehouse = daily_sources(spark, sf, valid)
+    return jobs.daily_job(spark, sources, warehouse, fx.AS_OF)
+
+
+@query("daily_gate_blocks", CLEAN_SQL + """SELECT 'FAILED' AS outcome, CAST(0 AS INTEGER) AS tables_in_warehouse
+WHERE (SELECT count_if(salary < 0) FROM tenure) > 0""")
+def q_daily_blocked(spark, sf):
+    """The same job over employees with salaries out of bounds: it stops and loads nothing."""
+    sources, warehouse = daily_sources(spark, sf, fx.table(spark, sf, "employees_raw"))
+    try:
+        outcome = jobs.daily_job(spark, sources, warehouse, fx.AS_OF).first()["validation"]
+    except ValueError:
+        outcome = "FAILED"
+    there = sum(rd.path_exists(spark, os.path.join(warehouse, t)) for t in jobs.DAILY_KEYS)
+    return spark.createDataFrame([(outcome, there)], "outcome string, tables_in_warehouse int")
+
+
+# Which job a route or intent asks for.
+SKILLS = {"hr": "hr_analysis", "finance": "finance_analysis", "general": "document_analysis"}
+
+
+@query("skill_dispatch", fx.cte("user_queries") + """SELECT query_id, CASE WHEN contains(lower(query), 'employee') OR contains(lower(query), 'hr')
+    THEN 'hr_analysis' WHEN contains(lower(query), 'finance') OR contains(lower(query), 'budget') THEN 'finance_analysis'
+    ELSE 'document_analysis' END AS job FROM user_queries""")
+def q_skill_dispatch(spark, sf):
+    q = fx.table(spark, sf, "user_queries")
+    low = F.lower("query")
+    rules = [("hr", ["employee", "hr"]), ("finance", ["finance", "budget"])]
+    route = F.coalesce(*[F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in ws]), name) for name, ws in rules], F.lit("general"))
+    return jobs.dispatch(q.withColumn("route", route), "route", SKILLS).select("query_id", "job")
 
 
 @query("employee_overview", CLEAN_SQL + """SELECT department, count(employee_id) AS headcount,
