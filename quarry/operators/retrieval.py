@@ -1,18 +1,18 @@
 """Exact vector search: top-k by squared L2 distance, with relevance = 1 − distance.
 
-Plan (no cross join, no all-pairs output, nothing through the driver):
-
-* the corpus is cut into ``B`` blocks by a hash of its id, the queries into ``C`` chunks;
-* each query row is replicated to the B blocks and each corpus row to the C chunks, so that
-  ``groupBy(part, qchunk, block).cogroup(...)`` brings one query chunk and one corpus block
-  together; ``B`` and ``C`` are chosen from counts so that each side of a group is bounded;
-* inside a group numpy screens the chunk × block distances with one matrix product, rescores
-  the candidates that an error bound cannot exclude exactly in float64, and emits only the
-  k best per query (k·|chunk| rows per group);
-* a window over (part, query) keeps the global k best of the B·k candidates per query.
-
-Shuffle volume is |Q|·B + |N|·C vector rows; with a bounded query batch C = 1, so the corpus
-moves once. Ties are broken by the corpus id.
+Plan (no cross join, no all-pairs output, nothing through the driver but one row per cell):
+
+* pivots are chosen on a bounded sample; every corpus vector is assigned to its nearest pivot
+  once, which makes cells of known size and radius;
+* a query first searches the nearest cells that together hold k rows; the k-th distance found
+  bounds the answer, and by the triangle inequality only cells with ``d(query, pivot) − radius``
+  within it can hold a nearer row: the query is sent to those and to no others;
+* (cell, block, chunk) groups bring a bounded number of corpus rows and queries together; inside
+  one numpy screens the distances with one matrix product, rescores the candidates that an error
+  bound cannot exclude exactly in float64, and emits only the k best per query;
+* a window over (part, query) keeps the global k best.
+
+Ties are broken by the corpus id.
 """
 
 from __future__ import annotations
@@ -21,9 +21,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from quarry.session import reliable_checkpoint
+
+# What retrieval keeps to.
+SETTINGS = {"max_context_length": 2048, "min_relevance_threshold": 0.5, "max_retrieved_docs": 5}
 
 BLOCK_ROWS = 20_000        # corpus vectors per group
 QUERY_CHUNK_ROWS = 2_000   # query vectors per group
@@ -43,7 +48,7 @@ def _score_block(k: int, dim: int):
     """
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
-            return pd.DataFrame({"__part": pd.Series(dtype="str"), "qid": pd.Series(dtype="int64"),
+            return pd.DataFrame({"part": pd.Series(dtype="str"), "qid": pd.Series(dtype="int64"),
                                  "cid": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
         Q = np.stack(q["qvec"].to_numpy()).astype(np.float64)
         C = np.stack(c["cvec"].to_numpy()).astype(np.float64)
@@ -67,48 +72,170 @@ def _score_block(k: int, dim: int):
                 out_q.append(np.full(len(order), qids[s + r], dtype=np.int64))
                 out_c.append(cids[cand][order])
                 out_d.append(d[order])
-        part = q["__part"].iloc[0]
+        part = q["q_part"].iloc[0]
         n = sum(len(a) for a in out_q)
-        return pd.DataFrame({"__part": [part] * n, "qid": np.concatenate(out_q),
+        return pd.DataFrame({"part": [part] * n, "qid": np.concatenate(out_q),
                              "cid": np.concatenate(out_c), "distance": np.concatenate(out_d)})
     return fn
 
 
+# --- cells: which parts of the corpus a query has to see -----------------------------------------
+
+SAMPLE_ROWS = 20_000   # expected size of the sample that pivots are chosen from
+MAX_PIVOTS = 256
+CELL_ROWS = 500        # corpus vectors a cell should hold
+
+
+def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
+    """``n`` pivots by farthest-first choice over the sample (in its given order), then moved to
+    the mean of what is nearest to them a few times."""
+    pivots = [sample[0]]
+    near = ((sample - sample[0]) ** 2).sum(axis=1)
+    while len(pivots) < n and near.max() > 0:
+        pivots.append(sample[int(near.argmax())])
+        near = np.minimum(near, ((sample - pivots[-1]) ** 2).sum(axis=1))
+    p = np.array(pivots)
+    for _ in range(5):
+        own = _distance(sample, p).argmin(axis=1)
+        for j in np.unique(own):
+            p[j] = sample[own == j].mean(axis=0)
+    return p
+
+
+def _distance(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ pivots.T + (pivots * pivots).sum(axis=1)[None, :], 0))
+
+
+def _vectors(column) -> np.ndarray:
+    return np.array(column.to_pylist(), dtype=np.float64)
+
+
+class Cells:
+    """Pivots, and for each (part, pivot) the number of corpus rows nearest to it and how far away
+    the farthest of them is. A query at distance ``d`` from a pivot finds nothing nearer than
+    ``d - radius`` in its cell, by the triangle inequality; ``SLACK`` covers rounding."""
+
+    SLACK = 1e-6
+
+    def __init__(self, pivots: np.ndarray, sizes: dict):
+        self.pivots, self.sizes = pivots, sizes  # part → (cells, rows, radii)
+
+    def nearest(self, part: str, d: np.ndarray, k: int) -> list[int]:
+        """The nearest cells that together hold ``k`` rows."""
+        if part not in self.sizes:
+            return []
+        cells, rows, _ = self.sizes[part]
+        order = np.argsort(d[cells], kind="stable")
+        upto = int(np.searchsorted(np.cumsum(rows[order]), k)) + 1
+        return [int(c) for c in cells[order[:upto]]]
+
+    def others(self, part: str, d: np.ndarray, kth: float, seen: list[int]) -> list[int]:
+        """Cells not yet seen that may hold a row at distance ``kth`` or less."""
+        if part not in self.sizes:
+            return []
+        cells, _, radii = self.sizes[part]
+        may = cells[d[cells] - radii <= kth + self.SLACK]
+        return [int(c) for c in may if c not in seen]
+
+
+def build_cells(corpus: DataFrame, vec: str) -> tuple[DataFrame, Cells]:
+    """The corpus ``(part, cid, vec)`` with its cell, written once, and the cells."""
+    n = corpus.count()
+    share = min(1.0, SAMPLE_ROWS / max(1, n))
+    some = corpus.select(vec) if share == 1 else corpus.select(vec).filter(
+        F.pmod(F.xxhash64(vec), F.lit(1_000_000)) < max(1, int(1_000_000 * share)))
+    sample = np.array(sorted(some.toArrow().column(0).to_pylist()), dtype=np.float64)  # SAMPLE_ROWS or so
+    if not len(sample):
+        empty = corpus.select("part", "cid", vec, F.lit(0).alias("cell"), F.lit(0.0).alias("far"))
+        return empty.limit(0) if n == 0 else empty, Cells(np.zeros((1, 1)), {})
+    pivots = choose_pivots(sample, int(np.clip(n // CELL_ROWS, 1, MAX_PIVOTS)))
+
+    def assign(batches):
+        for b in batches:
+            d = _distance(_vectors(b.column(2)), pivots) if b.num_rows else np.empty((0, 1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d.argmin(axis=1), pa.int32()), pa.array(d.min(axis=1), pa.float64())],
+                                             names=["part", "cid", vec, "cell", "far"])
+
+    kind = corpus.schema[vec].dataType.simpleString()
+    placed = reliable_checkpoint(corpus.select("part", "cid", vec).mapInArrow(assign, f"part string, cid long, {vec} {kind}, cell int, far double"))
+    sizes: dict = {}
+    # one row per (part, pivot)
+    for r in placed.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("r")).orderBy("part", "cell").collect():
+        sizes.setdefault(r["part"], []).append((r["cell"], r["n"], r["r"]))
+    return placed, Cells(pivots, {p: tuple(np.array(c) for c in zip(*rows)) for p, rows in sizes.items()})
+
+
+def _visits(cells: Cells, k: int, second: bool):
+    """Tasks: queries ``(part, qid, qvec, kth)`` → once per cell to visit."""
+    def run(batches):
+        for b in batches:
+            if not b.num_rows or not cells.sizes:
+                continue
+            d = _distance(_vectors(b.column(2)), cells.pivots)
+            at, cell = [], []
+            for i, (part, kth) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist())):
+                first = cells.nearest(part, d[i], k)
+                go = cells.others(part, d[i], np.inf if kth is None else math.sqrt(kth), first) if second else first
+                at += [i] * len(go)
+                cell += go
+            t = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*t.columns[:3], pa.array(cell, pa.int32())], names=["part", "qid", "qvec", "cell"])
+    return run
+
+
+def _search(queries: DataFrame, placed: DataFrame, cells: Cells, k: int, dim: int, second: bool) -> DataFrame:
+    """``(part, qid, cid, distance)``: the k best of every cell visited. A cell of many rows is cut
+    into blocks and its visitors into chunks, so that both sides of a group are bounded."""
+    kind = queries.schema["qvec"].dataType.simpleString()
+    go = reliable_checkpoint(queries.select("part", "qid", "qvec", "kth").mapInArrow(
+        _visits(cells, k, second), f"part string, qid long, qvec {kind}, cell int"))
+    rows = placed.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"))
+    visits = go.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("m"))
+    # one row per (part, pivot)
+    sizes = F.broadcast(reliable_checkpoint(rows.join(visits, ["part", "cell"]).select(
+        "part", "cell", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"),
+        F.ceil(F.col("m") / QUERY_CHUNK_ROWS).cast("int").alias("chunks"))))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    number = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    q = go.join(sizes, ["part", "cell"]).select(
+        F.col("part").alias("q_part"), F.col("cell").alias("q_cell"), every("blocks").alias("q_block"),
+        number("qid", "chunks").alias("q_chunk"), "qid", "qvec")
+    c = placed.join(sizes, ["part", "cell"]).select(
+        "part", "cell", number("cid", "blocks").alias("block"), every("chunks").alias("chunk"), "cid", "cvec")
+    return (q.groupBy("q_part", "q_cell", "q_block", "q_chunk").cogroup(c.groupBy("part", "cell", "block", "chunk"))
+            .applyInPandas(_score_block(k, dim), "part string, qid long, cid long, distance double"))
+
+
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, *, qid: str = "query_id",
                 qvec: str = "query_embedding", cid: str = "vec_id", cvec: str = "embedding",
                 part_q: str | None = None, part_c: str | None = None) -> DataFrame:
-    """Top-k nearest corpus rows per query by squared L2 distance.
+    """Top-k nearest corpus rows per query by squared L2 distance, exact, ties by id.
 
     ``part_q``/``part_c`` restrict each query to the corpus rows of the same partition value
     (e.g. a collection). Returns (query_id, part, vec_id, rank, distance, relevance).
     """
-    n_corpus = corpus.count()
-    n_query = queries.count()
-    blocks = max(1, math.ceil(n_corpus / BLOCK_ROWS))
-    chunks = max(1, math.ceil(n_query / QUERY_CHUNK_ROWS))
-    dim_row = corpus.select(F.size(cvec).alias("d")).limit(1).collect()
-    dim = dim_row[0]["d"] if dim_row else 1
-    q = queries.select(
-        (F.col(part_q).cast("string") if part_q else F.lit("")).alias("__part"),
-        F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("qvec"),
-        F.pmod(F.xxhash64(qid), F.lit(chunks)).alias("__qc"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__blk"))
-    c = corpus.select(
-        (F.col(part_c).cast("string") if part_c else F.lit("")).alias("__part"),
-        F.col(cid).cast("long").alias("cid"), F.col(cvec).alias("cvec"),
-        F.pmod(F.xxhash64(cid), F.lit(blocks)).alias("__blk"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("__qc"))
-    schema = T.StructType([T.StructField("__part", T.StringType()), T.StructField("qid", T.LongType()),
-                           T.StructField("cid", T.LongType()), T.StructField("distance", T.DoubleType())])
-    keys = ["__part", "__qc", "__blk"]
-    cand = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(_score_block(k, dim), schema)
-    w = Window.partitionBy("__part", "qid").orderBy("distance", "cid")
-    ranked = cand.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
-    return ranked.select(F.col("qid").alias(qid), F.col("__part").alias("part"),
+    of = lambda part: F.coalesce(F.col(part).cast("string"), F.lit("")) if part else F.lit("")
+    c = corpus.select(of(part_c).alias("part"), F.col(cid).cast("long").alias("cid"), F.col(cvec).alias("cvec")).filter("cvec is not null")
+    q = queries.select(of(part_q).alias("part"), F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("qvec")).filter("qvec is not null")
+    placed, cells = build_cells(c, "cvec")
+    dim = cells.pivots.shape[1]
+    w = Window.partitionBy("part", "qid").orderBy("distance", "cid")
+    first = reliable_checkpoint(_search(q.withColumn("kth", F.lit(None).cast("double")), placed, cells, k, dim, False)
+                                .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
+    kth = first.filter(F.col("rank") == k).select("part", "qid", F.col("distance").alias("kth"))
+    rest = _search(q.join(kth, ["part", "qid"], "left"), placed, cells, k, dim, True)
+    ranked = first.drop("rank").union(rest).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    return ranked.select(F.col("qid").alias(qid), "part",
                          F.col("cid").alias(cid), "rank", "distance",
                          (F.lit(1.0) - F.col("distance")).alias("relevance"))
 
 
+def with_content(ranked: DataFrame, content: DataFrame, cid: str = "vec_id") -> DataFrame:
+    """Search results with the columns of ``content`` (texts, metadata; one row per id): joined
+    after the search, so that texts never travel through it."""
+    return ranked.join(content, cid, "left")
+
+
 def cosine_similarity(a: str, b: str):
     """Cosine of two float arrays in double precision, JVM-side."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
@@ -138,14 +265,17 @@ PROMPT_NO_CONTEXT = "User Query: {query}\n\nPlease provide a helpful response:"
 
 
 def build_prompts(queries: DataFrame, contexts: DataFrame, qid: str, query_col: str,
-                  rank_col: str, text_col: str) -> DataFrame:
+                  rank_col: str, text_col: str, retrieved: DataFrame | None = None) -> DataFrame:
     """One prompt per query: contexts joined by a blank line in rank order (per-query lists
-    are bounded by k), or the no-context template when nothing was retrieved."""
+    are bounded by k), or the no-context template when nothing was retrieved. ``retrieved`` holds
+    the ids of queries for which something was, also where none of it fits the budget: those get
+    the context template with an empty context."""
     ctx = contexts.groupBy(qid).agg(
         F.array_sort(F.collect_list(F.struct(F.col(rank_col).alias("r"), F.col(text_col).alias("t"))))
         .alias("__c"))
-    joined = queries.join(ctx, qid, "left")
-    ctx_text = F.array_join(F.transform("__c", lambda s: s["t"]), "\n\n")
+    any_ = (retrieved if retrieved is not None else contexts).select(qid).distinct().withColumn("__any", F.lit(True))
+    joined = queries.join(ctx, qid, "left").join(any_, qid, "left")
+    ctx_text = F.coalesce(F.array_join(F.transform("__c", lambda s: s["t"]), "\n\n"), F.lit(""))
     pre, post = PROMPT_WITH_CONTEXT.split("{context}")
     mid, tail = post.split("{query}")
     with_ctx = F.concat(F.lit(pre), ctx_text, F.lit(mid), F.col(query_col), F.lit(tail))
@@ -153,4 +283,4 @@ def build_prompts(queries: DataFrame, contexts: DataFrame, qid: str, query_col:
     no_ctx = F.concat(F.lit(npre), F.col(query_col), F.lit(ntail))
     n = F.coalesce(F.size("__c"), F.lit(0)).cast("long")
     return joined.select(qid, n.alias("n_context"),
-                         F.when(n > 0, with_ctx).otherwise(no_ctx).alias("prompt"))
+                         F.when(F.col("__any"), with_ctx).otherwise(no_ctx).alias("prompt"))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import WS_CLASS, word_count
 from quarry.operators import documents as dm
-from quarry.operators.joins import broadcast_if_small
 from quarry.operators.partitioning import ensure_parallelism
 from quarry.operators import retrieval as rv
 from quarry.operators import summaries as sm
@@ -99,16 +98,21 @@ def q_doc_type_mix(spark, sf):
 @query("collection_stats", "WITH " + CHUNKS_SQL + ",\n" + META_SQL + f""",
 recs AS (SELECT {COLLECTION_SQL} AS collection FROM chunk_rows c JOIN meta m ON c.doc_id = m.doc_id),
 names AS (SELECT * FROM (VALUES ('hr_documents'), ('finance_documents'), ('general_documents')) t(name))
-SELECT n.name, coalesce(cnt, 0) AS document_count, 'active' AS status
+SELECT n.name, coalesce(cnt, 0) AS document_count, 'active' AS status, CAST(NULL AS DOUBLE) AS setting
 FROM names n LEFT JOIN (SELECT collection, count(*) AS cnt FROM recs GROUP BY collection) r
-  ON n.name = r.collection""")
+  ON n.name = r.collection
+UNION ALL SELECT * FROM (VALUES ('max_context_length', CAST(NULL AS BIGINT), 'configuration', 2048.0::DOUBLE),
+  ('min_relevance_threshold', NULL, 'configuration', 0.5::DOUBLE), ('max_retrieved_docs', NULL, 'configuration', 5.0::DOUBLE)) t""")
 def q_collection_stats(spark, sf):
     per_doc = dm.chunk_counts(docs(spark, sf), "doc_id", "text")
     counts = per_doc.groupBy("collection").agg(F.sum("total_chunks").alias("cnt"))
     names = spark.createDataFrame([(c,) for c in dm.COLLECTIONS], "name string")
-    return (names.join(counts, names["name"] == counts["collection"], "left")
-            .select("name", F.coalesce("cnt", F.lit(0)).alias("document_count"),
-                    F.lit("active").alias("status")))
+    stats = (names.join(counts, names["name"] == counts["collection"], "left")
+             .select("name", F.coalesce("cnt", F.lit(0)).alias("document_count"),
+                     F.lit("active").alias("status"), F.lit(None).cast("double").alias("setting")))
+    settings = spark.createDataFrame([(k, None, "configuration", float(v)) for k, v in rv.SETTINGS.items()],
+                                     "name string, document_count bigint, status string, setting double")
+    return stats.unionByName(settings)
 
 
 @query("embed_once", """WITH cache AS (SELECT DISTINCT sha256(d.text) AS text_hash FROM documents d
@@ -172,6 +176,17 @@ def q_vector_topk_where(spark, sf):
     return _round_topk(rv.vector_topk(query_vectors(spark, sf), corpus, 5))
 
 
+@query("vector_topk_content", _topk_sql().replace("SELECT query_id, '' AS part, vec_id, rank, round(distance, 6) AS distance,\n  round(1 - distance, 6) AS relevance FROM r WHERE rank <= 5",
+    "SELECT r.query_id, r.vec_id, r.rank, round(1 - r.distance, 6) AS relevance, e.label, d.source, d.text AS content FROM r "
+    "JOIN embeddings e ON e.vec_id = r.vec_id LEFT JOIN documents d ON d.doc_id = r.vec_id WHERE r.rank <= 5"))
+def q_vector_topk_content(spark, sf):
+    """Search results with the document's text and the row's metadata."""
+    top = rv.vector_topk(query_vectors(spark, sf), fx.table(spark, sf, "embeddings"), 5)
+    meta = fx.table(spark, sf, "embeddings").select("vec_id", "label").join(
+        docs(spark, sf).select(F.col("doc_id").alias("vec_id"), "source", F.col("text").alias("content")), "vec_id", "left")
+    return rv.with_content(top, meta).select("query_id", "vec_id", "rank", F.round("relevance", 6).alias("relevance"), "label", "source", "content")
+
+
 # requested collection of each query vector, derived from its label; label 9 names a
 # collection that does not exist and falls back to the general one
 REQUEST_SQL = ("CASE WHEN label <= 2 THEN 'hr_documents' WHEN label <= 5 THEN 'finance_documents' "
@@ -212,12 +227,11 @@ def q_retrieve_context(spark, sf):
     return _round_topk(retrieve_context_df(spark, sf))
 
 
-def budgeted_contexts(spark, sf):
-    # the retrieved set is bounded by (queries × k): broadcast it (size-checked) so the
-    # document table streams past it instead of being shuffled
-    ctx = broadcast_if_small(reliable_checkpoint(retrieve_context_df(spark, sf)), 5_000_000)
-    words = docs(spark, sf).select(F.col("doc_id").alias("vec_id"), "text", word_count("text").alias("words"))
-    return rv.context_budget(words.join(ctx, "vec_id"), "query_id", "rank", "words", 2048)
+def budgeted_contexts(spark, sf, ctx=None):
+    """Which contexts fit: the budget runs over (query, id, rank, words); no text travels."""
+    ctx = ctx if ctx is not None else retrieve_context_df(spark, sf)
+    words = docs(spark, sf).select(F.col("doc_id").alias("vec_id"), word_count("text").alias("words"))
+    return rv.context_budget(ctx.join(words, "vec_id"), "query_id", "rank", "words", 2048)
 
 
 BUDGET_CTX_SQL = RETRIEVE_SQL + f""",
@@ -253,18 +267,20 @@ def _prompt_sql():
 agg AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS ctx_text, count(*) AS n
         FROM kept GROUP BY query_id)
 SELECT q.vec_id AS query_id, coalesce(a.n, 0) AS n_context,
-  CASE WHEN a.n > 0 THEN {lit(pre)} || a.ctx_text || {lit(mid)} || d.text || {lit(tail)}
+  CASE WHEN q.vec_id IN (SELECT query_id FROM ctx) THEN {lit(pre)} || coalesce(a.ctx_text, '') || {lit(mid)} || d.text || {lit(tail)}
        ELSE {lit(npre)} || d.text || {lit(ntail)} END AS prompt
 FROM embeddings q JOIN documents d ON d.doc_id = q.vec_id LEFT JOIN agg a ON a.query_id = q.vec_id"""
 
 
 @query("prompt_build", _prompt_sql())
 def q_prompt_build(spark, sf):
-    kept = budgeted_contexts(spark, sf)
+    ctx = reliable_checkpoint(retrieve_context_df(spark, sf))
+    texts = docs(spark, sf).select(F.col("doc_id").alias("vec_id"), "text")
+    kept = rv.with_content(budgeted_contexts(spark, sf, ctx), texts)  # texts of the survivors only
     qtext = (fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"))
              .join(docs(spark, sf).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")),
                    "query_id"))
-    return rv.build_prompts(qtext, kept, "query_id", "query", "rank", "text")
+    return rv.build_prompts(qtext, kept, "query_id", "query", "rank", "text", retrieved=ctx)
 
 
 @query("token_explode", fx.cte("user_queries") + f"""SELECT query_id, len(w) AS total,
@@ -294,23 +310,29 @@ def q_keyword_search(spark, sf):
 
 @query("report_text", CLEAN_SQL + """, prof AS (SELECT department, count(employee_id) AS headcount,
   round(avg(salary), 6) AS avg_salary, round(median(salary), 6) AS median_salary,
+  min(salary) AS min_salary, max(salary) AS max_salary,
   min(hire_date) AS earliest_hire, max(hire_date) AS latest_hire FROM clean GROUP BY department)
 SELECT department, '**Department Profile: ' || department || '**' || chr(10) || chr(10)
   || '**Headcount:** ' || CAST(headcount AS VARCHAR) || chr(10) || chr(10)
   || '**Avg Salary:** ' || CAST(CAST(avg_salary AS DECIMAL(18,2)) AS VARCHAR) || chr(10) || chr(10)
   || '**Median Salary:** ' || CAST(CAST(median_salary AS DECIMAL(18,2)) AS VARCHAR) || chr(10) || chr(10)
   || '**Earliest Hire:** ' || CAST(earliest_hire AS VARCHAR) || chr(10) || chr(10)
-  || '**Latest Hire:** ' || CAST(latest_hire AS VARCHAR) AS report
+  || '**Latest Hire:** ' || CAST(latest_hire AS VARCHAR) || chr(10) || chr(10)
+  || '**Salary Range:**' || chr(10) || '• min: ' || CAST(CAST(min_salary AS DECIMAL(18,2)) AS VARCHAR)
+  || chr(10) || '• max: ' || CAST(CAST(max_salary AS DECIMAL(18,2)) AS VARCHAR) || chr(10) || chr(10)
+  || '**Recommendations:**' || chr(10) || '• Review pay' || chr(10) || '• Plan hiring' AS report
 FROM prof""")
 def q_report_text(spark, sf):
     prof = sm.department_profile(clean_employees_df(spark, sf))
     money = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
-    tall = prof.select("department", F.explode(F.array(
-        F.struct(F.lit(1).alias("o"), F.lit("headcount").alias("k"), F.col("headcount").cast("string").alias("v")),
-        F.struct(F.lit(2).alias("o"), F.lit("avg_salary").alias("k"), money("avg_salary").alias("v")),
-        F.struct(F.lit(3).alias("o"), F.lit("median_salary").alias("k"), money("median_salary").alias("v")),
-        F.struct(F.lit(4).alias("o"), F.lit("earliest_hire").alias("k"), F.col("earliest_hire").cast("string").alias("v")),
-        F.struct(F.lit(5).alias("o"), F.lit("latest_hire").alias("k"), F.col("latest_hire").cast("string").alias("v")),
-    )).alias("kv")).select("department", "kv.*")
+    text = lambda c: F.col(c).cast("string")
+    none = F.lit(None).cast("array<string>")
+    lines = [("headcount", text("headcount"), none), ("avg_salary", money("avg_salary"), none), ("median_salary", money("median_salary"), none),
+             ("earliest_hire", text("earliest_hire"), none), ("latest_hire", text("latest_hire"), none),
+             ("salary_range", F.lit(None).cast("string"), F.array(F.concat(F.lit("min: "), money("min_salary")), F.concat(F.lit("max: "), money("max_salary")))),
+             ("recommendations", F.lit(None).cast("string"), F.array(F.lit("Review pay"), F.lit("Plan hiring")))]
+    tall = prof.select("department", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("o"), F.lit(k).alias("k"), v.alias("v"), items.alias("items")) for i, (k, v, items) in enumerate(lines)]))
+        .alias("kv")).select("department", "kv.*")
     title = F.concat(F.lit("Department Profile: "), F.col("department"))
-    return dm.report_text(tall, ["department"], title, "o", "k", "v")
+    return dm.report_text(tall, ["department"], title, "o", "k", "v", "items")
