@@ -42,6 +42,28 @@ def kafka_stream(spark: SparkSession, bootstrap: str, topics: list[str], group_i
             .select(F.col("key").cast("string"), F.col("value").cast("string"), "topic", "timestamp"))
 
 
+def append_in_order(spark: SparkSession, path: str, last: str) -> None:
+    """Give the data files of ``path`` modification times in the order of their names and move the
+    data files of ``last`` behind them. Time order is what a file stream goes by; on a store that
+    keeps no set times, land the files one after another instead."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def parts(folder):
+        found = sorted(f.getPath().getName() for f in fs.listStatus(hadoop.Path(folder)) if f.getPath().getName().startswith("part-"))
+        return [hadoop.Path(folder, n) for n in found]
+
+    files = parts(path)
+    for i, f in enumerate(parts(last)):
+        moved = hadoop.Path(path, f"part-z{i:05d}-{f.getName()}")
+        fs.rename(f, moved)
+        files.append(moved)
+    start = max(fs.getFileStatus(f).getModificationTime() for f in files) - 1000 * len(files)
+    for i, f in enumerate(files):
+        fs.setTimes(f, start + 1000 * i, -1)
+
+
 def decode_json(df: DataFrame, value_col: str, schema: T.StructType) -> DataFrame:
     """Parse JSON text; undecodable text lands in ``_corrupt_record`` (quarantine) instead
     of an all-null struct, so good and bad rows can be split."""
@@ -51,11 +73,21 @@ def decode_json(df: DataFrame, value_col: str, schema: T.StructType) -> DataFram
     return parsed.select("*", *[F.col(f"__j.{f.name}").alias(f.name) for f in full.fields]).drop("__j")
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """State in RocksDB rather than on the executors' heap, unless the session names a store."""
+    if spark.conf.get(STATE_STORE, "").endswith("HDFSBackedStateStoreProvider") or not spark.conf.get(STATE_STORE, ""):
+        spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def run_to_sink(query_df: DataFrame, name: str, output_mode: str = "append",
                 partition_by: list[str] | None = None) -> str:
     """Run a streaming DataFrame to completion over the data available now (parquet sink
     with its own checkpoint); returns the sink path."""
     spark = query_df.sparkSession
+    keep_state_on_disk(spark)
     base = scratch_path(spark, name)
     out, ckpt = os.path.join(base, "out"), os.path.join(base, "checkpoint")
     w = (query_df.writeStream.format("parquet").option("path", out)
