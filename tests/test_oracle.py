@@ -29,3 +29,13 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     assert set(df.columns) == {"department", "avg_salary", "headcount", "avg_performance"}
     assert df.count() > 0
+
+
+def test_entry_imports_without_a_session():
+    """The driver reads the queries before it starts Spark."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(E.__file__)
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)

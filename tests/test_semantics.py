@@ -18,41 +18,43 @@ from quarry.sources import sinks as sk
 from quarry.streaming import streams
 
 
-def _py_merge(a, b):
-    out = dict(a)
-    for k, v in b.items():
-        if k in out and isinstance(out[k], dict) and isinstance(v, dict):
-            out[k] = _py_merge(out[k], v)
-        else:
-            out[k] = v
-    return out
-
-
-def _py_flat(d, prefix=""):
-    out = {}
-    for k, v in d.items():
-        key = f"{prefix}.{k}" if prefix else k
-        if isinstance(v, dict) and v:
-            out.update(_py_flat(v, key))
-        else:
-            out[key] = v
-    return out
-
-
-def test_deep_merge_matches_python(spark):
-    base = [(1, {"a": 1, "m": {"x": 1, "y": 2}}), (2, {"a": 1, "m": 5}), (3, {"m": {"x": {"p": 1}}}),
-            (4, {"only": "base"})]
-    over = [(1, {"m": {"y": 3, "z": 4}}), (2, {"m": {"q": 9}}), (3, {"m": {"x": 7}}), (5, {"n": "new"})]
-    b = spark.createDataFrame([(k, json.dumps(v)) for k, v in base], "id long, doc string")
-    o = spark.createDataFrame([(k, json.dumps(v)) for k, v in over], "id long, doc string")
-    got = {(r["id"], r["path"]): r["value"] for r in structure.deep_merge(b, o, "id", "doc").collect()}
-    expect = {}
-    bd, od = dict(base), dict(over)
-    for k in set(bd) | set(od):
-        merged = _py_merge(bd.get(k, {}), od.get(k, {}))
-        for path, v in _py_flat(merged).items():
-            expect[(k, path)] = str(v)
-    assert got == expect
+# (case, base, override, merged: path → (value, side))
+MERGES = [
+    ("members are merged, the override wins", '{"a":1,"m":{"x":1,"y":2}}', '{"m":{"y":3,"z":4}}',
+     {"a": ("1", "base"), "m.x": ("1", "base"), "m.y": ("3", "override"), "m.z": ("4", "override")}),
+    ("an object replaces a scalar", '{"a":1,"m":5}', '{"m":{"q":9}}', {"a": ("1", "base"), "m.q": ("9", "override")}),
+    ("a scalar replaces an object, with all below it", '{"m":{"x":{"p":1,"q":{"r":2}}}}', '{"m":{"x":7}}', {"m.x": ("7", "override")}),
+    ("any depth", '{"a":{"b":{"c":{"d":{"e":{"f":{"g":1,"keep":9}}}}}}}', '{"a":{"b":{"c":{"d":{"e":{"f":{"g":2}}}}}}}',
+     {"a.b.c.d.e.f.g": ("2", "override"), "a.b.c.d.e.f.keep": ("9", "base")}),
+    ("empty objects", '{"e":{},"f":{"x":1},"g":{},"h":3}', '{"f":{},"g":{"y":2},"h":{}}',
+     {"e": ("{}", "base"), "f.x": ("1", "base"), "g.y": ("2", "override"), "h": ("{}", "override")}),
+    ("texts that look like objects", '{"t":"{x","j":"{\\"x\\":1}","k":{"x":1}}', '{"k":"{}"}',
+     {"t": ("{x", "base"), "j": ('{"x":1}', "base"), "k": ("{}", "override")}),
+    ("dots and backslashes in names", '{"a.b":1,"c":{"d.e":2}}', '{"a":{"b":3},"w\\\\x":4}',
+     {r"a\.b": ("1", "base"), r"c.d\.e": ("2", "base"), "a.b": ("3", "override"), r"w\\x": ("4", "override")}),
+    ("arrays and nulls are values", '{"l":[1,{"x":2}],"n":1}', '{"n":null}', {"l": ('[1,{"x":2}]', "base"), "n": ("null", "override")}),
+    ("null base", None, '{"a":1}', {"a": ("1", "override")}),
+    ("null override", '{"a":1}', None, {"a": ("1", "base")}),
+    ("both null", None, None, {"": (None, "override")}),
+    ("unparsable override", '{"a":1}', '{"a":', {"a": ("1", "base")}),
+    ("both empty", "{}", "{}", {"": ("{}", "override")}),
+]
+
+
+def test_deep_merge(spark):
+    base = spark.createDataFrame([(i, m[1]) for i, m in enumerate(MERGES)] + [(99, '{"only":"base"}')], "id long, doc string")
+    over = spark.createDataFrame([(i, m[2]) for i, m in enumerate(MERGES)] + [(98, '{"only":"over"}')], "id long, doc string")
+    got = {}
+    for r in structure.deep_merge(base, over, "id", "doc").collect():
+        assert r["path"] not in got.setdefault(r["id"], {})
+        got[r["id"]][r["path"]] = (r["value"], r["origin"])
+    for i, (case, _, _, want) in enumerate(MERGES):
+        assert got[i] == want, case
+    assert got[99] == {"only": ("base", "base")} and got[98] == {"only": ("over", "override")}
+    same = structure.deep_merge(base, base, "id", "doc").select("id", "path", "value")
+    own = {(r["id"], r["path"], r["value"]) for r in same.collect()}
+    assert own == {(r["id"], r["path"], r["value"]) for r in structure.json_entries(base, "id", "doc").select(
+        "id", structure.path_text(F.col("parts")).alias("path"), "value").collect()}
 
 
 def test_exact_quantiles_with_hot_group(spark):
@@ -60,11 +62,18 @@ def test_exact_quantiles_with_hot_group(spark):
     rows = [(0 if i % 3 == 0 else i % 7, i, random.random()) for i in range(3000)]  # group 0 holds a third
     df = spark.createDataFrame(rows, "g long, id long, v double")
     got = {r["g"]: (r["p50"], r["p95"]) for r in
-           exact_quantiles(df, ["g"], "v", "id", {"p50": 0.5, "p95": 0.95}).collect()}
+           exact_quantiles(df, ["g"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
     for g in {r[0] for r in rows}:
         vals = np.array([r[2] for r in rows if r[0] == g])
-        assert abs(got[g][0] - round(float(np.quantile(vals, 0.5)), 6)) < 1e-9
-        assert abs(got[g][1] - round(float(np.quantile(vals, 0.95)), 6)) < 1e-9
+        assert abs(got[g][0] - float(np.quantile(vals, 0.5))) < 1e-12
+        assert abs(got[g][1] - float(np.quantile(vals, 0.95))) < 1e-12
+
+
+def test_exact_quantiles_with_ties_nulls_and_null_group(spark):
+    rows = [("a", 1.0)] * 700 + [("a", float(i)) for i in range(300)] + [(None, 5.0), (None, None), (None, 9.0), ("c", 2.5), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r["m"] for r in exact_quantiles(df, ["g"], "v", {"m": 0.9}).collect()}
+    assert got == {"a": float(np.quantile([v for g, v in rows if g == "a"], 0.9)), None: 8.6, "c": 2.5}
 
 
 def test_business_days_match_python(spark):
@@ -91,6 +100,13 @@ def test_business_days_match_python(spark):
         assert nxt[i] == d
 
 
+def test_next_business_day_beyond_any_run_of_holidays(spark):
+    off = [dt.date(2024, 1, 2) + dt.timedelta(days=i) for i in range(90)]
+    holidays = spark.createDataFrame([(d,) for d in off], "holiday date")
+    df = spark.createDataFrame([(dt.date(2024, 1, 1),)], "a date")
+    assert cal.next_business_day(df, "a", holidays).first()["next_business_day"] == dt.date(2024, 4, 1)
+
+
 def test_unique_flags_every_duplicate_and_ignores_nulls(spark):
     df = spark.createDataFrame([(1,), (1,), (2,), (None,), (None,)], "k long")
     r = dq.unique_check(df, "k").first()
@@ -121,6 +137,34 @@ def test_csv_null_tokens_and_sniffing(spark):
     assert [r["x"] for r in rows] == [None, 3.5, None] and rows[1]["s"] is None
 
 
+def test_csv_quotes_line_breaks_and_dotted_names(spark):
+    path = os.path.join(scratch_path(spark, "csv-quotes"), "t.csv")
+    rows = [('say "hi", ok', 1, "x"), ("two\nlines", 2, '"'), (None, 3, " blank "), ("", 4, "a,b")]
+    df = spark.createDataFrame(rows, "note string, id long, `home.city` string")
+    sk.write_csv(df.coalesce(1), path)
+    out = rd.read_csv_nulls(spark, path)
+    assert out.columns == df.columns
+    assert sorted(tuple(r) for r in out.orderBy("id").collect() if r["note"]) == sorted(r for r in rows if r[0])
+    assert out.filter("note is null").count() == 2  # the empty text is a null token
+
+
+def test_csv_bad_values_become_null(spark):
+    path = os.path.join(scratch_path(spark, "csv-bad"), "t.csv")
+    df = spark.range(100).selectExpr("id", "if(id = 7, '1x', cast(id as string)) as n", "if(id < 50, 'word', cast(id as string)) as mixed")
+    sk.write_csv(df.coalesce(1), path)
+    out = rd.read_csv_nulls(spark, path)
+    assert dict(out.dtypes) == {"id": "bigint", "n": "bigint", "mixed": "string"}
+    assert out.filter("n is null").select("id").collect()[0]["id"] == 7
+    declared = rd.read_csv_nulls(spark, path, schema=spark.range(0).selectExpr("cast(1 as double) as mixed", "cast(1 as int) as n").schema)
+    assert declared.filter("mixed is null").count() == 50 and declared.filter("n is null").count() == 1
+
+
+def test_summary_lines_are_csv(spark):
+    df = spark.createDataFrame([("a,b", 1.005e30, 'q"q'), (None, 2.0, "x")], "name string, v double, n string")
+    lines = sorted(r["line"] for r in sk.summary_to_docs(df).collect())
+    assert lines == ['"a,b",1004999999999999980000000000000.00,"q""q"', ",2.00,x"] or lines[1] == ",2.00,x"
+
+
 def test_stream_decode_quarantines_bad_json(spark):
     path = os.path.join(scratch_path(spark, "json-test"), "in")
     spark.createDataFrame([(1, '{"k": 5}'), (2, "not json"), (3, '{"k": 7}')],
