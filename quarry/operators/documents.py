@@ -214,5 +214,5 @@ def report_text(tall: DataFrame, group_cols: list[str], title: Column, order_col
 def type_mix(df: DataFrame, type_col: str) -> DataFrame:
     per = df.groupBy(type_col).agg(F.count(F.lit(1)).alias("documents"))
     return per.select(type_col, "documents",
-                      F.round(F.col("documents") / F.sum("documents").over(Window.partitionBy()) * 100, 6)
+                      (F.col("documents") / F.sum("documents").over(Window.partitionBy()) * 100)
                       .alias("percent"))

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.summaries import r2, r6
 
 
 def quarter_index(year_col, quarter_col):
@@ -21,13 +20,13 @@ def budget_variance(budgets: DataFrame) -> DataFrame:
     """Overall and per-department totals in one pass (rollup): budget, allocated, spent,
     utilisation % = allocated / budget (null when budget is 0) and variance = budget − spent."""
     return (budgets.rollup("department")
-            .agg(r6(F.sum("budget_amount")).alias("total_budget"),
-                 r6(F.sum("allocated_amount")).alias("total_allocated"),
-                 r6(F.sum("spent_amount")).alias("total_spent"),
+            .agg(F.sum("budget_amount").alias("total_budget"),
+                 F.sum("allocated_amount").alias("total_allocated"),
+                 F.sum("spent_amount").alias("total_spent"),
                  F.grouping("department").cast("int").alias("is_total"))
             .withColumn("utilization_percent",
                         F.round(F.try_divide(F.col("total_allocated"), F.col("total_budget")) * 100, 2))
-            .withColumn("variance", r6(F.col("total_budget") - F.col("total_spent"))))
+            .withColumn("variance", (F.col("total_budget") - F.col("total_spent"))))
 
 
 def cost_per_employee(expenses: DataFrame, employees: DataFrame) -> DataFrame:
@@ -61,8 +60,8 @@ def financial_report(revenue: DataFrame, expenses: DataFrame) -> DataFrame:
     joined = rev.join(exp, ["fiscal_year", "fiscal_quarter"], "full_outer")
     return joined.select(
         "fiscal_year", "fiscal_quarter",
-        r2(F.col("revenue")).alias("revenue"), r2(F.col("expenses")).alias("expenses"),
-        r2(F.coalesce("revenue", F.lit(0.0)) - F.coalesce("expenses", F.lit(0.0))).alias("net_income"))
+        "revenue", "expenses",
+        (F.coalesce("revenue", F.lit(0.0)) - F.coalesce("expenses", F.lit(0.0))).alias("net_income"))
 
 
 def expense_share(expenses: DataFrame) -> DataFrame:
@@ -70,8 +69,8 @@ def expense_share(expenses: DataFrame) -> DataFrame:
     per_cat = expenses.groupBy("category").agg(F.sum("amount").alias("total"))
     w_all = Window.partitionBy()
     return per_cat.select(
-        "category", r2(F.col("total")).alias("total_amount"),
-        r6(F.col("total") / F.sum("total").over(w_all) * 100).alias("share_percent"),
+        "category", F.col("total").alias("total_amount"),
+        (F.col("total") / F.sum("total").over(w_all) * 100).alias("share_percent"),
         F.dense_rank().over(Window.orderBy(F.col("total").desc())).alias("rank"))
 
 
@@ -82,9 +81,9 @@ def expense_qoq(expenses: DataFrame) -> DataFrame:
     w = Window.orderBy(quarter_index("fiscal_year", "fiscal_quarter"))
     prev = F.lag("total").over(w)
     return per_q.select(
-        "fiscal_year", "fiscal_quarter", r2(F.col("total")).alias("total_amount"),
-        r2(F.col("total") - prev).alias("change"),
-        r6(F.try_divide(F.col("total") - prev, prev) * 100).alias("change_percent"))
+        "fiscal_year", "fiscal_quarter", F.col("total").alias("total_amount"),
+        (F.col("total") - prev).alias("change"),
+        (F.try_divide(F.col("total") - prev, prev) * 100).alias("change_percent"))
 
 
 def dense_quarter_axis(df: DataFrame, key: str) -> DataFrame:
@@ -109,9 +108,9 @@ def revenue_yoy(revenue: DataFrame, stream_col: str = "stream") -> DataFrame:
         stream_col,
         F.floor(F.col("qi") / 4).cast("int").alias("fiscal_year"),
         (F.col("qi") % 4 + 1).cast("int").alias("fiscal_quarter"),
-        r2(F.col("amount")).alias("revenue"),
-        r6(F.try_divide(F.col("amount") - last_year, last_year) * 100).alias("yoy_percent"),
-        r6(F.try_divide(F.col("amount"), F.sum("amount").over(w_q)) * 100).alias("share_percent"))
+        F.col("amount").alias("revenue"),
+        (F.try_divide(F.col("amount") - last_year, last_year) * 100).alias("yoy_percent"),
+        (F.try_divide(F.col("amount"), F.sum("amount").over(w_q)) * 100).alias("share_percent"))
 
 
 def revenue_projection(revenue: DataFrame) -> DataFrame:
@@ -126,9 +125,9 @@ def revenue_projection(revenue: DataFrame) -> DataFrame:
         F.avg("growth").alias("mean_growth")).select(
         F.floor(F.col("last_qi") / 4).cast("int").alias("last_year"),
         (F.col("last_qi") % 4 + 1).cast("int").alias("last_quarter"),
-        r2(F.col("last_revenue")).alias("last_revenue"),
-        r6(F.col("mean_growth")).alias("mean_growth"),
-        r2(F.col("last_revenue") * (1 + F.col("mean_growth"))).alias("projected_revenue"))
+        "last_revenue",
+        "mean_growth",
+        (F.col("last_revenue") * (1 + F.col("mean_growth"))).alias("projected_revenue"))
 
 
 def latest_month(expenses: DataFrame, date_col: str = "expense_date") -> DataFrame:

@@ -10,7 +10,6 @@ from quarry.operators import cleaning as cl
 from quarry.operators import keyed
 from quarry.operators import quality as dq
 from quarry.operators import summaries as sm
-from quarry.operators.summaries import r6
 from quarry.session import reliable_checkpoint, scratch_path
 from quarry.sources import readers as rd
 from quarry.sources import sinks as sk
@@ -134,7 +133,7 @@ def daily_job(spark: SparkSession, sources: dict[str, str], warehouse: str, as_o
 def employee_overview(emp: DataFrame) -> DataFrame:
     """Headcount and mean tenure per department and overall (rollup)."""
     return (emp.rollup("department").agg(F.count("employee_id").alias("headcount"),
-                                         r6(F.avg("tenure_years")).alias("avg_tenure"),
+                                         F.avg("tenure_years").alias("avg_tenure"),
                                          F.grouping("department").cast("int").alias("is_total")))
 
 
@@ -155,8 +154,8 @@ def performance_trend(reviews: DataFrame, employees: DataFrame) -> DataFrame:
     ranked = overall.withColumn("dept_rank", F.dense_rank().over(Window.orderBy(F.col("dept_avg").desc())))
     w = Window.partitionBy("department").orderBy("year", "quarter")
     return per_q.join(ranked, "department").select(
-        "department", "year", "quarter", "reviews", r6(F.col("avg_rating")).alias("avg_rating"),
-        r6(F.col("avg_rating") - F.lag("avg_rating").over(w)).alias("change"), "dept_rank")
+        "department", "year", "quarter", "reviews", "avg_rating",
+        (F.col("avg_rating") - F.lag("avg_rating").over(w)).alias("change"), "dept_rank")
 
 
 def dispatch(routed: DataFrame, route_col: str, registry: dict[str, str], default: str = "general") -> DataFrame:

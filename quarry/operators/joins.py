@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.partitioning import broadcast_if_small
-from quarry.operators.summaries import r2, r6
 
 def expense_by_department(expenses: DataFrame, departments: DataFrame,
                           employees: DataFrame) -> DataFrame:
@@ -27,7 +26,7 @@ def expense_by_department(expenses: DataFrame, departments: DataFrame,
     emps = employees.select("employee_id", F.lit(True).alias("known_employee")).dropDuplicates(["employee_id"])
     joined = pairs.join(depts, "department_id", "inner").join(emps, "employee_id", "left")
     return (joined.groupBy("department_name")
-            .agg(r2(F.sum("amount")).alias("total_amount"),
+            .agg(F.sum("amount").alias("total_amount"),
                  F.sum("n").alias("expense_count"),
                  F.coalesce(F.sum(F.when(F.col("known_employee").isNull(), F.col("n"))), F.lit(0))
                  .alias("unknown_employee_rows")))
@@ -45,10 +44,10 @@ def budget_allocation(budgets: DataFrame, allocations: DataFrame,
     return (budgets.join(per_budget, "budget_id", "left")
             .join(depts, "department_id", "left")
             .select("budget_id", "department_id", "department_name", "quarter",
-                    r6(F.col("budget_amount")).alias("budget_amount"),
+                    "budget_amount",
                     F.coalesce("allocations", F.lit(0)).alias("allocations"),
-                    r6(F.coalesce("alloc_allocated", F.lit(0.0))).alias("allocated_amount"),
-                    r6(F.coalesce("alloc_spent", F.lit(0.0))).alias("spent_amount")))
+                    F.coalesce("alloc_allocated", F.lit(0.0)).alias("allocated_amount"),
+                    F.coalesce("alloc_spent", F.lit(0.0)).alias("spent_amount")))
 
 
 def review_pairs(reviews: DataFrame, employees: DataFrame) -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.quantiles import exact_quantiles
-from quarry.operators.summaries import r6
 from quarry.session import reliable_checkpoint
 
 
@@ -48,7 +47,7 @@ def minute_windows(df: DataFrame, per_minute: list, per_window: list, keys: list
 
 def request_rate(requests: DataFrame, seconds: int = 300) -> DataFrame:
     return (minute_windows(requests, [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("requests")])
-            .withColumn("rate_per_s", r6(F.col("requests") / F.lit(float(seconds)))))
+            .withColumn("rate_per_s", (F.col("requests") / F.lit(float(seconds)))))
 
 
 def error_ratio(requests: DataFrame) -> DataFrame:
@@ -56,7 +55,7 @@ def error_ratio(requests: DataFrame) -> DataFrame:
         requests,
         [F.count_if(F.col("status").between(500, 599)).alias("e"), F.count(F.lit(1)).alias("n")],
         [F.sum("e").alias("errors"), F.sum("n").alias("requests")])
-        .withColumn("error_ratio", r6(F.col("errors") / F.col("requests"))))
+        .withColumn("error_ratio", (F.col("errors") / F.col("requests"))))
 
 
 def active_users(requests: DataFrame, user_col: str = "user_id") -> DataFrame:
@@ -70,7 +69,7 @@ def active_users(requests: DataFrame, user_col: str = "user_id") -> DataFrame:
 def mean_latency(requests: DataFrame, value_col: str = "duration_s") -> DataFrame:
     return (minute_windows(requests, [F.sum(value_col).alias("s"), F.count(value_col).alias("c")],
                            [F.sum("s").alias("s"), F.sum("c").alias("c")])
-            .select("window_start", "window_end", r6(F.col("s") / F.col("c")).alias("mean_latency_s")))
+            .select("window_start", "window_end", (F.col("s") / F.col("c")).alias("mean_latency_s")))
 
 
 def latency_quantiles(requests: DataFrame, value_col: str = "duration_s") -> DataFrame:
@@ -78,7 +77,7 @@ def latency_quantiles(requests: DataFrame, value_col: str = "duration_s") -> Dat
     by_minute = requests.select(minute_of().alias("__m"), value_col)
     q = exact_quantiles(by_minute, ["window_start", "window_end"], value_col, {"p50_latency_s": 0.5, "p95_latency_s": 0.95},
                         keys=["__m"], fan=fan_minutes)
-    return q.withColumns({c: r6(F.col(c)) for c in ("p50_latency_s", "p95_latency_s")})
+    return q.withColumns({c: F.col(c) for c in ("p50_latency_s", "p95_latency_s")})
 
 
 # Alert rules (metric, comparison, limit).
@@ -111,7 +110,7 @@ def metric_table(requests: DataFrame, memory_bytes: str, free_bytes: str, size_b
     return wide.select("window_start", F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
         for m in ["error_ratio", "mean_latency_s", "memory_gb", "free_disk_ratio", "p95_latency_s"]])).alias("m")
-    ).select("window_start", "m.metric", r6(F.col("m.value")).alias("value"))
+    ).select("window_start", "m.metric", F.col("m.value").alias("value"))
 
 
 def alert_breaches(metrics: DataFrame) -> DataFrame:

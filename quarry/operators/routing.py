@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import contains_any, first_matching_label, strip_ws
-from quarry.operators.summaries import r6
 
 # Routing rules of the orchestrator (first copy).
 ORCHESTRATOR_RULES = [
@@ -86,8 +85,8 @@ def admission(df: DataFrame, text_col: str, max_len: int = 1000) -> DataFrame:
 def agent_metrics(log: DataFrame) -> DataFrame:
     return log.groupBy("agent").agg(
         F.count(F.lit(1)).alias("total_queries"),
-        r6(F.avg("processing_time")).alias("avg_processing_time"),
-        r6(F.avg("confidence")).alias("avg_confidence"))
+        F.avg("processing_time").alias("avg_processing_time"),
+        F.avg("confidence").alias("avg_confidence"))
 
 
 def model_metrics(log: DataFrame) -> DataFrame:
@@ -97,6 +96,6 @@ def model_metrics(log: DataFrame) -> DataFrame:
         F.sum("processing_time").alias("total_time"),
         F.avg("processing_time").alias("avg_time"),
         F.max_by("processing_time", F.struct("ts", "query_id")).alias("last_time"))
-    return agg.select("model", "total_inferences", r6(F.col("total_time")).alias("total_time"),
-                      r6(F.col("avg_time")).alias("avg_time"), r6(F.col("last_time")).alias("last_time"),
-                      r6(F.when(F.col("avg_time") > 0, 1 / F.col("avg_time")).otherwise(0.0)).alias("throughput"))
+    return agg.select("model", "total_inferences", "total_time",
+                      "avg_time", "last_time",
+                      (F.when(F.col("avg_time") > 0, 1 / F.col("avg_time")).otherwise(0.0)).alias("throughput"))

@@ -9,24 +9,15 @@ from pyspark.sql import functions as F
 from quarry.operators.quantiles import exact_quantiles
 
 
-def r6(c):
-    """Round a double aggregate to 6 places (sums of doubles depend on addition order)."""
-    return F.round(c, 6)
-
-
-def r2(c):
-    """Round a money total to cents: large sums keep ~16 significant digits, so their 6th
-    decimal depends on the addition order; the cent does not."""
-    return F.round(c, 2)
 
 
 def department_salary(df: DataFrame) -> DataFrame:
     """Active employees per department: mean salary, headcount (non-null ids), mean rating."""
     return (df.filter(F.col("status") == "active")
               .groupBy("department")
-              .agg(r6(F.avg("salary")).alias("avg_salary"),
+              .agg(F.avg("salary").alias("avg_salary"),
                    F.count("employee_id").alias("headcount"),
-                   r6(F.avg("performance_rating")).alias("avg_performance")))
+                   F.avg("performance_rating").alias("avg_performance")))
 
 
 def department_profile(df: DataFrame) -> DataFrame:
@@ -38,14 +29,14 @@ def department_profile(df: DataFrame) -> DataFrame:
     """
     agg = (df.groupBy("department")
              .agg(F.count("employee_id").alias("headcount"),
-                  r6(F.avg("salary")).alias("avg_salary"),
+                  F.avg("salary").alias("avg_salary"),
                   F.min("salary").alias("min_salary"),
                   F.max("salary").alias("max_salary"),
-                  r6(F.avg("performance_rating")).alias("avg_performance"),
+                  F.avg("performance_rating").alias("avg_performance"),
                   F.min("hire_date").alias("earliest_hire"),
                   F.max("hire_date").alias("latest_hire")))
     med = exact_quantiles(df, ["department"], "salary", {"median_salary": 0.5})
-    med = med.select(F.col("department").alias("__d"), r6(F.col("median_salary")).alias("median_salary"))
+    med = med.select(F.col("department").alias("__d"), F.col("median_salary").alias("median_salary"))
     out = agg.join(med, agg["department"].eqNullSafe(med["__d"]), "left").drop("__d")
     return (out.select("department", "headcount", "avg_salary", "median_salary", "min_salary",
                        "max_salary", "avg_performance", "earliest_hire", "latest_hire")
@@ -55,15 +46,15 @@ def department_profile(df: DataFrame) -> DataFrame:
 def department_summary(df: DataFrame) -> DataFrame:
     return (df.groupBy("department")
               .agg(F.count("employee_id").alias("headcount"),
-                   r6(F.avg("salary")).alias("avg_salary"),
-                   r6(F.avg("tenure_years")).alias("avg_tenure"),
-                   r2(F.sum("salary")).alias("total_payroll")))
+                   F.avg("salary").alias("avg_salary"),
+                   F.avg("tenure_years").alias("avg_tenure"),
+                   F.sum("salary").alias("total_payroll")))
 
 
 def expense_summary(df: DataFrame) -> DataFrame:
     return (df.groupBy("category")
-              .agg(r2(F.sum("amount")).alias("total_amount"),
-                   r6(F.avg("amount")).alias("avg_amount"),
+              .agg(F.sum("amount").alias("total_amount"),
+                   F.avg("amount").alias("avg_amount"),
                    F.count("expense_id").alias("transaction_count"))
               .orderBy(F.col("total_amount").desc_nulls_first()))
 
