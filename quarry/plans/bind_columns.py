@@ -202,18 +202,35 @@ def q_age(spark, sf):
         fc.age_years("birth_date", F.to_date(F.lit(fx.AS_OF))).alias("age"))
 
 
-@query("json_flatten", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+# JSON with members at several depths, of which some rows lack some
+NESTED = """CASE event_id % 5 WHEN 0 THEN props
+  WHEN 1 THEN concat('{"k":', CAST(event_id % 7 AS string), ',"meta":{"source":"web","geo":{"country":"', event_type, '"}}}')
+  WHEN 2 THEN concat('{"meta":{"source":"', event_type, '"},"score":', CAST(event_id % 9 AS string), '.5}')
+  WHEN 3 THEN '{"k":3,"meta":{"geo":{}}}' ELSE NULL END"""
+NESTED_SQL = f"WITH nested AS (SELECT event_id, {NESTED} AS props FROM events)\n"
+
+
+def nested_events(spark, sf):
+    return fx.table(spark, sf, "events").select("event_id", F.expr(NESTED).alias("props"))
+
+
+@query("json_flatten", NESTED_SQL + """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+  json_extract_string(props, '$.meta.geo.country') AS "meta.geo.country", json_extract_string(props, '$.meta.source') AS "meta.source",
+  CAST(json_extract(props, '$.score') AS DOUBLE) AS score FROM nested""")
 def q_json_flatten(spark, sf):
-    return structure.flatten_json(fx.table(spark, sf, "events"), "props", keep=["event_id"])
+    flat = structure.flatten_json(nested_events(spark, sf), "props", keep=["event_id"])
+    return flat.withColumn("score", F.col("score").cast("double"))
 
 
-@query("json_get", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
-  coalesce(json_extract_string(props, '$.meta.source'), 'unknown') AS source
-FROM events""")
+@query("json_get", NESTED_SQL + """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+  coalesce(json_extract_string(props, '$.meta.source'), 'unknown') AS source,
+  json_extract_string(props, '$.meta.geo.country') AS country
+FROM nested""")
 def q_json_get(spark, sf):
-    ev = fx.table(spark, sf, "events")
+    ev = nested_events(spark, sf)
     return ev.select("event_id", structure.json_get("props", "k", "bigint").alias("k"),
-                     structure.json_get("props", "meta.source", "string", "unknown").alias("source"))
+                     structure.json_get("props", "meta.source", "string", "unknown").alias("source"),
+                     structure.json_get("props", "meta.geo.country", "string").alias("country"))
 
 
 # The two records of a user hold nested objects of depth 6, an empty object, texts that begin like

@@ -225,9 +225,14 @@ def q_insert_absent(spark, sf):
     return keyed.insert_if_absent(old, new, ["collection", "doc_id"])
 
 
-@query("doc_delete", """SELECT d.* FROM documents d
-WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)""")
+@query("doc_delete", """WITH store AS (SELECT lang AS collection, d.* FROM documents d UNION ALL SELECT 'all' AS collection, d.* FROM documents d)
+SELECT s.* FROM store s
+WHERE NOT (s.collection = s.lang AND s.doc_id IN (SELECT doc_id FROM labels l WHERE l.toxic = 1))""")
 def q_doc_delete(spark, sf):
+    """Flagged documents leave their own collection; the collection of all documents, under the same
+    ids, keeps them. The key is collection and id, and keys are listed twice over."""
     docs = fx.table(spark, sf, "documents")
-    flagged = fx.table(spark, sf, "labels").filter(F.col("toxic") == 1)
-    return keyed.delete_keys(docs, flagged, ["doc_id"])
+    store = docs.select(F.col("lang").alias("collection"), "*").unionByName(docs.select(F.lit("all").alias("collection"), "*"))
+    flagged = docs.join(fx.table(spark, sf, "labels").filter(F.col("toxic") == 1), "doc_id", "left_semi").select(
+        F.col("lang").alias("collection"), "doc_id")
+    return keyed.delete_keys(store, flagged.unionByName(flagged), ["collection", "doc_id"]).select(store.columns)

@@ -100,7 +100,8 @@ VIEWS["contacts"] = """SELECT
   concat('+', CAST(c_custkey % 90 AS string), ' (', CAST(200 + c_custkey % 700 AS string), ') 555-',
          CAST(1000 + c_custkey % 9000 AS string)) AS phone,
   CASE WHEN c_custkey % 10 = 0 THEN 'broken@' ELSE concat('u', CAST(c_custkey AS string), '@company.com') END AS email,
-  CASE c_custkey % 4 WHEN 0 THEN '2024-03-05' WHEN 1 THEN '03/05/2024' WHEN 2 THEN 'March 5, 2024' ELSE 'soon' END AS joined
+  CASE c_custkey % 9 WHEN 0 THEN '2024-03-05' WHEN 1 THEN '03/05/2024' WHEN 2 THEN 'March 5, 2024' WHEN 3 THEN '25/12/2024'
+       WHEN 4 THEN '2024-03-05 10:20:30' WHEN 5 THEN '03/05/2024 10:20:30' WHEN 6 THEN '5 March 2024' WHEN 7 THEN NULL ELSE 'soon' END AS joined
 FROM customer"""
 
 VIEWS["query_log"] = """SELECT
