@@ -264,36 +264,59 @@ def test_toxicity_without_labels(spark):
     assert toxicity.remove_toxic(docs, one).count() == 2
 
 
-def test_model_is_a_distribution(spark):
-    """The shared model sums to one over the last byte of every history (what is unseen after a
-    history takes its discounted share), and ratios follow the definition."""
-    text = "the cat sat on the mat and the bat sat too "
+def plain_beginnings(text):
+    out = []
+    for w in (text.lower() + " ").replace("\n", " ").split(" "):
+        data = w.encode() + b" "
+        if w:
+            out += [int.from_bytes(b" " + data[:i + 1], "big") for i in range(min(len(data), toxicity.REACH))]
+    return out
+
+
+def test_beginnings_of_words():
+    for text in ("", " ", "a", "The  quick\nbrown é日本語 fox", "x" * 30 + " y"):
+        key, part, word = toxicity.grams(toxicity.slices(text))
+        assert key.tolist() == plain_beginnings(text) and len(set(word.tolist())) == len(text.split())
+    parts = toxicity.slices("ab cd") + toxicity.slices("ef")
+    key, part, _ = toxicity.grams(parts)
+    assert key.tolist() == plain_beginnings("ab cd") + plain_beginnings("ef") and part.tolist() == [0] * 6 + [1] * 3
+
+
+def test_long_texts_are_cut_without_loss(monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK", 50)
+    text = "words of é some length " * 30 + "z" * 200 + " end"
+    parts = toxicity.slices(text)
+    assert len(parts) > 10 and b"".join(d for _, d in parts) == text.encode() + b" "
+    assert [k for owner, group in toxicity.chunked([text]) for k in toxicity.grams(group)[0].tolist()] == plain_beginnings(text)
+
+
+def test_model_follows_its_definition(spark):
+    text = "the cat sat on the mat and the bat sat too then "
     key, _, _ = toxicity.grams(toxicity.slices(text))
-    rows = [(int(k), int(c), int(c) - 1, 1) for k, c in zip(*np.unique(key, return_counts=True))]
+    rows = [(int(k), int(c), max(int(c) - 1, 0), 1) for k, c in zip(*np.unique(key, return_counts=True))]
     table = spark.createDataFrame(rows, "g long, n long, n_ord long, n_tox long")
-    p = {r["g"]: r["p"] for r in toxicity.shared_model(table).collect()}
-    assert set(p) == {k & 0xFFFFFFFF for k in key.tolist()} and all(0 < x <= 1 for x in p.values())
+    p = {r["g"]: r["p"] for r in toxicity.continuation_model(table).collect()}
+    assert set(p) == {k & 0xFFFFFFFF for k in key.tolist()}
     by_history = {}
     for g, x in p.items():
         by_history[g >> 8] = by_history.get(g >> 8, 0) + x
-    assert all(s <= 1 + 1e-9 for s in by_history.values())
-    r = {x["g"]: x["ratio"] for x in toxicity.ratios(table).collect()}
-    g = rows[0][0]
-    same = [x for x in rows if x[0] >> 8 == g >> 8]
-    prob = lambda k: (max(rows[0][k] - 0.75, 0) + 0.75 * sum(x[k] > 0 for x in same) * p[g & 0xFFFFFFFF]) / sum(x[k] for x in same)
-    want = math.log(prob(3)) - (math.log(prob(2)) if sum(x[2] for x in same) else math.log(p[g & 0xFFFFFFFF]))
-    assert r[g] == pytest.approx(want)
-
-
-def test_slices_add_up():
-    text = "word é " * 400_000
-    whole = toxicity.slices(text)
-    assert len(whole) > 2 and b"".join(d for _, d in whole) == text.encode() + b" "
-    key, part, ends = toxicity.grams(whole)
-    data = b"    " + text.encode() + b" "
-    assert len(key) == len(data) - 4
-    for i in (0, 5, len(whole[0][1]), len(whole[0][1]) + 1, len(key) - 1):
-        assert key[i] == int.from_bytes(data[i:i + 5], "big") and ends[i] == (data[i + 4] == 32)
+    assert all(0 < s <= 1 + 1e-9 for s in by_history.values())
+    got = {x["g"]: x["ratio"] for x in toxicity.ratios(table).collect()}
+
+    def prob(r, k, low):
+        same = [x for x in rows if x[0] >> 8 == r[0] >> 8]
+        seen = sum(x[k] for x in same)
+        return (max(r[k] - 1.5, 0) + sum(min(x[k], 1.5) for x in same) * low) / seen if seen else low
+
+    for r in rows:
+        everywhere = prob(r, 1, p[r[0] & 0xFFFFFFFF])
+        assert got[r[0]] == pytest.approx(math.log(prob(r, 3, everywhere)) - math.log(prob(r, 2, everywhere)))
+
+
+def test_slots_agree_with_sql(spark):
+    g = np.array([0x2061, 0x20616263, 0x2061626364656667, 0x207A207A207A207A], dtype=np.uint64)
+    d = spark.createDataFrame([(int(x),) for x in g], "g long").select(F.pmod(F.hash("g"), F.lit(1 << toxicity.SLOT_BITS)).alias("s"))
+    assert toxicity.slots(g).tolist() == [r["s"] for r in d.collect()]
 
 
 # --- HTML ---------------------------------------------------------------------------------------
