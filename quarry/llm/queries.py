@@ -72,7 +72,47 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                         decontaminate.contaminated().alias("contaminated"))
 
 
-@query("op3_secret_scan")
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def _op3_sql() -> str:
+    """Places of matches from the texts between them. Letters in either case are spelled out, since
+    the engine's own folding knows more letters than A-Z."""
+    names = "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api"))) + "_?" + _either_case("key")
+    assign = "(" + names + """)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    kinds = [(0, assign, f"regexp_extract(m, '{assign}', 2)", "length(v) >= 6"), (1, "AKIA[A-Z0-9]+", "m", "length(v) >= 20"),
+             (2, "[0-9a-f]{24,}", "m", "true"),
+             (3, "[A-Za-z0-9+/_=-]{20,}", "m", "regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]') AND looks")]
+    found = "\nUNION ALL ".join(
+        f"SELECT r, {k} AS kind, g, ms, i FROM (SELECT r, regexp_split_to_array(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS ms FROM d WHERE regexp_matches(t, '{p}')), "
+        f"unnest(range(1, len(ms) + 1)) AS u(i)" for k, p, _, _ in kinds)
+    value = "CASE kind " + " ".join(f"WHEN {k} THEN {v}" for k, _, v, _ in kinds) + " END"
+    keep = " OR ".join(f"kind = {k} AND {c}" for k, _, _, c in kinds)
+    names_sql = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(secret_scan.KINDS)) + " END"
+    said = f"string_agg({names_sql} || ':' || CAST(start AS VARCHAR) || ':' || CAST(stop AS VARCHAR), ',' ORDER BY start, kind)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, coalesce(lang, '') AS lang FROM documents),
+found AS ({found}),
+placed AS (SELECT r, kind, ms[i] AS m, CAST(list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM found),
+valued AS (SELECT *, start + length(m) AS stop, {value} AS v FROM placed),
+seen AS (SELECT v, list_sum(list_transform(list_distinct(string_split(v, '')), lambda c:
+    -(len(list_filter(string_split(v, ''), lambda x: x = c)) / length(v)) * log2(len(list_filter(string_split(v, ''), lambda x: x = c)) / length(v)))) >= {secret_scan.LIVE_BITS}
+    AND NOT regexp_matches(v, '(?i){secret_scan.PLACEHOLDERS.pattern}') AS looks FROM (SELECT DISTINCT v FROM valued)),
+kept AS (SELECT valued.*, looks FROM valued JOIN seen USING (v) WHERE {keep}),
+cands AS (SELECT * FROM kept a WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM kept b WHERE b.r = a.r AND b.kind < 3 AND b.start < a.stop AND a.start < b.stop)),
+held AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT (owner, lang)) AS repos FROM cands JOIN d USING (r) GROUP BY v),
+judged AS (SELECT cands.*, looks AND owners <= {secret_scan.MAX_LIVE_OWNERS} AND repos <= {secret_scan.MAX_LIVE_REPOS} AS live FROM cands JOIN held USING (v)),
+spans AS (SELECT * FROM judged WHERE kind < 3 OR live),
+per AS (SELECT r, count_if(kind = 0) AS n_assign, count_if(kind = 1) AS n_access, count_if(kind = 2) AS n_hex, count_if(live) AS n_live,
+  {said} FILTER (kind < 3) AS base, {said} AS spans FROM spans GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(coalesce(n_live, 0) AS BIGINT) AS n_live
+FROM d LEFT JOIN per USING (r)
+"""
+
+
+@query("op3_secret_scan", _op3_sql())
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"),
                                      keep_text=False)
