@@ -13,10 +13,23 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from quarry.session import scratch_path, ship_package
 
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_TEXTS = 1_000
+
+
+def ready_for_texts(spark) -> None:
+    """Before tasks read texts in Python: the package is there, and an Arrow batch holds at most
+    ``BATCH_TEXTS`` rows, since texts are long (a smaller setting stays)."""
+    ship_package(spark)
+    if int(spark.conf.get(BATCH_SETTING)) > BATCH_TEXTS:
+        spark.conf.set(BATCH_SETTING, BATCH_TEXTS)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared scratch folder and read it back: lineage is cut, a
     lost executor costs a re-read, and the reader's partitioning is unknown to the planner, so
     later joins get exchanges that adaptive execution may split when a key is hot."""
+    ready_for_texts(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -41,7 +54,7 @@ def add_columns(df: DataFrame, fields: list[T.StructField], rows: Callable, need
     """Append ``fields`` to every row of ``df``. ``rows(*columns)`` runs inside the tasks on the
     Python lists of the needed columns of one Arrow batch and gives one list per field; the other
     columns pass through untouched. Columns of the same names are replaced."""
-    ship_package(df.sparkSession)
+    ready_for_texts(df.sparkSession)
     base = without(df, [f.name for f in fields])
     own, at = shielded(base), [base.columns.index(n) for n in needs]
     schema = T.StructType(list(own.schema.fields) + fields)

@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quarry.llm.common import materialise, quoted, shielded, without
-from quarry.session import ship_package
+from quarry.llm.common import materialise, quoted, ready_for_texts, shielded, without
 
 WINDOW = 13
 BLOCK_CHARS = 1_000_000
@@ -132,7 +131,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, doc_text: str = "text", ite
     are each reported; with an empty test set nothing is hit. Columns of ``docs`` that carry one
     of the five names are replaced, all others are kept.
     """
-    ship_package(docs.sparkSession)
+    ready_for_texts(docs.sparkSession)
     base = without(docs, [f.name for f in FIELDS])
     own, at = shielded(base), base.columns.index(doc_text)
     schema = T.StructType(list(own.schema.fields) + FIELDS)
