@@ -93,6 +93,15 @@ def clear_scratch(spark: SparkSession) -> None:
         jpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove one intermediate table before the rest, once nothing reads it any more."""
+    sc = spark.sparkContext
+    if path in _scratch.get(id(sc), []):
+        _scratch[id(sc)].remove(path)
+        jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def _clear_at_exit() -> None:
     spark = SparkSession.getActiveSession()
     if spark is not None and spark.sparkContext._jsc is not None:
