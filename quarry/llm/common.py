@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quarry.session import scratch_path, ship_package
+from quarry.session import discard, scratch_path, ship_package
 
 
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -32,7 +32,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     ready_for_texts(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Remove tables that ``materialise`` gave, after the last job that reads them."""
+    for t in tables:
+        if getattr(t, "_scratch_path", None):
+            discard(t.sparkSession, t._scratch_path)
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise
+from quarry.llm.common import drop_tables, materialise
 
 FOREST_ROWS = 200_000
 
@@ -58,16 +58,22 @@ def _batch(u, v):
 
 
 def _large_star(e: DataFrame) -> DataFrame:
+    """Every node's larger neighbours get linked to its smallest one."""
     both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
     low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
-    return both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    out = materialise(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
+    drop_tables(low)
+    return out
 
 
 def _small_star(e: DataFrame) -> DataFrame:
+    """Every node and its smaller neighbours get linked to the smallest of them."""
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = materialise(down.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
     moved = down.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
+    out = materialise(moved.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc-small")
+    drop_tables(low)
+    return out
 
 
 def _state(e: DataFrame) -> tuple:
@@ -83,11 +89,19 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     e = materialise(e.mapInArrow(_forests, "u long, v long").distinct(), "cc-links")
     before = _state(e)
     if before[0] == 0:
-        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        return _named(e)
     while True:
-        big = materialise(_large_star(e), "cc-large")
-        e = materialise(_small_star(big), "cc-small")
+        big = _large_star(e)
+        drop_tables(e)
+        e = _small_star(big)
+        drop_tables(big)
         now = _state(e)
         if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return _named(e)
         before = now
+
+
+def _named(e: DataFrame) -> DataFrame:
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._scratch_path = e._scratch_path  # the caller may drop it
+    return out

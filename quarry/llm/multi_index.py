@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise, quoted
+from quarry.llm.common import drop_tables, materialise, quoted
 from quarry.llm.components import components, forest
 
 SIMILARITY = 0.95
@@ -268,6 +268,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "vectors-placed")
     lowest = materialise(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "vectors-lowest")
     of = materialise(placed.join(lowest, "root").select(F.col("raw").alias("of"), "n_links", "component_id"), "vectors-of")
+    drop_tables(found, roots, classes, placed, lowest)
     linked = rows.filter("raw is not null").join(of, rows["raw"] == of["of"]).select("id", "n_links", "component_id")
     alone = rows.filter("raw is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))

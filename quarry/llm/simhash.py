@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise, quoted
+from quarry.llm.common import drop_tables, materialise, quoted
 from quarry.llm.components import components, forest
 
 BITS = 64
@@ -142,6 +142,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                          .select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "simhash-placed")
     lowest = materialise(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-lowest")
     of = materialise(placed.join(lowest, "root").select(F.col("fp").alias("class_fp"), "root", "component_id"), "simhash-of")
+    drop_tables(classes, roots, placed, lowest)
     return (fps.join(of, fps["fp"] == of["class_fp"])
             .select("id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root"))
 
