@@ -14,8 +14,10 @@ def _plan(df) -> str:
 
 @pytest.mark.parametrize("key", sorted(QUERIES))
 def test_no_cross_or_nested_loop_join(spark, sf_dir, key):
+    """Nor does a query cut a table to a number of rows, or squeeze one into a single task."""
     plan = _plan(QUERIES[key](spark, sf_dir))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "GlobalLimit" not in plan and "CollectLimit" not in plan and "Coalesce 1" not in plan
 
 
 def test_flagship_prunes_columns(spark, sf_dir):
@@ -29,15 +31,6 @@ def test_parquet_scan_pushes_filter(spark, sf_dir):
     assert "ReadSchema: struct<employee_id:bigint,email:string,salary:string>" in plan
 
 
-def test_no_limit_or_single_partition_write_over_tables(spark, sf_dir):
-    """No query cuts a table to a number of rows or squeezes one into a single task."""
-    for key, query in QUERIES.items():
-        if key == "pipeline" or key.startswith("op"):
-            continue
-        plan = _plan(query(spark, sf_dir))
-        assert "GlobalLimit" not in plan and "CollectLimit" not in plan and "Coalesce 1" not in plan, key
-
-
 def test_unbound_users_stay_in_the_jvm(spark, sf_dir):
     """The rate limiter hands Python only the runs that can reach a limit."""
     from quarry.operators import metrics
