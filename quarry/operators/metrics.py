@@ -7,7 +7,6 @@ distributed selection of ``quantiles.exact_quantiles``.
 
 from collections import deque
 from collections.abc import Iterator
-from typing import Any, Tuple
 
 import numpy as np
 import pandas as pd
@@ -219,14 +218,23 @@ def decide_admissions(window: deque, t: np.ndarray, lim: np.ndarray) -> np.ndarr
 ADMITTED = "request_id long, user_id long, role string, us long, admitted boolean"
 
 
-def _admit_batches(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sequential admission of one run of a user; rows arrive ordered by (ts, request_id) in Arrow
-    batches, state is the deque of admitted times in the last window (≤ limit entries)."""
+def _admit_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sequential admission, run by run. Rows arrive in Arrow batches, ordered by run and in it by
+    (ts, request_id); a run may go on in the next batch. State is the run at hand and the deque of
+    times admitted in its last window (≤ limit entries)."""
     window: deque = deque()
+    current = None
     for pdf in batches:
-        out = decide_admissions(window, pdf["us"].to_numpy() / 1e6, pdf["lim"].to_numpy())
-        yield pd.DataFrame({"request_id": pdf["request_id"], "user_id": pdf["user_id"], "role": pdf["role"],
-                            "us": pdf["us"], "admitted": out})
+        user, run = pdf["user_id"].to_numpy(), pdf["run"].to_numpy()
+        t, lim = pdf["us"].to_numpy() / 1e6, pdf["lim"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (user[1:] != user[:-1]) | (run[1:] != run[:-1])]) if len(t) else []
+        out = np.zeros(len(t), dtype=bool)
+        for a, b in zip(starts, [*starts[1:], len(t)]):
+            if (user[a], run[a]) != current:
+                window.clear()
+                current = (user[a], run[a])
+            out[a:b] = decide_admissions(window, t[a:b], lim[a:b])
+        yield pdf[["request_id", "user_id", "role", "us"]].assign(admitted=out)
 
 
 def admission_runs(cols: DataFrame) -> DataFrame:
@@ -244,23 +252,28 @@ def admission_runs(cols: DataFrame) -> DataFrame:
     return per.select("user_id", "b", "run", (F.max("most").over(whole) > F.min("lim").over(whole)).alias("binds"))
 
 
+NO_USER = -(1 << 63)
+
+
 def rate_limit_admission(requests: DataFrame, limits: dict | None = None) -> DataFrame:
-    """Exact sliding-window admission (rejected requests do not count).
+    """Exact sliding-window admission (rejected requests do not count). Requests without a user
+    share one limit as one user; requests without a time are not decided and left out.
 
     The unit of work is a (user, run of non-empty 60-s buckets), see ``admission_runs``. Runs that
-    cannot reach a limit, normally almost all, are admitted in the JVM. The others are decided
-    one request after another by a grouped map that reads its run as a stream of Arrow batches
-    and keeps the ≤ limit admitted times only.
+    cannot reach a limit, normally almost all, are admitted in the JVM. The others are spread by
+    run, sorted, and decided one request after another as a stream of Arrow batches that keeps the
+    ≤ limit admitted times only.
     """
     span = WINDOW_SECONDS * 1_000_000
-    cols = requests.select("request_id", "user_id", "role",
-                           F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
-                           role_limit("role", limits).alias("lim")).withColumn("b", F.floor(F.col("us") / F.lit(span)))
+    cols = requests.filter("ts is not null").select(
+        "request_id", F.coalesce(F.col("user_id").cast("long"), F.lit(NO_USER)).alias("user_id"), "role",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        role_limit("role", limits).alias("lim")).withColumn("b", F.floor(F.col("us") / F.lit(span)))
     runs = reliable_checkpoint(admission_runs(cols))
     tagged = cols.join(runs, ["user_id", "b"])
     free = tagged.filter(~F.col("binds")).select("request_id", "user_id", "role", "us", F.lit(True).alias("admitted"))
     bound = tagged.filter("binds").select("request_id", "user_id", "role", "us", "lim", "run").repartition(
         "user_id", "run").sortWithinPartitions("user_id", "run", "us", "request_id")
-    decided = bound.groupBy("user_id", "run").applyInPandas(_admit_batches, ADMITTED)
-    return free.unionByName(decided).select("request_id", "user_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"),
-                                            "role", "admitted")
+    decided = free.unionByName(bound.mapInPandas(_admit_batches, ADMITTED))
+    return decided.select("request_id", F.nullif("user_id", F.lit(NO_USER)).alias("user_id"),
+                          F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "role", "admitted")

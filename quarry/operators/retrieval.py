@@ -82,8 +82,8 @@ def _score_block(k: int, dim: int):
 # --- cells: which parts of the corpus a query has to see -----------------------------------------
 
 SAMPLE_ROWS = 20_000   # expected size of the sample that pivots are chosen from
-MAX_PIVOTS = 256
-CELL_ROWS = 500        # corpus vectors a cell should hold
+MAX_PIVOTS = 128
+CELL_ROWS = 2_000      # corpus vectors a cell should hold
 
 
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:

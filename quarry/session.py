@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import re
+import shutil
 import sys
 import tempfile
 import uuid
@@ -23,6 +25,8 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # checkpoint files go when nothing in the driver refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -43,6 +47,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     return spark
 
 
+_own_folders: list[str] = []  # temporary folders made here, by single-process sessions
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -56,6 +63,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="quarry-ckpt-")
+        if not _own_folders:
+            atexit.register(_clear_at_exit)
+        _own_folders.append(configured)
         spark.conf.set("spark.checkpoint.dir", configured)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
@@ -78,7 +88,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark)
     ship_package(spark)
     path = os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
-    if not _scratch:
+    if not _scratch and not _own_folders:
         atexit.register(_clear_at_exit)
     _scratch.setdefault(id(spark.sparkContext), []).append(path)
     return path
@@ -103,9 +113,15 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def _clear_at_exit() -> None:
-    spark = SparkSession.getActiveSession()
+    """With a live session, through its file system; of a stopped one, what lies on local paths."""
+    spark = SparkSession._instantiatedSession
     if spark is not None and spark.sparkContext._jsc is not None:
-        clear_scratch(spark)
+        with contextlib.suppress(Exception):  # the JVM may be gone before Python ends
+            clear_scratch(spark)
+    for path in [p for paths in _scratch.values() for p in paths] + _own_folders:
+        local = re.sub("^file:(//)?", "", path)
+        if local.startswith("/"):
+            shutil.rmtree(local, ignore_errors=True)
 
 
 def ship_package(spark: SparkSession) -> None:
