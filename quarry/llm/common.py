@@ -54,6 +54,14 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shielded(df: DataFrame) -> DataFrame:
     """``df`` with plain column names, by position: names with dots do not pass through Python."""
     return df.toDF(*[f"__own_{i}" for i in range(len(df.columns))])

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import materialise, quoted
+from quarry.llm.common import fresh, materialise, quoted
 
 # The base patterns and the least length of what they find; kinds in listed order.
 KINDS = ["assign", "access", "hex", "live"]
@@ -171,8 +171,9 @@ def redact(docs: DataFrame, text_col: str = "text", owner_cols: tuple = ("source
     one's kind), all in one pass over the text; ``n_chars``, where there is such a column, follows. Texts
     without spans are untouched."""
     kinds = F.array(*[F.lit(f"[{k}]") for k in KINDS])
-    found = find_secrets(docs, text_col, owner_cols, repo_cols).withColumn("__text", quoted(text_col))
-    text = F.col("__text")  # a name that no output column has
+    copy, new = fresh(docs, "__text"), fresh(docs, "__masked")  # names that no output column has
+    found = find_secrets(docs, text_col, owner_cols, repo_cols).withColumn(copy, quoted(text_col))
+    text = quoted(copy)
     # (text so far, where it ends) is carried over the spans in order
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
     step = lambda acc, s: F.struct(
@@ -182,13 +183,13 @@ def redact(docs: DataFrame, text_col: str = "text", owner_cols: tuple = ("source
     folded = F.aggregate("secret_spans", start, step, lambda acc: F.concat(
         acc["done"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
     untouched = F.size("secret_spans") == 0
-    masked = found.withColumn("__masked", F.when(untouched, text).otherwise(folded))
+    masked = found.withColumn(new, F.when(untouched, text).otherwise(folded))
     cols = []
     for c in docs.columns:
         if c == text_col:
-            cols.append(F.col("__masked").alias(c))
+            cols.append(quoted(new).alias(c))
         elif c == "n_chars":
-            cols.append(F.when(untouched, quoted(c)).otherwise(F.length("__masked").cast(docs.schema[c].dataType)).alias(c))
+            cols.append(F.when(untouched, quoted(c)).otherwise(F.length(quoted(new)).cast(docs.schema[c].dataType)).alias(c))
         elif c.lower() != "secret_spans":
             cols.append(quoted(c))
     return masked.select(*cols)

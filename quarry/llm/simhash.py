@@ -158,9 +158,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rank = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("text_hash").alias("text_hash"), F.col("n").alias("n"))
     keep = materialise(candidates.groupBy("root").agg(F.min(rank).alias("r"))
                        .select(F.col("r.id").alias("__keep_id"), F.col("r.text_hash").alias("__keep_hash"), F.col("r.n").alias("__keep_n")), "simhash-keep")
-    d = docs.withColumn("__row_id", quoted(id_col).cast("long")).withColumn("__row_hash", F.xxhash64(quoted(text_col)))
+    own = [quoted(c).alias(f"__own_{i}") for i, c in enumerate(docs.columns)]
+    d = docs.select(*own, quoted(id_col).cast("long").alias("__row_id"), F.xxhash64(quoted(text_col)).alias("__row_hash"))
     kept = d.join(keep, F.col("__row_id").eqNullSafe(F.col("__keep_id")) & (F.col("__row_hash") == F.col("__keep_hash")))
-    columns = [quoted(c) for c in docs.columns]
+    columns = [F.col(f"__own_{i}").alias(c) for i, c in enumerate(docs.columns)]
     if keep.filter("__keep_n > 1").isEmpty():  # no repeated rows: the join's result is it
         return kept.select(*columns)
     once = kept.filter("__keep_n > 1").dropDuplicates(["__row_id", "__row_hash"])
