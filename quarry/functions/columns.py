@@ -78,6 +78,7 @@ def format_currency(amount, currency) -> Column:
             .otherwise(F.concat(sym, F.format_number(a, 2))))
 
 
+# Size units, 1024 apart.
 SIZE_UNITS = ["B", "KB", "MB", "GB", "TB"]
 
 
