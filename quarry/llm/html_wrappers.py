@@ -64,11 +64,12 @@ class Node:
     """A block element: ``key`` is its tag, with its names where it has some; children are nodes
     and texts."""
 
-    __slots__ = ("tag", "key", "kids", "linked", "size")
+    __slots__ = ("tag", "key", "kids", "linked", "size", "spaced")
 
     def __init__(self, tag, key):
         self.tag, self.key, self.kids = tag, key, []
         self.linked = self.size = 0
+        self.spaced = False  # only white space lies between this inline node and the next
 
 
 def _names(attrs: str) -> str:
@@ -81,15 +82,32 @@ def parse(page: str | None) -> Node:
     where the next block or item begins; end tags without a start are ignored."""
     page = page or ""
     root = Node("", "")
-    stack, text, links, at, raw = [root], [], 0, 0, None
+    stack, text, links = [root], [], 0
+    opened: dict[str, list] = {}  # per inline tag, the open ones: their node, or None where they leave no trace
 
-    def flush():
+    def flush(before_inline=False):
+        """The text so far as a child; next to an inline node it keeps its space on that side."""
         if text:
-            s = " ".join("".join(text).split())
+            raw = "".join(text)
+            s = " ".join(raw.split())
             text.clear()
+            kids = stack[-1].kids
+            after_inline = bool(kids) and not isinstance(kids[-1], str) and kids[-1].tag in INLINE
             if s:
-                stack[-1].kids.append(s)
                 stack[-1].size += len(s)
+                kids.append(" " * (after_inline and raw[0].isspace()) + s + " " * (before_inline and raw[-1].isspace()))
+            elif raw and after_inline and before_inline:
+                kids[-1].spaced = True
+
+    def close_inline(node):
+        """Ends an inline node; blocks left open in it go on behind it."""
+        flush()
+        i = stack.index(node)
+        above = [x for x in stack[i + 1:] if x.tag not in INLINE]
+        del stack[i:]
+        for x in above:
+            stack[-1].kids.append(again := Node(x.tag, x.key))
+            stack.append(again)
 
     def put(s):
         if s:
@@ -113,7 +131,12 @@ def parse(page: str | None) -> Node:
                 links = max(0, links - 1)
             if close in SPACES:
                 text.append(" ")
-            if close in INLINE or close in TRANSPARENT:
+            if close in INLINE:
+                node = opened[close].pop() if opened.get(close) else None
+                if node is not None and node in stack:
+                    close_inline(node)
+                continue
+            if close in TRANSPARENT:
                 continue
             if any(x.tag == close for x in stack[1:]):
                 flush()
@@ -134,13 +157,21 @@ def parse(page: str | None) -> Node:
             if tag == "a":
                 links += 1
             names = _names(m[3]) if m[3] else ""
-            if tag in TRANSPARENT or tag in INLINE and not (names and NOT_ARTICLE.search(names)):
+            if tag in TRANSPARENT:
+                continue
+            if tag in INLINE:
+                node = Node(tag, f"{tag} {names}") if names and NOT_ARTICLE.search(names) else None
+                opened.setdefault(tag, []).append(node)
+                if node is not None:
+                    flush(before_inline=True)
+                    stack[-1].kids.append(node)
+                    stack.append(node)
                 continue
             flush()
-            if tag not in INLINE:
-                links = 0
-            if stack[-1].tag == "p":
-                stack.pop()
+            links = 0
+            top = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag not in INLINE)
+            if stack[top].tag == "p":
+                del stack[top:]
             ends = CLOSES.get(tag)
             if ends:
                 for i in range(len(stack) - 1, 0, -1):
@@ -307,7 +338,7 @@ def texts(page: str | None, wrapper: list | None) -> list[str]:
         _collect(root, wrapper[2], out, False)
     if not out:
         _collect(root, mark(structure(root))[2], out, False)
-    return out
+    return [b for b in (" ".join(x.split()) for x in out) if b]
 
 
 def _flat(items: list) -> dict[str, list]:
@@ -324,12 +355,27 @@ def _flat(items: list) -> dict[str, list]:
 def _collect(node: Node, pattern: list, out: list[str], header: bool) -> None:
     links = node.tag in ("div", "section", "ul", "ol") and node.linked > 0.6 * node.size  # a list of links here, if not elsewhere
     places = _places([k if isinstance(k, str) else k.key for k in node.kids], node.kids, pattern)
+    open_block = joined = False  # whether the last of out is a block that goes on here, and behind an inline node
     for kid, item in zip(node.kids, places):
         if isinstance(kid, str):
-            if item is not None and item[4] and not header and not links:
+            shown = item is not None and item[4] and not header and not links
+            if shown and open_block and joined:
+                out[-1] += kid
+            elif shown:
                 out.append(kid)
-        elif item is not None:
+            open_block, joined = bool(shown) or open_block and joined, False
+            continue
+        had = len(out)
+        if item is not None:
             _collect(kid, item[2], out, header and kid.tag not in HEADINGS or kid.tag == "header" and bool(item[4]))
+        if kid.tag not in INLINE:
+            open_block = joined = False
+            continue
+        if len(out) > had and open_block:
+            out[had - 1:had + 1] = [out[had - 1] + out[had]]
+        open_block, joined = open_block or len(out) > had, True
+        if open_block and kid.spaced:
+            out[-1] += " "
 
 
 def _places(keys: list, kids: list, pattern: list) -> list:

@@ -368,6 +368,20 @@ def test_long_page_is_whole(spark):
     assert html_wrappers.extract(d).first()["main_text"] == "\n".join(["para graph"] * 20_000)
 
 
+def alone(page):
+    return html_wrappers.texts(page, None)
+
+
+def test_named_inline_elements_end_where_they_end(spark):
+    page = '<article><h1>T</h1><p>One <span class="share">S</span> two.</p><p>Three</p></article>'
+    d = spark.createDataFrame([(1, "http://h.net/", page)], "page_id long, url string, html string")
+    assert html_wrappers.extract(d).first()["main_text"] == "T\nOne two.\nThree"
+    assert alone('<article><p>foo<small class=ad>x</small>bar <a class="tag" href=x>t</a> <a class=tag>u</a>baz</p><p>end</article>') == ["foobar baz", "end"]
+    assert alone("<article><p>One <span class=ad>a<span>b</span>c</span> two<p>Three <span class=ad>open<p>Four</article>") == ["One two", "Three", "Four"]
+    assert alone("<article><div><a class=related><div>x</a> y</div></div><p>z</p></article>") == ["y", "z"]
+    assert alone("<article>a <b>b</b> <span class=ad>n</span> c<p>d</p> e</article>") == ["a b c", "d", "e"]
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 def test_pipeline_against_brute_force(spark, sf_dir):
