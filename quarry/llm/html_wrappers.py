@@ -286,8 +286,8 @@ def _not_article(key: str, stats: list, inside: bool) -> bool:
 
 
 def mark(wrapper: list) -> list:
-    """The wrapper with ``1`` as fifth entry of items of the article and ``0`` of others. The
-    article is what ``article`` and ``main`` elements hold (of nested ones the inner), else
+    """The wrapper with ``1`` as fifth entry of items of the article and ``0`` of others, and as
+    sixth whether all below an item is of the article with it. The article is what ``article`` and ``main`` elements hold (of nested ones the inner), else
     elements so named, else the element below which most of the unlinked text is directly."""
     roots = _roots(wrapper, lambda k: k.split(" ")[0] == "article") or _roots(
         wrapper, lambda k: k.split(" ")[0] == "main" or " main" in f" {k.partition(' ')[2]} ") or _roots(
@@ -324,7 +324,9 @@ def _marked(item: list, roots: list, inside: bool, dropped: bool) -> list:
     inside = inside or is_root
     if not is_root and key not in ("", "#", "()"):
         dropped = dropped or inside and _not_article(key, item[3], inside)
-    return [key, item[1], [_marked(x, roots, inside, dropped) for x in item[2]], item[3], int(inside and not dropped)]
+    kids = [_marked(x, roots, inside, dropped) for x in item[2]]
+    own = int(inside and not dropped)
+    return [key, item[1], kids, item[3], own, int(own and all(x[5] for x in kids))]
 
 
 # --- extraction ---------------------------------------------------------------------------------
@@ -380,14 +382,20 @@ def _collect(node: Node, pattern: list, out: list[str], header: bool) -> None:
 
 def _places(keys: list, kids: list, pattern: list) -> list:
     """For each child the item of the pattern it is an instance of. Where the key is there once
-    that is it; else the sequences are aligned, and a child between two items takes the last one
-    of its key passed, or the next."""
+    that is it; else the sequences are aligned, with the items of all groups in their order, and a
+    child between two items takes the last one of its key passed, or the next. Items of one key that
+    are of the article with all below count as one, with what any of them holds."""
     by_key = _flat(pattern)
     names = ["#" if isinstance(k, str) else key for k, key in zip(kids, keys)]
     single = {k: v[0] for k, v in by_key.items() if len(v) == 1}
     if all(n in single or n not in by_key for n in names):
         return [single.get(n) for n in names]
-    flat = [x for p in pattern for x in (p[2] if p[0] == "()" else [p])]
+    flat, whole = _leaves(pattern), {}
+    for k, same in by_key.items():
+        same = [x for x in same if x[5]]
+        if len(same) > 1:
+            one = [*same[0][:2], [y for x in same for y in x[2]], *same[0][3:]]
+            whole.update((id(x), one) for x in same)
     out, at = [], 0
     for n in names:
         nxt = next((i for i in range(at, len(flat)) if flat[i][0] == n), None)
@@ -399,7 +407,12 @@ def _places(keys: list, kids: list, pattern: list) -> list:
             at = nxt + 1
         else:
             out.append(None)
-    return out
+    return [x and whole.get(id(x), x) for x in out]
+
+
+def _leaves(items: list) -> list:
+    """The items in their order, those of groups (and of groups in groups) in the groups' place."""
+    return [y for x in items for y in (_leaves(x[2]) if x[0] == "()" else [x])]
 
 
 # --- jobs ---------------------------------------------------------------------------------------

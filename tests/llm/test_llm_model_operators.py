@@ -382,6 +382,25 @@ def test_named_inline_elements_end_where_they_end(spark):
     assert alone("<article>a <b>b</b> <span class=ad>n</span> c<p>d</p> e</article>") == ["a b c", "d", "e"]
 
 
+def test_every_child_of_the_pattern_has_an_item():
+    rng = random.Random(4)
+    tags = ["h2", "p", "ul", "pre"]
+    pages = ["h2 p h2 p ul pre h2 p h2 p ul pre p"] + [" ".join(rng.choice(tags) for _ in range(rng.randrange(1, 30))) for _ in range(60)]
+    page = lambda s: "<article>" + "".join(f"<{t}>{'<li>' if t == 'ul' else ''}{t}{i}</{t}>" for i, t in enumerate(s.split())) + "</article>"
+    want = lambda s: [f"{t}{i}" for i, t in enumerate(s.split())]
+    merged = html_wrappers.mark(html_wrappers.infer([html_wrappers.structure(html_wrappers.parse(page(s))) for s in pages]))
+    for s in pages:
+        assert alone(page(s)) == want(s)
+        assert html_wrappers.texts(page(s), merged) == want(s)
+        for w in (merged, html_wrappers.mark(html_wrappers.structure(html_wrappers.parse(page(s))))):
+            article, pattern = html_wrappers.parse(page(s)).kids[0], w[2][0][2]
+            places = html_wrappers._places([k.key for k in article.kids], article.kids, pattern)
+            assert all(x is not None and x[0] == k.key for k, x in zip(article.kids, places))
+    # lists at two places, with items of another make at each
+    two = "<article><ul><li>a</ul><p>b</p><ul><li><pre>c</pre></ul><h2>d</h2><ul><li>e</ul></article>"
+    assert alone(two) == ["a", "b", "c", "d", "e"]
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 def test_pipeline_against_brute_force(spark, sf_dir):
