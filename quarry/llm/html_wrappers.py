@@ -36,15 +36,21 @@ MAX_RUN = 6           # elements of a repeated run
 NOTICE_CHARS = 2_000  # a longer text is no notice, advert or menu, whatever its container is called
 
 # What HTML makes of its elements.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "svg", "math", "iframe", "select", "object", "video", "audio", "canvas"}
+RAW = {"script", "style", "textarea", "title", "template", "iframe", "select"}
+CODE = {"script", "style"}  # of the raw ones, those that go on to the end of the page if nothing ends them
+FOREIGN = {"svg", "math"}   # their own elements leave no trace, up to a tag of these:
+BREAKS_OUT = {"address", "article", "aside", "blockquote", "body", "center", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1",
+              "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul"}
+NOT_SHOWN = {"annotation", "annotation-xml", "desc", "metadata"}  # in foreign elements
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark",
-          "q", "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+          "q", "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
+          "noscript", "object", "video", "audio", "canvas"}
 SPACES = {"br", "td", "th", "wbr"}
 TRANSPARENT = {"td", "th", "tbody", "thead", "tfoot"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}}
-DROPPED = {"head", "nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "figcaption"}
+DROPPED = {"head", "nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "fieldset"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 # Names, as class, id or role, of what is not the article and of what holds it.
@@ -83,6 +89,7 @@ def parse(page: str | None) -> Node:
     page = page or ""
     root = Node("", "")
     stack, text, links = [root], [], 0
+    foreign = None  # svg or math while inside
     opened: dict[str, list] = {}  # per inline tag, the open ones: their node, or None where they leave no trace
 
     def flush(before_inline=False):
@@ -127,6 +134,12 @@ def parse(page: str | None) -> Node:
         close, tag = m[1], m[2]
         if close:
             close = close.lower()
+            if foreign and (close == foreign or any(x.tag == close for x in stack[1:])):
+                foreign = None
+            if close in FOREIGN or foreign and close not in INLINE:
+                if close == "text":
+                    text.append(" ")
+                continue
             if close == "a":
                 links = max(0, links - 1)
             if close in SPACES:
@@ -151,8 +164,19 @@ def parse(page: str | None) -> Node:
                     flush()
                 continue
             if tag in RAW:
+                empty = m[3].rstrip().endswith("/") and (foreign or tag not in CODE)
+                end = None if empty else re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, pos)
+                pos = end.end() if end else n if tag in CODE and not empty else pos
+                continue
+            if foreign and tag in NOT_SHOWN:
                 end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, pos)
-                pos = end.end() if end else n
+                pos = end.end() if end else pos
+                continue
+            if foreign and tag in BREAKS_OUT:
+                foreign = None
+            if tag in FOREIGN or foreign and tag not in INLINE:
+                if tag in FOREIGN and not foreign and not m[3].rstrip().endswith("/"):
+                    foreign = tag
                 continue
             if tag == "a":
                 links += 1
@@ -273,7 +297,8 @@ def infer(patterns: list[list]) -> list:
 
 # --- what is the article ------------------------------------------------------------------------
 
-def _not_article(key: str, stats: list, inside: bool) -> bool:
+def _not_article(key: str, stats: list, inside: bool, menus: bool = True) -> bool:
+    """``menus``: also what is mostly links."""
     tag, _, names = key.partition(" ")
     if tag == "header" and inside:
         return False  # an article's own header: its headings count, see below
@@ -282,7 +307,7 @@ def _not_article(key: str, stats: list, inside: bool) -> bool:
         return True
     if names and NOT_ARTICLE.search(names) and not (ARTICLE.search(names) and per_page > NOTICE_CHARS):
         return True
-    return tag in ("ul", "ol", "div", "section", "table", "p") and stats[1] > 0 and stats[0] > 0.6 * stats[1]
+    return menus and tag in ("ul", "ol", "div", "section", "table", "p") and stats[1] > 0 and stats[0] > 0.6 * stats[1]
 
 
 def mark(wrapper: list) -> list:
@@ -292,7 +317,9 @@ def mark(wrapper: list) -> list:
     roots = _roots(wrapper, lambda k: k.split(" ")[0] == "article") or _roots(
         wrapper, lambda k: k.split(" ")[0] == "main" or " main" in f" {k.partition(' ')[2]} ") or _roots(
         wrapper, lambda k: bool(ARTICLE.search(k.partition(" ")[2]))) or [_densest(wrapper)]
-    return _marked(wrapper, [id(r) for r in roots], False, False)
+    # where nothing but the page holds the text, its menus are below it too
+    page = len(roots) == 1 and roots[0][0].split(" ")[0] in ("", "html", "body")
+    return _marked(wrapper, [id(r) for r in roots], False, False, page)
 
 
 def _roots(item: list, wanted) -> list:
@@ -318,13 +345,13 @@ def _densest(item: list) -> list:
     return best
 
 
-def _marked(item: list, roots: list, inside: bool, dropped: bool) -> list:
+def _marked(item: list, roots: list, inside: bool, dropped: bool, menus: bool) -> list:
     key = item[0]
     is_root = id(item) in roots
     inside = inside or is_root
     if not is_root and key not in ("", "#", "()"):
-        dropped = dropped or inside and _not_article(key, item[3], inside)
-    kids = [_marked(x, roots, inside, dropped) for x in item[2]]
+        dropped = dropped or inside and _not_article(key, item[3], inside, menus)
+    kids = [_marked(x, roots, inside, dropped, menus) for x in item[2]]
     own = int(inside and not dropped)
     return [key, item[1], kids, item[3], own, int(own and all(x[5] for x in kids))]
 
@@ -355,12 +382,11 @@ def _flat(items: list) -> dict[str, list]:
 
 
 def _collect(node: Node, pattern: list, out: list[str], header: bool) -> None:
-    links = node.tag in ("div", "section", "ul", "ol") and node.linked > 0.6 * node.size  # a list of links here, if not elsewhere
     places = _places([k if isinstance(k, str) else k.key for k in node.kids], node.kids, pattern)
     open_block = joined = False  # whether the last of out is a block that goes on here, and behind an inline node
     for kid, item in zip(node.kids, places):
         if isinstance(kid, str):
-            shown = item is not None and item[4] and not header and not links
+            shown = item is not None and item[4] and not header
             if shown and open_block and joined:
                 out[-1] += kid
             elif shown:

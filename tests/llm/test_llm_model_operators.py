@@ -401,6 +401,19 @@ def test_every_child_of_the_pattern_has_an_item():
     assert alone(two) == ["a", "b", "c", "d", "e"]
 
 
+def test_article_keeps_captions_formulas_fallbacks_and_linked_text(spark):
+    page = ("<body><ul><li><a href=x>menu</a></ul><article><h1>T</h1><figure><img src=x><figcaption>Caption</figcaption></figure><p>Let <math><mi>x</mi><mo>=</mo>"
+            "<mn>1</mn></math> be</p><noscript><p>No script</p></noscript><video src=v>Film</video><p><svg viewBox='0' />After</p><p><svg><title>no</title><g><text>Axis"
+            "</text></g></svg> shown</p><p><a href=x>All linked</a></p><ul><li><a href=x>Ref 1</a><li><a href=x>Ref 2</a></ul><table><tr><td><a href=x>N</a></table>"
+            "<object data=o><p>Object</p></object><p>Open <svg><path d=x>drawing<p>End</p></article><ul><li><a href=x>more</a></ul></body>")
+    want = ["T", "Caption", "Let x=1 be", "No script", "Film", "After", "Axis shown", "All linked", "Ref 1", "Ref 2", "N", "Object", "Open drawing", "End"]
+    d = spark.createDataFrame([(i, f"http://h{i % 2}.net/{i}", page) for i in range(4)], "page_id long, url string, html string")
+    assert {r["main_text"] for r in html_wrappers.extract(d).collect()} == {"\n".join(want)}
+    assert alone("<article><p>a</p><iframe src=x /><p>b</p><textarea><p>c</p></article>") == ["a", "b", "c"]
+    # without an article, a list of links beside the paragraphs is still a menu
+    assert alone("<body><ul><li><a href=x>menu</a></ul><p>text</p><p>more text</p></body>") == ["text", "more text"]
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 def test_pipeline_against_brute_force(spark, sf_dir):
