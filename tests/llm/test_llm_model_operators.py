@@ -319,6 +319,22 @@ def test_slots_agree_with_sql(spark):
     assert toxicity.slots(g).tolist() == [r["s"] for r in d.collect()]
 
 
+def test_scoring_looks_up_exact_ngrams(spark, monkeypatch):
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 7))) for _ in range(4_000))
+    key, _, _ = toxicity.grams(toxicity.slices(text))
+    u, c = np.unique(key, return_counts=True)
+    counts = [(int(k), int(n), rng.randrange(0, int(n) + 1)) for k, n in zip(u, c)]
+    table = spark.createDataFrame([(k, n, a, rng.randrange(0, n - a + 1)) for k, n, a in counts], "g long, n long, n_ord long, n_tox long")
+    want = {r["g"]: r["ratio"] for r in toxicity.ratios(table).collect()}
+    monkeypatch.setattr(toxicity, "PIECE_KEYS", 300)
+    pieces = toxicity.Pieces(toxicity.scoring_table(table), "test-ratios")
+    assert len(pieces.parts) > 2 and len(want) > 1_000
+    run = lambda ks: toxicity.byte_ratios(pieces, np.array(ks, dtype=np.uint64)).tolist()
+    got = spark.sparkContext.parallelize([sorted(want)], 1).map(run).first()
+    assert got == pytest.approx([want[k] for k in sorted(want)], abs=1e-5)
+
+
 # --- HTML ---------------------------------------------------------------------------------------
 
 LAYOUT = """<!DOCTYPE html><html><head><title>no</title><style>p{{}}</style></head><body><div class="cookie-notice">We use cookies</div>
