@@ -335,6 +335,49 @@ def test_scoring_looks_up_exact_ngrams(spark, monkeypatch):
     assert got == pytest.approx([want[k] for k in sorted(want)], abs=1e-5)
 
 
+def test_every_byte_and_every_pair_is_read(monkeypatch):
+    def plain(text):
+        out = []
+        for w in text.split():
+            data = b" " + w.encode() + b" "
+            out += [int.from_bytes(data[max(0, i - 7):i + 1], "big") for i in range(1, len(data))]
+        return out
+
+    def plain_pairs(text):
+        w = text.split()
+        return list(zip(w, w[1:]))
+
+    for chunk in (1 << 19, 50, 64):
+        monkeypatch.setattr(toxicity, "CHUNK", chunk)
+        for text in ("", "a", "short and verylongwordhere é日本語日本語日本語 x" * 9, "z" * 200 + " end\nof " + "y" * 49 + "\n" + "q" * 50 + " q"):
+            assert [k for _, g in toxicity.chunked([text]) for k in toxicity.grams(g, whole=True)[0].tolist()] == plain(text)
+            got = [p for a, b, _ in toxicity.pairs(toxicity.chunked([text])) for p in zip(a.tolist(), b.tolist())]
+            names = dict(zip([x for p in got for x in p], [x for p in plain_pairs(text) for x in p]))
+            assert [tuple(names[x] for x in p) for p in got] == plain_pairs(text) and len(set(names.values())) == len(names)
+    many = ["a b c", "", "c d", "e", "x" * 120 + " y z"]
+    docs = [d for _, _, doc in toxicity.pairs(toxicity.chunked(many)) for d in doc.tolist()]
+    assert docs == [0, 0, 2, 4, 4]
+
+
+def test_ends_of_long_words_and_expressions_are_judged(spark):
+    rng = random.Random(5)
+    words = ["extraord" + x for x in ("inarily", "inary", "onnance", "eal")] + ["vile", "dog", "small", "green", "house"]
+    rows = []
+    for i in range(600):
+        bad, kind = i % 3 == 0, i % 2
+        text = [rng.choice(words) for _ in range(40)]
+        if kind:
+            # "vile dog" is toxic, "vile" and "dog" apart are not
+            text = [w for w in text if w not in ("vile", "dog")] + (["vile", "dog"] if bad else rng.choice([["vile", "green", "dog"], ["dog", "vile"]]))
+        else:
+            text = [w for w in text if w not in ("vile", "dog")] + (["extraordblorgh"] if bad else ["extraordinary"])
+        rows.append((i, " ".join(text), int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.train(docs.select("doc_id", "text"), docs)).collect()}
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(got[i] >= 0.5) == bool(rows[i][2]) for i in held]) >= 0.95
+
+
 # --- HTML ---------------------------------------------------------------------------------------
 
 LAYOUT = """<!DOCTYPE html><html><head><title>no</title><style>p{{}}</style></head><body><div class="cookie-notice">We use cookies</div>
