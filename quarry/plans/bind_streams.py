@@ -45,7 +45,7 @@ def land_in_time_order(df, closing, rows_per_file=ROWS_PER_FILE):
     last = df.agg(F.max("ts").alias("ts")).select(*[F.expr(closing.get(c, "NULL")).cast(df.schema[c].dataType).alias(c) for c in df.columns])
     staged = scratch_path(spark, "landing-closing")
     sk.write_landing(last.coalesce(1), staged)  # one row
-    st.append_in_order(spark, path, staged)
+    st.files_in_order(spark, path, staged)
     return path, df.schema
 
 

@@ -19,6 +19,7 @@ DECIMALS = {
     "alert_breaches": {"value": 6},
     "budget_allocation": {"allocated_amount": 6, "budget_amount": 6, "spent_amount": 6},
     "budget_variance": {"total_allocated": 6, "total_budget": 6, "total_spent": 6, "variance": 6},
+    "counter_rate": {"increase": 6, "rate_per_s": 6},
     "cost_per_employee": {"cost_per_employee": 6, "total_expense": 2},
     "dept_profile": {"avg_performance": 6, "avg_salary": 6, "median_salary": 6},
     "dept_salary": {"avg_performance": 6, "avg_salary": 6},
@@ -33,6 +34,7 @@ DECIMALS = {
     "expense_share": {"share_percent": 6, "total_amount": 2},
     "expense_summary": {"avg_amount": 6, "total_amount": 2},
     "financial_report": {"expenses": 2, "net_income": 2, "revenue": 2},
+    "histogram_quantiles": {"p50_latency_s": 6, "p95_latency_s": 6},
     "latency_quantiles": {"p50_latency_s": 6, "p95_latency_s": 6},
     "mean_latency": {"mean_latency_s": 6},
     "model_metrics": {"avg_time": 6, "last_time": 6, "throughput": 6, "total_time": 6},
@@ -40,6 +42,8 @@ DECIMALS = {
     "request_rate": {"rate_per_s": 6},
     "revenue_projection": {"last_revenue": 2, "mean_growth": 6, "projected_revenue": 2},
     "revenue_yoy": {"revenue": 2, "share_percent": 6, "yoy_percent": 6},
+    "stream_sessions": {"value_sum": 6},
+    "user_sessions": {"value_sum": 6},
 }
 
 
@@ -80,7 +84,7 @@ def clip_sql(x: str, lo, hi) -> str:
     return f"CASE WHEN {x} IS NULL THEN NULL ELSE greatest({lo}, least({hi}, {x})) END"
 
 
-BINDING_MODULES = ["bind_hr", "bind_sources", "bind_finance", "bind_columns", "bind_documents", "bind_routing", "bind_quality", "bind_metrics", "bind_streams", "bind_jobs"]
+BINDING_MODULES = ["bind_hr", "bind_sources", "bind_finance", "bind_columns", "bind_documents", "bind_routing", "bind_quality", "bind_metrics", "bind_streams", "bind_event_time", "bind_jobs"]
 
 
 def load_all() -> None:

@@ -42,7 +42,7 @@ def kafka_stream(spark: SparkSession, bootstrap: str, topics: list[str], group_i
             .select(F.col("key").cast("string"), F.col("value").cast("string"), "topic", "timestamp"))
 
 
-def append_in_order(spark: SparkSession, path: str, last: str) -> None:
+def files_in_order(spark: SparkSession, path: str, last: str | None = None) -> None:
     """Give the data files of ``path`` modification times in the order of their names and move the
     data files of ``last`` behind them. Time order is what a file stream goes by; on a store that
     keeps no set times, land the files one after another instead."""
@@ -55,7 +55,7 @@ def append_in_order(spark: SparkSession, path: str, last: str) -> None:
         return [hadoop.Path(folder, n) for n in found]
 
     files = parts(path)
-    for i, f in enumerate(parts(last)):
+    for i, f in enumerate(parts(last) if last else []):
         moved = hadoop.Path(path, f"part-z{i:05d}-{f.getName()}")
         fs.rename(f, moved)
         files.append(moved)
