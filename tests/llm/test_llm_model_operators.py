@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def test_query_matches_oracle(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in Q.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in Q.QUERIES) == list(range(1, 14))
 
 
 # --- URL filter ---------------------------------------------------------------------------------
@@ -335,6 +336,50 @@ def test_scoring_looks_up_exact_ngrams(spark, monkeypatch):
     assert got == pytest.approx([want[k] for k in sorted(want)], abs=1e-5)
 
 
+class CountingPieces:
+    """A table of ratios that counts how often a piece is taken."""
+
+    def __init__(self, keys, n):
+        self.taken, self.n, self.keys = 0, n, np.unique(np.array(keys, dtype=np.uint64))
+
+    def find(self, keys):
+        self.taken += self.n
+        there = np.isin(keys, self.keys)
+        return np.where(there, (keys % np.uint64(7)).astype(float) - 3, 0.0), there
+
+
+def test_pieces_are_taken_once_for_many_texts():
+    texts = [f"some words here and number{k} again\nwith more of them" for k in range(300)] + [None, "", "x"]
+    key = np.concatenate([toxicity.grams(toxicity.slices(t), whole=True)[0] for t in texts])
+    few, many = [(CountingPieces(key, n), CountingPieces([], n)) for n in (1, 30)]
+    got = toxicity.features(texts, few)
+    assert (few[0].taken, few[1].taken) == (1, 1)
+    assert (toxicity.features(texts, many) == got).all() and many[0].taken == 30
+    # words that are remembered need no piece; each text on its own gives the same
+    memory = toxicity.WordRatios(few[0])
+    alone = np.vstack([toxicity.features([t], few, memory) for t in texts])
+    assert np.allclose(alone, got)
+    before = few[0].taken
+    toxicity.features(texts, few, memory)
+    assert few[0].taken == before
+    runs = list(toxicity.together(iter([pd.Series(["ab", None]), pd.Series(["cde"]), pd.Series([], dtype=str), pd.Series(["f"])]), 4))
+    assert [[len(s) for s in r] for r in runs] == [[2, 1], [0, 1]]
+
+
+def test_words_have_the_ngrams_of_their_text(monkeypatch):
+    rnd = np.random.default_rng(4)
+    texts = ["".join(rnd.choice(list("abcdefghij \n\té"), p=[0.07] * 12 + [0.08] * 2, size=400)) for _ in range(5)] + ["", " ", "x" * 300, "a\nb" * 50]
+    for chunk in (1 << 19, 60):
+        monkeypatch.setattr(toxicity, "CHUNK", chunk)
+        for owner, parts in toxicity.chunked(texts):
+            w = toxicity.Words(parts)
+            want = toxicity.grams(parts, whole=True)[0]
+            got = toxicity.grams([w.spell(k) for k in range(len(w.hash))], whole=True)[0]
+            assert sorted(got.tolist()) == sorted(want.tolist())
+            spelled = [w.spell(k) for k in range(len(w.hash))]
+            assert len(set(spelled)) == len(set(w.hash.tolist())) == len(set(zip(spelled, w.hash.tolist())))
+
+
 def test_every_byte_and_every_pair_is_read(monkeypatch):
     def plain(text):
         out = []
