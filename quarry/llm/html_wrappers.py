@@ -21,6 +21,8 @@ import html
 import json
 import math
 import re
+import sys
+from bisect import bisect_left
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -33,7 +35,9 @@ from quarry.llm.url_filter import host_of
 
 GROUP = 256           # structures or partial wrappers aligned in one task at a time
 MAX_RUN = 6           # elements of a repeated run
-NOTICE_CHARS = 2_000  # a longer text is no notice, advert or menu, whatever its container is called
+MAX_DEPTH = 256       # elements nested deeper are siblings at this depth, as in browsers; their texts stay blocks
+
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))  # patterns are walked to the depth of their pages
 
 # What HTML makes of its elements.
 RAW = {"script", "style", "textarea", "title", "template", "iframe", "select"}
@@ -60,7 +64,10 @@ NOT_ARTICLE = re.compile(
     r"signup|login|search|widgets?|pagination|pager|toolbar|skip|alert|complementary|contentinfo|dialog|toc|tags?)(?:$|[\s_-])", re.I)
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article\w*|post|entry|story|content|main|body-text|articlebody)(?:$|[\s_-])", re.I)
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z])", re.S)
+_NAME_END = re.compile(r"[\s/>]")
+_SPECIAL = re.compile("[>\"']")
+_END_TAGS = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW | NOT_SHOWN}
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
@@ -78,6 +85,53 @@ class Node:
         self.spaced = False  # only white space lies between this inline node and the next
 
 
+class TagEnds:
+    """Where the start tags of a page end: at the first ``>`` outside quotes. What was found out for one
+    quote holds for every tag whose search comes to it, so a page is searched about once, however
+    many of its tags and quotes are left open."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.known: dict[int, int] = {}  # by the place of an opening quote
+        self.near = (0, -1)              # a place and that of the first special character from there on
+
+    def _special(self, at: int) -> int:
+        if self.near[0] <= at <= self.near[1]:
+            return self.near[1]
+        if at > max(self.last.values()):
+            return -1
+        m = _SPECIAL.search(self.page, at)
+        self.near = (at, m.start())
+        return m.start()
+
+    def find(self, at: int) -> int:
+        """The place of the ``>`` for a search from ``at``, -1 if there is none."""
+        if at > self.last[">"]:
+            return -1
+        passed, end = [], None
+        near = None
+        while end is None:
+            j = self._special(at)
+            near = near or self.near
+            if j < 0:
+                end = -1
+            elif self.page[j] == ">":
+                end = j
+            elif j in self.known:
+                end = self.known[j]
+            else:
+                passed.append(j)
+                quote = self.page[j]
+                close = self.page.find(quote, j + 1) if j < self.last[quote] else -1
+                if close < 0:
+                    end = -1
+                at = close + 1
+        self.known.update((j, end) for j in passed)
+        self.near = near or self.near  # the next tag is searched from further in front
+        return end
+
+
 def _names(attrs: str) -> str:
     found = sorted({re.sub(r"\d+", "", w).lower() for m in _NAMES.finditer(attrs) for w in (m[2] or m[3] or m[4] or "").split()})
     return " ".join(w for w in found if w)
@@ -85,12 +139,22 @@ def _names(attrs: str) -> str:
 
 def parse(page: str | None) -> Node:
     """Tree of the block elements. Unclosed elements end with their parent, paragraphs and items
-    where the next block or item begins; end tags without a start are ignored."""
+    where the next block or item begins; end tags without a start are ignored. Elements below
+    ``MAX_DEPTH`` are blocks beside each other. The time is about linear in the page's length."""
     page = page or ""
     root = Node("", "")
     stack, text, links = [root], [], 0
     foreign = None  # svg or math while inside
     opened: dict[str, list] = {}  # per inline tag, the open ones: their node, or None where they leave no trace
+    deeper: dict[str, int] = {}   # per tag, the open ones below MAX_DEPTH
+    tag_ends, endless = TagEnds(page), set()  # tags of which no further end tag is there
+
+    def skipped(tag, pos):
+        """Where the content of a raw element ends, with its end tag; None without one."""
+        found = None if tag in endless else _END_TAGS[tag].search(page, pos)
+        if found is None:
+            endless.add(tag)
+        return found.end() if found else None
 
     def flush(before_inline=False):
         """The text so far as a child; next to an inline node it keeps its space on that side."""
@@ -129,9 +193,17 @@ def parse(page: str | None) -> Node:
         if m is None:
             put(page[pos:])
             break
+        close, tag, attrs = m[1], None, ""
+        if m[2]:
+            stop = tag_ends.find(m.start())
+            if stop < 0:  # no tag after all
+                put(page[pos:m.start() + 1])
+                pos = m.start() + 1
+                continue
+            name = _NAME_END.search(page, m.start() + 1, stop + 1).start()
+            tag, attrs = page[m.start() + 1:name], page[name:stop]
         put(page[pos:m.start()])
-        pos = m.end()
-        close, tag = m[1], m[2]
+        pos = stop + 1 if m[2] else m.end()
         if close:
             close = close.lower()
             if foreign and (close == foreign or any(x.tag == close for x in stack[1:])):
@@ -151,7 +223,10 @@ def parse(page: str | None) -> Node:
                 continue
             if close in TRANSPARENT:
                 continue
-            if any(x.tag == close for x in stack[1:]):
+            if deeper.get(close):
+                flush()
+                deeper[close] -= 1
+            elif any(x.tag == close for x in stack[1:]):
                 flush()
                 while stack.pop().tag != close:
                     pass
@@ -164,27 +239,26 @@ def parse(page: str | None) -> Node:
                     flush()
                 continue
             if tag in RAW:
-                empty = m[3].rstrip().endswith("/") and (foreign or tag not in CODE)
-                end = None if empty else re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, pos)
-                pos = end.end() if end else n if tag in CODE and not empty else pos
+                empty = attrs.rstrip().endswith("/") and (foreign or tag not in CODE)
+                end = None if empty else skipped(tag, pos)
+                pos = end or (n if tag in CODE and not empty else pos)
                 continue
             if foreign and tag in NOT_SHOWN:
-                end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, pos)
-                pos = end.end() if end else pos
+                pos = skipped(tag, pos) or pos
                 continue
             if foreign and tag in BREAKS_OUT:
                 foreign = None
             if tag in FOREIGN or foreign and tag not in INLINE:
-                if tag in FOREIGN and not foreign and not m[3].rstrip().endswith("/"):
+                if tag in FOREIGN and not foreign and not attrs.rstrip().endswith("/"):
                     foreign = tag
                 continue
             if tag == "a":
                 links += 1
-            names = _names(m[3]) if m[3] else ""
+            names = _names(attrs) if attrs else ""
             if tag in TRANSPARENT:
                 continue
             if tag in INLINE:
-                node = Node(tag, f"{tag} {names}") if names and NOT_ARTICLE.search(names) else None
+                node = Node(tag, f"{tag} {names}") if names and NOT_ARTICLE.search(names) and len(stack) < MAX_DEPTH else None
                 opened.setdefault(tag, []).append(node)
                 if node is not None:
                     flush(before_inline=True)
@@ -206,8 +280,11 @@ def parse(page: str | None) -> Node:
                         break
             node = Node(tag, f"{tag} {names}".strip())
             stack[-1].kids.append(node)
-            if not m[3] or not m[3].rstrip().endswith("/") or tag not in ("div", "p", "section"):
-                stack.append(node)
+            if not attrs.rstrip().endswith("/") or tag not in ("div", "p", "section"):
+                if len(stack) < MAX_DEPTH:
+                    stack.append(node)
+                else:  # what is in it stands beside it
+                    deeper[tag] = deeper.get(tag, 0) + 1
     flush()
     return root
 
@@ -297,15 +374,22 @@ def infer(patterns: list[list]) -> list:
 
 # --- what is the article ------------------------------------------------------------------------
 
-def _not_article(key: str, stats: list, inside: bool, menus: bool = True) -> bool:
-    """``menus``: also what is mostly links."""
+def _reads_as_article(item: list) -> bool:
+    """Whether a heading and a paragraph lie directly in the item."""
+    tags = {k.split(" ")[0] for k in _flat(item[2])}
+    return bool(tags & HEADINGS) and "p" in tags
+
+
+def _not_article(item: list, inside: bool, menus: bool = True) -> bool:
+    """``menus``: also what is mostly links. A container named both as an article and as something
+    else is an article if it reads as one."""
+    key, stats = item[0], item[3]
     tag, _, names = key.partition(" ")
     if tag == "header" and inside:
         return False  # an article's own header: its headings count, see below
-    per_page = stats[1] / max(1, stats[2])
     if tag in DROPPED:
         return True
-    if names and NOT_ARTICLE.search(names) and not (ARTICLE.search(names) and per_page > NOTICE_CHARS):
+    if names and NOT_ARTICLE.search(names) and not (ARTICLE.search(names) and _reads_as_article(item)):
         return True
     return menus and tag in ("ul", "ol", "div", "section", "table", "p") and stats[1] > 0 and stats[0] > 0.6 * stats[1]
 
@@ -324,7 +408,7 @@ def mark(wrapper: list) -> list:
 
 def _roots(item: list, wanted) -> list:
     """Outermost wanted items that lie in nothing dropped; comments are articles only by name."""
-    if _not_article(item[0], item[3], False):
+    if _not_article(item, False):
         return []
     if wanted(item[0]):
         return [item]
@@ -336,7 +420,7 @@ def _densest(item: list) -> list:
     todo = [item]
     while todo:
         x = todo.pop()
-        if x[0] and _not_article(x[0], x[3], False):
+        if x[0] and _not_article(x, False):
             continue
         direct = sum(k[3][1] if k[0] == "#" or k[0] in HEADINGS or k[0].split(" ")[0] in ("p", "pre", "blockquote") else 0 for k in x[2])
         if direct > score:
@@ -350,7 +434,7 @@ def _marked(item: list, roots: list, inside: bool, dropped: bool, menus: bool) -
     is_root = id(item) in roots
     inside = inside or is_root
     if not is_root and key not in ("", "#", "()"):
-        dropped = dropped or inside and _not_article(key, item[3], inside, menus)
+        dropped = dropped or inside and _not_article(item, inside, menus)
     kids = [_marked(x, roots, inside, dropped, menus) for x in item[2]]
     own = int(inside and not dropped)
     return [key, item[1], kids, item[3], own, int(own and all(x[5] for x in kids))]
@@ -364,9 +448,9 @@ def texts(page: str | None, wrapper: list | None) -> list[str]:
     root = parse(page)
     out: list[str] = []
     if wrapper is not None:
-        _collect(root, wrapper[2], out, False)
+        _collect(root, wrapper[2], out, False, {})
     if not out:
-        _collect(root, mark(structure(root))[2], out, False)
+        _collect(root, mark(structure(root))[2], out, False, {})
     return [b for b in (" ".join(x.split()) for x in out) if b]
 
 
@@ -381,8 +465,11 @@ def _flat(items: list) -> dict[str, list]:
     return found
 
 
-def _collect(node: Node, pattern: list, out: list[str], header: bool) -> None:
-    places = _places([k if isinstance(k, str) else k.key for k in node.kids], node.kids, pattern)
+def _collect(node: Node, pattern: list, out: list[str], header: bool, known: dict) -> None:
+    """``known``: what ``_places`` has found out about the patterns met on this page."""
+    if not node.kids:
+        return
+    places = _places(["#" if isinstance(k, str) else k.key for k in node.kids], pattern, known)
     open_block = joined = False  # whether the last of out is a block that goes on here, and behind an inline node
     for kid, item in zip(node.kids, places):
         if isinstance(kid, str):
@@ -395,7 +482,7 @@ def _collect(node: Node, pattern: list, out: list[str], header: bool) -> None:
             continue
         had = len(out)
         if item is not None:
-            _collect(kid, item[2], out, header and kid.tag not in HEADINGS or kid.tag == "header" and bool(item[4]))
+            _collect(kid, item[2], out, header and kid.tag not in HEADINGS or kid.tag == "header" and bool(item[4]), known)
         if kid.tag not in INLINE:
             open_block = joined = False
             continue
@@ -406,26 +493,39 @@ def _collect(node: Node, pattern: list, out: list[str], header: bool) -> None:
             out[-1] += " "
 
 
-def _places(keys: list, kids: list, pattern: list) -> list:
-    """For each child the item of the pattern it is an instance of. Where the key is there once
+class Items:
+    """A pattern's items: by key, in their order, and where those of a key are in it. Items of one key
+    that are of the article with all below count as one, with what any of them holds."""
+
+    def __init__(self, pattern: list):
+        self.pattern = pattern
+        self.flat = _leaves(pattern)
+        self.where: dict[str, list[int]] = {}
+        for i, x in enumerate(self.flat):
+            self.where.setdefault(x[0], []).append(i)
+        self.whole = {}
+        for at in self.where.values():
+            same = [x for x in map(self.flat.__getitem__, at) if x[5]]
+            if len(same) > 1:
+                one = [*same[0][:2], [y for x in same for y in x[2]], *same[0][3:]]
+                self.whole.update((id(x), one) for x in same)
+
+
+def _places(names: list, pattern: list, known: dict) -> list:
+    """For each child (by key) the item of the pattern it is an instance of. Where the key is there once
     that is it; else the sequences are aligned, with the items of all groups in their order, and a
-    child between two items takes the last one of its key passed, or the next. Items of one key that
-    are of the article with all below count as one, with what any of them holds."""
-    by_key = _flat(pattern)
-    names = ["#" if isinstance(k, str) else key for k, key in zip(kids, keys)]
-    single = {k: v[0] for k, v in by_key.items() if len(v) == 1}
-    if all(n in single or n not in by_key for n in names):
-        return [single.get(n) for n in names]
-    flat, whole = _leaves(pattern), {}
-    for k, same in by_key.items():
-        same = [x for x in same if x[5]]
-        if len(same) > 1:
-            one = [*same[0][:2], [y for x in same for y in x[2]], *same[0][3:]]
-            whole.update((id(x), one) for x in same)
+    child between two items takes the last one of its key passed, or the next."""
+    if id(pattern) not in known:
+        known[id(pattern)] = Items(pattern)
+    items = known[id(pattern)]
+    flat, where = items.flat, items.where
+    if all(len(where.get(n, ())) < 2 for n in names):
+        return [flat[where[n][0]] if n in where else None for n in names]
     out, at = [], 0
     for n in names:
-        nxt = next((i for i in range(at, len(flat)) if flat[i][0] == n), None)
-        last = next((i for i in range(at - 1, -1, -1) if flat[i][0] == n), None)
+        of = where.get(n, [])
+        k = bisect_left(of, at)
+        nxt, last = of[k] if k < len(of) else None, of[k - 1] if k else None
         if last is not None and (nxt is None or flat[last][1] in "+*" and last == at - 1):
             out.append(flat[last])
         elif nxt is not None:
@@ -433,7 +533,7 @@ def _places(keys: list, kids: list, pattern: list) -> list:
             at = nxt + 1
         else:
             out.append(None)
-    return [x and whole.get(id(x), x) for x in out]
+    return [x and items.whole.get(id(x), x) for x in out]
 
 
 def _leaves(items: list) -> list:

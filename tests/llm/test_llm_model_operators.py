@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -565,3 +566,42 @@ def test_pipeline_stages_are_the_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "secret_scan", "best_fit_packing"]
     assert corpus_pipeline.ORACLE_SQL is None
     assert all(m.__name__.startswith("quarry.llm.") for m in (simhash, decontaminate, packing)) and duckdb
+
+
+def timed(page, most=10.0):
+    start = time.process_time()
+    got = html_wrappers.texts(page, None)
+    assert time.process_time() - start < most
+    return got
+
+
+def test_deep_and_broken_pages_are_read_in_linear_time():
+    deep = 100_000
+    got = timed("<div>" * deep + "<p>low</p>" + "</div>" * deep + "<p>after</p>")
+    assert got == ["low", "after"]
+    assert timed("<article><h1>T</h1>" + "<div>a" * 2_000 + "</div>b" * 2_000 + "<p>end</p></article>")[-1] == "end"
+    assert timed("<p>x</p>" + '<a "x ' * 170_000)[0] == "x"
+    assert timed("<p>x</p>" + '<a "x ' * 170_000 + ">")[0] == "x"
+    assert timed("<p>x</p>" + "<a 'x \"y " * 100_000 + '" >')[0] == "x"
+    assert timed("<p>x</p>" + "<a " * 300_000 + '"')[0] == "x"
+    assert timed("<p>x</p>" + "<title>" * 150_000)[0] == "x"
+    assert timed("<p>x</p>" + "<svg>" + "<desc>" * 150_000)[0] == "x"
+    assert timed("<p>x</p>" + "<" * 1_000_000)[0].startswith("x")
+    assert timed("<p>x</p>" + "<a" * 500_000)[0].startswith("x")
+    assert timed("<article>" + "".join(f"<p>{k}</p>" for k in range(20_000)) + "</article>") == [str(k) for k in range(20_000)]
+    mixed = "".join(f"<div class=c{'abcdefgh'[k % 8]}{'xyz'[k % 3]}>{k}</div>" for k in range(20_000))
+    assert timed("<article>" + mixed + "</article>") == [str(k) for k in range(20_000)]
+
+
+def test_broken_pages_do_not_stop_the_others(spark):
+    pages = [("http://a.org/1", "<div>" * 5_000 + "<p>deep</p>"), ("http://a.org/2", "<article><h1>T</h1><p>text</p></article>"),
+             ("http://a.org/3", None), ("http://a.org/4", '<p>q</p><a "x ' + "y " * 50)]
+    got = {r["url"]: r["main_text"] for r in html_wrappers.extract(spark.createDataFrame(pages, "url string, html string")).collect()}
+    assert got["http://a.org/1"] == "deep" and got["http://a.org/2"] == "T\ntext" and got["http://a.org/3"] == "" and got["http://a.org/4"].startswith("q")
+
+
+def test_a_container_named_twice_is_judged_by_what_it_holds():
+    article = "<div class='post sharing'><h1>T</h1><p>short</p></div>"
+    notice = "<article><h1>A</h1><p>b</p><div class='content notice'>" + "<span>we use cookies</span> " * 300 + "</div></article>"
+    assert html_wrappers.texts(f"<body><div class='menu'>m</div>{article}</body>", None) == ["T", "short"]
+    assert html_wrappers.texts(notice, None) == ["A", "b"]
