@@ -7,10 +7,13 @@ of any length is one task-local computation and chunks come out by ``posexplode`
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import first_matching_label, word_array
+from quarry.sources import store
 
 # Chunking defaults.
 CHUNK_SIZE = 512
@@ -140,6 +143,32 @@ def encode_once(docs: DataFrame, id_col: str, text_col: str, cache: DataFrame, e
     return hashed.join(vectors, "text_hash", "left").select(id_col, "text_hash", "from_cache", "embedding")
 
 
+@dataclass
+class Encoded:
+    """Rows with their vectors, and how many texts had to be encoded for them."""
+
+    rows: DataFrame
+    fresh: int
+
+
+def encode_cached(docs: DataFrame, id_col: str, text_col: str, root: str, encoder, name: str = "encodings") -> Encoded:
+    """``encode_once`` against a cache that fills: the table ``name`` of the store ``root``, by the hash of
+    the text, in buckets of it. Texts that it has are not encoded; what is new is encoded once and added
+    to the buckets it falls into, at once or not at all, so a run that stops has only to be run again.
+    A null text has no vector and is not kept; the empty text is a text."""
+    spark = docs.sparkSession
+    hashed = docs.select(id_col, F.sha2(F.col(text_col), 256).alias("text_hash"), text_col)
+    distinct = hashed.filter("text_hash is not null").dropDuplicates(["text_hash"])
+    before = 0
+    if name in store.tables(spark, root):
+        cache = store.read_table(spark, root, name)
+        before = cache.count()
+        distinct = distinct.join(cache.select("text_hash"), "text_hash", "left_anti")
+    fresh = store.load(encoder(distinct).select("text_hash", "embedding"), root, name, ["text_hash"], replace=False) - before
+    vectors = store.read_table(spark, root, name)
+    return Encoded(hashed.join(vectors, "text_hash", "left").select(id_col, "text_hash", "embedding"), fresh)
+
+
 def hashing_encoder(dim: int = 64, key: str = "text_hash", text_col: str = "text"):
     """Feature-hashing bag-of-words encoder (unit norm), JVM-side and linear in the text
     length: words are exploded and counted per (key, bucket) with a partial aggregate, then

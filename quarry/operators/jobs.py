@@ -3,16 +3,19 @@ job with its completion event, the two-domain daily job, and the overview analys
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import cleaning as cl
-from quarry.operators import keyed
 from quarry.operators import quality as dq
 from quarry.operators import summaries as sm
-from quarry.session import reliable_checkpoint, scratch_path
+from quarry.session import reliable_checkpoint
 from quarry.sources import readers as rd
 from quarry.sources import sinks as sk
+from quarry.sources import store
 
 
 def pending_versions(available: DataFrame, applied: DataFrame, key: str = "version") -> DataFrame:
@@ -32,19 +35,11 @@ def version_status(available: DataFrame, applied: DataFrame, key: str = "version
 
 
 def load_table(source: DataFrame, path: str, keys: list[str], order: list[str] | None = None) -> int:
-    """Keyed replace of ``source`` into the table at ``path``: one row per key, new keys added, others
-    kept. The new state is written aside first, since the table itself is being read. Returns the
-    rows of the table afterwards, counted while they are written."""
-    spark = source.sparkSession
-    if rd.path_exists(spark, path):
-        state = keyed.upsert(rd.read_parquet(spark, path), source, keys, order)
-    else:
-        state = keyed.one_per_key(source, keys, order)
-    counted = Observation("load")
-    staged = scratch_path(spark, "load")
-    sk.write_landing(state.observe(counted, F.count(F.lit(1)).alias("n")), staged)
-    sk.write_landing(rd.read_parquet(spark, staged), path)
-    return int(counted.get["n"])
+    """Keyed replace of ``source`` into the table ``path``, the last part of which is its name in the
+    store of the rest (see ``store``): one row per key, new keys added, others kept. Only the buckets
+    of the keys are written, and the table changes at once or not at all. Returns its rows afterwards."""
+    root, name = os.path.split(path.rstrip("/"))
+    return store.load(source, root, name, keys, order)
 
 
 def hr_job(raw: DataFrame | str, as_of: str, target_path: str | None, source: str, target: str,
@@ -109,25 +104,23 @@ def daily_gate(curated: dict[str, DataFrame]) -> DataFrame:
 def daily_job(spark: SparkSession, sources: dict[str, str], warehouse: str, as_of: str) -> DataFrame:
     """Extract → transform → gate → load by key → index the summaries → one-row report.
 
-    Nothing is written before the gate has passed: ``ValueError`` otherwise, and the warehouse is
-    as it was. Summaries are indexed as CSV lines under the warehouse's ``index`` folder.
+    Nothing is written before the gate has passed: ``ValueError`` otherwise. All tables, and the
+    summaries' CSV lines (tables ``index/...``), are staged first and published together, so a job that
+    stops anywhere leaves the whole warehouse as it was.
     """
     curated = daily_transform(rd.extract_tables(spark, sources), as_of)
     status = reliable_checkpoint(daily_gate(curated))
     dq.enforce(status)
     passed = status.filter("status = 'PASSED'").count()
-    rows = {name: load_table(curated[name], f"{warehouse}/{name}", keys) for name, keys in DAILY_KEYS.items() if name in curated}
-    indexed = 0
-    lines = 0
-    for name in ("department_summary", "expense_summary"):
-        if name in rows:
-            counted = Observation(name)
-            text = sk.summary_to_docs(rd.read_parquet(spark, f"{warehouse}/{name}")).observe(counted, F.count(F.lit(1)).alias("n"))
-            sk.write_landing(text, f"{warehouse}/index/{name}")
-            indexed += 1
-            lines += int(counted.get["n"])
+    base, _ = store.current(spark, warehouse)
+    staged = [store.stage_rows(curated[name], warehouse, name, keys) for name, keys in DAILY_KEYS.items() if name in curated]
+    rows = {t.name: t.rows for t in staged}
+    lines = [store.stage_whole(sk.summary_to_docs(store.read_staged(spark, warehouse, t)), warehouse, f"index/{t.name}")
+             for t in staged if t.name in ("department_summary", "expense_summary")]
+    store.publish(spark, warehouse, staged + lines, base)
+    indexed = len(lines)
     report = f"{as_of}: {passed} tables passed, {len(rows)} loaded, {indexed} summaries indexed"
-    return spark.createDataFrame([(as_of, "PASSED", passed, len(rows), sum(rows.values()), indexed, lines, report)], DAILY_REPORT)
+    return spark.createDataFrame([(as_of, "PASSED", passed, len(rows), sum(rows.values()), indexed, sum(t.rows for t in lines), report)], DAILY_REPORT)
 
 
 def employee_overview(emp: DataFrame) -> DataFrame:
@@ -163,3 +156,19 @@ def dispatch(routed: DataFrame, route_col: str, registry: dict[str, str], defaul
     default route where there is none."""
     table = F.create_map(*[F.lit(x) for kv in registry.items() for x in kv])
     return routed.withColumn("job", F.coalesce(F.element_at(table, F.col(route_col)), F.lit(registry[default])))
+
+
+def invoke(routed: DataFrame, route_col: str, registry: dict[str, str], skills: dict[str, Callable[[DataFrame], DataFrame]],
+           key: str, default: str = "general") -> DataFrame:
+    """``(key, job, answer)``: every registered job is run once over all rows routed to it, a DataFrame
+    job that gives ``(key, answer)``, and its answers go back to them; a row whose route is unknown or null
+    goes to the default job, one that its job does not answer has a null answer. Rows with the same
+    key share their answer."""
+    sent = dispatch(routed, route_col, registry, default)
+    out = None
+    for job in sorted(set(registry.values())):
+        own = sent.filter(F.col("job") == job)
+        answers = skills[job](own).select(F.col(key).alias("__key"), F.col("answer").cast("string").alias("answer")).groupBy("__key").agg(F.max("answer").alias("answer"))
+        part = own.select(key, "job").join(answers, F.col(key).eqNullSafe(F.col("__key")), "left").select(key, "job", "answer")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -15,8 +15,8 @@ from quarry.plans.bind_hr import CLEAN_SQL, clean_employees_df, employees_with_t
 from quarry.plans.bind_quality import _suite_sql
 from quarry.plans.catalog import query
 from quarry.session import scratch_path
-from quarry.sources import readers as rd
 from quarry.sources import sinks as sk
+from quarry.sources import store
 
 
 def versions(spark, sf):
@@ -69,7 +69,7 @@ def q_hr_load(spark, sf):
     for name, source in (("valid", path), ("valid", path), ("invalid", raw)):
         event = jobs.hr_job(source, fx.AS_OF, target, "file", "hr_employees", spark)
         row = event.select(F.lit(name).alias("run"), "records_processed", "loaded",
-                           F.lit(rd.read_parquet(spark, target).count()).cast("long").alias("rows_in_target"))
+                           F.lit(store.read_table(spark, base, "hr_employees").count()).cast("long").alias("rows_in_target"))
         out = row if out is None else out.unionByName(row)
     return out.distinct()
 
@@ -107,7 +107,7 @@ def q_daily_blocked(spark, sf):
         outcome = jobs.daily_job(spark, sources, warehouse, fx.AS_OF).first()["validation"]
     except ValueError:
         outcome = "FAILED"
-    there = sum(rd.path_exists(spark, os.path.join(warehouse, t)) for t in jobs.DAILY_KEYS)
+    there = len(store.tables(spark, warehouse))
     return spark.createDataFrame([(outcome, there)], "outcome string, tables_in_warehouse int")
 
 
@@ -119,11 +119,33 @@ SKILLS = {"hr": "hr_analysis", "finance": "finance_analysis", "general": "docume
     THEN 'hr_analysis' WHEN contains(lower(query), 'finance') OR contains(lower(query), 'budget') THEN 'finance_analysis'
     ELSE 'document_analysis' END AS job FROM user_queries""")
 def q_skill_dispatch(spark, sf):
-    q = fx.table(spark, sf, "user_queries")
+    return jobs.dispatch(routed_queries(spark, sf), "route", SKILLS).select("query_id", "job")
+
+
+def routed_queries(spark, sf):
     low = F.lower("query")
     rules = [("hr", ["employee", "hr"]), ("finance", ["finance", "budget"])]
     route = F.coalesce(*[F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in ws]), name) for name, ws in rules], F.lit("general"))
-    return jobs.dispatch(q.withColumn("route", route), "route", SKILLS).select("query_id", "job")
+    return fx.table(spark, sf, "user_queries").withColumn("route", route)
+
+
+# The skills' answers: headcount and mean tenure, approved expenses in all, and documents by kind.
+@query("skill_answers", fx.cte("user_queries")[:-1] + ",\n" + CLEAN_SQL[5:-1] + ",\n" + EXP_CLEAN_SQL[5:-1] + """,
+asked AS (SELECT query_id, CASE WHEN contains(lower(query), 'employee') OR contains(lower(query), 'hr') THEN 'hr_analysis'
+    WHEN contains(lower(query), 'finance') OR contains(lower(query), 'budget') THEN 'finance_analysis' ELSE 'document_analysis' END AS job FROM user_queries),
+answers AS (SELECT 'hr_analysis' AS job, (SELECT CAST(count(*) AS VARCHAR) || ' employees' FROM tenure) AS answer
+  UNION ALL SELECT 'finance_analysis', (SELECT CAST(count(*) AS VARCHAR) || ' expenses' FROM exp_clean)
+  UNION ALL SELECT 'document_analysis', (SELECT CAST(count(*) AS VARCHAR) || ' documents' FROM documents))
+SELECT query_id, job, answer FROM asked JOIN answers USING (job)""")
+def q_skill_answers(spark, sf):
+    """Questions answered by the job they are routed to: each job runs once, over its tables."""
+    def count_of(table, what):
+        n = table.agg(F.concat(F.count(F.lit(1)).cast("string"), F.lit(f" {what}")).alias("answer"))  # one row
+        return lambda own: own.select("query_id", F.lit(n.first()["answer"]).alias("answer"))
+    skills = {"hr_analysis": count_of(clean_employees_df(spark, sf), "employees"),
+              "finance_analysis": count_of(cl.clean_expenses(fx.table(spark, sf, "expenses_raw")), "expenses"),
+              "document_analysis": count_of(fx.table(spark, sf, "documents"), "documents")}
+    return jobs.invoke(routed_queries(spark, sf), "route", SKILLS, skills, "query_id")
 
 
 @query("employee_overview", CLEAN_SQL + """SELECT department, count(employee_id) AS headcount,
