@@ -56,13 +56,13 @@ def _as_ddl(variant_schema: str) -> str:
     return variant_schema.replace("OBJECT<>", "STRING").replace("OBJECT<", "STRUCT<").replace("VOID", "STRING").replace("VARIANT", "STRING")
 
 
-def _leaves(schema: T.StructType, prefix: str = ""):
+def _leaves(schema: T.StructType, parts: tuple[str, ...] = ()):
+    """Paths of the leaves, as tuples of names: a name may hold dots itself."""
     for f in schema.fields:
-        path = f"{prefix}.{f.name}" if prefix else f.name
         if isinstance(f.dataType, T.StructType):
-            yield from _leaves(f.dataType, path)
+            yield from _leaves(f.dataType, (*parts, f.name))
         else:
-            yield path
+            yield (*parts, f.name)
 
 
 def flatten_json(df: DataFrame, col: str, keep: list[str], sep: str = ".",
@@ -70,9 +70,8 @@ def flatten_json(df: DataFrame, col: str, keep: list[str], sep: str = ".",
     """Parse a JSON text column and emit one column per leaf, named by its joined path."""
     schema = schema or infer_json_schema(df, col)
     parsed = df.select(*keep, F.from_json(col, schema).alias("__j"))
-    leaves = list(_leaves(schema))
-    return parsed.select(*keep, *[F.col("__j." + ".".join(f"`{p}`" for p in path.split(".")))
-                                  .alias(path.replace(".", sep)) for path in leaves])
+    at = lambda parts: reduce(lambda c, name: c.getField(name), parts, F.col("__j"))
+    return parsed.select(*keep, *[at(parts).alias(sep.join(parts)) for parts in _leaves(schema)])
 
 
 def json_get(col: str, path: str, type_name: str, default=None) -> Column:
