@@ -1,12 +1,13 @@
 """Exact vector search: top-k by squared L2 distance, with relevance = 1 − distance.
 
-Plan (no cross join, no all-pairs output, nothing through the driver but one row per cell):
+Plan (no cross join, no all-pairs output, nothing through the driver):
 
-* pivots are chosen on a bounded sample; every corpus vector is assigned to its nearest pivot
-  once, which makes cells of known size and radius;
+* the corpus is split into cells by a tree of pivots: every node with more rows than a cell should
+  hold gets pivots of its own, chosen on a bounded sample of it, and its rows go to the nearest;
+  the number of cells grows with the corpus, and the tree is a table like any other;
 * a query first searches the nearest cells that together hold k rows; the k-th distance found
-  bounds the answer, and by the triangle inequality only cells with ``d(query, pivot) − radius``
-  within it can hold a nearer row: the query is sent to those and to no others;
+  bounds the answer, and by the triangle inequality only nodes with ``d(query, pivot) − radius``
+  within it can hold a nearer row: the query descends into those and into no others;
 * (cell, block, chunk) groups bring a bounded number of corpus rows and queries together; inside
   one numpy screens the distances with one matrix product, rescores the candidates that an error
   bound cannot exclude exactly in float64, and emits only the k best per query;
@@ -17,11 +18,8 @@ Ties are broken by the corpus id.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +35,7 @@ QUERY_CHUNK_ROWS = 2_000   # query vectors per group
 _U = 2.0 ** -53  # unit round-off of float64
 
 
-def _score_block(k: int, dim: int):
+def _score_block(k: int):
     """Exact k nearest per query within one (query chunk × corpus block) group.
 
     Distances are first screened with one matrix product (|q|² + |c|² − 2q·c, BLAS speed).
@@ -56,7 +54,7 @@ def _score_block(k: int, dim: int):
         qids = q["qid"].to_numpy(dtype=np.int64)
         qn = np.einsum("ij,ij->i", Q, Q)
         cn = np.einsum("ij,ij->i", C, C)
-        gamma = (4 * dim + 8) * _U
+        gamma = (4 * Q.shape[1] + 8) * _U
         kk = min(k, C.shape[0])
         out_q, out_c, out_d = [], [], []
         step = max(1, int(4_000_000 // C.shape[0]))  # bound the screening matrix
@@ -81,9 +79,11 @@ def _score_block(k: int, dim: int):
 
 # --- cells: which parts of the corpus a query has to see -----------------------------------------
 
-SAMPLE_ROWS = 20_000   # expected size of the sample that pivots are chosen from
-MAX_PIVOTS = 128
-CELL_ROWS = 2_000      # corpus vectors a cell should hold
+CELL_ROWS = 2_000        # a cell of more rows is split
+FANOUT = 128             # children of a node at most
+ROWS_PER_PIVOT = 50      # expected rows that a pivot is chosen from
+MAX_LEVELS = 12          # a cell still larger then is searched in blocks
+NODE = ["part", "node"]
 
 
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
@@ -96,114 +96,161 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
         near = np.minimum(near, ((sample - pivots[-1]) ** 2).sum(axis=1))
     p = np.array(pivots)
     for _ in range(5):
-        own = _distance(sample, p).argmin(axis=1)
+        own = _distances(sample, p).argmin(axis=1)
         for j in np.unique(own):
             p[j] = sample[own == j].mean(axis=0)
     return p
 
 
-def _distance(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ pivots.T + (pivots * pivots).sum(axis=1)[None, :], 0))
-
-
-def _vectors(column) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=np.float64)
-
-
-class Cells:
-    """Pivots, and for each (part, pivot) the number of corpus rows nearest to it and how far away
-    the farthest of them is. A query at distance ``d`` from a pivot finds nothing nearer than
-    ``d - radius`` in its cell, by the triangle inequality; ``SLACK`` covers rounding."""
-
-    SLACK = 1e-6
-
-    def __init__(self, pivots: np.ndarray, sizes: dict):
-        self.pivots, self.sizes = pivots, sizes  # part → (cells, rows, radii)
-
-    def nearest(self, part: str, d: np.ndarray, k: int) -> list[int]:
-        """The nearest cells that together hold ``k`` rows."""
-        if part not in self.sizes:
-            return []
-        cells, rows, _ = self.sizes[part]
-        order = np.argsort(d[cells], kind="stable")
-        upto = int(np.searchsorted(np.cumsum(rows[order]), k)) + 1
-        return [int(c) for c in cells[order[:upto]]]
-
-    def others(self, part: str, d: np.ndarray, kth: float, seen: list[int]) -> list[int]:
-        """Cells not yet seen that may hold a row at distance ``kth`` or less."""
-        if part not in self.sizes:
-            return []
-        cells, _, radii = self.sizes[part]
-        may = cells[d[cells] - radii <= kth + self.SLACK]
-        return [int(c) for c in may if c not in seen]
-
-
-def build_cells(corpus: DataFrame, vec: str) -> tuple[DataFrame, Cells]:
-    """The corpus ``(part, cid, vec)`` with its cell, written once, and the cells."""
-    n = corpus.count()
-    share = min(1.0, SAMPLE_ROWS / max(1, n))
-    some = corpus.select(vec) if share == 1 else corpus.select(vec).filter(
-        F.pmod(F.xxhash64(vec), F.lit(1_000_000)) < max(1, int(1_000_000 * share)))
-    sample = np.array(sorted(some.toArrow().column(0).to_pylist()), dtype=np.float64)  # SAMPLE_ROWS or so
-    if not len(sample):
-        empty = corpus.select("part", "cid", vec, F.lit(0).alias("cell"), F.lit(0.0).alias("far"))
-        return empty.limit(0) if n == 0 else empty, Cells(np.zeros((1, 1)), {})
-    pivots = choose_pivots(sample, int(np.clip(n // CELL_ROWS, 1, MAX_PIVOTS)))
-
-    def assign(batches):
-        for b in batches:
-            d = _distance(_vectors(b.column(2)), pivots) if b.num_rows else np.empty((0, 1))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d.argmin(axis=1), pa.int32()), pa.array(d.min(axis=1), pa.float64())],
-                                             names=["part", "cid", vec, "cell", "far"])
-
-    kind = corpus.schema[vec].dataType.simpleString()
-    placed = reliable_checkpoint(corpus.select("part", "cid", vec).mapInArrow(assign, f"part string, cid long, {vec} {kind}, cell int, far double"))
-    sizes: dict = {}
-    # one row per (part, pivot)
-    for r in placed.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("r")).orderBy("part", "cell").collect():
-        sizes.setdefault(r["part"], []).append((r["cell"], r["n"], r["r"]))
-    return placed, Cells(pivots, {p: tuple(np.array(c) for c in zip(*rows)) for p, rows in sizes.items()})
-
-
-def _visits(cells: Cells, k: int, second: bool):
-    """Tasks: queries ``(part, qid, qvec, kth)`` → once per cell to visit."""
-    def run(batches):
-        for b in batches:
-            if not b.num_rows or not cells.sizes:
-                continue
-            d = _distance(_vectors(b.column(2)), cells.pivots)
-            at, cell = [], []
-            for i, (part, kth) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist())):
-                first = cells.nearest(part, d[i], k)
-                go = cells.others(part, d[i], np.inf if kth is None else math.sqrt(kth), first) if second else first
-                at += [i] * len(go)
-                cell += go
-            t = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*t.columns[:3], pa.array(cell, pa.int32())], names=["part", "qid", "qvec", "cell"])
-    return run
-
-
-def _search(queries: DataFrame, placed: DataFrame, cells: Cells, k: int, dim: int, second: bool) -> DataFrame:
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Every row of ``x`` to every pivot, from differences, so that the error stays relative."""
+    return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64)
+
+
+def _meet(rows: DataFrame, key: str, nodes: DataFrame, fn, ddl: str) -> DataFrame:
+    """``rows`` cogrouped with the children of their node, at most ``FANOUT`` rows. A node's rows
+    are dealt by the hash of ``key`` into chunks of bounded size, each with a copy of the children."""
+    chunks = rows.groupBy(*NODE).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("chunks"))
+    dealt = rows.join(chunks, NODE).withColumn("chunk", F.pmod(F.xxhash64(key), F.col("chunks")).cast("int")).drop("chunks")
+    copies = nodes.join(chunks, NODE).withColumn("n_chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    copies = copies.withColumnsRenamed({"part": "n_part", "node": "n_node"})
+    return dealt.groupBy(*NODE, "chunk").cogroup(copies.groupBy("n_part", "n_node", "n_chunk")).applyInPandas(fn, ddl)
+
+
+def _split(rows: DataFrame, level: int) -> DataFrame | None:
+    """``(part, node, child, pivot)`` of the nodes that hold more than ``CELL_ROWS`` rows and more
+    than one distinct vector; None if there are none."""
+    big = reliable_checkpoint(rows.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL_ROWS).withColumn(
+        "fan", F.least(F.ceil(F.col("n") / CELL_ROWS), F.lit(FANOUT)).cast("int")))
+    if big.isEmpty():
+        return None
+    # by the vector's hash, and distinct, so that copies of one vector do not fill the sample
+    number = F.pmod(F.xxhash64("cvec", F.lit(level)), F.lit(1 << 40))
+    sample = (rows.join(big, NODE).filter(number <= F.lit(float(1 << 40)) * ROWS_PER_PIVOT * F.col("fan") / F.col("n"))
+              .select(*NODE, "fan", "cvec").distinct())
+
+    def choose(some: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(sorted(map(tuple, some["cvec"])), dtype=np.float64)
+        pivots = choose_pivots(x, int(some["fan"].iloc[0]))
+        n = len(pivots) if len(pivots) > 1 else 0
+        return pd.DataFrame({"part": [some["part"].iloc[0]] * n, "node": [some["node"].iloc[0]] * n,
+                             "child": pd.Series(range(n), dtype="int32"), "pivot": list(pivots[:n])})
+
+    pivots = reliable_checkpoint(sample.groupBy(*NODE).applyInPandas(choose, "part string, node string, child int, pivot array<double>"))
+    return None if pivots.isEmpty() else pivots
+
+
+def build_cells(corpus: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The corpus ``(part, cid, cvec)`` with the cell (``node``) of each row, and the tree over the
+    cells: for each level ``(part, node, child, pivot, n, radius)``, one row per child with the
+    number of rows below it and how far away the farthest of them is.
+
+    Nodes with more than ``CELL_ROWS`` rows are split by pivots of their own, level by level, so the
+    number of cells grows with the corpus while a node has at most ``FANOUT`` children. Copies of one
+    vector cannot be split; a cell of many is cut into blocks by the search."""
+    kind = corpus.schema["cvec"].dataType.simpleString()
+
+    def assign(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or pivots.empty:
+            return pd.DataFrame(columns=["part", "node", "cid", "cvec", "far"], dtype=object)
+        d = _distances(_matrix(rows["cvec"]), _matrix(pivots["pivot"]))
+        at = d.argmin(axis=1)
+        child = pivots["child"].to_numpy()[at]
+        return pd.DataFrame({"part": rows["part"], "node": rows["node"].iloc[0] + "." + pd.Series(child, index=rows.index).astype(str),
+                             "cid": rows["cid"], "cvec": rows["cvec"], "far": d.min(axis=1)})
+
+    rows = reliable_checkpoint(corpus.select("part", F.lit("0").alias("node"), "cid", "cvec"))
+    cells, levels = None, []
+    while len(levels) < MAX_LEVELS and (pivots := _split(rows, len(levels))) is not None:
+        nodes = pivots.select(*NODE).distinct()
+        whole = rows.join(nodes, NODE, "left_anti")
+        cells = whole if cells is None else cells.union(whole)
+        moved = reliable_checkpoint(_meet(rows.join(nodes, NODE, "left_semi"), "cid", pivots, assign,
+                                          f"part string, node string, cid long, cvec {kind}, far double"))
+        sizes = moved.groupBy("part", F.col("node").alias("below")).agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"))
+        levels.append(reliable_checkpoint(pivots.withColumn("below", F.concat_ws(".", "node", F.col("child").cast("string")))
+                                          .join(sizes, ["part", "below"]).select(*NODE, "child", "pivot", "n", "radius")))
+        rows = moved.drop("far")
+    return rows if cells is None else cells.union(rows), levels
+
+
+SLACK = 1e-9  # share of the distances compared, far above their rounding
+
+
+def nearest_children(d: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """The nearest children that together hold ``k`` rows, or all."""
+    order = np.argsort(d, kind="stable")
+    return order[:int(np.searchsorted(np.cumsum(rows[order]), k)) + 1]
+
+
+def possible_children(d: np.ndarray, radius: np.ndarray, kth: float) -> np.ndarray:
+    """Children that may hold a row at distance ``kth`` or less: at distance ``d`` from a pivot
+    nothing in its cell is nearer than ``d - radius``, by the triangle inequality."""
+    return np.nonzero(d - radius <= kth + SLACK * (d + radius))[0]
+
+
+def visited_cells(queries: DataFrame, levels: list[DataFrame], k: int, every: bool) -> DataFrame:
+    """Queries ``(part, qid, qvec, kth)`` → ``(part, node, qid, qvec)``, once per cell to search: the
+    nearest cells that together hold ``k`` rows, or with ``every`` all that may hold a row at
+    squared distance ``kth`` or less (null: all of the part)."""
+    kind = queries.schema["qvec"].dataType.simpleString()
+    cols = ["part", "node", "qid", "qvec", "kth"]
+
+    def descend(rows: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or nodes.empty:
+            return pd.DataFrame(columns=cols, dtype=object)
+        nodes = nodes.sort_values("child")
+        child, n, radius = (nodes[c].to_numpy() for c in ("child", "n", "radius"))
+        kth = np.sqrt(rows["kth"].astype(float).fillna(np.inf).to_numpy())
+        at, go = [], []
+        for i, d in enumerate(_distances(_matrix(rows["qvec"]), _matrix(nodes["pivot"]))):
+            to = possible_children(d, radius, kth[i]) if every else nearest_children(d, n, k)
+            at += [i] * len(to)
+            go += [str(child[c]) for c in to]
+        out = rows.iloc[at].reset_index(drop=True)
+        out["node"] = out["node"] + "." + pd.Series(go, dtype=str)
+        return out[cols]
+
+    here = queries.select("part", F.lit("0").alias("node"), "qid", "qvec", "kth")
+    for level in levels:
+        nodes = level.select(*NODE).distinct()
+        below = _meet(here.join(nodes, NODE, "left_semi"), "qid", level, descend,
+                      f"part string, node string, qid long, qvec {kind}, kth double")
+        here = reliable_checkpoint(here.join(nodes, NODE, "left_anti").select(*cols).union(below))
+    return here.drop("kth")
+
+
+def _search(go: DataFrame, cells: DataFrame, k: int) -> DataFrame:
     """``(part, qid, cid, distance)``: the k best of every cell visited. A cell of many rows is cut
     into blocks and its visitors into chunks, so that both sides of a group are bounded."""
-    kind = queries.schema["qvec"].dataType.simpleString()
-    go = reliable_checkpoint(queries.select("part", "qid", "qvec", "kth").mapInArrow(
-        _visits(cells, k, second), f"part string, qid long, qvec {kind}, cell int"))
-    rows = placed.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"))
-    visits = go.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("m"))
-    # one row per (part, pivot)
-    sizes = F.broadcast(reliable_checkpoint(rows.join(visits, ["part", "cell"]).select(
-        "part", "cell", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"),
-        F.ceil(F.col("m") / QUERY_CHUNK_ROWS).cast("int").alias("chunks"))))
+    rows = cells.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n"))
+    visits = go.groupBy(*NODE).agg(F.count(F.lit(1)).alias("m"))
+    # one row per cell
+    sizes = reliable_checkpoint(rows.join(visits, NODE).select(
+        *NODE, F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"),
+        F.ceil(F.col("m") / QUERY_CHUNK_ROWS).cast("int").alias("chunks")))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     number = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    q = go.join(sizes, ["part", "cell"]).select(
-        F.col("part").alias("q_part"), F.col("cell").alias("q_cell"), every("blocks").alias("q_block"),
+    q = go.join(sizes, NODE).select(
+        F.col("part").alias("q_part"), F.col("node").alias("q_node"), every("blocks").alias("q_block"),
         number("qid", "chunks").alias("q_chunk"), "qid", "qvec")
-    c = placed.join(sizes, ["part", "cell"]).select(
-        "part", "cell", number("cid", "blocks").alias("block"), every("chunks").alias("chunk"), "cid", "cvec")
-    return (q.groupBy("q_part", "q_cell", "q_block", "q_chunk").cogroup(c.groupBy("part", "cell", "block", "chunk"))
-            .applyInPandas(_score_block(k, dim), "part string, qid long, cid long, distance double"))
+    c = cells.join(sizes, NODE).select(
+        "part", "node", number("cid", "blocks").alias("block"), every("chunks").alias("chunk"), "cid", "cvec")
+    return (q.groupBy("q_part", "q_node", "q_block", "q_chunk").cogroup(c.groupBy("part", "node", "block", "chunk"))
+            .applyInPandas(_score_block(k), "part string, qid long, cid long, distance double"))
+
+
+def _usable(df: DataFrame, part: str | None, key: str, vec: str, names: tuple[str, str]) -> DataFrame:
+    """``(part, id, vec)`` of the rows whose vector is complete; ``part`` begins with the vector's
+    length, so only vectors of one length meet."""
+    of = F.coalesce(F.col(part).cast("string"), F.lit("")) if part else F.lit("")
+    complete = (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
+    return df.filter(F.coalesce(complete, F.lit(False))).select(
+        F.concat(F.size(vec).cast("string"), F.lit(":"), of).alias("part"), F.col(key).cast("long").alias(names[0]), F.col(vec).alias(names[1]))
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, *, qid: str = "query_id",
@@ -213,21 +260,27 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, *, qid: str =
 
     ``part_q``/``part_c`` restrict each query to the corpus rows of the same partition value
     (e.g. a collection). Returns (query_id, part, vec_id, rank, distance, relevance).
+
+    Only vectors of one length are compared. Vectors that are null, empty or hold null or
+    non-finite components take no part: as queries they have no rows, as corpus rows they are not
+    found. A query whose part holds fewer than ``k`` such vectors gets all of them.
     """
-    of = lambda part: F.coalesce(F.col(part).cast("string"), F.lit("")) if part else F.lit("")
-    c = corpus.select(of(part_c).alias("part"), F.col(cid).cast("long").alias("cid"), F.col(cvec).alias("cvec")).filter("cvec is not null")
-    q = queries.select(of(part_q).alias("part"), F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("qvec")).filter("qvec is not null")
-    placed, cells = build_cells(c, "cvec")
-    dim = cells.pivots.shape[1]
+    c = _usable(corpus, part_c, cid, cvec, ("cid", "cvec"))
+    q = _usable(queries, part_q, qid, qvec, ("qid", "qvec"))
+    cells, levels = build_cells(c)
     w = Window.partitionBy("part", "qid").orderBy("distance", "cid")
-    first = reliable_checkpoint(_search(q.withColumn("kth", F.lit(None).cast("double")), placed, cells, k, dim, False)
-                                .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
-    kth = first.filter(F.col("rank") == k).select("part", "qid", F.col("distance").alias("kth"))
-    rest = _search(q.join(kth, ["part", "qid"], "left"), placed, cells, k, dim, True)
-    ranked = first.drop("rank").union(rest).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
-    return ranked.select(F.col("qid").alias(qid), "part",
-                         F.col("cid").alias(cid), "rank", "distance",
-                         (F.lit(1.0) - F.col("distance")).alias("relevance"))
+    go = visited_cells(q.withColumn("kth", F.lit(None).cast("double")), levels, k, False)
+    best = _search(go, cells, k).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    if levels:  # a single cell per part has been seen whole
+        best = reliable_checkpoint(best)
+        kth = best.filter(F.col("rank") == k).select("part", "qid", F.col("distance").alias("kth"))
+        more = visited_cells(q.join(kth, ["part", "qid"], "left"), levels, k, True).join(
+            go.select("part", "node", "qid"), ["part", "node", "qid"], "left_anti")
+        rest = _search(more.select("part", "node", "qid", "qvec"), cells, k)
+        best = best.drop("rank").union(rest).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    return best.select(F.col("qid").alias(qid), F.expr("substring(part, instr(part, ':') + 1)").alias("part"),
+                       F.col("cid").alias(cid), "rank", "distance",
+                       (F.lit(1.0) - F.col("distance")).alias("relevance"))
 
 
 def with_content(ranked: DataFrame, content: DataFrame, cid: str = "vec_id") -> DataFrame:
