@@ -14,8 +14,7 @@ from quarry.sources.sinks import CSV_QUOTING
 # Text tokens read as null.
 NULL_TOKENS = ["", "NULL", "null", "N/A", "n/a"]
 
-
-BAD_SHARE = 0.05  # a column keeps its type up to this share of values that do not parse
+BAD_SHARE = 0.05  # what ``bad_share`` is unless given
 
 
 def _name(c: str) -> str:
@@ -34,13 +33,15 @@ def _csv(spark: SparkSession, multi_line: bool):
 
 
 def read_csv_nulls(spark: SparkSession, path: str, tokens=None, date_format: str = "yyyy-MM-dd",
-                   schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
+                   schema: T.StructType | None = None, multi_line: bool = True,
+                   bad_share: float = BAD_SHARE) -> DataFrame:
     """CSV with several null tokens, bad values → null, and date/number sniffing.
 
     With a declared ``schema`` each column is ``try_cast`` to its type (no sniffing pass).
     Otherwise one aggregate pass over all columns decides, per column, the narrowest of
-    bigint / double / date / string that its non-null values parse as; up to ``BAD_SHARE`` of
-    them may not, and become null.
+    bigint / double / date / string that its non-null values parse as; up to ``bad_share`` of
+    them may not, and become null. With 0 a column that holds one bad value stays text, so that
+    nothing is lost.
     """
     tokens = NULL_TOKENS if tokens is None else tokens
     raw = (_csv(spark, multi_line).option("inferSchema", False)
@@ -62,7 +63,7 @@ def read_csv_nulls(spark: SparkSession, path: str, tokens=None, date_format: str
     out = []
     for i, c in enumerate(cols):
         n = stats[f"n{i}"]
-        fit = [t for t in SNIFFED if n and stats[f"{t}{i}"] >= n * (1 - BAD_SHARE)]
+        fit = [t for t in SNIFFED if n and stats[f"{t}{i}"] >= n * (1 - bad_share)]
         # doubles cover integers: the narrower type must lose nothing that the wider one keeps
         if "bigint" in fit and stats[f"double{i}"] > stats[f"bigint{i}"]:
             fit.remove("bigint")
@@ -113,10 +114,11 @@ def read_database(spark: SparkSession, url: str, query: str, properties: dict |
 
 
 def read_any(spark: SparkSession, source: str, db_url: str | None = None,
-             db_query: str = "SELECT * FROM hr_employees") -> DataFrame:
-    """Dispatch on the extension: csv / parquet; anything else is a database source."""
+             db_query: str = "SELECT * FROM hr_employees", **csv_options) -> DataFrame:
+    """Dispatch on the extension: csv / parquet; anything else is a database source.
+    ``csv_options`` go to ``read_csv_nulls``: ``multi_line=False`` lets large files be split."""
     if source.endswith(".csv"):
-        return read_csv_nulls(spark, source)
+        return read_csv_nulls(spark, source, **csv_options)
     if source.endswith(".parquet"):
         return read_parquet(spark, source)
     if db_url is None:
@@ -132,13 +134,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
-def extract_tables(spark: SparkSession, sources: dict[str, str]) -> dict[str, DataFrame]:
+def extract_tables(spark: SparkSession, sources: dict[str, str], **csv_options) -> dict[str, DataFrame]:
     """One DataFrame per existing source, named by the file stem; missing files are skipped,
-    other read errors propagate."""
+    other read errors propagate. ``csv_options`` as in ``read_any``."""
     out = {}
     for name, path in sources.items():
         if not path_exists(spark, path):
             continue
         stem = os.path.splitext(os.path.basename(path.rstrip("/")))[0] or name
-        out[stem] = read_any(spark, path)
+        out[stem] = read_any(spark, path, **csv_options)
     return out

@@ -6,6 +6,7 @@ import os
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import calendar as cal
@@ -69,6 +70,33 @@ def test_exact_quantiles_with_hot_group(spark):
         assert abs(got[g][1] - float(np.quantile(vals, 0.95))) < 1e-12
 
 
+def test_exact_quantiles_cut_large_buckets_again(spark, monkeypatch):
+    """Every bucket is above the bound at first; skewed values, copies, a fine key and two signs."""
+    from quarry.operators import quantiles
+    monkeypatch.setattr(quantiles, "SPLITS", 2)
+    monkeypatch.setattr(quantiles, "CUTS", 3)
+    monkeypatch.setattr(quantiles, "BUCKET_ROWS", 5)
+    random.seed(4)
+    rows = [("ab"[i % 2], 7.0 if i % 3 == 0 else random.choice([-1, 1]) * 10 ** random.uniform(-30, 30)) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    probs = {"p10": 0.1, "p50": 0.5, "p77": 0.77}
+    for r in exact_quantiles(df, ["g"], "v", probs).collect():
+        v = np.sort([x for g, x in rows if g == r["g"]])
+        for name, p in probs.items():
+            at = p * (len(v) - 1)
+            lo, hi = v[int(np.floor(at))], v[int(np.ceil(at))]
+            assert r[name] == pytest.approx(lo + (at - np.floor(at)) * (hi - lo), rel=1e-9)
+
+
+def test_readers_split_files_and_keep_bad_columns_as_text(spark, tmp_path):
+    from quarry.sources import readers
+    (tmp_path / "t.csv").write_text("a,b\n" + "".join(f"{i},{'x' if i == 3 else i}\n" for i in range(40)))
+    path = str(tmp_path / "t.csv")
+    assert dict(readers.read_any(spark, path).dtypes) == {"a": "bigint", "b": "bigint"}
+    got = readers.extract_tables(spark, {"t": path}, multi_line=False, bad_share=0)["t"]
+    assert dict(got.dtypes) == {"a": "bigint", "b": "string"} and got.filter("b = 'x'").count() == 1 and got.count() == 40
+
+
 def test_exact_quantiles_with_ties_nulls_and_null_group(spark):
     rows = [("a", 1.0)] * 700 + [("a", float(i)) for i in range(300)] + [(None, 5.0), (None, None), (None, 9.0), ("c", 2.5), ("d", None)]
     df = spark.createDataFrame(rows, "g string, v double")
