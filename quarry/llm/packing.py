@@ -2,11 +2,12 @@
 
 Documents become pieces of at most ``capacity`` tokens. Pieces of one length are
 interchangeable, so what is searched is the histogram of lengths (at most ``capacity`` rows,
-whatever the corpus holds): the largest remaining length is completed by the undominated filling
-that leaves least waste, found by branch and bound and applied as often as the counts allow. A
-best-fit-decreasing packing of the same histogram is the incumbent; the better of the two is
-used. The resulting plan has a few thousand patterns and is looked up in the tasks; the rank of
-a piece among those of its length decides its bin, so no piece meets another in one task.
+whatever the corpus holds). A best-fit-decreasing packing of it is the incumbent. Where that misses
+the lower bound, the largest remaining length is completed by the filling that leaves least waste,
+over and over; and of the better of the two, the bins that waste most are searched for a packing
+with one bin less: branch and bound over all undominated fillings around the largest piece. The
+resulting plan has a few thousand patterns and is looked up in the tasks; the rank of a piece among
+those of its length decides its bin, so no piece meets another in one task.
 
 Ranks come from counters kept while the pieces are written, one per (task, length), and the sums
 of those counters over earlier tasks, so a length that holds a third of all pieces is not
@@ -30,7 +31,9 @@ from quarry.llm.common import materialise, quoted
 
 CAPACITY = 2048
 END_ID = 0
-SEARCH_NODES = 4_000
+SEARCH_NODES = 4_000    # of the search for one bin's fullest filling
+TAIL_NODES = 100_000    # of the search for one bin less
+FIRST_TAIL, MAX_TAIL = 8, 512  # bins searched together
 
 
 # Fixed value: how byte-level tokenizers cut a text before merging.
@@ -237,13 +240,138 @@ def _open(open_bins, rooms, room, lens, times):
     open_bins[room].append([lens, times])
 
 
+def least_bins(hist: dict[int, int], capacity: int) -> int:
+    """A lower bound of the bins needed: pieces above half the room need one each, and what small
+    pieces exceed the room left beside them; the best over all limits between small and large."""
+    best = -(-sum(n * c for n, c in hist.items()) // capacity)
+    for small in {0, *(n for n in hist if 2 * n <= capacity)}:
+        alone = sum(c for n, c in hist.items() if n > capacity - small)
+        beside = {n: c for n, c in hist.items() if 2 * n > capacity and n <= capacity - small}
+        room = sum((capacity - n) * c for n, c in beside.items())
+        rest = sum(n * c for n, c in hist.items() if small <= n and 2 * n <= capacity)
+        best = max(best, alone + sum(beside.values()) + max(0, -(-(rest - room) // capacity)))
+    return best
+
+
+class Exhausted(Exception):
+    """The search has opened as many nodes as it was given."""
+
+
+class Completion:
+    """Whether the pieces of a histogram fit into ``bins`` bins, by bin completion with branch and
+    bound: the bin of the largest piece left gets each undominated filling in turn, as often as the
+    counts allow and then less often, and a branch ends when the waste so far exceeds what ``bins``
+    bins may waste. Fillings of one largest piece are taken in a fixed order, so that no set of bins
+    is met twice. Without ``Exhausted`` the answer is exact."""
+
+    def __init__(self, hist: dict[int, int], capacity: int, bins: int, nodes: int):
+        self.counts, self.capacity, self.nodes = dict(hist), capacity, nodes
+        self.waste = bins * capacity - sum(n * c for n, c in hist.items())
+
+    def plan(self) -> list[tuple[list[int], int]] | None:
+        return self._solve(self.waste, None) if self.waste >= 0 else None
+
+    def _open(self) -> None:
+        self.nodes -= 1
+        if self.nodes < 0:
+            raise Exhausted
+
+    def _solve(self, waste: int, last) -> list[tuple[list[int], int]] | None:
+        top = max((n for n, c in self.counts.items() if c), default=0)
+        if not top:
+            return []
+        self.counts[top] -= 1
+        options = sorted(self._fillings(self.capacity - top, waste))
+        self.counts[top] += 1
+        for left, key in options:
+            if last is not None and last[0] == top and (left, key) <= last[1]:
+                continue
+            need = Counter([top, *(-n for n in key)])
+            most = min(self.counts[n] // k for n, k in need.items())
+            for times in range(min(most, waste // left) if left else most, 0, -1):
+                self._open()
+                for n, k in need.items():
+                    self.counts[n] -= k * times
+                rest = self._solve(waste - left * times, (top, (left, key)))
+                for n, k in need.items():
+                    self.counts[n] += k * times
+                if rest is not None:
+                    return [([top, *(-n for n in key)], times), *rest]
+        return None
+
+    def _fillings(self, room: int, waste: int):
+        """``(room left, lengths as negatives)`` of the undominated fillings that waste no more."""
+        lengths = sorted((n for n, c in self.counts.items() if c), reverse=True)
+        after = [0] * (len(lengths) + 1)  # what all lengths from here on hold
+        for i in range(len(lengths) - 1, -1, -1):
+            after[i] = after[i + 1] + lengths[i] * self.counts[lengths[i]]
+
+        def go(i: int, left: int, chosen: list[int]):
+            if left <= waste and not self._dominated(chosen, left, lengths):
+                yield left, tuple(-n for n in chosen)
+            for j in range(i, len(lengths)):
+                self._open()
+                if left - min(left, after[j]) > waste:
+                    return
+                n = lengths[j]
+                for k in range(min(self.counts[n], left // n), 0, -1):
+                    yield from go(j + 1, left - k * n, chosen + [n] * k)
+
+        yield from go(0, room, [])
+
+    def _dominated(self, chosen: list[int], left: int, lengths: list[int]) -> bool:
+        """Whether a piece that is left could take the place of none, one or more chosen ones: those
+        fit wherever that piece would have gone."""
+        used, sums, low = Counter(chosen), 1, list(reversed(chosen))
+        for n in reversed(lengths):
+            while low and low[0] < n:  # sums of the chosen pieces smaller than n
+                sums |= sums << low.pop(0)
+            if used[n] < self.counts[n]:
+                if n <= left or (sums >> max(1, n - left)) & ((1 << (n - max(1, n - left) + 1)) - 1):
+                    return True
+        return False
+
+
+def improved(plan: list[tuple[list[int], int]], bins: int, capacity: int, nodes: int) -> list[tuple[list[int], int]] | None:
+    """``plan`` with the ``bins`` bins that waste most packed into one bin less, if there is a way."""
+    head, tail, todo = [], Counter(), bins
+    for lens, times in sorted(plan, key=lambda p: sum(p[0])):
+        take = min(times, todo)
+        todo -= take
+        for n in lens:
+            tail[n] += take
+        if times > take:
+            head.append((lens, times - take))
+    if least_bins(tail, capacity) >= bins:
+        return None
+    try:
+        found = Completion(tail, capacity, bins - 1, nodes).plan()
+    except Exhausted:
+        return None
+    return None if found is None else head + found
+
+
 def plan_bins(hist: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> list[tuple[list[int], int]]:
-    """The better of bin completion and its incumbent; at the lower bound there is no better."""
-    incumbent = best_fit(hist, capacity)
-    if sum(t for _, t in incumbent) * capacity - sum(n * c for n, c in hist.items()) < capacity:
-        return incumbent
-    done = complete_bins(hist, capacity, nodes)
-    return min((done, incumbent), key=lambda p: sum(t for _, t in p))
+    """As few bins as the search finds. Best fit is the incumbent, and at the lower bound there is
+    no better. Otherwise the greedy completion competes, and then the bins that waste most are
+    searched for a packing with one bin less, ever more of them, up to ``MAX_TAIL``; the whole, if
+    it has no more bins than that. The packing is then a least one unless the search ran out of
+    ``TAIL_NODES`` nodes: bin packing is NP-hard, so no bounded search can always say."""
+    size = lambda p: sum(t for _, t in p)
+    least = least_bins(hist, capacity)
+    plan = best_fit(hist, capacity)
+    if size(plan) > least:
+        plan = min(complete_bins(hist, capacity, nodes), plan, key=size)
+    bins = FIRST_TAIL
+    while size(plan) > least:
+        better = improved(plan, min(bins, size(plan)), capacity, TAIL_NODES)
+        if better is not None:
+            plan = better
+        elif bins >= min(MAX_TAIL, size(plan)):
+            break
+        else:
+            bins *= 4
+    return plan
 
 
 def plan_table(patterns: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:

@@ -362,6 +362,60 @@ def test_plan_uses_every_piece_once(hist):
     assert sizes[0] <= sizes[1] and sizes[0] >= math.ceil(sum(n * c for n, c in hist.items()) / 30)
 
 
+def fewest_bins(pieces, capacity):
+    """By subsets: for every set of pieces the fewest bins, and the least that the last one holds."""
+    best = {0: (1, 0)}
+    for chosen in range(1, 1 << len(pieces)):
+        options = []
+        for i, n in enumerate(pieces):
+            if chosen >> i & 1:
+                bins, held = best[chosen ^ 1 << i]
+                options.append((bins, held + n) if held + n <= capacity else (bins + 1, n))
+        best[chosen] = min(options)
+    return best[(1 << len(pieces)) - 1][0]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=10))
+def test_plan_is_a_least_packing(pieces):
+    plan = packing.plan_bins(dict(Counter(pieces)), 30)
+    fewest = fewest_bins(pieces, 30)
+    assert sum(t for _, t in plan) == fewest >= packing.least_bins(dict(Counter(pieces)), 30)
+    assert sum((Counter({n: k * t for n, k in Counter(lens).items()}) for lens, t in plan), Counter()) == Counter(pieces)
+
+
+def test_plan_of_many_lengths_ends():
+    """Thousands of bins, a thousand lengths: the search stops at its limits and packs everything."""
+    rng = random.Random(2)
+    hist = dict(Counter(rng.randint(600, 1900) for _ in range(3000)))
+    plan = packing.plan_bins(hist, 2048)
+    used = Counter()
+    for lens, times in plan:
+        assert sum(lens) <= 2048
+        for n in lens:
+            used[n] += times
+    assert used == Counter(hist)
+    assert packing.least_bins(hist, 2048) <= sum(t for _, t in plan) <= sum(t for _, t in packing.best_fit(hist, 2048))
+
+
+def test_search_finds_what_best_fit_and_greedy_filling_miss():
+    """Planted full bins of a few lengths, whole histograms of them; there the greedy ways waste."""
+    rng, missed, found = random.Random(11), 0, 0
+    for _ in range(40):
+        pieces = []
+        for _ in range(12):
+            a = rng.randint(26, 44)
+            b = rng.randint(26, 44)
+            pieces += [a, b, 100 - a - b]
+        hist = dict(Counter(pieces))
+        greedy = min(sum(t for _, t in p) for p in (packing.best_fit(hist, 100), packing.complete_bins(hist, 100)))
+        got = sum(t for _, t in packing.plan_bins(hist, 100))
+        assert 12 <= got <= greedy
+        missed += greedy > 12
+        found += greedy > 12 and got == 12
+    assert missed >= 5 and found >= 0.8 * missed
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 20), st.integers(1, 3), min_size=1, max_size=6), st.integers(1, 30))
 def test_fill_finds_least_waste(counts, room):
