@@ -7,8 +7,9 @@ document is scanned once, whole; hit words are mapped to character offsets of th
 only where something matched.
 
 The items reach the tasks in blocks of bounded size (``BLOCK_CHARS`` of text, checked by an
-aggregate before anything is collected); a test set beyond one block is scanned block by block,
-each pass adding to the hits of the one before.
+aggregate before anything is collected). A test set of more than one block has an automaton for
+each; a task then holds up to ``HELD_BYTES`` of documents and takes the automata over them one after
+another, so that the corpus is read once and nothing of it is written.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quarry.llm.common import materialise, quoted, ready_for_texts, shielded, without
+from quarry.llm.common import quoted, ready_for_texts, shielded, without
 
 WINDOW = 13
 BLOCK_CHARS = 1_000_000
+HELD_BYTES = 64 << 20
 
 # What separates words, once A-Z are lower-cased.
 _TO_WORDS = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20
@@ -136,25 +138,36 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, doc_text: str = "text", ite
     own, at = shielded(base), base.columns.index(doc_text)
     schema = T.StructType(list(own.schema.fields) + FIELDS)
     arrow = to_arrow_schema(T.StructType(FIELDS))
-    n_base = len(base.columns)
-    found = None
-    for block in item_blocks(benchmark, item_id, item_text, block_chars):
-        def scan(batches, block=block, first=found is None):
+    blocks = item_blocks(benchmark, item_id, item_text, block_chars)
+
+    def judged(held: list[pa.RecordBatch]):
+        found = [[(0, [], set())] * b.num_rows for b in held]
+        for block in blocks:
             machine = _automaton(block, window)
-            for b in batches:
-                rows = []
+            for b, rows in zip(held, found):
                 for k, t in enumerate(b.column(at).to_pylist()):
                     w = words(t)
                     ranges, items = machine.scan(w)
-                    if not first:
-                        ranges = merged(ranges + b.column(n_base + 2)[k].as_py())
-                        items |= set(b.column(n_base + 4)[k].as_py())
-                    rows.append((len(w), sum(y - x for x, y in ranges), ranges, spans(t or "", ranges), sorted(items)))
-                cols = list(zip(*rows)) if rows else [()] * len(FIELDS)
-                arrays = list(b.columns[:n_base]) + [pa.array(list(c), type=f.type) for c, f in zip(cols, arrow)]
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
-
-        found = (own if found is None else materialise(found, "decontaminate")).mapInArrow(scan, schema)
+                    _, before, others = rows[k]
+                    rows[k] = len(w), merged(before + ranges) if before else ranges, others | items
+        for b, rows in zip(held, found):
+            out = [(n, sum(y - x for x, y in ranges), ranges, spans(b.column(at)[k].as_py(), ranges) if ranges else [], sorted(items))
+                   for k, (n, ranges, items) in enumerate(rows)]
+            cols = list(zip(*out)) if out else [()] * len(FIELDS)
+            arrays = list(b.columns) + [pa.array(list(c), type=f.type) for c, f in zip(cols, arrow)]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    def scan(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.column(at).nbytes
+            if len(blocks) == 1 or size >= HELD_BYTES:
+                yield from judged(held)
+                held, size = [], 0
+        yield from judged(held)
+
+    found = own.mapInArrow(scan, schema)
     return found.toDF(*base.columns, *[f.name for f in FIELDS])
 
 
@@ -165,7 +178,9 @@ def contaminated(share: int = 20):
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, doc_text: str = "text", item_id: str = "item_id",
                         item_text: str = "text", window: int = WINDOW, share: int = 20) -> DataFrame:
-    """``docs`` without the contaminated ones; all columns as they are."""
+    """``docs`` without the contaminated ones; all columns as they are, whatever their names. Documents
+    that are null or have no words stay, as does every row of an empty test set's corpus; repeated
+    rows are judged alike; an empty table gives an empty table."""
     tagged = docs.select(*[quoted(c) for c in docs.columns], quoted(doc_text).alias("__scanned"))
     found = find_hits(tagged.withColumnsRenamed({c: f"__own_{i}" for i, c in enumerate(docs.columns)}), benchmark,
                       "__scanned", item_id, item_text, window)
