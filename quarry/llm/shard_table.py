@@ -36,12 +36,12 @@ def preference(name: str, size: int) -> tuple[int, int]:
 
 def fill_table(shards: list[str], size: int = TABLE_SIZE, weights: dict[str, int] | None = None) -> list[int]:
     """For every slot the position of its shard in the sorted list of distinct names. The order
-    in which shards are given does not matter."""
+    in which shards are given does not matter. A shard of weight 0 gets no slot."""
     names = sorted(set(shards))
-    if not names or not is_prime(size) or size < len(names):
-        raise ValueError("shards are needed, and a prime table size of at least their number")
+    turns = [(weights or {}).get(n, 1) for n in names]
+    if not any(turns) or min(turns) < 0 or not is_prime(size) or size < len(names):
+        raise ValueError("shards of positive weight are needed, and a prime table size of at least their number")
     orders = [preference(n, size) for n in names]
-    turns = [max(1, (weights or {}).get(n, 1)) for n in names]
     at = [0] * len(names)
     table = [-1] * size
     free = size

@@ -103,6 +103,10 @@ def test_table_matches_simulation_and_is_even():
     assert n.max() - n.min() <= 1
     heavy = np.bincount(shard_table.fill_table(names, 251, {"s0": 3}))
     assert heavy[0] > 2.5 * heavy[1]
+    assert 0 not in shard_table.fill_table(names, 251, {"s0": 0})
+    for weights in ({n: 0 for n in names}, {"s0": -1}):
+        with pytest.raises(ValueError):
+            shard_table.fill_table(names, 251, weights)
     for bad in ([], names):
         with pytest.raises(ValueError):
             shard_table.fill_table(bad, 250)
@@ -499,7 +503,7 @@ def test_every_child_of_the_pattern_has_an_item():
         assert html_wrappers.texts(page(s), merged) == want(s)
         for w in (merged, html_wrappers.mark(html_wrappers.structure(html_wrappers.parse(page(s))))):
             article, pattern = html_wrappers.parse(page(s)).kids[0], w[2][0][2]
-            places = html_wrappers._places([k.key for k in article.kids], article.kids, pattern)
+            places = html_wrappers._places([k.key for k in article.kids], pattern, {})
             assert all(x is not None and x[0] == k.key for k, x in zip(article.kids, places))
     # lists at two places, with items of another make at each
     two = "<article><ul><li>a</ul><p>b</p><ul><li><pre>c</pre></ul><h2>d</h2><ul><li>e</ul></article>"

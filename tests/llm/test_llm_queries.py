@@ -2,9 +2,11 @@
 
 import html
 import re
+import struct
 import zlib
 
 import pytest
+import xxhash
 
 from quarry.llm import queries as Q
 from quarry.llm import shard_table, token_count
@@ -40,6 +42,9 @@ def test_op6_places_every_document(spark, sf_dir, docs):
     table = shard_table.fill_table(Q.SHARDS)
     assert sorted(r["doc_id"] for r in rows) == sorted(docs)
     assert all(r["shard"] == Q.SHARDS[table[r["slot"]]] for r in rows)
+    # the hash of a long is that of its eight bytes, taken as signed
+    digest = {r["doc_id"]: xxhash.xxh64(struct.pack("<q", r["doc_id"]), seed=42).intdigest() for r in rows}
+    assert all(r["slot"] == (h - (h >> 63 << 64)) % shard_table.TABLE_SIZE for r in rows for h in [digest[r["doc_id"]]])
 
 
 def test_op7_matches_all_pairs(spark, sf_dir, docs):
