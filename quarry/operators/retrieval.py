@@ -79,7 +79,7 @@ def _score_block(k: int):
 
 # --- cells: which parts of the corpus a query has to see -----------------------------------------
 
-CELL_ROWS = 2_000        # a cell of more rows is split
+CELL_ROWS = 20_000       # a cell of more rows is split; as many as a group screens at once
 FANOUT = 128             # children of a node at most
 ROWS_PER_PIVOT = 50      # expected rows that a pivot is chosen from
 MAX_LEVELS = 12          # a cell still larger then is searched in blocks
