@@ -8,6 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.operators import counters as ct
+from quarry.operators import metrics as mt
+from quarry.operators import sketches as sketch
 from quarry.plans import fixtures as fx
 from quarry.plans.bind_metrics import BUSY_SQL, GAUGES, METRICS_SQL, QUIET, WIN_SQL, busy_requests, requests
 from quarry.plans.bind_streams import CLOSING_TS, land_in_time_order
@@ -157,3 +159,31 @@ def counter_samples(spark, sf):
 @query("counter_rate", SAMPLES_SQL.rstrip() + RATE_SQL)
 def q_counter_rate(spark, sf):
     return ct.counter_rate(counter_samples(spark, sf), "role")
+
+
+# --- sketches: the estimates themselves are no fixed values, so the keys give the exact result and
+# whether the estimate is as near to it as the sketch promises ---------------------------------------
+
+USERS_BOUND = 0.08   # five standard errors of 2 ** 12 registers
+RANK_BOUND = 0.02    # of a rank; three times the error of the merged sketches at 99 %
+
+
+@query("active_users_sketch", WIN_SQL + """SELECT window_start, window_end,
+  count(DISTINCT user_id) AS active_users, TRUE AS near FROM win GROUP BY ALL""")
+def q_active_users_sketch(spark, sf):
+    rows = requests(spark, sf)
+    about = sketch.approx_active_users(rows).withColumnRenamed("active_users", "about")
+    near = F.abs(F.col("about") - F.col("active_users")) <= F.lit(USERS_BOUND) * F.col("active_users")
+    return mt.active_users(rows).join(about, ["window_start", "window_end"], "left").select(
+        "window_start", "window_end", "active_users", F.coalesce(near, F.lit(False)).alias("near"))
+
+
+@query("latency_sketch", WIN_SQL + """SELECT window_start, window_end, count(duration_s) AS n, TRUE AS near50, TRUE AS near95
+FROM win GROUP BY ALL HAVING count(duration_s) > 0""")
+def q_latency_sketch(spark, sf):
+    rows = requests(spark, sf)
+    about = sketch.approx_latency(rows)
+    ranks = sketch.true_ranks(rows, about)
+    near = lambda q: (F.col(f"low{q}") <= q / 100 + RANK_BOUND) & (F.col(f"high{q}") >= q / 100 - RANK_BOUND)
+    return about.join(ranks, ["window_start", "window_end"]).select(
+        "window_start", "window_end", "n", near(50).alias("near50"), near(95).alias("near95"))
