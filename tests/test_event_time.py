@@ -3,11 +3,14 @@
 import datetime as dt
 import math
 import os
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import counters as ct
+from quarry.plans.bind_streams import BATCHES, land_in_time_order
 from quarry.session import scratch_path
 from quarry.streaming import event_time as et
 from quarry.streaming import streams as st
@@ -146,6 +149,90 @@ def test_a_silent_source_fires_though_it_sends_nothing(spark):
     assert got == [("a", at(2)), ("a", at(10)), ("b", at(5))]
 
 
+class Handle:
+    """State and timers of one key in memory, which counts the timers set."""
+
+    def __init__(self):
+        self.timers, self.set = set(), 0
+
+    def registerTimer(self, ms):
+        self.set += 1
+        self.timers.add(ms)
+
+    def getValueState(self, name, schema):
+        return Held()
+
+    def getListState(self, name, schema):
+        return Held()
+
+
+class Held:
+    def __init__(self):
+        self.v = None
+
+    def exists(self):
+        return self.v is not None
+
+    def get(self):
+        return iter(list(self.v)) if isinstance(self.v, list) else self.v
+
+    def update(self, v):
+        self.v = v
+
+    def put(self, v):
+        self.v = list(v)
+
+    def appendList(self, v):
+        self.v = (self.v or []) + list(v)
+
+    def clear(self):
+        self.v = None
+
+
+def walked(processor, col, batches):
+    """Rows that come out of batches of ``(values, watermark)``, and how many timers were set."""
+    handle, out = Handle(), []
+    processor.init(handle)
+    for values, now in batches:
+        clock = SimpleNamespace(getCurrentWatermarkInMs=lambda now=now: now)
+        processor.handleInputRows(("k",), iter([pd.DataFrame({col: values})]) if values else iter([]), clock)
+        for t in sorted(t for t in handle.timers if t <= now):
+            for pdf in processor.handleExpiredTimer(("k",), clock, SimpleNamespace(getExpiryTimeInMs=lambda t=t: t)):
+                out += [tuple(r) for r in pdf.itertuples(index=False)]
+            handle.timers.discard(t)
+    return out, handle.set
+
+
+def test_alerts_and_silences_set_a_few_timers_a_batch_and_find_what_a_plain_walk_finds():
+    import random
+    rnd = random.Random(11)
+    minutes = [m for m in range(3000) if rnd.random() < 0.7]
+    for per in (50, 1000):
+        # out of order by up to 40 minutes: the watermark stays behind by as much
+        near = sorted(minutes, key=lambda m: m + rnd.random() * 40)
+        batches = [(near[i:i + per], (max(near[:i + per]) - 40) * 60_000) for i in range(0, len(near), per)] + [([], 9_000 * 60_000)]
+        found, timers = walked(et.HoldAlert(5), "minute", batches)
+        want, start = [], None
+        for i, m in enumerate(minutes):
+            start = start if i and minutes[i - 1] == m - 1 else m
+            want += [("k", m, start)] if m - start >= 5 else []
+        assert found == want and timers <= 4 * len(batches)
+        found, timers = walked(et.SilenceAlert(60_000, 2), "bucket", batches)
+        assert found == [("k", m + 1) for m, n in zip(minutes, minutes[1:] + [10 ** 6]) if n - m > 3] and timers <= 4 * len(batches)
+
+
+def test_a_replay_has_a_bounded_number_of_batches(spark):
+    rows = spark.range(2000).selectExpr("id as event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id) as ts", "id % 7 as user_id", "'a' as event_type", "1D as value")
+    path, schema, files = land_in_time_order(rows, {"ts": "ts + INTERVAL 30 DAYS", "user_id": "-1"}, rows_per_file=20)
+    source = st.file_stream(spark, path, schema, max_files_per_trigger=files)
+    sizes = []
+    st.run_foreach_batch(source, "replayed", lambda df, n: sizes.append((df.count(), df.agg(F.min("ts"), F.max("ts")).first())))
+    assert sum(n for n, _ in sizes) == 2001 and 2 < len(sizes) <= BATCHES + 1
+    assert all(a[1] < b[0] for (_, a), (_, b) in zip(sizes, sizes[1:]))  # in time order
+    got = result(spark, st.tumbling_counts(source), "t").groupBy().sum("events").first()[0]
+    assert got == 2000
+
+
 # --- histograms and counters -----------------------------------------------------------------------------
 
 def plain_bucket_quantile(values, bounds, q):
