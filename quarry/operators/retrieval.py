@@ -29,7 +29,8 @@ from quarry.session import reliable_checkpoint
 SETTINGS = {"max_context_length": 2048, "min_relevance_threshold": 0.5, "max_retrieved_docs": 5}
 
 BLOCK_ROWS = 20_000        # corpus vectors per group
-QUERY_CHUNK_ROWS = 2_000   # query vectors per group
+QUERY_CHUNK_ROWS = 20_000  # query vectors per group: a group's block of the corpus is shuffled once for all of them
+SCREEN_CELLS = 1_000_000   # distances that a group screens at once
 
 
 _U = 2.0 ** -53  # unit round-off of float64
@@ -57,9 +58,11 @@ def _score_block(k: int):
         gamma = (4 * Q.shape[1] + 8) * _U
         kk = min(k, C.shape[0])
         out_q, out_c, out_d = [], [], []
-        step = max(1, int(4_000_000 // C.shape[0]))  # bound the screening matrix
+        step = max(1, SCREEN_CELLS // C.shape[0])  # bound the screening matrix
         for s in range(0, Q.shape[0], step):
-            screen = qn[s:s + step, None] + cn[None, :] - 2.0 * (Q[s:s + step] @ C.T)
+            screen = Q[s:s + step] @ C.T
+            screen *= -2.0
+            screen += qn[s:s + step, None] + cn[None, :]
             kth = np.partition(screen, kk - 1, axis=1)[:, kk - 1]
             bound = gamma * (qn[s:s + step] + cn.max())
             for r in range(screen.shape[0]):
@@ -82,6 +85,7 @@ def _score_block(k: int):
 CELL_ROWS = 20_000       # a cell of more rows is split; as many as a group screens at once
 FANOUT = 128             # children of a node at most
 ROWS_PER_PIVOT = 50      # expected rows that a pivot is chosen from
+FEW_CELLS = 100_000      # so many sizes of cells are sent to all tasks
 MAX_LEVELS = 12          # a cell still larger then is searched in blocks
 NODE = ["part", "node"]
 
@@ -114,7 +118,8 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def _meet(rows: DataFrame, key: str, nodes: DataFrame, fn, ddl: str) -> DataFrame:
     """``rows`` cogrouped with the children of their node, at most ``FANOUT`` rows. A node's rows
     are dealt by the hash of ``key`` into chunks of bounded size, each with a copy of the children."""
-    chunks = rows.groupBy(*NODE).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("chunks"))
+    # one row per node that was split, so few: rows and vectors are shuffled once, by the cogroup
+    chunks = F.broadcast(rows.groupBy(*NODE).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("chunks")))
     dealt = rows.join(chunks, NODE).withColumn("chunk", F.pmod(F.xxhash64(key), F.col("chunks")).cast("int")).drop("chunks")
     copies = nodes.join(chunks, NODE).withColumn("n_chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
     copies = copies.withColumnsRenamed({"part": "n_part", "node": "n_node"})
@@ -130,7 +135,7 @@ def _split(rows: DataFrame, level: int) -> DataFrame | None:
         return None
     # by the vector's hash, and distinct, so that copies of one vector do not fill the sample
     number = F.pmod(F.xxhash64("cvec", F.lit(level)), F.lit(1 << 40))
-    sample = (rows.join(big, NODE).filter(number <= F.lit(float(1 << 40)) * ROWS_PER_PIVOT * F.col("fan") / F.col("n"))
+    sample = (rows.join(F.broadcast(big), NODE).filter(number <= F.lit(float(1 << 40)) * ROWS_PER_PIVOT * F.col("fan") / F.col("n"))
               .select(*NODE, "fan", "cvec").distinct())
 
     def choose(some: pd.DataFrame) -> pd.DataFrame:
@@ -166,7 +171,7 @@ def build_cells(corpus: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     rows = reliable_checkpoint(corpus.select("part", F.lit("0").alias("node"), "cid", "cvec"))
     cells, levels = None, []
     while len(levels) < MAX_LEVELS and (pivots := _split(rows, len(levels))) is not None:
-        nodes = pivots.select(*NODE).distinct()
+        nodes = F.broadcast(pivots.select(*NODE).distinct())
         whole = rows.join(nodes, NODE, "left_anti")
         cells = whole if cells is None else cells.union(whole)
         moved = reliable_checkpoint(_meet(rows.join(nodes, NODE, "left_semi"), "cid", pivots, assign,
@@ -194,45 +199,51 @@ def possible_children(d: np.ndarray, radius: np.ndarray, kth: float) -> np.ndarr
 
 
 def visited_cells(queries: DataFrame, levels: list[DataFrame], k: int, every: bool) -> DataFrame:
-    """Queries ``(part, qid, qvec, kth)`` → ``(part, node, qid, qvec)``, once per cell to search: the
+    """Queries ``(part, qid, qvec, kth)`` → ``(part, node, qid, qvec, near)``, once per cell to search: the
     nearest cells that together hold ``k`` rows, or with ``every`` all that may hold a row at
-    squared distance ``kth`` or less (null: all of the part)."""
+    squared distance ``kth`` or less (null: all of the part). ``near`` marks the nearest cells."""
     kind = queries.schema["qvec"].dataType.simpleString()
     cols = ["part", "node", "qid", "qvec", "kth"]
 
     def descend(rows: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        """A row per query with its children as lists: the vector is not copied for each here."""
         if rows.empty or nodes.empty:
-            return pd.DataFrame(columns=cols, dtype=object)
+            return pd.DataFrame(columns=[*cols, "to", "also"], dtype=object)
         nodes = nodes.sort_values("child")
         child, n, radius = (nodes[c].to_numpy() for c in ("child", "n", "radius"))
         kth = np.sqrt(rows["kth"].astype(float).fillna(np.inf).to_numpy())
-        at, go = [], []
-        for i, d in enumerate(_distances(_matrix(rows["qvec"]), _matrix(nodes["pivot"]))):
-            to = possible_children(d, radius, kth[i]) if every else nearest_children(d, n, k)
-            at += [i] * len(to)
-            go += [str(child[c]) for c in to]
-        out = rows.iloc[at].reset_index(drop=True)
-        out["node"] = out["node"] + "." + pd.Series(go, dtype=str)
-        return out[cols]
-
-    here = queries.select("part", F.lit("0").alias("node"), "qid", "qvec", "kth")
+        to, also = [], []
+        for i, (d, near) in enumerate(zip(_distances(_matrix(rows["qvec"]), _matrix(nodes["pivot"])), rows["near"])):
+            first = nearest_children(d, n, k) if near or not every else np.array([], dtype=int)
+            to.append(child[first])
+            also.append(child[np.setdiff1d(possible_children(d, radius, kth[i]), first)] if every else child[:0])
+        return rows[cols].assign(to=to, also=also)
+
+    def below(rows: DataFrame) -> DataFrame:
+        marked = lambda to, near: F.transform(to, lambda x: F.struct(x.alias("child"), F.lit(near).alias("near")))
+        children = rows.withColumn("c", F.explode(F.concat(marked("to", True), marked("also", False))))
+        return children.withColumn("node", F.concat_ws(".", "node", F.col("c.child").cast("string"))).select(*cols, "c.near")
+
+    here = queries.select("part", F.lit("0").alias("node"), "qid", "qvec", "kth", F.lit(True).alias("near"))
     for level in levels:
-        nodes = level.select(*NODE).distinct()
-        below = _meet(here.join(nodes, NODE, "left_semi"), "qid", level, descend,
-                      f"part string, node string, qid long, qvec {kind}, kth double")
-        here = reliable_checkpoint(here.join(nodes, NODE, "left_anti").select(*cols).union(below))
+        nodes = F.broadcast(level.select(*NODE).distinct())
+        met = reliable_checkpoint(_meet(here.join(nodes, NODE, "left_semi"), "qid", level, descend,
+                                        f"part string, node string, qid long, qvec {kind}, kth double, to array<int>, also array<int>"))
+        here = here.join(nodes, NODE, "left_anti").union(below(met))
     return here.drop("kth")
 
 
 def _search(go: DataFrame, cells: DataFrame, k: int) -> DataFrame:
     """``(part, qid, cid, distance)``: the k best of every cell visited. A cell of many rows is cut
     into blocks and its visitors into chunks, so that both sides of a group are bounded."""
+    go = go.select("part", "node", "qid", "qvec")
     rows = cells.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n"))
     visits = go.groupBy(*NODE).agg(F.count(F.lit(1)).alias("m"))
     # one row per cell
     sizes = reliable_checkpoint(rows.join(visits, NODE).select(
         *NODE, F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"),
         F.ceil(F.col("m") / QUERY_CHUNK_ROWS).cast("int").alias("chunks")))
+    sizes = F.broadcast(sizes) if sizes.count() <= FEW_CELLS else sizes
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     number = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     q = go.join(sizes, NODE).select(
@@ -274,9 +285,9 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, *, qid: str =
     if levels:  # a single cell per part has been seen whole
         best = reliable_checkpoint(best)
         kth = best.filter(F.col("rank") == k).select("part", "qid", F.col("distance").alias("kth"))
-        more = visited_cells(q.join(kth, ["part", "qid"], "left"), levels, k, True).join(
-            go.select("part", "node", "qid"), ["part", "node", "qid"], "left_anti")
-        rest = _search(more.select("part", "node", "qid", "qvec"), cells, k)
+        # a node on the way to the nearest cells leads to these again, which have been searched
+        more = visited_cells(q.join(kth, ["part", "qid"], "left"), levels, k, True).filter(~F.col("near"))
+        rest = _search(more, cells, k)
         best = best.drop("rank").union(rest).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
     return best.select(F.col("qid").alias(qid), F.expr("substring(part, instr(part, ':') + 1)").alias("part"),
                        F.col("cid").alias(cid), "rank", "distance",
